@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwell.llm import bpe, fingerprints, mixing, secrets, sharding
+from loomwell.llm import bpe, fingerprints, jaccard_join, langid, mixing, secrets, sharding, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_documents(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "source", "n_chars")
     return sharding.place(docs.withColumn("slot", sharding.slot_of(docs["doc_id"])), "doc_id")
@@ -38,12 +42,23 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_documents(spark, sf_dir))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_mixing": op3_mixing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
+    "op8_token_files": op8_token_files,
+    "op10_language_id": op10_language_id,
 }
 
 _MIXING_SQL = r"""
@@ -84,6 +99,19 @@ SELECT doc_id, size, source_size, target, (base * size
 FROM cut
 """
 
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.r AS ra, a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.r < b.r
+  GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, m.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON s.doc_id = m.a
+"""
+
 _SHARDING_SQL = """
 WITH slots AS (SELECT unnest(range(0, {slots}))::INT AS slot, unnest(string_split('{owners}', ','))::INT AS owner)
 SELECT doc_id, source, n_chars, d.slot, 'shard-' || lpad(owner::VARCHAR, 3, '0') AS shard
@@ -132,6 +160,7 @@ FROM d
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": _MIXING_SQL,
+        "op4_ngram_jaccard": _JACCARD_SQL,
         "op5_sharding": _SHARDING_SQL.format(slots=sharding.SLOTS, owners=",".join(map(str, sharding.lookup_table()))),
         "op6_secrets": _secrets_sql(),
     }

@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwell.llm import bpe, fingerprints, jaccard_join, langid, mixing, secrets, sharding, token_files
+from loomwell.llm import ann, bpe, fingerprints, jaccard_join, langid, mixing, secrets, sharding, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
     "op8_token_files": op8_token_files,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
 }
 

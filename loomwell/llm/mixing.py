@@ -90,13 +90,13 @@ def _chosen(i: Column) -> Column:
     return _div(i * F.col("_more") + F.col("_shift"), F.col("_blocks"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted).
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share ``budget`` times
     all words. Null texts have no words and give none. Rows with equal doc_id are rows of their
     own. Reruns agree: order and draws come from md5 of doc_id, source, shard and seed. An empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns than those in ``carry`` are ignored.
     """
     sized = materialize(
         docs.select(
@@ -104,6 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
             F.col("source").cast("string"),
             F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("source"))).alias("key"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            *(carry or []),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("hash"),
         ),
         "mix-sizes",
@@ -143,4 +144,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
 
     start = F.col("_end") - F.col("size")
     taken = F.col("_base") * F.col("size") + words_before(F.col("_end")) - words_before(start)
-    return docs_at.join(streams, ["shard", "key"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return docs_at.join(streams, ["shard", "key"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(carry or []))
+
+
+def apply_mix(docs: DataFrame) -> DataFrame:
+    """The mix itself: each document as often as its taken words over its size, rounded.
+
+    Columns stay. A document is told from others by its id, source and text; rows that agree in
+    all three are taken alike. Documents of which the mix takes under half their words go, and so
+    do those without words.
+    """
+    names = docs.columns
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "source", "text")]
+    keyed = docs.withColumn("_key", F.sha2(F.concat_ws("\u001f", *parts).cast("binary"), 256))
+    copies = mix(keyed.withColumn("doc_id", F.col("doc_id").cast("long")), carry=["_key"]).where("size > 0")
+    copies = copies.groupBy("_key").agg(F.floor(F.max(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_copies")).where("_copies > 0")
+    return keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)

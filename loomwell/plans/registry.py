@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from loomwell.plans import expression_queries
+
+_MODULES = (expression_queries,)
+QUERIES: dict[str, Callable] = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.SQL.items()}

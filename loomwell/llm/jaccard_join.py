@@ -17,6 +17,10 @@ Set relations save comparisons within the lists:
 * Only entries of one list that are still in different groups, and that no leader tells apart, are
   compared in pairs.
 
+Before whole sets are fetched, candidates are held against bitmaps: bit h(shingle) modulo the
+bitmap's length is flipped for each shingle, so two bitmaps differ in no more bits than the sets in
+shingles, and a pair whose bitmaps differ in more than a ninth of both sizes can't link.
+
 Every link is verified on the whole sets, and skipped pairs are either in one group already or
 proven not to link, so the groups are those of the exact join (up to collisions of 63-bit hashes).
 """
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.llm.text import shingle_hashes
@@ -38,7 +42,7 @@ _BUCKETS = 1 << 20
 _CHUNK = 1 << 12
 _BITS = 1 << 24
 _HOT = np.uint64(1 << 63)
-ROUNDS = 3
+ROUNDS = 2
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -107,20 +111,28 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """The set's bitmap: at least as many bits as shingles, a power of two, 64 or more."""
+    length = 1 << max(6, (len(tokens) - 1).bit_length() if len(tokens) else 6)
+    at = ((tokens >> np.uint64(21)) & np.uint64(length - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=length) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """Size, digest and index prefix of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offs in _texts(batches):
-            n, digest, prefix = [], [], []
+            n, digest, prefix, bits = [], [], [], []
             for i in range(part.num_rows):
                 tokens = _ordered(values[offs[i] : offs[i + 1]], hot)
                 n.append(len(tokens))
                 digest.append(_digest(tokens) if len(tokens) else None)
+                bits.append(_parity(tokens))
                 prefix.append(tokens[: len(tokens) + (-4 * len(tokens) // 5) + 1].view(np.int64) if len(tokens) else tokens.view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, bits array<long>")
 
 
 def _whole_sets(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray) -> DataFrame:
@@ -178,12 +190,35 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, d): the pairs with their Jaccard distance, from the whole sets."""
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps don't rule a link out; the longer bitmap is folded first."""
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
+    short = F.least(F.size("bitsa"), F.size("bitsb"))
+
+    def folded(c: str) -> Column:
+        halves = F.zip_with(F.slice(c, F.lit(1), short), F.slice(c, short + 1, short), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(c) == short, F.col(c)).otherwise(halves)
+
+    apart = F.aggregate(F.zip_with(folded("bitsa"), folded("bitsb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = (F.size("bitsa") <= 2 * short) & (F.size("bitsb") <= 2 * short)  # sizes that link differ by less
+    return pairs.where(near & (9 * apart <= F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, classes: DataFrame) -> DataFrame:
+    """(a, b, d, linked): the plausible ones of the pairs with their Jaccard distance, from the whole sets.
+
+    Whole sets are made anew from the texts, for the classes of these pairs only.
+    """
+    pairs = materialize(_plausible(pairs, classes), "jaccard-plausible")
+    named = classes.select("rep", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
+    sets = _whole_sets(docs, hot, _bitmap(named)).join(named, "digest").groupBy("rep").agg(F.first("tokens").alias("tokens"))
+    sets = materialize(sets, "jaccard-whole")
     one = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
     two = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", both.alias("i"), (F.size("ta") + F.size("tb") - both).alias("u")).select("a", "b", (1 - F.col("i") / F.col("u")).alias("d"), (5 * F.col("i") >= 4 * F.col("u")).alias("linked"))
+    found = pairs.join(one, "b").join(two, "a").select("a", "b", both.alias("i"), (F.size("ta") + F.size("tb") - both).alias("u"))
+    return materialize(found.select("a", "b", (1 - F.col("i") / F.col("u")).alias("d"), (5 * F.col("i") >= 4 * F.col("u")).alias("linked")), "jaccard-verified")
 
 
 def _can_reach(na, nb, pa_, pb):
@@ -202,16 +237,13 @@ def join(docs: DataFrame) -> DataFrame:
     """
     hot = hot_buckets(docs)
     sets = materialize(_sets(docs, hot).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
-    classes = sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    found = sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    classes = materialize(found, "jaccard-classes")
     # Index lists; a list of one entry makes no pair.
     entries = classes.select("rep", F.col("n").cast("int"), F.posexplode("prefix").alias("pos", "token"))
     by_token = Window.partitionBy("token").orderBy("rep")
     entries = entries.withColumn("before", F.lag("rep").over(by_token)).withColumn("after", F.lead("rep").over(by_token))
     entries = materialize(entries.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after").withColumn("block", F.floor(F.log(1.25, F.col("n"))).cast("int")), "jaccard-lists")
-    names = materialize(sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id")), "jaccard-classes")
-    indexed = names.join(entries.select("rep").distinct(), "rep", "left_semi").select("digest", "rep")
-    whole = _whole_sets(docs, hot, _bitmap(indexed)).join(indexed, "digest").groupBy("rep").agg(F.first("tokens").alias("tokens"))
-    whole = materialize(whole, "jaccard-whole")
 
     links, compared, open_lists, groups = None, None, entries.withColumn("root", F.col("rep")), None
     for turn in range(ROUNDS):
@@ -221,7 +253,7 @@ def join(docs: DataFrame) -> DataFrame:
         stars = stars.where(_can_reach(F.col("n"), F.col("leader.n"), F.col("pos"), F.col("leader.pos"))).select(F.col("rep").alias("a"), F.col("leader.rep").alias("b")).distinct()
         if compared is not None:
             stars = stars.join(compared, ["a", "b"], "left_anti")
-        found = materialize(_verified(stars, whole), "jaccard-stars")
+        found = _verified(stars, docs, hot, classes)
         compared = found if compared is None else compared.union(found)
         links = compared.where("linked").select("a", "b")
         groups = materialize(components(links), "jaccard-groups")
@@ -240,10 +272,10 @@ def join(docs: DataFrame) -> DataFrame:
         near = near.where(_can_reach(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")))
         apart = F.exists(F.map_keys("leaders_a"), lambda k: F.abs(F.element_at("leaders_a", k) - F.element_at("leaders_b", k)) > 0.2000001)
         near = near.where(~F.coalesce(apart, F.lit(False))).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-        rest = materialize(_verified(near, whole), "jaccard-rest")
+        rest = _verified(near, docs, hot, classes)
         groups = materialize(components(links.union(rest.where("linked").select("a", "b"))), "jaccard-groups")
 
-    named = names.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = classes.select("digest", "rep", "least_id").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(ids, "root").select("digest", "component_id")
     out = sets.select("doc_id", "n", "digest").join(named, "digest", "left")

@@ -86,14 +86,14 @@ def normalize_id(c: Column) -> Column:
 
 def gff_attributes(c: Column) -> Column:
     """Attributes of GFF (key=value) and GTF (key "value") lines, in order, repeats kept."""
-    parts = F.filter(F.transform(F.split(_text(c), ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(_text(c), ";"), lambda t: F.trim(t)), lambda p: p != "")
 
     def pair(p: Column) -> Column:
         at = F.instr(p, "=")
-        gff = F.struct(F.trim(F.substring(p, F.lit(1), at - 1)).alias("key"), F.trim(F.lit('"'), F.trim(F.substring(p, at + 1, F.length(p)))).alias("value"))
+        gff = F.struct(F.trim(F.substring(p, F.lit(1), at - 1)).alias("key"), F.trim(F.trim(F.substring(p, at + 1, F.length(p))), F.lit("\"")).alias("value"))
         key = F.regexp_extract(p, r"^(\S+)\s", 1)
         quoted = F.struct(key.alias("key"), F.trim(F.regexp_extract(p, r'^\S+\s+"([^"]+)"', 1)).alias("value"))
-        plain = F.struct(key.alias("key"), F.trim(F.lit('"'), F.regexp_extract(p, r"^\S+\s+(\S+)", 1)).alias("value"))
+        plain = F.struct(key.alias("key"), F.trim(F.regexp_extract(p, r"^\S+\s+(\S+)", 1), F.lit("\"")).alias("value"))
         return F.when(at > 0, gff).when(p.rlike(r'^\S+\s+"[^"]+"'), quoted).otherwise(plain)
 
     return F.filter(F.transform(parts, pair), lambda a: a["key"] != "")
@@ -126,7 +126,7 @@ def go_labels(c: Column) -> Column:
 
 def drop_go_segments(c: Column, invalid: Column) -> Column:
     """Annotation text without the segments that hold an id of the array ``invalid``."""
-    parts = F.filter(F.transform(F.split(_text(c), ";"), F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(_text(c), ";"), lambda t: F.trim(t)), lambda t: t != "")
     return F.array_join(F.filter(parts, lambda t: ~F.arrays_overlap(F.regexp_extract_all(t, F.lit(r"GO:\d+"), F.lit(0)), invalid)), "; ")
 
 
@@ -183,7 +183,7 @@ def split_sentences(c: Column) -> Column:
 
 def split_claims(c: Column) -> Column:
     """Sentences that end with a point, exclamation or question mark and are followed by a capital."""
-    return F.filter(F.transform(F.split(F.trim(_text(c)), r"(?<=[.!?])\s+(?=[A-Z])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.trim(_text(c)), r"(?<=[.!?])\s+(?=[A-Z])"), lambda t: F.trim(t)), lambda s: s != "")
 
 
 def citation_refs(c: Column) -> Column:

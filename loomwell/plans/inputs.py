@@ -71,7 +71,7 @@ VIEWS = {
 
 
 def _needs(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return [n for n in dict.fromkeys(re.findall(r"\{(\w+)\}", sql)) if n in VIEWS or n in TABLES]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -137,9 +137,12 @@ def bounded_sample(labelled: DataFrame, per_language: int = SAMPLE) -> DataFrame
 
     The number of a language's rows sets the share of hashes that it may use.
     """
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language, as the model has
     share = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
-    return labelled.join(sizes, "lang").where(share * F.col("_n") < per_language).drop("_n")
+    chosen = F.lit(False)
+    for row in sizes:
+        chosen = chosen | ((F.col("lang") == row["lang"]) & (share < per_language / row["n"]))
+    return labelled.where(chosen)
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwell.functions import columns as C
 from loomwell.operators import expression as X
+from loomwell.operators import nb as NB
 from loomwell.plans.inputs import duck, table
 
 PAIRS = ["A_vs_B", "A_vs_C", "B_vs_C"]
@@ -125,10 +126,24 @@ def search_rows(spark, d):
     return X.search_rows(table(spark, d, "de"), "GENE-12").select("contrast", "gene_id", "logFC")
 
 
+def nb_dispersion(spark, d):
+    counts, groups = _filtered(spark, d), table(spark, d, "design")
+    design = NB.design_of(X.tmm_factors(counts), groups)
+    return NB.estimate_dispersion(NB.gene_arrays(counts, design.samples), design).drop("y")
+
+
+def differential_expression(spark, d):
+    counts, groups = _filtered(spark, d), table(spark, d, "design")
+    design = NB.design_of(X.tmm_factors(counts), groups)
+    fitted = NB.estimate_dispersion(NB.gene_arrays(counts, design.samples), design)
+    return X.bh_fdr(NB.glm_lrt(fitted, design, [("A", "B"), ("A", "C"), ("B", "C")]))
+
+
 QUERIES = {
     f.__name__: f
     for f in (up_down_by_contrast, low_expression_filter, contrast_logfc, library_sizes, count_qc, count_matrix, tmm_factors, cpm, log_count_histogram, sample_correlation, sample_distance, group_pairs,
-              significant_genes, significant_genes_strict, up_down_counts, up_down_long, bh_fdr, top_tags, volcano, venn_regions, heatmap_matrix, subset_contrasts, delete_contrasts, search_rows)
+              significant_genes, significant_genes_strict, up_down_counts, up_down_long, bh_fdr, top_tags, volcano, venn_regions, heatmap_matrix, subset_contrasts, delete_contrasts, search_rows,
+              nb_dispersion, differential_expression)
 }
 
 _TMM = _FILTERED + """, l AS (SELECT sample_id, sum(count) AS lib FROM f GROUP BY sample_id), s AS (SELECT f.*, lib FROM f JOIN l USING (sample_id) WHERE count > 0),

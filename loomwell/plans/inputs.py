@@ -61,12 +61,12 @@ VIEWS = {
         CASE (conv_id * 3 + turn) % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'partially_supported' WHEN 2 THEN 'unsupported' ELSE 'contradicted' END AS claim_label,
         cast((conv_id + turn) % 2 AS string) AS citations_correct FROM {conversations}""",
     "jobs": """SELECT event_id AS id, concat('S', cast(user_id % 20 AS string)) AS sample, user_id, event_type AS stage,
-        CASE cast(value AS bigint) % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'erro' WHEN 2 THEN ' Running ' WHEN 3 THEN 'na fila' ELSE 'odd' END AS status, ts AS created_at, value FROM {events}""",
-    "alignments": """SELECT l_orderkey * 10 + l_linenumber AS read_id, concat('chr', cast(l_partkey % 5 AS string)) AS chrom, (l_orderkey * 37 + l_linenumber * 101) % 200000 AS start_at,
+        CASE cast(floor(value) AS bigint) % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'erro' WHEN 2 THEN ' Running ' WHEN 3 THEN 'na fila' ELSE 'odd' END AS status, ts AS created_at, value FROM {events}""",
+    "alignments": """SELECT l_orderkey * 10000000 + l_partkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS read_id, concat('chr', cast(l_partkey % 5 AS string)) AS chrom, (l_orderkey * 37 + l_linenumber * 101) % 200000 AS start_at,
         (l_orderkey * 37 + l_linenumber * 101) % 200000 + 60 AS end_at, CASE l_linestatus WHEN 'O' THEN '+' ELSE '-' END AS strand,
-        cast(l_quantity AS int) AS mapq, cast(l_suppkey % 12 AS int) AS library, cast(l_extendedprice AS int) % 1000 AS qual_sum FROM {lineitem}""",
-    "reads": """SELECT l_orderkey * 10 + l_linenumber AS read_id, repeat(substr('ACGTTGCAGATTACA', cast(l_linenumber AS int), 5), 4) AS seq,
-        concat(repeat('I', cast(l_quantity AS int) % 15), repeat('#', 20 - cast(l_quantity AS int) % 15)) AS qual FROM {lineitem}""",
+        cast(floor(l_quantity) AS int) AS mapq, cast(l_suppkey % 12 AS int) AS library, cast(floor(l_extendedprice) AS int) % 1000 AS qual_sum FROM {lineitem}""",
+    "reads": """SELECT l_orderkey * 10000000 + l_partkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS read_id, repeat(substr('ACGTTGCAGATTACA', cast(l_linenumber AS int), 5), 4) AS seq,
+        concat(repeat('I', cast(floor(l_quantity) AS int) % 15), repeat('#', 20 - cast(floor(l_quantity) AS int) % 15)) AS qual FROM {lineitem}""",
 }
 
 

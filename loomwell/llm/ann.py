@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomwell.runtime import materialize
 
 PROJECTED = 8
-CONFIDENCE = 0.98
+CONFIDENCE = 0.95
 NEIGHBOURS = 20
 EVERY = 20
 #: Rows that the cells are fitted on, at most about; every row is indexed.
@@ -32,6 +32,7 @@ CELL = 4096
 BLOCK = 8192
 QUERY_BLOCK = 2048
 LEAF = 48
+_ROUNDING = 1e-12
 _SEED = 11
 
 
@@ -114,34 +115,46 @@ def _nearest(rows: pd.DataFrame, queries: pd.DataFrame, greatest: float, k: int)
     ids, base = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype(float)
     asked, ask = queries["query_id"].to_numpy(), np.stack(queries["vector"].to_numpy()).astype(float)
     directions = projection(base.shape[1])
-    points = _lifted(base, greatest) @ directions
-    tree = Tree(points, LEAF)
+    tree = Tree(_lifted(base, greatest) @ directions, LEAF)
+    ids, base = ids[tree.order], base[tree.order]
+    bound = tree.bounds(np.concatenate([ask, np.zeros((len(ask), 1))], axis=1) @ directions)
+    order = np.argsort(bound, axis=1)
+    bound = np.take_along_axis(bound, order, axis=1)
     square = (ask * ask).sum(axis=1) + greatest**2  # squared distance = this - 2 * inner product
-    start = queries["kth"].to_numpy()
-    out = []
-    for at in range(0, len(ask), 256):
-        bounds = tree.bounds(np.concatenate([ask[at : at + 256], np.zeros((len(ask[at : at + 256]), 1))], axis=1) @ directions)
-        for i, bound in enumerate(bounds, at):
-            got_ids, got, kth = np.zeros(0, np.int64), np.zeros(0), start[i]
-            order = np.argsort(bound)
-            step = 4
-            for s in range(0, len(order), step):
-                leaves = order[s : s + step]
-                if np.isfinite(kth) and bound[leaves[0]] > LIMIT * max(square[i] - 2 * kth, 0.0):
-                    break
-                places = np.concatenate([tree.order[a:b] for a, b in tree.runs[leaves]])
-                places = places[ids[places] != asked[i]]
-                scores = (base[places] * ask[i]).sum(axis=1)
-                if np.isfinite(kth):
-                    places, scores = places[scores >= kth], scores[scores >= kth]
-                if len(places):
-                    got_ids, got = np.concatenate([got_ids, ids[places]]), np.concatenate([got, scores])
-                    best = np.lexsort((got_ids, -got))[:k]
-                    got_ids, got = got_ids[best], got[best]
-                    if len(got) == k:
-                        kth = max(kth, got[-1]) if np.isfinite(kth) else got[-1]
-            out.append((np.full(len(got), asked[i]), got_ids, got))
-    return pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(("query_id", "vec_id", "score"))})
+    kth = queries["kth"].to_numpy().astype(float).copy()
+    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # query, row, score
+    at, step = 0, 2
+    while at < order.shape[1]:
+        # All queries go on together: the next leaves of each, until its stopping test holds.
+        reach = np.where(np.isfinite(kth), LIMIT * np.maximum(square - 2 * kth, 0.0), np.inf)
+        q, place = np.nonzero(bound[:, at : at + step] <= reach[:, None])
+        if not len(q):
+            break
+        leaf = order[q, at + place]
+        by_leaf = np.argsort(leaf, kind="stable")
+        q, leaf = q[by_leaf], leaf[by_leaf]
+        edges = np.flatnonzero(np.diff(leaf, prepend=-1, append=-1))
+        hit_q, hit_row = [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            first, last = tree.runs[leaf[a]]
+            near = ask[q[a:b]] @ base[first:last].T  # up to rounding; what may count is summed again below
+            i, j = np.nonzero(near >= kth[q[a:b], None] - _ROUNDING * square[q[a:b], None])
+            hit_q.append(q[a:b][i])
+            hit_row.append(first + j)
+        hq, hr = np.concatenate(hit_q), np.concatenate(hit_row)
+        other = ids[hr] != asked[hq]
+        hq, hr = hq[other], hr[other]
+        scores = np.concatenate([(base[hr[s : s + 20_000]] * ask[hq[s : s + 20_000]]).sum(axis=1) for s in range(0, len(hr), 20_000)] or [np.zeros(0)])
+        hq, hr, scores = (np.concatenate(x) for x in zip(best, (hq, hr, scores)))
+        rank = np.lexsort((ids[hr], -scores, hq))
+        hq, hr, scores = hq[rank], hr[rank], scores[rank]
+        nth = np.arange(len(hq)) - np.searchsorted(hq, hq, side="left")
+        best = hq[nth < k], hr[nth < k], scores[nth < k]
+        full = nth == k - 1
+        kth[hq[full]] = np.maximum(kth[hq[full]], scores[full])
+        at, step = at + step, min(step * 2, 64)
+    hq, hr, scores = best
+    return pd.DataFrame({"query_id": asked[hq], "vec_id": ids[hr], "score": scores})
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

@@ -8,14 +8,12 @@ occur in the index; the buckets are counted over all texts in a sketch of fixed
 
 Set relations save comparisons within the lists:
 
-* Lists are cut into blocks by size; entries whose sizes and positions cannot reach the overlap
-  are skipped.
-* In each block the classes are first compared with the block's leader. What links to it is one
-  group, and needs no more comparisons inside the group. As the Jaccard distance is a metric,
-  classes whose distances to the leader differ by more than 0.2 can't link; a class's answers so
-  follow from its leader's.
-* Only entries of one list that are still in different groups, and that no leader tells apart, are
-  compared in pairs.
+* Lists are cut into blocks by size; blocks and entries whose sizes and positions cannot reach the
+  overlap are skipped.
+* In long lists each class is first compared with the class nearest to it alone. Classes that link
+  are one group, and a group's answer for another entry is taken from what its members have: entries
+  of one group are skipped among each other, and a list of a single group is done.
+* Only entries of one list that are still in different groups are compared in pairs.
 
 Before whole sets are fetched, candidates are held against bitmaps: bit h(shingle) modulo the
 bitmap's length is flipped for each shingle, so two bitmaps differ in no more bits than the sets in
@@ -42,7 +40,8 @@ _BUCKETS = 1 << 20
 _CHUNK = 1 << 12
 _BITS = 1 << 24
 _HOT = np.uint64(1 << 63)
-ROUNDS = 2
+#: Lists of more entries than LONG are compared in tasks of their own, in lots of LOT entries.
+LONG, LOT = 64, 4096
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -221,6 +220,72 @@ def _verified(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, classes: DataF
     return materialize(found.select("a", "b", (1 - F.col("i") / F.col("u")).alias("d"), (5 * F.col("i") >= 4 * F.col("u")).alias("linked")), "jaccard-verified")
 
 
+def _nearest_or_all(i: np.ndarray, j: np.ndarray, apart: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs, or for each entry (on either side) the pair with the fewest differing bits."""
+    if not nearest or not len(i):
+        return i, j
+    keep = np.zeros(len(i), bool)
+    for side in (i, j):
+        order = np.lexsort((apart, side))
+        keep[order[np.flatnonzero(np.diff(side[order], prepend=-1))]] = True
+    return i[keep], j[keep]
+
+
+def _compare(nearest: bool):
+    """Candidates among the entries of one list's two blocks (or one block with itself)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lots, first = table.column("lot").to_numpy(), table.column("one")[0].as_py()
+        reps, roots, n, pos = (table.column(c).to_numpy() for c in ("rep", "root", "n", "pos"))
+        bits = table.column("bits").to_pylist()
+        both_same = table.column("one")[0].as_py() == table.column("two")[0].as_py()
+        words = np.array([len(x) for x in bits])
+        out_a, out_b = [], []
+        for w in np.unique(words):  # bitmaps of one length, and those half as long against them folded
+            own = np.flatnonzero(words == w)
+            half = np.flatnonzero(words == w // 2) if w > 1 else own[:0]
+            maps = np.array([bits[k] for k in own], np.int64).view(np.uint64)
+            found_i, found_j, found_d = [], [], []
+            for other, mine, theirs in ((own, maps, maps), (half, maps[:, : w // 2] ^ maps[:, w // 2 :], np.array([bits[k] for k in half], np.int64).view(np.uint64))):
+                for at in range(0, len(own), 256) if len(other) else ():
+                    part = own[at : at + 256]
+                    apart = np.zeros((len(part), len(other)), np.int64)
+                    for c in range(mine.shape[1]):
+                        apart += np.bitwise_count(mine[at : at + 256, c][:, None] ^ theirs[:, c][None, :])
+                    sizes = n[part][:, None] + n[other][None, :]
+                    reach = np.minimum(n[part][:, None] - pos[part][:, None], n[other][None, :] - pos[other][None, :]) + np.minimum(pos[part][:, None], pos[other][None, :])
+                    ok = (9 * apart <= sizes) & (9 * reach >= 4 * sizes) & (roots[part][:, None] != roots[other][None, :])
+                    if other is own:
+                        ok &= reps[part][:, None] < reps[other][None, :]
+                    if not both_same:
+                        ok &= (lots[part][:, None] == first) != (lots[other][None, :] == first)
+                    x, y = np.nonzero(ok)
+                    found_i.append(part[x])
+                    found_j.append(other[y])
+                    found_d.append(apart[x, y])
+            if found_i:
+                i, j = _nearest_or_all(np.concatenate(found_i), np.concatenate(found_j), np.concatenate(found_d), nearest)
+                out_a.append(np.minimum(reps[i], reps[j]))
+                out_b.append(np.maximum(reps[i], reps[j]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _in_blocks(lists: DataFrame, nearest: bool) -> DataFrame:
+    """Candidate pairs (a, b) of long lists: entries of different groups that bitmaps don't tell apart.
+
+    A list is dealt to lots of about LOT entries, and each pair of lots is a task's work, so no list
+    is gathered in one task, and only pairs that may link come out: with ``nearest``, for each entry
+    the one whose bitmap is nearest.
+    """
+    lots = F.greatest(F.lit(1), F.ceil(F.col("m") / LOT)).cast("int")
+    dealt = lists.withColumn("lot", F.pmod(F.xxhash64("rep"), lots).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), lots - 1)))
+    dealt = dealt.withColumn("one", F.least("lot", "with")).withColumn("two", F.greatest("lot", "with")).select("token", "one", "two", "lot", "rep", "root", "n", "pos", "bits")
+    return dealt.groupBy("token", "one", "two").applyInArrow(_compare(nearest), "a long, b long")
+
+
 def _can_reach(na, nb, pa_, pb):
     """Whether sizes and positions of a shared shingle leave room for the overlap that a link needs."""
     shared = 1 + F.least(na - pa_, nb - pb) - 1 + F.least(pa_, pb)
@@ -245,35 +310,25 @@ def join(docs: DataFrame) -> DataFrame:
     entries = entries.withColumn("before", F.lag("rep").over(by_token)).withColumn("after", F.lead("rep").over(by_token))
     entries = materialize(entries.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after").withColumn("block", F.floor(F.log(1.25, F.col("n"))).cast("int")), "jaccard-lists")
 
-    links, compared, open_lists, groups = None, None, entries.withColumn("root", F.col("rep")), None
-    for turn in range(ROUNDS):
-        block = Window.partitionBy("token", "block").orderBy(F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).rowsBetween(Window.unboundedPreceding, 0)
-        led = open_lists.withColumn("leader", F.first(F.struct("rep", "n", "pos", "root")).over(block))
-        stars = led.where((F.col("rep") != F.col("leader.rep")) & (F.col("root") != F.col("leader.root")))
-        stars = stars.where(_can_reach(F.col("n"), F.col("leader.n"), F.col("pos"), F.col("leader.pos"))).select(F.col("rep").alias("a"), F.col("leader.rep").alias("b")).distinct()
-        if compared is not None:
-            stars = stars.join(compared, ["a", "b"], "left_anti")
-        found = _verified(stars, docs, hot, classes)
-        compared = found if compared is None else compared.union(found)
-        links = compared.where("linked").select("a", "b")
-        groups = materialize(components(links), "jaccard-groups")
-        rooted = entries.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        several = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-        open_lists = materialize(rooted.join(several, "token", "left_semi"), "jaccard-open")
-        if not open_lists.limit(1).count():
-            break
-    else:
-        # What a common leader tells apart is skipped: the distances to it differ by more than 0.2.
-        told = compared.select(F.col("a").alias("rep"), "b", "d").groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("b", "d"))).alias("leaders"))
-        sides = open_lists.join(told, "rep", "left")
-        left = sides.select("token", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "pos", "block", "root", "leaders")), F.explode(F.array("block", F.col("block") + 1)).alias("block"))
-        right = sides.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "pos", "root", "leaders")), "block")
-        near = left.join(right, ["token", "block"]).where((F.col("root_a") != F.col("root_b")) & ((F.col("block") > F.col("block_a")) | (F.col("rep_a") < F.col("rep_b"))))
-        near = near.where(_can_reach(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")))
-        apart = F.exists(F.map_keys("leaders_a"), lambda k: F.abs(F.element_at("leaders_a", k) - F.element_at("leaders_b", k)) > 0.2000001)
-        near = near.where(~F.coalesce(apart, F.lit(False))).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-        rest = _verified(near, docs, hot, classes)
-        groups = materialize(components(links.union(rest.where("linked").select("a", "b"))), "jaccard-groups")
+    sizes = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    long_ones = sizes.where(F.col("m") > LONG)
+    short = entries.join(long_ones, "token", "left_anti")
+    left = short.select("token", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "pos", "block")), F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    right = short.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "pos")), "block")
+    near = left.join(right, ["token", "block"]).where((F.col("block") > F.col("block_a")) | (F.col("rep_a") < F.col("rep_b")))
+    near = near.where(_can_reach(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b"))).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+    long_lists = entries.join(long_ones, "token").join(classes.select("rep", "bits"), "rep")
+    long_lists = materialize(long_lists.withColumn("root", F.col("rep")), "jaccard-long")
+    compared = _verified(near.union(_in_blocks(long_lists, nearest=True)).distinct(), docs, hot, classes)
+    groups = materialize(components(compared.where("linked").select("a", "b")), "jaccard-groups")
+    rooted = long_lists.drop("root").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    several = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    rest = _in_blocks(rooted.join(several, "token", "left_semi"), nearest=False).distinct().join(compared, ["a", "b"], "left_anti")
+    rest = materialize(rest, "jaccard-rest")
+    if rest.limit(1).count():
+        more = _verified(rest, docs, hot, classes)
+        groups = materialize(components(compared.union(more).where("linked").select("a", "b")), "jaccard-groups")
 
     named = classes.select("digest", "rep", "least_id").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

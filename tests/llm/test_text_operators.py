@@ -123,6 +123,16 @@ def test_jaccard_join_across_thresholds(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_join_with_long_lists_in_lots(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LONG", 1)
+    monkeypatch.setattr(jaccard_join, "LOT", 5)
+    base = [f"w{i}" for i in range(130)]
+    near = [(500 + i, " ".join(base[: 100 + i] + [f"y{i}-{j}" for j in range(i % 7)])) for i in range(30)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
+    got = sorted(tuple(r) for r in jaccard_join.join(both).collect())
+    assert got == brute_components([(r.doc_id, r.text) for r in both.collect()])
+
+
 def test_one_of_each_group_stays(docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns

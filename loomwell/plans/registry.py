@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomwell.plans import expression_queries, gene_queries, text_queries
+from loomwell.plans import expression_queries, gene_queries, report_queries, text_queries
 
-_MODULES = (expression_queries, gene_queries, text_queries)
+_MODULES = (expression_queries, gene_queries, report_queries, text_queries)
 QUERIES: dict[str, Callable] = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 
 

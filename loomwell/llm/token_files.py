@@ -50,35 +50,42 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.ending = np.zeros(self.size, bool)
+        self.ending[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.code = "H" if self.type.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned little-endian integers of ``type``."""
-        try:  # a text of these characters can be put in lower case beforehand, as the tokenizer would
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            self._learn(set(parts))
-            return b"".join(map(self.known.__getitem__, parts))
-
-    def _learn(self, parts: set[str]) -> None:
-        """Make sure that all parts are known; when there are too many, what was not used goes.
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of several texts; words that none of them had before are learnt at once."""
+        split = []
+        for text in texts:
+            try:  # a text of these characters can be put in lower case beforehand, as the tokenizer would
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+            split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+        rest = set().union(*split).difference(self.known)
+        if rest:
+            self._learn(rest, split)
+        get = self.known.__getitem__
+        return [b"".join(map(get, parts)) for parts in split]
+
+    def _learn(self, rest: set[str], split: list[list[str]]) -> None:
+        """Learn the parts in ``rest``; when there are too many, what ``split`` doesn't use goes.
 
         A word with one mark behind it is the word's ids and the mark's, as the pre-tokenizer
         parts letters from marks.
         """
         known = self.known
-        rest = [p for p in parts if p not in known]
         if len(known) + len(rest) > _CACHE:
             self.older, self.known = known, {}
-            known, rest = self.known, list(parts)
+            known, rest = self.known, set().union(*split)
         marked = [p for p in rest if p[-1:] in _MARKS and p[:-1].isalpha()]
         wanted = {p for p in rest if p[-1:] not in _MARKS or not p[:-1].isalpha()}
         wanted.update(p[:-1] for p in marked)
@@ -91,7 +98,21 @@ class Encoder:
                     fresh.append(p)
                 else:
                     known[p] = ids
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+        letters = [p for p in fresh if p.isalpha()]
+        rest = [p for p in fresh if not p.isalpha()]
+        if len(letters) > 1:
+            # Words of letters alone are one piece each, whose last id alone is that of an ending.
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, self.type)
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) == len(letters) and (not len(ids) or ends[-1] == len(ids)):
+                raw, size = ids.tobytes(), self.type.itemsize
+                starts = [0, *(ends[:-1] * size).tolist()]
+                known.update((p, raw[a:b]) for p, a, b in zip(letters, starts, (ends * size).tolist()))
+            else:
+                rest += letters
+        else:
+            rest += letters
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             known[p] = array(self.code, e.ids).tobytes()
         for p in marked:
             known[p] = known[p[:-1]] + known[p[-1]]
@@ -179,10 +200,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, en
                 out = files.open_output_stream(f"{base}/{name}")
                 writer = _Writer(out, length, code.type)
             ids += batch.column(0).to_pylist()
-            for t in batch.column(1):
-                raw = code.encode(t.as_py() or "") + closing
-                sizes.append(len(raw) // code.type.itemsize)
-                writer.add(raw)
+            for at in range(0, batch.num_rows, 256):
+                for raw in code.encode_all([t or "" for t in batch.column(1).slice(at, 256).to_pylist()]):
+                    sizes.append((len(raw) + len(closing)) // code.type.itemsize)
+                    writer.add(raw + closing)
         if writer is not None:
             writer.close()
             out.close()

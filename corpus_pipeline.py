@@ -43,9 +43,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of each row, whole texts, with the decoded bytes' digest."""
     ship(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern).drop("text")
-    back = bpe.decode(ids, path, pattern)
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("text_sha256"))
+    rows = docs.select("doc_id", "lang", "source", "text")
+    ids = bpe.encode(rows, path, pattern, digest="text_sha256").drop("text")
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text_sha256")
 
 
 STAGES = [

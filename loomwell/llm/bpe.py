@@ -104,25 +104,32 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+_ROWS = 256
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", digest: str | None = None) -> DataFrame:
     """Add ``out``, the token ids of the whole ``text`` as array<int>.
 
-    Null text counts as empty and has no ids. A column named ``out`` is replaced.
+    With ``digest``, a column of that name has the SHA-256 of the bytes that the ids decode to. Null
+    text counts as empty and has no ids. Columns of the new names are replaced.
     """
-    kept = df.drop(out).schema.fields
+    new = [T.StructField(out, T.ArrayType(T.IntegerType()))] + ([T.StructField(digest, T.StringType())] if digest else [])
+    kept = df.drop(*(f.name for f in new)).schema.fields
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids = [np.frombuffer(c.encode(t or ""), np.int32) for t in batch.column(text).to_pylist()]
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                ids = [np.frombuffer(c.encode(t.as_py() or ""), np.int32) for t in batch.column(text)]
                 offs = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.ListArray.from_arrays(pa.array(offs), pa.array(values))], [*names, out])
+                more = [pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(ids)))]
+                if digest:
+                    more.append(pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *more], [*names, *(f.name for f in new)])
 
-    return df.drop(out).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return df.drop(*(f.name for f in new)).mapInArrow(run, T.StructType([*kept, *new]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -132,9 +139,11 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
-            got = [None if x is None else c.decode(np.array(x, np.int64)) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(got, pa.binary())], [*names, out])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                got = [c.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(ids)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(got, pa.binary())], [*names, out])
 
     return df.drop(out).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.BinaryType())]))
 

@@ -183,7 +183,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small, "components")
         inner = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        if not inner:  # each child has its least neighbour alone, and no root has a parent
+        # A round may leave a child with two roots, so both are asked: no root has a parent, and each child has one.
+        if not inner and not edges.groupBy("u").agg(F.count(F.lit(1)).alias("parents")).where("parents > 1").limit(1).count():
             break
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())

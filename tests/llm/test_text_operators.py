@@ -133,6 +133,24 @@ def test_jaccard_join_with_long_lists_in_lots(spark, docs, monkeypatch):
     assert got == brute_components([(r.doc_id, r.text) for r in both.collect()])
 
 
+def test_components_are_those_of_union_find(spark):
+    rng = np.random.default_rng(4)
+    chains = [rng.permutation(n) + 1000 * k for k, n in enumerate((2, 3, 9, 40, 150), 1)]
+    for links in ([(4, 1), (4, 3), (5, 3), (5, 2)], [(int(a), int(b)) for c in chains for a, b in zip(c, c[1:])]):
+        root = {x: x for link in links for x in link}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        got = jaccard_join.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root)
+
+
 def test_one_of_each_group_stays(docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns

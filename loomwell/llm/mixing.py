@@ -27,6 +27,7 @@ BUDGET = 1.5
 CAP = 2
 DOCS_PER_SHARD = 2000
 _UNIT = 1024
+_PARTS = 1 << 20
 
 
 def apportion(df: DataFrame, groups: list[str], population: str, seats: str, order: list[str], out: str) -> DataFrame:
@@ -90,13 +91,14 @@ def _chosen(i: Column) -> Column:
     return _div(i * F.col("_more") + F.col("_shift"), F.col("_blocks"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, seed: str = SEED, carry: list[str] | None = None, stream: bool = False) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted).
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share ``budget`` times
     all words. Null texts have no words and give none. Rows with equal doc_id are rows of their
     own. Reruns agree: order and draws come from md5 of doc_id, source, shard and seed. An empty
-    table gives an empty result; other columns than those in ``carry`` are ignored.
+    table gives an empty result; other columns than those in ``carry`` are ignored. With ``stream``,
+    _stream names each row's stream.
     """
     sized = materialize(
         docs.select(
@@ -144,19 +146,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
 
     start = F.col("_end") - F.col("size")
     taken = F.col("_base") * F.col("size") + words_before(F.col("_end")) - words_before(start)
-    return docs_at.join(streams, ["shard", "key"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(carry or []))
+    return docs_at.join(streams, ["shard", "key"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(carry or []), *([F.concat("shard", F.lit("/"), "key").alias("_stream")] if stream else []))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as its taken words over its size, rounded.
+    """The mix itself: whole copies of documents, so that each stream has about the words it takes.
+
+    Each document is taken as often as its taken words over its size, rounded, where the stream's
+    words then differ from those it takes by its longest document at most. In other streams the parts
+    of copies are added up from short documents to long ones, and a document has one copy more where
+    the rounded sum grows; the same bound holds then, as sizes don't fall along that order.
 
     Columns stay. A document is told from others by its id, source and text; rows that agree in
-    all three are taken alike. Documents of which the mix takes under half their words go, and so
-    do those without words.
+    all three are taken alike. Documents without words go.
     """
     names = docs.columns
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "source", "text")]
     keyed = docs.withColumn("_key", F.sha2(F.concat_ws("\u001f", *parts).cast("binary"), 256))
-    copies = mix(keyed.withColumn("doc_id", F.col("doc_id").cast("long")), carry=["_key"]).where("size > 0")
-    copies = copies.groupBy("_key").agg(F.floor(F.max(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_copies")).where("_copies > 0")
+    rows = mix(keyed.withColumn("doc_id", F.col("doc_id").cast("long")), carry=["_key"], stream=True).where("size > 0")
+    one = rows.groupBy("_stream", "_key").agg(F.sum("size").alias("_words"), F.sum("taken").alias("_taken"), F.floor(F.max(F.col("taken") / F.col("size")) + 0.5).alias("_rounded"))
+    one = one.withColumn("_part", _div(F.col("_taken") % F.col("_words") * _PARTS, F.col("_words")))
+    whole = Window.partitionBy("_stream")
+    one = one.withColumn("_sum", F.sum("_part").over(whole.orderBy("_words", "_key").rowsBetween(Window.unboundedPreceding, 0)))
+    one = one.withColumn("_gap", F.sum(F.col("_rounded") * F.col("_words") - F.col("_taken")).over(whole)).withColumn("_longest", F.max("_words").over(whole))
+    half = F.lit(_PARTS // 2)
+    dealt = _div(F.col("_taken"), F.col("_words")) + _div(F.col("_sum") + half, F.lit(_PARTS)) - _div(F.col("_sum") - F.col("_part") + half, F.lit(_PARTS))
+    copies = one.select("_key", F.when(F.abs("_gap") <= F.col("_longest"), F.col("_rounded")).otherwise(dealt).cast("int").alias("_copies")).where("_copies > 0")
     return keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)

@@ -53,6 +53,18 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_whole_copies_meet_the_targets_of_sources(spark):
+    rows = [(i, "w " * (250 + i % 100), "abc"[i % 3]) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r.source: r.target for r in mixing.mix(df.withColumn("src", F.col("source")), carry=["src"]).select(F.col("src").alias("source"), "target").distinct().collect()}
+    size = {s: sum(len(t) // 2 for _, t, x in rows if x == s) for s in "abc"}
+    assert target["b"] < 0.9 * size["b"] and 1.5 * size["c"] < target["c"] < 1.8 * size["c"]
+    out = mixing.apply_mix(df)
+    got = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.length("text") / 2).alias("n")).collect()}
+    assert out.columns == df.columns and all(abs(got[s] - target[s]) <= 2 * 349 for s in "abc")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixing.apply_mix(df.repartition(3)).collect()))
+
+
 def test_lookup_table_is_filled_in_turns():
     names = tuple(f"n{i}" for i in range(7))
     table = sharding.lookup_table(names, 101)

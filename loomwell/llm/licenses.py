@@ -1,15 +1,18 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-Units of a text are its paragraphs (runs of lines without an empty one between), its lines and its
-sentences. A unit can only reach the threshold t against a template if its number of bigrams lies
+Units of a text are runs of neighbouring paragraphs up to the whole text, its paragraphs (runs of
+lines without an empty one between), its lines and its sentences, also those that go on over line
+ends. A unit can only reach the threshold t against a template if its number of bigrams lies
 between t / (2 - t) and (2 - t) / t times the template's; all other templates are passed over
-unseen, and units that fit none aren't compared at all.
+unseen, and units that fit none aren't compared at all. As a unit holds t / (2 - t) of the
+template's bigrams then, a text that doesn't hold so many of any template has no hits.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,6 +85,60 @@ class Templates:
         rows = sorted(((len(b), name, b) for name, texts in templates.items() for b in map(bigrams, texts) if b), key=lambda r: r[:2])
         self.sizes, self.rows = [r[0] for r in rows], rows
         self.most = max(self.sizes, default=0) / self.ratio
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for i, row in enumerate(rows):
+            for pair in row[2]:
+                self.holders.setdefault(pair, []).append(i)
+
+    def candidates(self, text: str) -> list[int]:
+        """The templates of which a text holds as many bigrams as a unit needs at least."""
+        words = _WORD.findall(text.lower())
+        held = Counter(i for pair in self.holders.keys() & set(zip(words, words[1:])) for i in self.holders[pair])
+        return sorted(i for i, n in held.items() if n >= self.ratio * self.sizes[i] - 1e-9)
+
+    def runs(self, text: str, paragraphs: list[tuple[int, int]], among: list[int]) -> dict[int, int]:
+        """First and last paragraph of the runs of two or more that match a template, apart from each other.
+
+        Of runs and single paragraphs that overlap, the one of the largest template stays, then the
+        nearest, then the shortest. A run ends where its first paragraph adds nothing to it that
+        templates have, or where it has too many bigrams for all of them.
+        """
+        words = [_WORD.findall(text[a:b].lower()) for a, b in paragraphs]
+        most = max(self.sizes[i] for i in among) / self.ratio + 1e-9
+        found: list[tuple[int, float, int, int, int]] = []
+        for first, own in enumerate(words):
+            seen, held, last = set(zip(own, own[1:])), Counter(), own[-1:]
+            new, need, crossed = seen, {b for b in seen if b in self.holders}, False
+            for at in range(first, len(words)):
+                if at > first:
+                    later = words[at]
+                    pairs = set(zip(later, later[1:]))
+                    if last and later:
+                        between = (last[0], later[0])
+                        if crossed:
+                            pairs.add(between)
+                        need = (need | {between} & self.holders.keys() if not crossed else need) - pairs
+                        new = (pairs | {between}) - seen
+                        crossed = True
+                    else:
+                        need, new = need - pairs, pairs - seen
+                    last = later[-1:] or last
+                    seen |= new
+                held.update(i for b in new for i in self.holders.get(b, ()))
+                if len(seen) > most or (not need and (crossed or not own)):
+                    break
+                near = [(2 * held[i] / (len(seen) + self.sizes[i]), -i) for i in among if len(seen) + self.sizes[i]]
+                d, i = max(near)
+                if d >= self.threshold:
+                    found.append((-self.sizes[-i], -d, at - first, first, at))
+        taken: set[int] = set()
+        chosen = {}
+        for *_, length, first, at in sorted(found):
+            if taken.isdisjoint(range(first, at + 1)):
+                taken.update(range(first, at + 1))
+                if length:
+                    chosen[first] = at
+        return chosen
 
     def best(self, text: str) -> tuple[str, float] | None:
         """The template nearest to a unit, and its Dice coefficient, if it reaches the threshold."""
@@ -95,6 +152,21 @@ class Templates:
                 top = name, d
         return top
 
+    def _within(self, text: str, start: int, end: int) -> list[tuple[int, int, str, float]]:
+        """Hits of a paragraph's lines and sentences; one that goes on over line ends stays where it is nearer than those in it."""
+        hits, covered = [], -1
+        for line in _LINE.finditer(text, start, end):
+            for a, b in (line.span(), *(s.span() for s in _SENTENCE.finditer(text, *line.span()))):
+                if a >= covered and (top := self.best(text[a:b])) is not None:
+                    hits.append((a, b, *top))
+                    covered = b
+        for s in _SENTENCE.finditer(text, start, end):
+            if "\n" in s[0] and (top := self.best(s[0])) is not None:
+                inside = [h for h in hits if h[0] < s.end() and s.start() < h[1]]
+                if all(h[3] < top[1] for h in inside):
+                    hits = sorted([h for h in hits if h not in inside] + [(*s.span(), *top)])
+        return hits
+
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, licence, dice) of the units that reach the threshold, in order.
 
@@ -102,22 +174,23 @@ class Templates:
         """
         hits: list[tuple[int, int, str, float]] = []
 
-        def units() -> Iterator[tuple[int, int]]:
-            for p in _PARAGRAPH.finditer(text):
-                lines = list(_LINE.finditer(text, p.start(), p.end()))
-                if len(lines) > 1:
-                    yield p.start(), p.end()
-                for line in lines:
-                    yield line.start(), line.end()
-                    sentences = [s.span() for s in _SENTENCE.finditer(text, line.start(), line.end())]
-                    if len(sentences) > 1:
-                        yield from sentences
+        among = self.candidates(text)
+        if not among:
+            return hits
+        paragraphs = [p.span() for p in _PARAGRAPH.finditer(text)]
+        runs = self.runs(text, paragraphs, among)
 
         covered = -1
-        for start, end in units():
-            if start >= covered and (top := self.best(text[start:end])) is not None:
-                hits.append((start, end, *top))
+        for k, (a, b) in enumerate(paragraphs):
+            if a < covered:
+                continue
+            end = paragraphs[runs[k]][1] if k in runs else b
+            top = self.best(text[a:end])
+            if top is not None:
+                hits.append((a, end, *top))
                 covered = end
+            else:
+                hits.extend(self._within(text, a, b))
         return hits
 
 

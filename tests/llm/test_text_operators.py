@@ -225,6 +225,22 @@ def test_licenses_against_brute_force(spark, docs, empty):
     assert licenses.report(docs).where("n_hits > 0").count() == 0 and licenses.report(empty).count() == 0
 
 
+def test_licenses_over_paragraphs_and_line_ends(spark):
+    found = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    cut = licenses._MIT.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    head = "MIT License\n\nCopyright (c) 2020 Some One\n\n"
+    assert cut.count("\n\n") == 2
+    assert [h[:3] for h in found.scan(cut)] == [(0, len(cut), "MIT")]
+    assert [h[:3] for h in found.scan(head + cut + "\n\nother words of another kind")] == [(len(head), len(head + cut), "MIT")]
+    assert [h[:3] for h in found.scan(cut + "\n\n" + cut)] == [(0, len(cut), "MIT"), (len(cut) + 2, 2 * len(cut) + 2, "MIT")]
+    wrapped = "Some words first. Licensed under the\nMIT License. More words that follow it\nand go on for a while."
+    assert [h[:3] for h in found.scan(wrapped)] == [(18, 49, "MIT")] and wrapped[18:49] == "Licensed under the\nMIT License."
+    wrapped = "This work is licensed under a Creative Commons Attribution\n-NonCommercial 4.0 International License."
+    assert [h[2] for h in found.scan("Some words first. " + wrapped + " More words of another kind that follow.")] == ["CC-BY-NC-4.0"]
+    notice = "Released under the MIT License."
+    assert [h[:3] for h in found.scan("\n\n".join([notice] * 500))] == [(33 * i, 33 * i + 31, "MIT") for i in range(500)]
+
+
 def test_counted_terms():
     u, c = fingerprints._counted(np.array([3, 1, 3], np.uint64))
     assert Counter(dict(zip(u.tolist(), c.tolist()))) == {3: 2, 1: 1}

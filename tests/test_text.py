@@ -148,3 +148,13 @@ def test_sources(spark, tmp_path):
 def test_rules_file(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"g1": {"blocked_chunk_rules": [{"any": ["x"]}], "contextual_aliases": [{"alias": "A9", "require_any": ["k"]}]}}')
     assert {(r.kind, tuple(r["any"]), tuple(r["all"])) for r in S.read_rules(spark, str(tmp_path / "p.json")).collect()} == {("rule", ("x",), ()), ("alias", ("k",), ("A9",))}
+
+
+def test_dictionary_phrases_of_all_lengths(spark):
+    from loomwell.operators import literature
+
+    phrases = [("x", " ".join(f"w{j}" for j in range(n))) for n in range(1, 16)]
+    chunks = spark.createDataFrame([(1, "a " + phrases[-1][1].upper() + " b"), (2, "none"), (3, None)], "chunk_id long, text string")
+    got = literature.dictionary_mentions(chunks, spark.createDataFrame(phrases, "label string, phrase string")).collect()
+    assert [(r.chunk_id, r.label, sorted(r.mentions)) for r in got] == [(1, "x", sorted(p for _, p in phrases))]
+    assert literature.dictionary_mentions(chunks, spark.createDataFrame([], "label string, phrase string")).count() == 0

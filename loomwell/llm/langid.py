@@ -29,6 +29,8 @@ AMBIGUOUS = 0.05
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _SMOOTH = 0.5
+#: Weights are whole numbers of this part, so that sums don't depend on their order.
+_SCALE = 1 << 20
 #: What no letter is counts as a space; bytes beyond ASCII stand for themselves.
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[97:123] = np.arange(97, 123)
@@ -58,20 +60,27 @@ def codewords(n: int) -> np.ndarray:
 
 
 def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams of every lower-cased text, and the offsets of the rows."""
-    lowered = pa.array([(t or "").lower() for t in column.to_pylist()], pa.large_string())
-    data, offs = utf8(lowered)
+    """Hashed byte trigrams of every lower-cased text, and the offsets of the rows.
+
+    Each text has two spaces behind it, so a trigram starts at each of its bytes and none holds a
+    byte of another row.
+    """
+    padded = pa.array([(t or "").lower() + "  " for t in column.to_pylist()], pa.large_string())
+    data, offs = utf8(padded)
     plain = _PLAIN[data].astype(np.uint32)
-    padded = np.concatenate([plain, np.full(2, 32, np.uint32)])
-    codes = padded[:-2] * np.uint32(0x9E3779B1) + padded[1:-1] * np.uint32(0x85EBCA6B) + padded[2:] * np.uint32(0xC2B2AE35)
+    codes = plain[:-2] * np.uint32(0x9E3779B1) + plain[1:-1] * np.uint32(0x85EBCA6B) + plain[2:] * np.uint32(0xC2B2AE35)
     codes ^= codes >> np.uint32(15)
     codes *= np.uint32(0x2C1B3C6D)
-    return codes >> np.uint32(16), offs
+    codes >>= np.uint32(16)
+    own = np.ones(len(codes), bool)
+    ends = offs[1:-1]
+    own[ends - 1] = own[ends - 2] = False
+    return codes[own], offs - 2 * np.arange(len(offs))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, their codewords, the classifiers' weights and each bit's share in the loss."""
+    """Languages, their codewords, the classifiers' weights (in parts of _SCALE) and each bit's share in the loss."""
 
     languages: tuple[str, ...]
     code: np.ndarray
@@ -80,7 +89,7 @@ class Model:
 
     def margins(self, column: pa.Array) -> np.ndarray:
         codes, offs = _features(column)
-        out = np.zeros((len(offs) - 1, self.weights.shape[1]))
+        out = np.zeros((len(offs) - 1, self.weights.shape[1]), np.int64)
         full = np.flatnonzero(np.diff(offs))
         if len(full):
             step = 1 << 18  # texts are summed in pieces, so that a long one takes no more memory
@@ -89,8 +98,8 @@ class Model:
                 first, last = np.searchsorted(offs, at, side="right") - 1, np.searchsorted(offs, min(at + step, len(codes)), side="left") - 1
                 rows = np.arange(first, last + 1)
                 rows = rows[offs[rows + 1] > offs[rows]]
-                out[rows] += np.add.reduceat(part, np.maximum(offs[rows] - at, 0), axis=0)
-        return out / np.maximum(np.diff(offs), 1)[:, None]
+                out[rows] += np.add.reduceat(part, np.maximum(offs[rows] - at, 0), axis=0, dtype=np.int64)
+        return out / (np.maximum(np.diff(offs), 1) * float(_SCALE))[:, None]
 
     def losses(self, column: pa.Array) -> np.ndarray:
         """The loss of each language's codeword, for each text."""
@@ -157,7 +166,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
     rows = sample.select("lang", "text").mapInArrow(_counts, "lang string, counts binary").groupBy("lang").applyInArrow(_sum, "lang string, counts binary").collect()
     rows.sort(key=lambda r: r["lang"])
     if not rows:
-        return Model((), np.zeros((0, 0), np.int8), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0))
+        return Model((), np.zeros((0, 0), np.int8), np.zeros((DIMENSIONS, 0), np.int32), np.zeros(0))
     counts = np.array([np.frombuffer(r["counts"], np.int64) for r in rows], float)
     p = (counts + _SMOOTH / 16) / (counts + _SMOOTH / 16).sum(axis=1, keepdims=True)
     code = codewords(len(rows))
@@ -173,15 +182,18 @@ def train(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
             trust[b] = max(usual.min() / max(np.abs(usual).mean(), 1e-9), 0.05)
         else:
             weights[:, b], trust[b] = code[0, b], 1.0
-    return Model(tuple(r["lang"] for r in rows), code, weights.astype(np.float32), trust)
+    return Model(tuple(r["lang"] for r in rows), code, np.round(weights * _SCALE).astype(np.int32), trust)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred``, ``score`` and ``ambiguous``; other columns stay, those names are replaced.
+def identify(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """Add the three columns named in ``out``: language, score, and whether it is ambiguous.
 
-    Whole texts are read. A null text, or one without a letter, has ``und``, score 0, ambiguous.
+    Other columns stay, those of the new names are replaced. Whole texts are read, and a text's
+    result depends on nothing but the text and the model: equal texts have equal results in any
+    order, batch and partition. A null text, or one without a letter, has ``und``, score 0, ambiguous.
+    Of codewords with equal losses the language first by name is taken, and the text is ambiguous.
     """
-    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    new = [T.StructField(n, t) for n, t in zip(out, (T.StringType(), T.DoubleType(), T.BooleanType()))]
     kept = docs.drop(*(f.name for f in new)).schema.fields
     names = [f.name for f in kept]
 

@@ -157,12 +157,15 @@ c AS (SELECT * EXCLUDE g, list_filter(g, lambda x: regexp_matches(x.value, '[0-9
   AND len(list_filter(base, lambda y: y.start < x['end'] AND x.start < y['end'])) = 0) AS extra FROM b),
 spread AS (SELECT r, doc_id, source, unnest(base || extra) AS u FROM c),
 candidate AS (SELECT DISTINCT r, doc_id, source, u.value AS v FROM spread),
-owned AS (SELECT v, count(DISTINCT coalesce('=' || source, '-')) AS owners FROM candidate GROUP BY v),
-live AS (SELECT r, list(v) AS vs FROM candidate JOIN owned USING (v) WHERE owners <= {secrets.FEW_OWNERS} GROUP BY r),
-d AS (SELECT c.*, coalesce(vs, []) AS vs, list_sort(base || list_filter(extra, lambda x: list_contains(coalesce(vs, []), x.value))) AS found FROM c LEFT JOIN live USING (r))
+owned AS (SELECT v, count(DISTINCT coalesce('=' || source, '-')) AS owners, count(DISTINCT coalesce('=' || source, '-') || chr(1) || coalesce(doc_id::VARCHAR, '-')) AS repositories FROM candidate GROUP BY v),
+told AS (SELECT r, map_from_entries(list((v, {{'o': owners, 'n': repositories}}))) AS vs FROM candidate JOIN owned USING (v) GROUP BY r),
+d0 AS (SELECT c.*, vs, list_filter(extra, lambda x: vs[x.value].o <= {secrets.FEW_OWNERS} AND vs[x.value].n <= {secrets.FEW_REPOSITORIES}) AS added FROM c LEFT JOIN told USING (r)),
+d AS (SELECT *, list_sort(base || coalesce(added, [])) AS found FROM d0)
 SELECT doc_id, len(list_filter(base, lambda x: x.kind = 0))::BIGINT AS n_assign, len(list_filter(base, lambda x: x.kind = 1))::BIGINT AS n_access,
   len(list_filter(base, lambda x: x.kind = 2))::BIGINT AS n_hex, sha256({written.format("base")}) AS base_sha256, {written.format("found")} AS spans,
-  len(list_filter(found, lambda x: list_contains(vs, x.value)))::BIGINT AS n_live, len(list_filter(found, lambda x: NOT list_contains(vs, x.value)))::BIGINT AS n_example
+  array_to_string(list_transform(found, lambda x: vs[x.value].o || '/' || vs[x.value].n), ',') AS ownership,
+  len(list_filter(found, lambda x: vs[x.value].o <= {secrets.FEW_OWNERS} AND vs[x.value].n <= {secrets.FEW_REPOSITORIES}))::BIGINT AS n_live,
+  len(list_filter(found, lambda x: NOT (vs[x.value].o <= {secrets.FEW_OWNERS} AND vs[x.value].n <= {secrets.FEW_REPOSITORIES})))::BIGINT AS n_example
 FROM d
 """
 

@@ -34,12 +34,20 @@ _CACHE = 400_000
 _MARKS = frozenset(".,!?;:")
 
 
+def _plain(part: str) -> bool:
+    """Whether a part is a word of Latin-1 letters alone."""
+    return part.isalpha() and (part.isascii() or max(part) <= "\xff")
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with the words seen before kept.
+    """Ids of whole texts by the tokenizers library in its default settings, with the words seen before kept.
 
     The tokenizer's normaliser and pre-tokeniser never join or change text across a space, tab or
     line end (NFC, white space dropped, lower case), so the ids of a text are those of its parts
-    between them in turn. ``tests/llm`` holds this against the library on whole texts.
+    between them in turn. Texts that may hold a special token go to the library whole. Words of
+    Latin-1 letters, alone or with one mark behind them, are one piece: NFC leaves them as they are,
+    and their lower case has as many letters; no other part is cut or joined with others.
+    ``tests/llm`` holds this against the library on whole texts.
     """
 
     def __init__(self, path: str):
@@ -47,7 +55,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.ending = np.zeros(self.size, bool)
@@ -62,11 +70,16 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of several texts; words that none of them had before are learnt at once."""
-        split = []
-        for text in texts:
+        split, whole = [], {}
+        for i, text in enumerate(texts):
+            lower = text.lower()
+            if any(t in text or t in lower for t in self.special):
+                whole[i] = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+                split.append([])
+                continue
             try:  # a text of these characters can be put in lower case beforehand, as the tokenizer would
                 text.encode("latin-1")
-                text = text.lower()
+                text = lower
             except UnicodeEncodeError:
                 pass
             split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
@@ -74,7 +87,7 @@ class Encoder:
         if rest:
             self._learn(rest, split)
         get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+        return [whole[i] if i in whole else b"".join(map(get, parts)) for i, parts in enumerate(split)]
 
     def _learn(self, rest: set[str], split: list[list[str]]) -> None:
         """Learn the parts in ``rest``; when there are too many, what ``split`` doesn't use goes.
@@ -86,8 +99,8 @@ class Encoder:
         if len(known) + len(rest) > _CACHE:
             self.older, self.known = known, {}
             known, rest = self.known, set().union(*split)
-        marked = [p for p in rest if p[-1:] in _MARKS and p[:-1].isalpha()]
-        wanted = {p for p in rest if p[-1:] not in _MARKS or not p[:-1].isalpha()}
+        marked = [p for p in rest if p[-1:] in _MARKS and _plain(p[:-1])]
+        wanted = rest.difference(marked)
         wanted.update(p[:-1] for p in marked)
         wanted.update(p[-1] for p in marked)
         fresh = []
@@ -98,8 +111,8 @@ class Encoder:
                     fresh.append(p)
                 else:
                     known[p] = ids
-        letters = [p for p in fresh if p.isalpha()]
-        rest = [p for p in fresh if not p.isalpha()]
+        letters = [p for p in fresh if _plain(p)]
+        rest = [p for p in fresh if not _plain(p)]
         if len(letters) > 1:
             # Words of letters alone are one piece each, whose last id alone is that of an ending.
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, self.type)

@@ -126,6 +126,7 @@ def test_secrets(spark, empty):
         assert set(filter(None, brute_spans(t or "").split(","))) <= set(got[d].spans.split(","))
     assert got[7].spans.startswith("generic:") and got[8].n_live == 1  # two owners
     assert got[100].spans == "" and got[10].spans == ""  # six owners: an example
+    assert got[7].ownership == "2/2" and got[100].n_live == 0
     assert sorted((str(tuple(r)) for r in secrets.report(df).collect())) == sorted(str(tuple(r)) for r in duck(queries._secrets_sql(), documents=df))
     assert secrets.report(empty).count() == 0
 
@@ -138,6 +139,25 @@ def test_redaction(spark):
     assert not any(brute_spans(t or "") for t in got.values())
 
 
+def test_a_value_in_many_repositories_of_one_owner_is_an_example(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "_HOT_SHARE", 2)
+    rows = [(i, "copied Tok3nValueABCDEFGH12345xyz", "one") for i in range(secrets.FEW_REPOSITORIES + 1)] + [(90, "own Tok4nValueABCDEFGH12345xyz", "one"), (91, "secret=abcdefghijkl", None), (None, "secret=abcdefghijkl", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.report(df).collect()
+    assert all(r.spans == "" for r in got if r.doc_id is not None and r.doc_id < 90)
+    assert {r.ownership for r in got} == {"", "1/1", "1/2"} and len(got) == len(rows)
+    assert sorted(str(tuple(r)) for r in got) == sorted(str(tuple(r)) for r in duck(queries._secrets_sql(), documents=df))
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = {c: F.lit(f"own {c}") for c in ("found", "base", "extra", "n_live", "n_example", "counts", "_row", "_told")}
+    df = spark.createDataFrame([(1, "secret=abcdefghijkl x", "s"), (None, None, None), (2, "", "s"), (2, "", "s")], "doc_id long, text string, source string").withColumns(names)
+    out = secrets.redact(df)
+    assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+    assert sorted(map(str, out.drop("text").collect())) == sorted(map(str, df.drop("text").collect()))
+    assert sorted(str(r.text) for r in out.collect()) == sorted(["[secret] x", "None", "", ""])
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(1500, 16)) + rng.normal(size=(5, 16))[rng.integers(0, 5, 1500)] * 2, np.ones((60, 16))])

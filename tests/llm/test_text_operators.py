@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -163,7 +164,6 @@ def test_token_files_round_trip(spark, docs, empty):
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     more = spark.createDataFrame([(i, x) for i, x in enumerate(ODD, 1000)], "doc_id long, text string")
     both = docs.select("doc_id", "text").union(more)
     at, want = 0, []
@@ -175,6 +175,29 @@ def test_token_files_round_trip(spark, docs, empty):
     assert token_files.round_trip(empty, path).count() == 0
 
 
+def test_token_encoder_is_the_library():
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(8)
+    library, own = Tokenizer.from_file(path), token_files.Encoder(path)
+    plain = list("abcdeXYZ    \n\t.,!?;:''0123<|>-_éÉßµªºÀÿñ½²")
+    odd = plain + list("İıŞşΣσςЖжбя中文ﬁǅ\u0327\u0301\u0308\u0307\u1100\u1161\u200d\u2028😀\x85\xa0\x1c") + ["<|endoftext|>", "<|startoftext|>", "'s", "'LL", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choice(rng.choice((plain, odd))) for _ in range(rng.randint(0, 40))) for _ in range(20_000)]
+    texts += ["İ,", "<|endoftext|>", "a<|endoftext|>B", "Σς ΣΑΣ. ſK", *ODD]
+    for at in range(0, len(texts), 256):
+        got = [np.frombuffer(x, own.type).tolist() for x in own.encode_all(texts[at : at + 256])]
+        assert got == [e.ids for e in library.encode_batch(texts[at : at + 256], add_special_tokens=False)]
+
+
+def test_token_files_with_nulls_and_clashing_columns(spark):
+    path = P.path("word_bpe_49k.json")
+    rows = [(None, "b c", 1), (None, "a", 2), (None, "a", 2), (3, None, 3), (1, "<|endoftext|>", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start long").withColumn("n_tokens", F.lit("clash"))
+    got = [tuple(r)[:3] for r in sorted(token_files.round_trip(df, path).collect(), key=lambda r: r.start)]
+    assert [g[0] for g in got] == [None, None, None, 1, 3] and [g[1] for g in got] == list(np.cumsum([0, *(g[2] for g in got[:-1])]))
+    assert sorted(g[2] for g in got[:3]) == [2, 2, 3] and got[3][2] == 2 and got[4][2] == 1
+
+
 def test_token_file_layout(tmp_path):
     dtype = np.dtype("<u2")
     with open(tmp_path / "f.arrow", "wb") as out:
@@ -203,6 +226,50 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in langid.report(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_a_text_depends_on_it_alone(spark):
+    rng = np.random.default_rng(1)
+    code = langid.codewords(4)
+    model = langid.Model(tuple("abcd"), code, (rng.normal(size=(langid.DIMENSIONS, code.shape[1])) * langid._SCALE).astype(np.int32), np.ones(code.shape[1]))
+    texts = ["", "x1", "a", None, "été " * 3, "abc " * 90_000, "hello world", "x1", "\n"]
+    together = model.predict(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert [x[0] for x in model.predict(pa.array([t], pa.string()))] == [x[i] for x in together]
+    rows = [(i, t) for i, t in enumerate(texts * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted(map(str, langid.identify(x, model).collect())) for x in (df.repartition(1), df.repartition(5).orderBy(F.rand(3))))
+    assert one == two
+    clash = df.withColumns({"score": F.lit("own"), "ambiguous": F.lit(7)})
+    assert langid.identify(clash, model, out=("p", "q", "r")).where("score = 'own' AND ambiguous = 7").count() == len(rows)
+
+
+def test_language_features_and_decoding_against_brute_force():
+    texts = ["Aé b", "", None, "zz"]
+    codes, offs = langid._features(pa.array(texts))
+    for i, t in enumerate(texts):
+        raw = [b if 97 <= b <= 122 or b >= 128 else 32 for b in ((t or "").lower() + "  ").encode()]
+        want = []
+        for x, y, z in zip(raw, raw[1:], raw[2:]):
+            h = (x * 0x9E3779B1 + y * 0x85EBCA6B + z * 0xC2B2AE35) % 2**32
+            want.append((((h ^ h >> 15) * 0x2C1B3C6D) % 2**32) >> 16)
+        assert codes[offs[i] : offs[i + 1]].tolist() == want
+    rng = np.random.default_rng(2)
+    code, trust = langid.codewords(5), rng.random(15)
+    model = langid.Model(tuple("abcde"), code, (rng.normal(size=(langid.DIMENSIONS, 15)) * langid._SCALE).astype(np.int32), trust)
+    names, score, close = model.predict(pa.array(texts))
+    for i, t in enumerate(texts):
+        if not t:
+            assert (names[i], score[i], close[i]) == ("und", 0, True)
+            continue
+        own = codes[offs[i] : offs[i + 1]].astype(int)
+        margin = np.clip(model.weights[own].astype(float).sum(axis=0) / len(own) / langid._SCALE, -4, 4)
+        loss = [sum(trust[b] * np.exp(-int(code[k, b]) * margin[b]) for b in range(15)) / trust.sum() for k in range(5)]
+        first, second = sorted(loss)[:2]
+        assert names[i] == "abcde"[int(np.argmin(loss))] and score[i] == pytest.approx(second / (first + second))
+        assert close[i] == (second - first < langid.AMBIGUOUS * first)
+    tie = langid.Model(("a", "b"), np.array([[1], [-1]], np.int8), np.zeros((langid.DIMENSIONS, 1), np.int32), np.ones(1))
+    assert [x[0] for x in tie.predict(pa.array(["word"]))] == ["a", 0.5, True]
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 7, 12):
         code = langid.codewords(n).astype(int)

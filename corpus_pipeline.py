@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: those without letters and ambiguous ones go."""
     ship(spark)
     model = langid.train(docs.where("doc_id IS NOT NULL"))
-    told = langid.identify(docs, model)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    told = langid.identify(docs, model, out=("_told_language", "_told_score", "_told_ambiguous"))
+    return told.where((F.col("_told_language") != langid.UNKNOWN) & ~F.col("_told_ambiguous")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,6 +170,19 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(good, F.lit(False)) & F.exists("vector", lambda x: x != 0.0))
 
 
+def _scaled(rows: DataFrame) -> tuple[DataFrame, float]:
+    """The rows of the usual length, divided by a power of two where their squares would over- or underflow."""
+    sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("vector", lambda x: F.abs(x)))).alias("top"))
+    usual = sizes.agg(F.max(F.struct("n", "dim", "top")).alias("u")).first()["u"]
+    if usual is None:
+        return rows, 1.0
+    rows = rows.where(F.size("vector") == usual["dim"])
+    if 1e-120 < usual["top"] < 1e120:
+        return rows, 1.0
+    scale = float(2.0 ** int(np.frexp(usual["top"])[1]))
+    return rows.withColumn("vector", F.transform("vector", lambda x: x / scale)).where(F.exists("vector", lambda x: x != 0.0)), scale
+
+
 def search(embeddings: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each query, nearest first.
 
@@ -177,11 +190,16 @@ def search(embeddings: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) -> Da
     own. Score: the inner product of the original vectors in double precision; ties go to the
     smaller vec_id. Each query first searches its own cell; its k-th score there tells which other
     cells the stopping test still lets it search. Cells of more than BLOCK rows, and queries of a
-    cell beyond QUERY_BLOCK, are dealt to several groups. Vectors must have one length; null, zero
-    and non-finite ones take no part. An empty table gives an empty result.
+    cell beyond QUERY_BLOCK, are dealt to several groups.
+
+    Null, zero and non-finite vectors take no part, and neither do those of another length than most
+    vectors have (of lengths that are as common, the greater counts). Components may be of any size:
+    where their squares would overflow, all vectors are searched divided by a power of two, and a
+    score too great for a double is infinite, ranked by its true size. Repeated vec_ids are rows of
+    their own. An empty table gives an empty result.
     """
     spark = embeddings.sparkSession
-    rows = materialize(usable(embeddings), "ann-vectors")
+    rows, scale = _scaled(materialize(usable(embeddings), "ann-vectors"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("greatest"), F.min(F.size("vector")).alias("dim")).first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -260,4 +278,5 @@ def search(embeddings: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) -> Da
     kth = home.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("kth"))
     again = queries.join(kth, "query_id", "left").select("query_id", "vector", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
     found = home.unionByName(visit(again, False))
-    return _best(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    score = F.col("score") if scale == 1.0 else F.col("score") * scale * scale
+    return _best(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", score.alias("score"))

@@ -179,6 +179,30 @@ def test_neighbours_recall(spark):
     assert few.count() == 4
 
 
+def test_neighbours_over_many_cells_and_lots(spark, monkeypatch):
+    for name, value in (("SAMPLE", 400), ("CELL", 128), ("BLOCK", 50), ("QUERY_BLOCK", 5)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 12))[rng.integers(0, 90, 1800)] + rng.normal(size=(1800, 12)) * 0.2
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
+    assert len(got) == 90 * 20 and hits >= 0.9 * len(got)
+
+
+def test_neighbours_of_huge_tiny_and_odd_vectors(spark):
+    rows = [(i, [1e200 * (i + 1), 1e199]) for i in range(4)] + [(20, [1e200, 0.0]), (21, [1.0]), (22, [1.0, 2.0, 3.0]), (23, []), (0, [1e200, 1e199])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").toPandas()
+    assert got[got.query_id == 20].vec_id.tolist() == [3, 2, 1, 0, 0] and np.isinf(got.score).all()
+    tiny = [(i, [1e-200 * (i + 1), 0.0]) for i in range(4)]
+    got = ann.search(spark.createDataFrame(tiny, "vec_id long, embedding array<double>")).orderBy("rank").toPandas()
+    assert got.vec_id.tolist() == [3, 2, 1]
+
+
 def test_chi_square():
     assert ann.chi_square_cdf(np.array([0.0, 15.507313])) == pytest.approx([0, 0.95], abs=1e-6)
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -16,13 +18,16 @@ REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests on one machine) is a temporary folder made and set.
+    Only where the session names none and runs on one machine is a temporary folder made and set; on
+    a cluster a folder of the driver's own would lose what executors write, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-loomwell-")
         atexit.register(shutil.rmtree, base[len("file://") :], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
@@ -57,3 +62,9 @@ def ship(spark: SparkSession) -> None:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def partitions_for(df: DataFrame, column: str, most: int = 64 << 20) -> int:
+    """The session's number of shuffle partitions, or more, so that none holds above about ``most`` bytes of a column."""
+    size = df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+    return max(partitions(df.sparkSession), math.ceil(size / most))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.llm.text import mix, shingle_hashes
-from loomwell.runtime import materialize, partitions
+from loomwell.runtime import materialize, partitions_for
 
 SAMPLES = 64
 _TERMS = 1 << 15
@@ -207,15 +207,15 @@ def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def against_edits(docs: DataFrame) -> DataFrame:
     """Fingerprint every text, its edited text, and compare both and the next document's.
 
-    The next document is the one that follows in descending order of doc_id (ties: ascending text;
-    null ids come last), and the first follows the last. Documents are dealt out by ranges of
-    doc_id once; each task walks its range in order, and only one row at each end of a range goes
+    The next document is the one that follows in descending order of doc_id (ties: by a hash of the
+    text, then ascending text; null ids come last), and the first follows the last. Documents are
+    dealt out once by ranges of doc_id and that hash, as many as their size asks for, so that many
+    rows of one id, or none, make no large range; each task walks its range in order, and only one row at each end of a range goes
     through a second, small join. Null text counts as empty. An empty table gives an empty result;
     extra columns are ignored.
     """
-    spark = docs.sparkSession
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), *order[:1]).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text").asc_nulls_first()]
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions_for(docs, "text"), *order[:2]).sortWithinPartitions(*order)
     walked = materialize(dealt.mapInArrow(_walk, _OUT), "fingerprints")
     heads = walked.where(F.col("kind") == _HEAD)
     w = Window.orderBy("pid")  # one narrow row for each partition

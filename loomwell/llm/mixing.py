@@ -3,7 +3,9 @@
 Documents of a source and an output shard form a stream of words, in a seeded order. Streams are
 cut into blocks of equal length. Source quotas (whole blocks) go to the highest quotients
 population / (2k + 1), where a source's population is the number of its blocks times its target
-over its size; each source's quota is dealt to its shards in the same way. A stream takes each of
+over its size; each source's quota is dealt to its shards in the same way, first to groups of
+shards with the same leading digits, then within these, so that no source's shards are gathered in
+one task. A stream takes each of
 its blocks quota // blocks times, and the rest by a seeded systematic draw, so a block is taken at
 most one time more than another.
 
@@ -26,6 +28,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 CAP = 2
 DOCS_PER_SHARD = 2000
+#: Hexadecimal digits by which a group of shards is divided: 4,096 rows at most.
+_DIGITS = 3
 _UNIT = 1024
 _PARTS = 1 << 20
 
@@ -81,6 +85,18 @@ def shard_digits(n_docs: int, per_shard: int = DOCS_PER_SHARD) -> int:
     return digits
 
 
+def _dealt(streams: DataFrame, quotas: DataFrame, digits: int) -> DataFrame:
+    """Streams with ``_quota``: each key's quota dealt to its shards, _DIGITS digits of their names at a time."""
+    cuts = list(range(digits, 0, -_DIGITS))[::-1] or [0]
+    level, before = quotas.withColumn("_at0", F.lit("")), "_at0"
+    for i, cut in enumerate(cuts, 1):
+        rows = streams.groupBy("key", F.substring("shard", 1, cut).alias(f"_at{i}"), F.substring("shard", 1, cuts[i - 2] if i > 1 else 0).alias(before)).agg(F.sum("_blocks").alias("_population"))
+        rows = rows.join(level.select("key", before, "quota"), ["key", before])
+        level = apportion(rows, ["key", before], "_population", "quota", [f"_at{i}"], "_got").select("key", f"_at{i}", F.col("_got").alias("quota"))
+        before = f"_at{i}"
+    return streams.join(level.select("key", F.col(before).alias("shard"), F.col("quota").alias("_quota")), ["key", "shard"])
+
+
 def _div(a: Column, b: Column) -> Column:
     """Whole-number division of numbers that aren't negative."""
     return ((a - a % b) / b).cast("long")
@@ -96,8 +112,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share ``budget`` times
     all words. Null texts have no words and give none. Rows with equal doc_id are rows of their
-    own. Reruns agree: order and draws come from md5 of doc_id, source, shard and seed. An empty
-    table gives an empty result; other columns than those in ``carry`` are ignored. With ``stream``,
+    own. Reruns agree: order and draws come from md5 of doc_id (of the text, where that is null),
+    source, shard and seed. An empty table gives an empty result; other columns than those in ``carry`` are ignored. With ``stream``,
     _stream names each row's stream.
     """
     sized = materialize(
@@ -107,11 +123,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
             F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("source"))).alias("key"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             *(carry or []),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("hash"),
+            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce("text", F.lit(""))))).cast("binary")).alias("hash"),
         ),
         "mix-sizes",
     )
-    sized = sized.withColumn("shard", F.substring("hash", 1, shard_digits(sized.count())))
+    digits = shard_digits(sized.count())
+    sized = sized.withColumn("shard", F.substring("hash", 1, digits))
     streams = sized.groupBy("shard", "key", "source").agg(F.sum("size").alias("words"))
     sources = streams.groupBy("key", "source").agg(F.sum("words").alias("source_size"))
     turn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1
@@ -128,7 +145,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     totals = totals.withColumn("_population", F.when(F.col("_s") > 0, F.floor(F.col("_t") / F.col("_s") * F.col("_all") * _UNIT)).otherwise(F.lit(0)).cast("long"))
     totals = totals.withColumn("_seats", F.floor((F.sum("_population").over(Window.partitionBy(F.lit(0))) + _UNIT // 2) / _UNIT))
     quotas = apportion(totals, [], "_population", "_seats", ["key"], "quota").select("key", "quota")
-    streams = apportion(streams.join(quotas, "key"), ["key"], "_blocks", "quota", ["shard"], "_quota")
+    streams = _dealt(streams, quotas, digits)
     full = F.least(F.col("_quota"), CAP * F.col("_blocks"))
     streams = (
         streams.withColumn("_blocks", F.greatest("_blocks", F.lit(1)))

@@ -75,7 +75,7 @@ _MIXING_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS key,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS hash
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))) AS hash
   FROM documents),
 digits AS (SELECT CASE WHEN count(*) <= 2000 THEN 0 WHEN count(*) <= 32000 THEN 1 WHEN count(*) <= 512000 THEN 2 ELSE 3 END AS p FROM documents),
 placed AS (SELECT sized.*, substr(hash, 1, p) AS shard FROM sized, digits),

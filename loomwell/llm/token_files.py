@@ -22,10 +22,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwell.runtime import fresh_path, materialize, partitions
+from loomwell.runtime import fresh_path, materialize, partitions, partitions_for
 
 LENGTH = 2048
 END = 1
@@ -193,14 +194,14 @@ def flat_ids(reader: pa.ipc.RecordBatchFileReader, start: int, n: int, length: i
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, end: int = END) -> DataFrame:
-    """Write ids of all texts to ``folder`` and return the manifest (file, low, first, tokens, documents).
+    """Write ids of all texts to ``folder`` and return the manifest (file, place, first, tokens, documents).
 
-    Ids follow ascending doc_id (null first; ties by ascending text), each document's with ``end``
-    after them. A null text counts as empty and has the end id alone. ``first``: ids of all files
+    Ids follow ascending doc_id (null first; ties by a hash of the text, then ascending text), each
+    document's with ``end`` after them; ``place`` is a file's place in this order. A null text counts as empty and has the end id alone. ``first``: ids of all files
     before. ``folder`` must be one that driver and executors share. No documents, no files.
     """
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(docs.sparkSession), order[0]).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first()]
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions_for(docs, "text"), *order[:2]).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, writer, ids, sizes = encoder(tokenizer), None, [], []
@@ -224,10 +225,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, en
             index = pa.table({"doc_id": pa.array(ids, pa.int64()), "start": places, "n_tokens": pa.array(sizes, pa.int64())})
             with files.open_output_stream(f"{base}/{name}.index") as raw_out, pa.ipc.new_file(raw_out, index.schema) as sink:
                 sink.write_table(index)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ids[0]], pa.int64()), pa.array([sum(sizes)], pa.int64()), pa.array([len(sizes)], pa.int64())], ["file", "low", "tokens", "documents"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sum(sizes)], pa.int64()), pa.array([len(sizes)], pa.int64())], ["file", "place", "tokens", "documents"])
 
-    manifest = materialize(dealt.mapInArrow(run, "file string, low long, tokens long, documents long"), "token-manifest")
-    before = Window.orderBy(F.col("low").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # one narrow row a file
+    manifest = materialize(dealt.mapInArrow(run, "file string, place int, tokens long, documents long"), "token-manifest")
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # one narrow row a file
     return manifest.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
 
 

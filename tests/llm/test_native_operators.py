@@ -53,6 +53,21 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_quotas_are_dealt_in_levels(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"{i:04x}"[::-1], k, int(b)) for k in "ab" for i, b in enumerate(rng.integers(0, 9, 600))]
+    streams = spark.createDataFrame(rows, "shard string, key string, _blocks long")
+    quotas = spark.createDataFrame([("a", 1000), ("b", 0)], "key string, quota long")
+    got = mixing._dealt(streams, quotas, 4).collect()
+    assert len(got) == len(rows) and sum(r._quota for r in got if r.key == "a") == 1000 and all(r._quota == 0 for r in got if r.key == "b")
+    blocks = sum(r._blocks for r in got if r.key == "a")
+    assert all(abs(r._quota - 1000 * r._blocks / blocks) < 1.5 for r in got if r.key == "a")
+    small = [(s[:2], k, b) for s, k, b in rows]
+    merged = spark.createDataFrame(small, "shard string, key string, _blocks long").groupBy("shard", "key").agg(F.sum("_blocks").alias("_blocks"))
+    flat = mixing.apportion(merged.join(quotas, "key"), ["key"], "_blocks", "quota", ["shard"], "_quota")
+    assert sorted((r.shard, r.key, r._quota) for r in mixing._dealt(merged, quotas, 2).collect()) == sorted((r.shard, r.key, r._quota) for r in flat.collect())
+
+
 def test_whole_copies_meet_the_targets_of_sources(spark):
     rows = [(i, "w " * (250 + i % 100), "abc"[i % 3]) for i in range(240)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

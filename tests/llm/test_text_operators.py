@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomwell.llm import bpe, fingerprints, jaccard_join, langid, licenses, text, token_files
 
+MIT = " ".join(licenses.TEMPLATES["MIT"][-1].removeprefix("MIT License").split())
 ODD = ["", " ", "é😀 ß\n\n  x", "don't 'S  12٣  中文", "\x1c\x85\xa0 a\x00b", "x" * 5000, "a " * 3000, "!!??--", "Σς ſK <|endoftext|> İ"]
 
 
@@ -279,13 +280,13 @@ def test_codewords_are_apart():
 
 def test_licenses_against_brute_force(spark, docs, empty):
     found = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
-    units = ["Released under the MIT License.", "Licensed under the Apache License, version 2.0", "nothing of the kind", "", "MIT", licenses._MIT, licenses._MIT.replace("Software", "Work", 3), licenses._GPL[:200]]
+    units = ["Released under the MIT License.", "Licensed under the Apache License, version 2.0", "nothing of the kind", "", "MIT", MIT, MIT.replace("Software", "Work", 3), licenses._GPL[:200]]
     for u in units:
         best = max(((licenses.dice(licenses.bigrams(u), licenses.bigrams(t)), n) for n, ts in licenses.TEMPLATES.items() for t in ts), key=lambda x: x[0])
         got = found.best(u)
         assert (got is None) == (best[0] < licenses.THRESHOLD)
         assert got is None or got[1] == pytest.approx(best[0])
-    rows = [(1, "some words\nReleased under the MIT License.\nmore"), (2, "a b. Licensed under CC BY-NC 4.0. c d e f g h i j"), (3, None), (4, "intro\n\n" + licenses._MIT + "\n\nend")]
+    rows = [(1, "some words\nReleased under the MIT License.\nmore"), (2, "a b. Licensed under CC BY-NC 4.0. c d e f g h i j"), (3, None), (4, "intro\n\n" + MIT + "\n\nend")]
     got = {r.doc_id: r for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].spans == "MIT:11:42" and got[2].licenses == "CC-BY-NC-4.0" and got[3].n_hits == 0
     assert got[4].licenses == "MIT" and got[4].n_hits == 1
@@ -294,7 +295,7 @@ def test_licenses_against_brute_force(spark, docs, empty):
 
 def test_licenses_over_paragraphs_and_line_ends(spark):
     found = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
-    cut = licenses._MIT.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    cut = MIT.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
     head = "MIT License\n\nCopyright (c) 2020 Some One\n\n"
     assert cut.count("\n\n") == 2
     assert [h[:3] for h in found.scan(cut)] == [(0, len(cut), "MIT")]
@@ -308,6 +309,52 @@ def test_licenses_over_paragraphs_and_line_ends(spark):
     assert [h[:3] for h in found.scan("\n\n".join([notice] * 500))] == [(33 * i, 33 * i + 31, "MIT") for i in range(500)]
 
 
+def brute_units(text, threshold=0.8):
+    """Every run of paragraphs with the nearest template's name and Dice coefficient, where it reaches the threshold."""
+    templates = [(n, licenses.bigrams(t)) for n, ts in licenses.TEMPLATES.items() for t in ts]
+    spans = [m.span() for m in re.finditer(r"[^\n]+(?:\n[^\n]+)*", text)]
+    out = []
+    for i, (a, _) in enumerate(spans):
+        for _, b in spans[i:]:
+            own = licenses.bigrams(text[a:b])
+            d, n = max((licenses.dice(own, t), n) for n, t in templates)
+            if d >= threshold:
+                out.append((a, b, n, d))
+    return out
+
+
+def test_whole_licence_files_are_found():
+    found, head = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD), "Copyright (c) 2021, A Name and Another\n\n"
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "Zlib", "Unlicense", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1"):
+        text = licenses.TEMPLATES[name][-1]
+        assert [h[2] for h in found.scan(head + text)] == [name]
+        assert name in {h[2] for h in found.scan("Other words of a readme.\n\n" + text.replace("\n", "\r\n").replace("\r\n\r\n", "\n\n") + "\n\nThe end of it.")}
+        half = " ".join(text.split()[::2])
+        assert not found.scan(half)
+    for notice in (licenses._APACHE, licenses._GPL):
+        assert len(found.scan("\n".join("# " + x for x in notice.splitlines()))) == 1
+
+
+def test_scan_against_brute_force():
+    found, rng = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD), random.Random(4)
+    parts = [p for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib") for p in licenses.TEMPLATES[n][-1].split("\n\n")] + ["some other words", "Released under the MIT License.", "x"]
+    for _ in range(60):
+        at = rng.randrange(len(parts))
+        text = "\n\n".join(rng.choice(parts) if rng.random() < 0.15 else parts[(at + i) % len(parts)] for i in range(rng.randint(1, 8)))
+        units, hits = brute_units(text), found.scan(text)
+        assert all(d >= 0.8 - 1e-9 for *_, d in hits) and all(x[1] <= y[0] for x, y in zip(hits, hits[1:]))
+        assert all(any(a < h[1] and h[0] < b for h in hits) for a, b, _, _ in units), text
+        runs = {(a, b): n for a, b, n, _ in units}
+        assert all(runs.get(h[:2], h[2]) == h[2] for h in hits)
+
+
+def test_licences_with_clashes_ties_and_repeated_rows(spark):
+    ties = {"B": ("one two three four",), "A": ("one two three four",)}
+    df = spark.createDataFrame([(1, "one two three four"), (1, "one two three four"), (None, None), (2, "x " * 50_000)], "doc_id long, text string").withColumn("licenses", F.lit("clash"))
+    got = licenses.scan(df, ties).collect()
+    assert sorted((r.doc_id or 0, tuple(h.license for h in r.licenses)) for r in got) == [(0, ()), (1, ("A",)), (1, ("A",)), (2, ())]
+
+
 def test_counted_terms():
     u, c = fingerprints._counted(np.array([3, 1, 3], np.uint64))
     assert Counter(dict(zip(u.tolist(), c.tolist()))) == {3: 2, 1: 1}

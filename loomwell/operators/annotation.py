@@ -51,37 +51,55 @@ def resolve_id_attribute(lines: DataFrame, feature: str, wanted: str) -> DataFra
 def annotate_with_gff(de: DataFrame, gff: DataFrame) -> DataFrame:
     """Left join on normalised ids; the first GFF row (by line) of an id wins.
 
-    Adds ``gff_name`` and ``gff_text``: the product, if any row of the contrast has one, else the
-    note; empty where the id is unknown. The GFF side is reduced to one row an id before the join.
+    Adds ``gff_name``, ``gff_product``, ``gff_note`` and ``gff_text``: the product, if any row of the
+    contrast has one, else the note; empty where the id is unknown. The GFF side is reduced to one
+    row an id before the join.
     """
     named = gff_table(gff).where("id <> ''").withColumn("norm_id", C.normalize_id(F.col("id")))
     first = named.groupBy("norm_id").agg(F.min_by(F.struct("name", "product", "note"), "line_no").alias("g"))
     joined = de.withColumn("norm_id", C.normalize_id(F.col("gene_id"))).join(first, "norm_id", "left").drop("norm_id")
     name, product, note = (F.coalesce(F.col(f"g.{c}"), F.lit("")) for c in ("name", "product", "note"))
-    joined = joined.select(*de.columns, name.alias("gff_name"), product.alias("_product"), note.alias("_note"))
-    any_product = joined.groupBy("contrast").agg(F.bool_or(F.col("_product") != "").alias("_any"))
-    return joined.join(any_product, "contrast").withColumn("gff_text", F.when(F.col("_any"), F.col("_product")).otherwise(F.col("_note"))).drop("_any", "_product", "_note")
+    joined = joined.select(*de.columns, name.alias("gff_name"), product.alias("gff_product"), note.alias("gff_note"))
+    any_product = joined.groupBy("contrast").agg(F.bool_or(F.col("gff_product") != "").alias("_any"))
+    return joined.join(any_product, "contrast").withColumn("gff_text", F.when(F.col("_any"), F.col("gff_product")).otherwise(F.col("gff_note"))).drop("_any")
+
+
+HIT = ("hit_pos", "organism", "gene_names", "function_text", "go_bp", "go_mf", "go_cc")
+QUERY_ORDER = ("gff_note", "gff_product", "gff_name")
 
 
 def best_hit(hits: DataFrame) -> DataFrame:
-    """One hit a query: an annotated plant, else an annotated one, else the first; then by position."""
+    """One hit a query: an annotated plant, else an annotated one, else the first; then by position.
+
+    Of the columns in ``HIT`` those that hits have are kept.
+    """
     annotated = (F.trim(F.coalesce("function_text", F.lit(""))) != "") | (F.trim(F.coalesce("go_bp", F.lit(""))) != "")
     rank = F.when(C.is_plant(F.col("lineage"), F.col("organism")) & annotated, 0).when(annotated, 1).otherwise(2)
-    return hits.groupBy("query").agg(F.min_by(F.struct("hit_pos", "organism", "function_text", "go_bp"), F.struct(rank.alias("r"), F.col("hit_pos").alias("p"))).alias("h")).select("query", "h.*")
+    kept = F.struct(*(c for c in HIT if c in hits.columns))
+    return hits.groupBy("query").agg(F.min_by(kept, F.struct(rank.alias("r"), F.col("hit_pos").alias("p"))).alias("h")).select("query", "h.*")
 
 
 def annotate_with_uniprot(annotated: DataFrame, hits: DataFrame) -> DataFrame:
-    """Each contrast's query column (GFF text, else name, else gene id: the first with any value)
-    joined with the best hit of each query; the query and hits that are missing stay null."""
-    used = annotated.groupBy("contrast").agg(F.bool_or(F.col("gff_text") != "").alias("_text"), F.bool_or(F.col("gff_name") != "").alias("_name"))
-    query = F.when(F.col("_text"), F.col("gff_text")).when(F.col("_name"), F.col("gff_name")).otherwise(F.col("gene_id"))
-    return annotated.join(used, "contrast").withColumn("query", query).drop("_text", "_name").join(best_hit(hits), "query", "left")
+    """Each contrast's query column (GFF note, product or name: the first with any value; else the gene
+    id) joined with the best hit of each query; the query and hits that are missing stay null."""
+    used = [c for c in QUERY_ORDER if c in annotated.columns]
+    some = annotated.groupBy("contrast").agg(*(F.bool_or(C.usable(F.col(c)) != "").alias(f"_any_{c}") for c in used), F.count(F.lit(1)).alias("_rows"))
+    query = F.coalesce(*(F.when(F.col(f"_any_{c}"), F.trim(F.coalesce(c, F.lit("")))) for c in used), F.col("gene_id"))
+    joined = annotated.join(some, "contrast").withColumn("query", query).drop("_rows", *(f"_any_{c}" for c in used))
+    return joined.join(best_hit(hits), "query", "left")
 
 
 def unique_queries(annotated: DataFrame, column: str) -> DataFrame:
     return annotated.select(C.usable(F.col(column)).alias("query")).where("query <> ''").distinct()
 
 
+def top_go_terms_by_ontology(rows: DataFrame, columns: dict[str, str], k: int = 15) -> DataFrame:
+    """``top_go_terms`` of each ontology's column, with the ontology, in one pass over the rows."""
+    long = rows.select("contrast", F.explode(F.array(*(F.struct(F.lit(o).alias("ontology"), F.col(c).alias("text")) for o, c in columns.items()))).alias("x"))
+    both = long.select(F.struct("contrast", "x.ontology").alias("contrast"), "x.text")
+    return top_go_terms(both, "text", k).select("contrast.contrast", "contrast.ontology", "term", "n", "rank")
+
+
 def top_go_terms(rows: DataFrame, column: str, k: int = 15, sep: str = r"[;,|]") -> DataFrame:
     """The k commonest labels of an annotation column for each contrast (ties: by label)."""
     term = F.explode(F.transform(F.split(F.coalesce(column, F.lit("")), sep), lambda t: F.trim(F.regexp_replace(t, r"\s*\[[^\]]*\]", ""))))

@@ -129,82 +129,150 @@ def _components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("a", "gene_id")
 
 
-def _link(pairs: pd.DataFrame, least: float) -> pd.DataFrame:
-    genes = np.unique(np.concatenate([pairs["a"], pairs["b"]]))
-    at = {g: i for i, g in enumerate(genes)}
-    sim = np.full((len(genes), len(genes)), -np.inf)
-    for a, b, s in zip(pairs["a"], pairs["b"], pairs["sim"]):
-        sim[at[a], at[b]] = sim[at[b], at[a]] = s
-    members = {i: [i] for i in range(len(genes))}
-    while True:  # complete linkage: the two groups with the greatest least similarity; ties: first by name
-        best = None
-        alive = sorted(members)
-        sub = sim[np.ix_(alive, alive)].copy()
-        np.fill_diagonal(sub, -np.inf)
-        if len(alive) > 1:
-            place = int(sub.argmax())
-            i, j = sorted((alive[place // len(alive)], alive[place % len(alive)]))
-            best = sim[i, j]
-        if best is None or best < least:
+def _link(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Complete linkage of one component, in rounds: groups that are each other's nearest merge.
+
+    Of groups equally near the one first by name is taken. Pairs without a row never merge.
+    """
+    names = np.unique(np.concatenate([pairs["a"], pairs["b"]]))
+    sim = np.full((len(names), len(names)), -np.inf)
+    i, j = np.searchsorted(names, pairs["a"]), np.searchsorted(names, pairs["b"])
+    sim[i, j] = sim[j, i] = pairs["sim"]
+    leader, alive = np.arange(len(names)), np.arange(len(names))
+    while len(alive) > 1:
+        best = sim.argmax(axis=1)
+        own = np.arange(len(alive))
+        keep = np.flatnonzero((best[best] == own) & (own < best) & np.isfinite(sim[own, best]))
+        if not len(keep):
+            break
+        gone = best[keep]
+        sim[keep] = np.minimum(sim[keep], sim[gone])
+        sim[:, keep] = np.minimum(sim[:, keep], sim[:, gone])
+        sim[keep, keep] = -np.inf
+        to = np.arange(len(names))
+        to[alive[gone]] = alive[keep]
+        leader = to[leader]
+        left = np.delete(own, gone)
+        alive, sim = alive[left], sim[np.ix_(left, left)]
+    size = np.bincount(leader, minlength=len(names))
+    return pd.DataFrame({"node": names, "leader": names[leader], "size": size[leader]})
+
+
+def _link_in_rounds(edges: DataFrame) -> DataFrame:
+    """What _link gives, by joins and aggregates over (a < b, sim) of components of any size.
+
+    After a round a pair of groups has a row only if all pairs of their parts had one, so groups
+    that hold a pair under the limit stay apart.
+    """
+    members = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("leader", F.col("node")), "link-members")
+    while True:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+        best = both.groupBy("a").agg(F.min(F.struct((-F.col("sim")).alias("far"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        mutual = materialize(best.where("a < b").join(best.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]), "link-mutual")
+        if not mutual.limit(1).count():
             break
-        sim[i, :] = np.minimum(sim[i, :], sim[j, :])
-        sim[:, i] = sim[i, :]
-        members[i] += members.pop(j)
-    rows = [(genes[k], genes[min(m)], len(m)) for m in members.values() for k in m]
-    return pd.DataFrame(rows, columns=["gene_id", "leader", "size"])
+        for side in ("a", "b"):
+            to = mutual.select(F.col("b").alias(side), F.col("a").alias("_to")).unionByName(mutual.select(F.col("a").alias(side), F.col("a").alias("_to")))
+            edges = edges.join(to, side, "left").withColumn(f"_parts_{side}", F.when(F.col("_to").isNull(), 1).otherwise(2)).withColumn(side, F.coalesce("_to", side)).drop("_to")
+        merged = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"), F.first(F.col("_parts_a") * F.col("_parts_b")).alias("all"))
+        edges = materialize(merged.where("n = all").select("a", "b", "sim"), "link-edges")
+        members = materialize(members.join(mutual.select(F.col("b").alias("leader"), F.col("a").alias("_to")), "leader", "left").select("node", F.coalesce("_to", "leader").alias("leader")), "link-members")
+    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    return members.join(sizes, "leader").select("node", "leader", "size")
+
 
+def _node(keys: list[str], gene: str) -> Column:
+    return F.concat_ws("\u001f", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys), gene)
 
-def complete_linkage(pairs: DataFrame, min_sim: float, min_size: int = 3, max_component: int = 20_000) -> DataFrame:
-    """(gene_id, cluster): clusters whose members are all at least min_sim alike; -1 for small ones.
 
-    Groups can only merge inside a connected component of the pairs with sim >= min_sim, so Spark
-    finds the components and each one's linkage is exact in a task of its own. A component of more
-    than max_component genes is an error. Clusters are numbered by their first gene.
+def complete_linkage(pairs: DataFrame, min_sim: float | Column, min_size: int = 3, keys: tuple[str, ...] = (), local: int = 2000) -> DataFrame:
+    """(keys, gene_id, cluster): clusters whose members are all at least min_sim alike; -1 for small ones.
+
+    ``min_sim`` may be a column, such as a limit for each ontology. Groups only merge inside a
+    connected component of the pairs that reach it. Components of up to ``local`` genes are linked
+    in a task each, larger ones by rounds of joins over all of them; both merge groups that are each
+    other's nearest (ties: by name), round by round. Clusters are numbered by their first gene
+    within ``keys`` (texts; null counts as empty). Genes without such a pair have no row.
     """
-    close = pairs.where(F.col("sim") >= min_sim).select(F.col("gene_a").alias("a"), F.col("gene_b").alias("b"), "sim")
+    names = list(keys)
+    close = pairs.where(F.col("sim") >= min_sim).select(_node(names, "gene_a").alias("a"), _node(names, "gene_b").alias("b"), "sim")
+    close = materialize(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").where("a < b").groupBy("a", "b").agg(F.max("sim").alias("sim")), "link-pairs")
     roots = _components(close.select("a", "b"))
-    if roots.groupBy("root").count().where(F.col("count") > max_component).limit(1).count():
-        raise ValueError(f"a component has more than {max_component} genes; raise min_sim")
     inside = close.join(roots.select(F.col("gene_id").alias("a"), "root"), "a")
-    linked = inside.groupBy("root").applyInPandas(lambda p: _link(p, min_sim), "gene_id string, leader string, size long")
+    large = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local).select("root")
+    schema = "node string, leader string, size long"
+    linked = inside.join(large, "root", "left_anti").groupBy("root").applyInPandas(_link, schema)
+    if large.limit(1).count():
+        linked = linked.unionByName(_link_in_rounds(inside.join(large, "root", "left_semi").select("a", "b", "sim")))
+    parts = F.split("node", "\u001f")
+    linked = linked.select(*(parts[i].alias(k) for i, k in enumerate(names)), parts[len(names)].alias("gene_id"), "leader", "size")
     small = F.col("size") < min_size
-    leaders = linked.where(~small).select("leader").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("leader")))
-    return linked.join(leaders, "leader", "left").select("gene_id", F.when(small, -1).otherwise(F.col("cluster")).cast("long").alias("cluster"))
+    order = Window.partitionBy(*(names or [F.lit(0)])).orderBy("leader")  # leaders only: a row a cluster
+    leaders = linked.where(~small).select(*names, "leader").distinct().withColumn("cluster", F.row_number().over(order))
+    return linked.join(leaders, [*names, "leader"], "left").select(*names, "gene_id", F.when(small, -1).otherwise(F.col("cluster")).cast("long").alias("cluster"))
 
 
-def silhouettes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(gene_id, cluster, silhouette) of the clustered genes; null with fewer than two clusters.
+def silhouettes(pairs: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, gene_id, cluster, silhouette) of the clustered genes; null with fewer than two clusters.
 
-    Pairs that have no row are at distance 1.
+    Pairs that have no row are at distance 1, so a cluster without a pair is at the greatest distance
+    and needs no row: the nearest other cluster is the nearest of those with a pair, or at distance 1.
     """
-    inside = labels.where("cluster <> -1")
-    sizes = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    known = pairs.select(F.col("gene_a").alias("gene_id"), F.col("gene_b").alias("other"), "sim").union(pairs.select("gene_b", "gene_a", "sim"))
-    near = known.join(inside.select(F.col("gene_id").alias("other"), F.col("cluster").alias("towards")), "other").groupBy("gene_id", "towards").agg(F.sum("sim").alias("total"))
-    # As many rows a gene as there are clusters; clusters without a pair are at distance 1.
-    every = inside.join(sizes.select(F.col("cluster").alias("towards"), F.col("size").alias("n"))).join(near, ["gene_id", "towards"], "left")
+    k = list(keys) or ["_all"]
+    if not keys:
+        pairs, labels = pairs.withColumn("_all", F.lit(0)), labels.withColumn("_all", F.lit(0))
+    inside = labels.where("cluster <> -1").select(*k, "gene_id", "cluster")
+    sizes = inside.groupBy(*k, "cluster").agg(F.count(F.lit(1)).alias("n"))
+    clusters = sizes.groupBy(*k).agg(F.count(F.lit(1)).alias("clusters"))
+    known = pairs.select(*k, F.col("gene_a").alias("gene_id"), F.col("gene_b").alias("other"), "sim").union(pairs.select(*k, "gene_b", "gene_a", "sim"))
+    near = known.join(inside.select(*k, F.col("gene_id").alias("other"), F.col("cluster").alias("towards")), [*k, "other"]).groupBy(*k, "gene_id", "towards").agg(F.sum("sim").alias("total"))
+    near = near.join(sizes.select(*k, F.col("cluster").alias("towards"), F.col("n").alias("m")), [*k, "towards"])
     own = F.col("cluster") == F.col("towards")
-    members = F.col("n") - F.when(own, 1).otherwise(0)
-    mean = F.when(members > 0, 1 - F.coalesce("total", F.lit(0.0)) / members)
-    out = every.groupBy("gene_id", "cluster").agg(F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"), F.max(F.when(own, F.col("n"))).alias("n"))
-    score = F.when(F.col("n") < 2, 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
-    return out.select("gene_id", "cluster", F.when(F.col("b").isNotNull(), score).alias("silhouette"))
+    sums = inside.join(near, [*k, "gene_id"], "left").groupBy(*k, "gene_id", "cluster").agg(F.max(F.when(own, F.col("total"))).alias("total"), F.min(F.when(~own, 1 - F.col("total") / F.col("m"))).alias("nearest"))
+    out = sums.join(sizes, [*k, "cluster"]).join(clusters, k)
+    a, b = 1 - F.coalesce("total", F.lit(0.0)) / (F.col("n") - 1), F.least(F.coalesce("nearest", F.lit(1.0)), F.lit(1.0))
+    score = F.when(F.col("n") < 2, 0.0).when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(0.0)
+    return out.select(*keys, "gene_id", "cluster", F.when(F.col("clusters") > 1, score).alias("silhouette"))
 
 
-def prune_silhouette(pairs: DataFrame, labels: DataFrame, min_size: int = 3) -> DataFrame:
-    """Labels with genes of negative silhouette, and clusters under min_size, made noise, until none is left."""
+def prune_silhouette(pairs: DataFrame, labels: DataFrame, min_size: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Labels with genes of negative silhouette, and clusters under min_size, made noise, until none is left.
+
+    All keys go through the rounds together; those that are done don't change any more.
+    """
 
     def without_small(x: DataFrame) -> DataFrame:
-        n = F.count(F.lit(1)).over(Window.partitionBy("cluster"))
-        return x.withColumn("cluster", F.when((F.col("cluster") != -1) & (n < min_size), -1).otherwise(F.col("cluster")))
+        sizes = x.where("cluster <> -1").groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("_n"))
+        kept = x.join(sizes.where(F.col("_n") >= min_size), [*keys, "cluster"], "left")
+        return kept.select(*keys, "gene_id", F.when(F.col("_n").isNull(), -1).otherwise(F.col("cluster")).cast("long").alias("cluster"))
 
-    labels = materialize(without_small(labels.select("gene_id", F.col("cluster").cast("long"))), "labels")
+    labels = materialize(without_small(labels.select(*keys, "gene_id", F.col("cluster").cast("long"))), "labels")
     while True:
-        bad = silhouettes(pairs, labels).where("silhouette < 0").select("gene_id", F.lit(True).alias("bad"))
-        marked = materialize(labels.join(bad, "gene_id", "left"), "labels")
+        bad = silhouettes(pairs, labels, keys).where("silhouette < 0").select(*keys, "gene_id", F.lit(True).alias("bad"))
+        marked = materialize(labels.join(bad, [*keys, "gene_id"], "left"), "labels")
         if not marked.where("bad").limit(1).count():
             return labels
-        labels = materialize(without_small(marked.select("gene_id", F.when(F.col("bad"), -1).otherwise(F.col("cluster")).cast("long").alias("cluster"))), "labels")
+        labels = materialize(without_small(marked.select(*keys, "gene_id", F.when(F.col("bad"), -1).otherwise(F.col("cluster")).cast("long").alias("cluster"))), "labels")
+
+
+def semantic_clusters(genes: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("ontology", "direction"), limits: dict[str, float] = MIN_SIMILARITY, min_size: int = 3) -> DataFrame:
+    """Clusters of the genes of each key, and their metrics, in one run over all keys.
+
+    ``genes`` has the keys and gene_id, ``pairs`` the keys, gene_a, gene_b and sim; one of the keys is
+    ``ontology``, whose limit the linkage takes. Complete linkage, pruning by silhouette and numbering
+    follow each other. Genes without a cluster, as those without a pair, have -1 and null metrics.
+    """
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("ontology"))
+    labels = renumber(prune_silhouette(pairs, complete_linkage(pairs, limit, min_size, keys), min_size, keys), list(keys))
+    labels = materialize(labels, "labels")
+    scored = materialize(silhouettes(pairs, labels, keys).withColumnRenamed("silhouette", "cluster_silhouette"), "silhouettes")
+    a, b = (labels.where("cluster <> -1").select(*keys, F.col("gene_id").alias(f"gene_{x}"), F.col("cluster").alias(f"cluster_{x}")) for x in "ab")
+    inner = pairs.join(a, [*keys, "gene_a"]).join(b, [*keys, "gene_b"]).where("cluster_a = cluster_b").groupBy(*keys, F.col("cluster_a").alias("cluster")).agg(F.min("sim").alias("min_pairwise_similarity"))
+    whole = scored.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("cluster_size"), F.avg("cluster_silhouette").alias("mean_silhouette"), F.min("cluster_silhouette").alias("min_silhouette"))
+    metrics = whole.join(inner, [*keys, "cluster"], "left").withColumn("cluster_quality", quality(F.col("mean_silhouette")))
+    told = scored.join(metrics, [*keys, "cluster"])
+    names = ["cluster_silhouette", "cluster_size", "mean_silhouette", "min_silhouette", "min_pairwise_similarity", "cluster_quality"]
+    return genes.select(*keys, "gene_id").join(told, [*keys, "gene_id"], "left").select(*keys, "gene_id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"), *names)
 
 
 def renumber(labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -254,17 +322,34 @@ def final_cluster_table(clusters: DataFrame) -> DataFrame:
     return clusters.withColumn("position", F.row_number().over(order))
 
 
-def prioritize(representatives: DataFrame, genes: DataFrame) -> DataFrame:
-    """Candidates ranked over ontologies: selected ones first, then breadth, quality, centrality, effect, padj, gene."""
+def prioritize(representatives: DataFrame, genes: DataFrame, interpretations: DataFrame | None = None) -> DataFrame:
+    """Candidates ranked over ontologies: selected ones first, then breadth, quality, centrality, effect, padj, gene.
+
+    With a ``go_terms`` column of representatives, the candidates get the distinct labels (clusters in
+    order of their key) as ``go_labels``; with ``uniprot_names`` in genes, a primary name; and with
+    both a ``search_query`` of the name and the first three labels. ``interpretations`` (ontology,
+    direction, cluster, interpretation) give ``cluster_interpretations``.
+    """
+    key = F.concat_ws(":", "ontology", "direction", F.col("cluster").cast("string"))
+    labelled = "go_terms" in representatives.columns
+    in_order = F.sort_array(F.collect_list(F.struct(key.alias("k"), *([F.coalesce("go_terms", F.lit("")).alias("t")] if labelled else []))))
     grouped = representatives.groupBy("gene_id").agg(
         F.avg("centrality").alias("centrality_score"),
         F.min("mean_silhouette").alias("min_cluster_quality"),
         F.countDistinct("ontology").alias("n_ontologies"),
         F.array_join(F.sort_array(F.collect_set("ontology")), "; ").alias("represented_ontologies"),
-        F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "ontology", "direction", F.col("cluster").cast("string")))), "; ").alias("represented_clusters"),
+        F.array_join(F.sort_array(F.collect_set(key)), "; ").alias("represented_clusters"),
+        *([C.go_labels(F.array_join(F.transform(in_order, lambda x: x["t"]), ";")).alias("go_labels")] if labelled else []),
     )
     found = grouped.join(genes, "gene_id").withColumn("selected_for_search", F.col("n_ontologies") >= 2)
     found = found.withColumn("selection_reason", F.when(F.col("selected_for_search"), "representative_in_multiple_ontologies").otherwise("representative_in_single_ontology"))
+    if "uniprot_names" in genes.columns:
+        found = found.withColumn("primary_name", C.primary_name(F.col("uniprot_names")))
+        if labelled:
+            found = found.withColumn("search_query", F.array_join(F.concat(F.array("primary_name"), F.slice("go_labels", 1, 3)), ", "))
+    if interpretations is not None:
+        told = representatives.join(interpretations, _KEY).groupBy("gene_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), "interpretation"))), lambda x: x["interpretation"]), " | ").alias("cluster_interpretations"))
+        found = found.join(told, "gene_id", "left").withColumn("cluster_interpretations", F.coalesce("cluster_interpretations", F.lit("")))
     return rank_candidates(found.withColumn("abs_log2FoldChange", F.abs("log2FoldChange")))
 
 

@@ -49,8 +49,10 @@ def best_uniprot_hit(spark, d):
 
 
 def annotate_with_uniprot(spark, d):
-    de = A.annotate_with_gff(table(spark, d, "de"), table(spark, d, "gff_lines")).withColumn("gff_text", F.lit(""))
-    return A.annotate_with_uniprot(de, table(spark, d, "uniprot_hits")).select("contrast", "gene_id", "query", "hit_pos", "organism", "go_bp")
+    de = A.annotate_with_gff(table(spark, d, "de"), table(spark, d, "gff_lines"))
+    # one contrast queries by notes, one by products and one by names
+    de = de.withColumn("gff_note", F.when(F.col("contrast") == "A_vs_B", F.col("gff_note"))).withColumn("gff_product", F.when(F.col("contrast") != "B_vs_C", F.col("gff_product")))
+    return A.annotate_with_uniprot(de, table(spark, d, "uniprot_hits")).select("contrast", "gene_id", "query", "hit_pos", "organism", "gene_names", "go_bp", "go_mf", "go_cc")
 
 
 def unique_queries(spark, d):
@@ -61,6 +63,10 @@ def top_go_terms(spark, d):
     return A.top_go_terms(table(spark, d, "genes").withColumn("contrast", F.col("name_gff").substr(1, 1)), "bp", 15)
 
 
+def top_go_terms_by_ontology(spark, d):
+    return A.top_go_terms_by_ontology(table(spark, d, "genes").withColumn("contrast", F.col("name_gff").substr(1, 1)), {"BP": "bp", "MF": "mf"}, 15)
+
+
 def split_go_valid(spark, d):
     return A.split_invalid_go(table(spark, d, "gene2go"), table(spark, d, "go_terms"))
 
@@ -89,7 +95,7 @@ def clean_genes(spark, d):
 
 
 def normalize_de_table(spark, d):
-    raw = table(spark, d, "de").where("contrast = 'A_vs_B'").select(F.col("gene_id").alias("Unnamed: 0"), F.regexp_replace(F.col("logFC").cast("decimal(20,6)").cast("string"), r"\.", ",").alias("logFC"), F.concat(F.lit(" '"), F.col("PValue").cast("string"), F.lit("' ")).alias("PValue"), "FDR")
+    raw = table(spark, d, "de").select(F.col("gene_id").alias("Unnamed: 0"), F.regexp_replace(F.col("logFC").cast("decimal(20,6)").cast("string"), r"\.", ",").alias("logFC"), F.concat(F.lit(" '"), F.col("PValue").cast("string"), F.lit("' ")).alias("PValue"), "FDR")
     return K.normalize_de_table(raw).select("gene_id", "log2FoldChange", "pvalue", "padj", F.col("Name GFF").alias("name_gff"))
 
 
@@ -119,19 +125,15 @@ def _few(spark, d):
 
 def gene_similarity(spark, d):
     pairs = K.gene_similarity(_few(spark, d), _termsim(spark, d))
-    return _r6(pairs.groupBy("gene_a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("sim", 9)).alias("total"), F.max("sim").alias("best")), "total", "best")
+    return _r6(pairs.groupBy("gene_a").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sim"), 3).alias("total"), F.max("sim").alias("best")), "best")
 
 
 def semantic_clusters(spark, d):
-    pairs = table(spark, d, "similarity").select("gene_a", "gene_b", "sim")
-    labels = K.complete_linkage(pairs, K.MIN_SIMILARITY["BP"])
-    return K.renumber(K.prune_silhouette(pairs, labels).withColumn("ontology", F.lit("BP")), ["ontology"])
+    return _r6(K.semantic_clusters(table(spark, d, "clusters"), table(spark, d, "similarity").drop("cluster")), "cluster_silhouette", "mean_silhouette", "min_silhouette")
 
 
 def cluster_silhouettes(spark, d):
-    one = table(spark, d, "similarity").where("ontology = 'BP' AND direction = 'up'")
-    labels = table(spark, d, "clusters").where("ontology = 'BP' AND direction = 'up'").select("gene_id", "cluster")
-    return _r6(K.silhouettes(one, labels), "silhouette")
+    return _r6(K.silhouettes(table(spark, d, "similarity"), table(spark, d, "clusters").select("ontology", "direction", "gene_id", "cluster"), ("ontology", "direction")), "silhouette")
 
 
 def renumber_clusters(spark, d):
@@ -157,7 +159,10 @@ def final_cluster_table(spark, d):
 def prioritized_genes(spark, d):
     clusters = table(spark, d, "clusters")
     reps = K.cluster_representatives(clusters, table(spark, d, "similarity")).join(K.cluster_metrics(clusters, table(spark, d, "similarity")).select("ontology", "direction", "cluster", "mean_silhouette"), ["ontology", "direction", "cluster"])
-    return _r6(K.prioritize(reps, table(spark, d, "genes").select("gene_id", "padj", F.col("log2FoldChange").alias("log2FoldChange"))), "centrality_score", "min_cluster_quality").select("rank", "gene_id", "n_ontologies", "centrality_score", "min_cluster_quality", "represented_clusters", "selection_reason")
+    reps = reps.drop("log2FoldChange").join(table(spark, d, "genes").select("gene_id", F.concat_ws("; ", "bp", "mf").alias("go_terms")), "gene_id")
+    themes = clusters.select("ontology", "direction", "cluster").distinct().where("ontology <> 'CC'").withColumn("interpretation", F.concat(F.lit("theme "), F.col("cluster").cast("string")))
+    ranked = K.prioritize(reps, table(spark, d, "genes").select("gene_id", "padj", "log2FoldChange", "uniprot_names"), themes)
+    return _r6(ranked, "centrality_score", "min_cluster_quality").select("rank", "gene_id", "n_ontologies", "centrality_score", "min_cluster_quality", "represented_clusters", "selection_reason", "primary_name", "search_query", "cluster_interpretations")
 
 
 def coverage_funnel(spark, d):
@@ -181,7 +186,7 @@ def target_conflicts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (gff_fields, gff_feature_counts, gff_attribute_profile, normalize_strand, normalize_ids, resolve_id_attribute, annotate_with_gff, best_uniprot_hit, annotate_with_uniprot, unique_queries,
-              top_go_terms, split_go_valid, split_go_invalid, unique_gene2go, go_labels, clean_go_annotations, clean_genes, normalize_de_table, primary_names, name_terms, go_closure, term_similarity,
+              top_go_terms, top_go_terms_by_ontology, split_go_valid, split_go_invalid, unique_gene2go, go_labels, clean_go_annotations, clean_genes, normalize_de_table, primary_names, name_terms, go_closure, term_similarity,
               gene_similarity, semantic_clusters, cluster_silhouettes, renumber_clusters, cluster_metrics, cluster_representatives, cluster_summary, final_cluster_table, prioritized_genes, coverage_funnel,
               heaviest_targets, target_conflicts)
 }
@@ -196,10 +201,10 @@ _FIELDS = _ATTR + f""", g AS (SELECT line_no, {_V("ID", "gene_id", "GeneID", "ge
 _NORM = "upper(regexp_replace(regexp_replace(trim({0}), '^[A-Za-z]+[-_:]', ''), '[^A-Za-z0-9]', '', 'g'))"
 _GFF = _FIELDS + f""", f AS (SELECT {_NORM.format("id")} AS nid, arg_min(name, line_no) AS name, arg_min(product, line_no) AS product, arg_min(note, line_no) AS note FROM g WHERE id <> '' GROUP BY 1),
  j AS (SELECT d.contrast, d.gene_id, coalesce(f.name, '') AS gff_name, coalesce(product, '') AS product, coalesce(note, '') AS note FROM de d LEFT JOIN f ON f.nid = {_NORM.format("d.gene_id")}),
- k AS (SELECT contrast, gene_id, gff_name, CASE WHEN bool_or(product <> '') OVER (PARTITION BY contrast) THEN product ELSE note END AS gff_text FROM j)"""
+ k AS (SELECT contrast, gene_id, gff_name, product, note, CASE WHEN bool_or(product <> '') OVER (PARTITION BY contrast) THEN product ELSE note END AS gff_text FROM j)"""
 _PLANT = "(CASE WHEN lineage <> '' THEN regexp_matches(lower(lineage), '" + "|".join(C.PLANT_LINEAGE) + "') ELSE regexp_matches(lower(organism), '" + "|".join(C.PLANT_ORGANISM) + "') END)"
 _BEST = f"""h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN {_PLANT} AND (trim(function_text) <> '' OR trim(go_bp) <> '') THEN 0 WHEN trim(function_text) <> '' OR trim(go_bp) <> '' THEN 1 ELSE 2 END, hit_pos) AS n FROM uniprot_hits),
- b AS (SELECT query, hit_pos, organism, function_text, go_bp FROM h WHERE n = 1)"""
+ b AS (SELECT query, hit_pos, organism, gene_names, function_text, go_bp, go_mf, go_cc FROM h WHERE n = 1)"""
 _CLOSE = """WITH RECURSIVE c0(term, ancestor, s) AS (SELECT go_id, go_id, 1e0 FROM {go_terms} UNION ALL SELECT c0.term, e.parent, c0.s * CASE e.relation WHEN 'is_a' THEN 8e-1 ELSE 6e-1 END FROM c0 JOIN {go_edges} e ON e.child = c0.ancestor),
  c AS (SELECT term, ancestor, max(s) AS s FROM c0 GROUP BY ALL)"""
 _SIM = _CLOSE + """, u AS (SELECT c.* FROM c WHERE term IN (SELECT go_id FROM {gene2go})), v AS (SELECT term, sum(s) AS sv FROM u GROUP BY term),
@@ -224,13 +229,17 @@ _SQL = {
     "normalize_ids": "SELECT line_no, " + _NORM.format("feature || '-' || seqid || '-' || strand") + " AS norm_id FROM {gff_lines}",
     "resolve_id_attribute": "WITH " + _ATTR.replace("gff_lines", "{gff_lines}") + """, e AS (SELECT list_transform(t, lambda x: x.k) AS ks FROM a WHERE feature = 'exon' ORDER BY line_no LIMIT 1)
       SELECT coalesce(list_filter(['ID', 'gene_id', 'locus_tag', 'Name', 'Parent', 'transcript_id'], lambda k: list_contains(ks, k))[1], ks[1]) AS attribute FROM e""",
-    "annotate_with_gff": "WITH " + _GFF.replace("gff_lines", "{gff_lines}").replace("FROM de d", "FROM {de} d") + " SELECT * FROM k",
+    "annotate_with_gff": "WITH " + _GFF.replace("gff_lines", "{gff_lines}").replace("FROM de d", "FROM {de} d") + " SELECT contrast, gene_id, gff_name, gff_text FROM k",
     "best_uniprot_hit": "WITH " + _BEST.replace("uniprot_hits", "{uniprot_hits}") + " SELECT * FROM b",
-    "annotate_with_uniprot": "WITH " + _GFF.replace("gff_lines", "{gff_lines}").replace("FROM de d", "FROM {de} d") + ", " + _BEST.replace("uniprot_hits", "{uniprot_hits}") + """, w AS (SELECT contrast, gene_id, CASE WHEN bool_or(gff_name <> '') OVER (PARTITION BY contrast) THEN gff_name ELSE gene_id END AS query FROM k)
-      SELECT contrast, gene_id, w.query, hit_pos, organism, go_bp FROM w LEFT JOIN b ON b.query = w.query""",
+    "annotate_with_uniprot": "WITH " + _GFF.replace("gff_lines", "{gff_lines}").replace("FROM de d", "FROM {de} d") + ", " + _BEST.replace("uniprot_hits", "{uniprot_hits}") + """, k2 AS (SELECT contrast, gene_id, gff_name, CASE WHEN contrast = 'A_vs_B' THEN note ELSE '' END AS note, CASE WHEN contrast <> 'B_vs_C' THEN product ELSE '' END AS product FROM k),
+      w AS (SELECT contrast, gene_id, CASE WHEN bool_or(note <> '') OVER c THEN note WHEN bool_or(product <> '') OVER c THEN product WHEN bool_or(gff_name <> '') OVER c THEN gff_name ELSE gene_id END AS query FROM k2 WINDOW c AS (PARTITION BY contrast))
+      SELECT contrast, gene_id, w.query, hit_pos, organism, gene_names, go_bp, go_mf, go_cc FROM w LEFT JOIN b ON b.query = w.query""",
     "unique_queries": "SELECT DISTINCT trim(query) AS query FROM {uniprot_hits} WHERE lower(trim(query)) NOT IN ('', 'nan', 'none')",
     "top_go_terms": r"""WITH t AS (SELECT substr(name_gff, 1, 1) AS contrast, unnest(list_transform(regexp_split_to_array(bp, '[;,|]'), lambda x: trim(regexp_replace(x, '\s*\[[^\]]*\]', '', 'g')))) AS term FROM {genes}),
       n AS (SELECT contrast, term, count(*) AS n FROM t WHERE term <> '' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contrast ORDER BY n DESC, term) AS rank FROM n) WHERE rank <= 15""",
+    "top_go_terms_by_ontology": r"""WITH o AS (SELECT substr(name_gff, 1, 1) AS contrast, 'BP' AS ontology, bp AS x FROM {genes} UNION ALL SELECT substr(name_gff, 1, 1), 'MF', mf FROM {genes}),
+      t AS (SELECT contrast, ontology, unnest(list_transform(regexp_split_to_array(x, '[;,|]'), lambda y: trim(regexp_replace(y, '\s*\[[^\]]*\]', '', 'g')))) AS term FROM o),
+      n AS (SELECT contrast, ontology, term, count(*) AS n FROM t WHERE term <> '' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contrast, ontology ORDER BY n DESC, term) AS rank FROM n) WHERE rank <= 15""",
     "split_go_valid": "SELECT * FROM {gene2go} WHERE go_id IN (SELECT go_id FROM {go_terms})",
     "split_go_invalid": "SELECT * FROM {gene2go} WHERE go_id NOT IN (SELECT go_id FROM {go_terms})",
     "unique_gene2go": "SELECT gene_id, 'BP' AS ontology, unnest(regexp_extract_all(bp, 'GO:[0-9]+')) AS go_id FROM {genes} UNION SELECT gene_id, 'MF', unnest(regexp_extract_all(mf, 'GO:[0-9]+')) FROM {genes}",
@@ -238,7 +247,7 @@ _SQL = {
       SELECT gene_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS labels, n FROM s""",
     "clean_go_annotations": "SELECT gene_id, array_to_string(list_filter(list_transform(string_split(bp, ';'), lambda x: trim(x)), lambda x: x <> '' AND NOT list_has_any(regexp_extract_all(x, 'GO:[0-9]+'), list_transform(range(64, 80), lambda i: 'GO:' || lpad(i::VARCHAR, 7, '0')))), '; ') AS bp FROM {genes}",
     "clean_genes": f"SELECT gene_id, CASE WHEN log2FoldChange > 0 THEN 'upregulated' ELSE 'downregulated' END AS direction, {_USEFUL('name_gff')} OR {_USEFUL('uniprot_names')} AS useful_name " + _CLEAN,
-    "normalize_de_table": "SELECT gene_id, round(logFC, 6) AS log2FoldChange, PValue AS pvalue, FDR AS padj, gene_id AS name_gff FROM {de} WHERE contrast = 'A_vs_B'",
+    "normalize_de_table": "SELECT gene_id, round(logFC, 6) AS log2FoldChange, PValue AS pvalue, FDR AS padj, gene_id AS name_gff FROM {de}",
     "primary_names": r"SELECT gene_id, coalesce(nullif(trim(regexp_replace(uniprot_names, '(?s)\s*[\(\[].*$', '')), ''), name_gff, gene_id) AS primary_name FROM {genes}",
     "name_terms": "WITH w AS (SELECT gene_id, list_filter(regexp_extract_all(lower(name_gff || ' ' || uniprot_function), '[A-Za-z0-9][A-Za-z0-9_.+-]*'), lambda x: length(x) >= 3 AND NOT list_contains(" + str(C.NAME_STOP) + ", x)) AS w FROM {genes}), "
     "h AS (SELECT gene_id, flatten(list_transform(w, lambda x: CASE WHEN contains(x, '-') THEN [x] || list_filter(string_split(x, '-'), lambda y: length(y) >= 3 AND NOT list_contains(" + str(C.NAME_STOP) + ", y)) ELSE [x] END)) AS l FROM w) SELECT gene_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS name_terms FROM h",
@@ -247,22 +256,26 @@ _SQL = {
     "gene_similarity": _SIM + """, gg AS (SELECT DISTINCT gene_id, go_id FROM {gene2go} WHERE go_id IN (SELECT go_id FROM {go_terms})), gn AS (SELECT gene_id, count(*) AS n FROM gg GROUP BY gene_id),
       o AS (SELECT a.gene_id AS ga, b.gene_id AS gb, a.go_id, max(sim) AS best FROM gg a JOIN ts ON ts.term_a = a.go_id JOIN gg b ON b.go_id = ts.term_b GROUP BY ALL), w AS (SELECT ga, gb, sum(best) AS t FROM o GROUP BY ALL),
       p AS (SELECT x.ga AS gene_a, x.gb AS gene_b, (x.t + y.t) / (m.n + n.n) AS sim FROM w x JOIN w y ON x.ga = y.gb AND x.gb = y.ga JOIN gn m ON m.gene_id = x.ga JOIN gn n ON n.gene_id = x.gb WHERE x.ga < x.gb)
-      SELECT gene_a, count(*) AS n, round(sum(round(sim, 9)), 6) AS total, round(max(sim), 6) AS best FROM p WHERE sim > 0 GROUP BY gene_a""",
+      SELECT gene_a, count(*) AS n, round(sum(sim), 3) AS total, round(max(sim), 6) AS best FROM p WHERE sim > 0 GROUP BY gene_a""",
     "renumber_clusters": "SELECT ontology, direction, gene_id, CASE WHEN cluster = -1 THEN -1 ELSE dense_rank() OVER (PARTITION BY ontology, direction, cluster = -1 ORDER BY cluster) END AS cluster FROM {clusters}",
-    "cluster_silhouettes": """WITH g AS (SELECT gene_id, cluster FROM {clusters} WHERE ontology = 'BP' AND direction = 'up' AND cluster <> -1), p AS (SELECT gene_a AS x, gene_b AS y, sim FROM {similarity} WHERE ontology = 'BP' AND direction = 'up' UNION ALL SELECT gene_b, gene_a, sim FROM {similarity} WHERE ontology = 'BP' AND direction = 'up'),
-      d AS (SELECT a.gene_id, a.cluster, b.cluster AS o, 1 - coalesce(p.sim, 0) AS d FROM g a JOIN g b ON a.gene_id <> b.gene_id LEFT JOIN p ON p.x = a.gene_id AND p.y = b.gene_id), m AS (SELECT gene_id, cluster, o, avg(d) AS m FROM d GROUP BY ALL),
-      s AS (SELECT gene_id, cluster, max(CASE WHEN o = cluster THEN m END) AS a, min(CASE WHEN o <> cluster THEN m END) AS b FROM m GROUP BY ALL)
-      SELECT gene_id, cluster, round(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS silhouette FROM s""",
+    "cluster_silhouettes": """WITH g AS (SELECT ontology, direction, gene_id, cluster FROM {clusters} WHERE cluster <> -1), p AS (SELECT ontology, direction, gene_a AS x, gene_b AS y, sim FROM {similarity} UNION ALL SELECT ontology, direction, gene_b, gene_a, sim FROM {similarity}),
+      d AS (SELECT ontology, direction, a.gene_id, a.cluster, b.cluster AS o, 1 - coalesce(p.sim, 0) AS d FROM g a JOIN g b USING (ontology, direction) LEFT JOIN p ON p.ontology = a.ontology AND p.direction = a.direction AND p.x = a.gene_id AND p.y = b.gene_id WHERE a.gene_id <> b.gene_id),
+      m AS (SELECT ontology, direction, gene_id, cluster, o, avg(d) AS m FROM d GROUP BY ALL),
+      s AS (SELECT ontology, direction, gene_id, cluster, max(CASE WHEN o = cluster THEN m END) AS a, min(CASE WHEN o <> cluster THEN m END) AS b FROM m GROUP BY ALL)
+      SELECT ontology, direction, gene_id, cluster, round(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS silhouette FROM s""",
     "cluster_metrics": f"""WITH {_METRICS}, lo AS (SELECT ontology, direction, cluster, min(sim) AS m FROM {{similarity}} GROUP BY ALL) SELECT mt.ontology, mt.direction, mt.cluster, size, round(mean_silhouette, 6) AS mean_silhouette, round(min_silhouette, 6) AS min_silhouette, round(m, 6) AS min_similarity,
       CASE WHEN mean_silhouette IS NULL THEN 'unknown' WHEN mean_silhouette >= 0.3 THEN 'strong' WHEN mean_silhouette >= 0.1 THEN 'borderline' ELSE 'weak' END AS quality FROM mt LEFT JOIN lo USING (ontology, direction, cluster)""",
     "cluster_representatives": f"WITH {_CENTRAL} SELECT ontology, direction, cluster, gene_id, log2FoldChange, cluster_silhouette, round(centrality, 6) AS centrality, rank FROM q WHERE rank <= 3",
     "cluster_summary": """SELECT ontology, direction, count(DISTINCT CASE WHEN cluster <> -1 THEN ontology || direction || cluster END) AS clusters, count(DISTINCT CASE WHEN cluster <> -1 THEN gene_id END) AS clustered_genes, count(DISTINCT gene_id) AS genes,
       round(avg(CASE WHEN cluster <> -1 THEN cluster_silhouette END), 6) AS mean_silhouette FROM {clusters} GROUP BY ROLLUP (ontology, direction)""",
     "final_cluster_table": "SELECT ontology, direction, gene_id, cluster, row_number() OVER (PARTITION BY ontology, direction ORDER BY cluster = -1, cluster, gene_id) AS position FROM {clusters}",
-    "prioritized_genes": f"""WITH {_CENTRAL}, {_METRICS}, rep AS (SELECT q.*, mt.mean_silhouette FROM q JOIN mt USING (ontology, direction, cluster) WHERE rank = 1),
-      c AS (SELECT gene_id, avg(centrality) AS cs, min(mean_silhouette) AS mq, count(DISTINCT ontology) AS n, string_agg(DISTINCT ontology || ':' || direction || ':' || cluster, '; ' ORDER BY ontology || ':' || direction || ':' || cluster) AS rc FROM rep GROUP BY gene_id)
+    "prioritized_genes": f"""WITH {_CENTRAL}, {_METRICS}, rep AS (SELECT q.*, mt.mean_silhouette, ontology || ':' || direction || ':' || cluster AS k FROM q JOIN mt USING (ontology, direction, cluster) WHERE rank = 1),
+      c AS (SELECT gene_id, avg(centrality) AS cs, min(mean_silhouette) AS mq, count(DISTINCT ontology) AS n, string_agg(DISTINCT k, '; ' ORDER BY k) AS rc,
+        coalesce(string_agg('theme ' || cluster, ' | ' ORDER BY k) FILTER (WHERE ontology <> 'CC'), '') AS ci FROM rep GROUP BY gene_id),
+      l AS (SELECT gene_id, list_filter(list_transform(string_split(bp || '; ' || mf, ';'), lambda x: trim(regexp_replace(x, '\\s*\\[GO:[0-9]+\\]\\s*', '', 'g'))), lambda x: x <> '') AS l, trim(regexp_replace(uniprot_names, '\\s*[\\(\\[].*$', '')) AS pn FROM {{genes}})
       SELECT row_number() OVER (ORDER BY n >= 2 DESC, n DESC, mq DESC NULLS LAST, cs DESC NULLS LAST, abs(g.log2FoldChange) DESC NULLS LAST, padj NULLS LAST, c.gene_id) AS rank, c.gene_id, n AS n_ontologies, round(cs, 6) AS centrality_score, round(mq, 6) AS min_cluster_quality, rc AS represented_clusters,
-      CASE WHEN n >= 2 THEN 'representative_in_multiple_ontologies' ELSE 'representative_in_single_ontology' END AS selection_reason FROM c JOIN {{genes}} g ON g.gene_id = c.gene_id""",
+      CASE WHEN n >= 2 THEN 'representative_in_multiple_ontologies' ELSE 'representative_in_single_ontology' END AS selection_reason, pn AS primary_name,
+      array_to_string([pn] || list_filter(l, lambda x, i: list_position(l, x) = i)[1:3], ', ') AS search_query, ci AS cluster_interpretations FROM c JOIN {{genes}} g ON g.gene_id = c.gene_id JOIN l ON l.gene_id = c.gene_id""",
     "coverage_funnel": "WITH el AS (SELECT gene_id " + _CLEAN + """), x AS (SELECT DISTINCT d.gene_id, g.gene_id IS NOT NULL AS an, el.gene_id IS NOT NULL AS e, el.gene_id IS NOT NULL AND c.gene_id IS NOT NULL AS cl FROM {de} d
       LEFT JOIN (SELECT gene_id FROM {genes} WHERE contains(bp || mf, 'GO:')) g ON g.gene_id = d.gene_id LEFT JOIN el ON el.gene_id = d.gene_id LEFT JOIN (SELECT DISTINCT gene_id FROM {clusters} WHERE cluster <> -1) c ON c.gene_id = d.gene_id)
       SELECT CASE WHEN cl THEN 'clustered' WHEN e THEN 'eligible_not_clustered' WHEN an THEN 'annotated_not_eligible' ELSE 'without_go' END AS stage, count(*) AS genes FROM x GROUP BY 1""",

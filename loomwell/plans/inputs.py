@@ -28,23 +28,25 @@ VIEWS = {
         CASE p_partkey % 4 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '.' ELSE '?' END AS strand,
         CASE p_partkey % 2 WHEN 0 THEN concat('ID=gene-', cast(p_partkey AS string), ';Name=', p_name, ';product=', p_type)
           ELSE concat('gene_id "gene-', cast(p_partkey AS string), '"; gene_name "', p_name, '"; note "', p_brand, '"') END AS attributes FROM {part}""",
-    "uniprot_hits": """SELECT p_name AS query, p_partkey * 3 + h AS hit_pos, CASE (p_partkey + h) % 4 WHEN 0 THEN 'Oryza sativa' ELSE 'Homo sapiens' END AS organism,
-        CASE (p_partkey + h) % 4 WHEN 0 THEN '' WHEN 1 THEN 'cellular organisms, Viridiplantae' ELSE 'cellular organisms, Metazoa' END AS lineage,
+    "uniprot_hits": """SELECT CASE h WHEN 2 THEN p_brand ELSE p_name END AS query, p_partkey * 3 + h AS hit_pos, CASE (p_partkey + h) % 4 WHEN 0 THEN 'Oryza sativa' ELSE 'Homo sapiens' END AS organism,
+        CASE (p_partkey + h) % 4 WHEN 0 THEN '' WHEN 1 THEN 'cellular organisms, Viridiplantae' ELSE 'cellular organisms, Metazoa' END AS lineage, concat(p_type, ' (', p_brand, ')') AS gene_names,
         CASE (p_partkey * 7 + h) % 3 WHEN 0 THEN '' ELSE concat(p_type, ' function') END AS function_text,
-        CASE (p_partkey * 5 + h) % 4 WHEN 0 THEN '' ELSE concat('response to ', p_brand, ' [GO:', lpad(cast(p_partkey % 61 + 64 AS string), 7, '0'), ']; growth [GO:', lpad(cast(p_partkey % 31 + 32 AS string), 7, '0'), ']') END AS go_bp
+        CASE (p_partkey * 5 + h) % 4 WHEN 0 THEN '' ELSE concat('response to ', p_brand, ' [GO:', lpad(cast(p_partkey % 61 + 64 AS string), 7, '0'), ']; growth [GO:', lpad(cast(p_partkey % 31 + 32 AS string), 7, '0'), ']') END AS go_bp,
+        concat('binding ', p_brand, ' [GO:', lpad(cast(p_partkey % 7 + 125 AS string), 7, '0'), ']') AS go_mf, concat(p_brand, ' membrane') AS go_cc
       FROM (SELECT *, 0 AS h FROM {part} UNION ALL SELECT *, 1 FROM {part} UNION ALL SELECT *, 2 FROM {part}) x""",
-    "go_terms": """SELECT concat('GO:', lpad(cast(p_partkey AS string), 7, '0')) AS go_id, 'BP' AS ontology FROM {part} WHERE p_partkey BETWEEN 1 AND 127""",
-    "go_edges": """SELECT concat('GO:', lpad(cast(p_partkey AS string), 7, '0')) AS child, concat('GO:', lpad(cast(cast(floor(p_partkey / 2) AS bigint) AS string), 7, '0')) AS parent,
-        CASE p_partkey % 2 WHEN 0 THEN 'is_a' ELSE 'part_of' END AS relation FROM {part} WHERE p_partkey BETWEEN 2 AND 127""",
-    "gene2go": """SELECT concat('gene-', cast(p_partkey AS string)) AS gene_id, concat('GO:', lpad(cast(p_partkey % 61 + 64 AS string), 7, '0')) AS go_id FROM {part}
-      UNION SELECT concat('gene-', cast(p_partkey AS string)), concat('GO:', lpad(cast(p_partkey % 29 + 32 AS string), 7, '0')) FROM {part}
-      UNION SELECT concat('gene-', cast(p_partkey AS string)), concat('GO:', lpad(cast(p_partkey % 7 + 125 AS string), 7, '0')) FROM {part}""",
-    # the canonical gene table: one contrast's genes with annotation text
+    # an ontology of binary trees of 128 terms: as many trees as the table asks for
+    "go_terms": """SELECT concat('GO:', lpad(cast(p_partkey AS string), 7, '0')) AS go_id, 'BP' AS ontology FROM {part}""",
+    "go_edges": """SELECT concat('GO:', lpad(cast(p_partkey AS string), 7, '0')) AS child, concat('GO:', lpad(cast(p_partkey - p_partkey % 128 + cast(floor((p_partkey % 128) / 2) AS bigint) AS string), 7, '0')) AS parent,
+        CASE p_partkey % 2 WHEN 0 THEN 'is_a' ELSE 'part_of' END AS relation FROM {part} WHERE p_partkey % 128 >= 2""",
+    "gene2go": """SELECT concat('gene-', cast(p_partkey AS string)) AS gene_id, concat('GO:', lpad(cast(p_partkey - p_partkey % 128 + p_partkey * 37 % 61 + 64 AS string), 7, '0')) AS go_id FROM {part}
+      UNION SELECT concat('gene-', cast(p_partkey AS string)), concat('GO:', lpad(cast(p_partkey - p_partkey % 128 + p_partkey % 29 + 32 AS string), 7, '0')) FROM {part}
+      UNION SELECT concat('gene-', cast(p_partkey AS string)), concat('GO:', lpad(cast(CASE WHEN p_partkey % 11 = 0 THEN 9000000 + p_partkey ELSE p_partkey - p_partkey % 128 + p_partkey % 7 + 121 END AS string), 7, '0')) FROM {part}""",
+    # the canonical gene table: each gene in its contrast of greatest effect, with annotation text
     "genes": """SELECT d.gene_id, d.logFC AS log2FoldChange, d.PValue AS pvalue, d.FDR / 8 AS padj, p.p_name AS name_gff, concat(p.p_type, ' (', p.p_brand, ')') AS uniprot_names,
         CASE p.p_partkey % 5 WHEN 0 THEN 'hypothetical protein' ELSE concat(p.p_type, ' kinase activity') END AS uniprot_function,
         concat('term ', cast(p.p_partkey % 61 AS string), ' [GO:', lpad(cast(p.p_partkey % 61 + 64 AS string), 7, '0'), ']; step ', cast(p.p_partkey % 29 AS string), ' [GO:', lpad(cast(p.p_partkey % 29 + 32 AS string), 7, '0'), ']') AS bp,
         CASE p.p_partkey % 2 WHEN 0 THEN concat('act ', cast(p.p_partkey % 7 AS string), ' [GO:', lpad(cast(p.p_partkey % 7 + 125 AS string), 7, '0'), ']') ELSE '' END AS mf
-      FROM {de} d JOIN {part} p ON d.gene_id = concat('gene-', cast(p.p_partkey AS string)) WHERE d.contrast = 'A_vs_B'""",
+      FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY abs(logFC) DESC, contrast) AS place FROM {de}) d JOIN {part} p ON d.gene_id = concat('gene-', cast(p.p_partkey AS string)) WHERE d.place = 1""",
     # clusters and pair similarities of genes, in blocks of neighbours
     "clusters": """SELECT CASE p_partkey % 3 WHEN 0 THEN 'BP' WHEN 1 THEN 'MF' ELSE 'CC' END AS ontology, CASE WHEN p_size > 25 THEN 'up' ELSE 'down' END AS direction,
         CASE WHEN p_partkey % 11 = 0 THEN -1 ELSE cast(floor(p_partkey / 60) AS bigint) + 1 END AS cluster, concat('gene-', cast(p_partkey AS string)) AS gene_id, p_partkey AS k,

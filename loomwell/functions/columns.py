@@ -54,6 +54,14 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(_text(c), r"<span[^>]*>\s*</span>", " "), r"\s+", " "))
 
 
+def strip_markdown(c: Column) -> Column:
+    """Without heading, list and emphasis marks and backticks, white space squeezed."""
+    t = _text(c)
+    for pattern, new in ((r"(?m)^#{1,6}\s*", ""), (r"(?m)^\s*[-*]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"), ("`([^`]+)`", "$1"), (r"\s+", " ")):
+        t = F.regexp_replace(t, pattern, new)
+    return F.trim(t)
+
+
 def normalize_section(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(_text(c), r"[*_`#>\[\]()]|<[^>]+>", " "), r"\s+", " ")))
 
@@ -99,6 +107,12 @@ def gff_attributes(c: Column) -> Column:
     return F.filter(F.transform(parts, pair), lambda a: a["key"] != "")
 
 
+def gff_map(attrs: Column) -> Column:
+    """Parsed attributes as a map; of a repeated key the last value counts."""
+    last = F.filter(attrs, lambda a, i: ~F.exists(F.slice(attrs, i + 2, F.size(attrs)), lambda b: b["key"] == a["key"]))
+    return F.map_from_entries(last)
+
+
 def attribute(attrs: Column, *keys: str) -> Column:
     """The last value of the first of the keys that has one; the empty text if none has."""
     found = [F.nullif(F.coalesce(F.element_at(_of(attrs, k), -1)["value"], F.lit("")), F.lit("")) for k in keys]

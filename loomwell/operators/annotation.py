@@ -132,3 +132,17 @@ def target_conflicts(contrasts: DataFrame) -> DataFrame:
 def split_invalid_go(gene2go: DataFrame, go_terms: DataFrame, valid: bool = True) -> DataFrame:
     """Rows whose term the ontology has, or those whose term it lacks."""
     return gene2go.join(go_terms.select("go_id"), "go_id", "left_semi" if valid else "left_anti").select(*gene2go.columns)
+
+
+def drop_invalid_go(rows: DataFrame, key: str, column: str, invalid: DataFrame) -> DataFrame:
+    """Rows whose annotation text lost the segments with an id of ``invalid`` (go_id), a table of any size.
+
+    ``key`` tells rows apart. Segments are joined with the table by their ids and put together again
+    in order; rows keep their other columns.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
+    segments = rows.select(key, F.posexplode(parts).alias("_at", "_text"))
+    ids = segments.select(key, "_at", F.explode(C.go_ids(F.col("_text"))).alias("go_id"))
+    bad = ids.join(invalid.select("go_id").distinct(), "go_id", "left_semi").select(key, "_at").distinct()
+    kept = segments.join(bad, [key, "_at"], "left_anti").groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]), "; ").alias("_new"))
+    return rows.join(kept, key, "left").withColumn(column, F.coalesce("_new", F.lit(""))).select(*rows.columns)

@@ -51,12 +51,12 @@ def bootstrap_ci(values: DataFrame, repeats: int = 2000, seed: int = 20260811) -
     """(method, mean, low, high): 95 % percentile interval of the mean by resampling queries.
 
     ``values`` has (method, value), few rows a method. Draw i of a repeat takes the query whose
-    place is a hash of seed, repeat and i, so reruns agree. No value: 0 and 0.
+    place is an md5 of seed, repeat and i, so reruns agree. No value: 0 and 0.
     """
     listed = values.groupBy("method").agg(F.sort_array(F.collect_list("value")).alias("v"), F.avg("value").alias("mean"))
     n = F.size("v")
     drawn = listed.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + F.element_at("v", (F.pmod(F.xxhash64(F.lit(seed), F.col("r"), i), n) + 1).cast("int")))
+    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + F.element_at("v", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n + 1).cast("int")))
     means = drawn.select("method", "mean", (total / n).alias("m")).groupBy("method", "mean").agg(F.sort_array(F.collect_list("m")).alias("ms"))
     return means.select("method", "mean", F.get("ms", F.lit(int(0.025 * repeats))).alias("low"), F.get("ms", F.lit(min(repeats - 1, int(0.975 * repeats)))).alias("high"))
 
@@ -82,7 +82,13 @@ def claim_metrics(claims: DataFrame) -> DataFrame:
 
 
 def pairwise_kappa(labels: DataFrame) -> DataFrame:
-    """(annotator_a, annotator_b, items, kappa) of all pairs with common items; expected agreement 1 gives 1."""
+    """(annotator_a, annotator_b, items, kappa) of all pairs with common items; expected agreement 1 gives 1.
+
+    Of several labels of one annotator and item the last counts: by the column ``seq``, if there is
+    one, else the greatest label.
+    """
+    last = F.max_by("label", "seq") if "seq" in labels.columns else F.max("label")
+    labels = labels.groupBy("item", "annotator").agg(last.alias("label"))
     a, b = (labels.select("item", F.col("annotator").alias(f"annotator_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
     both = a.join(b, "item").where("annotator_a < annotator_b")
     cells = both.groupBy("annotator_a", "annotator_b", "label_a", "label_b").agg(F.count(F.lit(1)).alias("n"))

@@ -155,18 +155,53 @@ def validate_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return x.withColumn("reasons", reasons).withColumn("accepted", F.size("reasons") == 0).drop("es", "unknown")
 
 
-def gene_status(validated: DataFrame) -> DataFrame:
-    """Accepted and rejected claims and the status of each gene."""
-    return validated.groupBy("gene_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected")).withColumn("status", F.when(F.col("accepted") > 0, "supported_claims").otherwise("insufficient_evidence"))
+# Fixed value: what an answer says that has no accepted claim.
+ABSTENTION = "The retrieved literature is insufficient to support a gene-specific interpretation."
+
+
+def gene_status(validated: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Accepted and rejected claims and the status of each gene.
+
+    ``answers`` (gene_id, model_output_valid) list all genes asked about: those whose output was no
+    valid JSON have ``invalid_model_output`` and one rejected claim, those without claims too little evidence.
+    """
+    counted = validated.groupBy("gene_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
+    if answers is None:
+        return counted.withColumn("status", F.when(F.col("accepted") > 0, "supported_claims").otherwise("insufficient_evidence"))
+    told = answers.select("gene_id", F.coalesce("model_output_valid", F.lit(True)).alias("_valid")).join(counted, "gene_id", "left").na.fill(0, ["accepted", "rejected"])
+    status = F.when(~F.col("_valid"), "invalid_model_output").when(F.col("accepted") > 0, "supported_claims").otherwise("insufficient_evidence")
+    return told.select("gene_id", F.when(F.col("_valid"), F.col("accepted")).otherwise(0).alias("accepted"), F.when(F.col("_valid"), F.col("rejected")).otherwise(1).alias("rejected"), status.alias("status"))
 
 
 def render_claims(validated: DataFrame) -> DataFrame:
-    """One text a gene: its accepted claims with their citations, in order."""
+    """One text a gene: its accepted claims with their citations, in order; without any, the abstention."""
     one = F.concat(F.col("claim"), F.lit(" ["), F.array_join("citations", ", "), F.lit("]"))
-    return validated.where("accepted").groupBy("gene_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_index", one.alias("t")))), lambda s: s["t"]), " ").alias("text"))
+    listed = F.sort_array(F.collect_list(F.when(F.col("accepted"), F.struct("claim_index", one.alias("t")))))
+    return validated.groupBy("gene_id").agg(F.when(F.size(listed) > 0, F.array_join(F.transform(listed, lambda s: s["t"]), " ")).otherwise(ABSTENTION).alias("text"))
 
 
-def claim_sheet(answers: DataFrame) -> DataFrame:
-    """(gene_id, claim_index, claim, refs): sentences of free-text answers with the chunks they cite."""
-    parts = answers.select("gene_id", F.posexplode(C.split_claims(F.col("answer"))).alias("claim_index", "claim"))
-    return parts.select("gene_id", (F.col("claim_index") + 1).alias("claim_index"), "claim", F.array_join(C.citation_refs(F.col("claim")), ";").alias("refs"))
+def evidence_text(chunks: DataFrame) -> DataFrame:
+    """(gene_id, retrieved_evidence): citation, source, section and text of a gene's chunks, in order of hit_rank."""
+    one = F.concat(F.lit("["), F.coalesce("citation_id", F.lit("")), F.lit("] "), F.coalesce("source", F.lit("")), F.lit(" \u2014 "), F.coalesce("section", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return chunks.groupBy("gene_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hit_rank", "citation_id", one.alias("t")))), lambda s: s["t"]), "\n\n").alias("retrieved_evidence"))
+
+
+def claim_sheet(answers: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """(gene_id, claim_id, claim_index, claim, refs, ...): one row a claim, with the chunks it cites.
+
+    ``answers`` has gene_id and ``answer``; where a column ``claims`` (array of structs with claim,
+    citations, evidence_level, relationship_to_query, species, conditions, confidence) has elements,
+    these are the claims. Else the answer's sentences are, without the abstention. ``chunks`` add
+    their texts as ``retrieved_evidence``.
+    """
+    parts = F.filter(C.split_claims(F.col("answer")), lambda c: c != ABSTENTION)
+    names = ("evidence_level", "relationship_to_query", "species", "confidence")
+    none = F.lit("")
+    free = F.transform(parts, lambda c: F.struct(F.trim(c).alias("claim"), F.array_join(C.citation_refs(c), ";").alias("refs"), none.alias("conditions"), *(none.alias(n) for n in names)))
+    if "claims" in answers.columns:
+        told = lambda x, n: F.coalesce(x[n], none).alias(n)
+        listed = F.transform("claims", lambda x: F.struct(F.trim(F.coalesce(x["claim"], none)).alias("claim"), F.array_join(F.coalesce(x["citations"], F.array().cast(_LIST)), ";").alias("refs"), F.array_join(F.coalesce(x["conditions"], F.array().cast(_LIST)), ";").alias("conditions"), *(told(x, n) for n in names)))
+        free = F.when(F.size(F.coalesce("claims", F.array())) > 0, listed).otherwise(free)
+    rows = answers.select("gene_id", F.posexplode(free).alias("_at", "c")).select("gene_id", (F.col("_at") + 1).alias("claim_index"), "c.*")
+    rows = rows.withColumn("claim_id", C.stable_id(F.col("gene_id").cast("string"), F.col("claim_index").cast("string"), F.col("claim")))
+    return rows if chunks is None else rows.join(evidence_text(chunks), "gene_id", "left").withColumn("retrieved_evidence", F.coalesce("retrieved_evidence", none))

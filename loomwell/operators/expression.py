@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import columns as C
+from loomwell.runtime import materialize
 
 GENE_META = "__"
+# The counter's own rows.
+META = ("__no_feature", "__ambiguous", "__too_low_aQual", "__not_aligned", "__alignment_not_unique")
 
 
 def drop_meta_rows(counts: DataFrame) -> DataFrame:
@@ -25,12 +30,14 @@ def filter_low_expression(counts: DataFrame, min_mean: float = 10) -> DataFrame:
     return counts.join(kept, "gene_id", "left_semi")
 
 
-def library_sizes(counts: DataFrame) -> DataFrame:
-    """Size of each sample, rank by size, mean, and whether it lies under mean - 2 * sd."""
+def library_sizes(counts: DataFrame, design: DataFrame | None = None) -> DataFrame:
+    """Size of each sample, rank by size, mean, and whether it lies under mean - 2 * sd; with its group, by a design."""
     sizes = counts.groupBy("sample_id").agg(F.sum("count").alias("size"))
     stats = sizes.agg(F.avg("size").alias("mean_size"), F.stddev_samp("size").alias("sd"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "sample_id")  # one row a sample
-    return sizes.join(F.broadcast(stats)).select("sample_id", "size", F.row_number().over(order).alias("rank"), "mean_size", (F.col("size") < F.col("mean_size") - 2 * F.col("sd")).alias("low_outlier"))
+    if design is not None:
+        sizes = sizes.join(design.select("sample_id", "grp").distinct(), "sample_id", "left")
+    return sizes.join(F.broadcast(stats)).select(*sizes.columns, F.row_number().over(order).alias("rank"), "mean_size", (F.col("size") < F.col("mean_size") - 2 * F.col("sd")).alias("low_outlier"))
 
 
 def count_qc(counts: DataFrame) -> DataFrame:
@@ -41,7 +48,7 @@ def count_qc(counts: DataFrame) -> DataFrame:
     def share(name: str) -> Column:
         return (F.sum(F.when(F.col("gene_id") == name, F.col("count")).otherwise(0)) / total).alias(name.strip("_") + "_share")
 
-    return counts.groupBy("sample_id").agg(F.sum(F.when(~meta, F.col("count")).otherwise(0)).alias("assigned"), share("__no_feature"), share("__ambiguous"))
+    return counts.groupBy("sample_id").agg(F.sum(F.when(~meta, F.col("count")).otherwise(0)).alias("assigned"), *map(share, META))
 
 
 def count_matrix(counts: DataFrame, samples: list[str]) -> DataFrame:
@@ -57,6 +64,7 @@ def tmm_factors(counts: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) ->
     The reference is the sample whose upper quartile of count / lib is nearest to the mean one
     (ties: first name). Genes counted in both samples take part. Ranks are average ranks.
     """
+    counts = materialize(counts.select("sample_id", "gene_id", "count"), "tmm-counts")  # read five times below
     libs = counts.groupBy("sample_id").agg(F.sum("count").alias("lib"))
     scaled = counts.where("count > 0").join(F.broadcast(libs), "sample_id")
     quartiles = scaled.groupBy("sample_id").agg(F.percentile(F.col("count") / F.col("lib"), F.lit(0.75)).alias("q"))
@@ -92,6 +100,34 @@ def cpm(counts: DataFrame, factors: DataFrame | None = None) -> DataFrame:
     return counts.join(F.broadcast(factors), "sample_id").withColumn("cpm", 1e6 * F.col("count") / (F.col("lib") * F.col("factor"))).select(*counts.columns, "cpm")
 
 
+def log_cpm(counts: DataFrame, factors: DataFrame | None = None, prior: float = 2.0) -> DataFrame:
+    """Adds ``log_cpm``: log2 of counts a million with a prior count in proportion to each library's size."""
+    if factors is None:
+        factors = counts.groupBy("sample_id").agg(F.sum("count").alias("lib")).withColumn("factor", F.lit(1.0))
+    sized = factors.withColumn("_lib", F.col("lib") * F.col("factor"))
+    sized = sized.join(F.broadcast(sized.agg(F.avg("_lib").alias("_mean")))).select("sample_id", "_lib", (prior * F.col("_lib") / F.col("_mean")).alias("_prior"))
+    value = F.log2((F.col("count") + F.col("_prior")) / (F.col("_lib") + 2 * F.col("_prior")) * 1e6)
+    return counts.join(F.broadcast(sized), "sample_id").withColumn("log_cpm", value).select(*counts.columns, "log_cpm")
+
+
+def ave_log_cpm(counts: DataFrame, factors: DataFrame | None = None, prior: float = 2.0) -> DataFrame:
+    """(gene_id, ave_log_cpm): log2 of the mean, over all samples, of counts a million with that prior; absent counts are 0."""
+    if factors is None:
+        factors = counts.groupBy("sample_id").agg(F.sum("count").alias("lib")).withColumn("factor", F.lit(1.0))
+    sized = factors.withColumn("_lib", F.col("lib") * F.col("factor"))
+    sized = sized.join(F.broadcast(sized.agg(F.avg("_lib").alias("_mean")))).withColumn("_prior", prior * F.col("_lib") / F.col("_mean"))
+    unit = 1e6 / (F.col("_lib") + 2 * F.col("_prior"))
+    every = sized.agg(F.sum(F.col("_prior") * unit).alias("_base"), F.count(F.lit(1)).alias("_samples"))
+    sums = counts.join(F.broadcast(sized.select("sample_id", unit.alias("_unit"))), "sample_id").groupBy("gene_id").agg(F.sum(F.col("count") * F.col("_unit")).alias("_sum"))
+    return sums.join(F.broadcast(every)).select("gene_id", F.log2((F.col("_sum") + F.col("_base")) / F.col("_samples")).alias("ave_log_cpm"))
+
+
+def log_count_values(counts: DataFrame) -> DataFrame:
+    """Adds log2, natural and decimal logarithms of count + 1."""
+    x = F.col("count") + 1
+    return counts.withColumns({"log2_count": F.log2(x), "ln_count": F.log(x.cast("double")), "log10_count": F.log10(x.cast("double"))})
+
+
 def log_counts(counts: DataFrame, bins: int = 20, high: float = 20.0) -> DataFrame:
     """Histogram of log2(cpm + 1) for each sample."""
     at = F.width_bucket(F.log2(F.col("cpm") + 1), F.lit(0.0), F.lit(high), F.lit(bins))
@@ -120,6 +156,68 @@ def sample_distance(values: DataFrame) -> DataFrame:
     return dots.select("sample_a", "sample_b", F.sqrt(F.greatest(F.lit(0.0), F.col("ss_a") + F.col("ss_b") - 2 * F.col("dot"))).alias("distance"))
 
 
+def sample_tree(distances: DataFrame, method: str = "average") -> DataFrame:
+    """(step, left, right, height, size): merges of the samples by average or complete linkage.
+
+    ``distances`` has (sample_a, sample_b, distance), one row a pair: some thousands of samples at most,
+    whose tree one task makes. A merged group goes by its first sample's name; ties by name.
+    """
+    if method not in ("average", "complete"):
+        raise ValueError("average or complete")
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([rows["sample_a"], rows["sample_b"]]))
+        far = np.full((len(names), len(names)), np.inf)
+        i, j = np.searchsorted(names, rows["sample_a"]), np.searchsorted(names, rows["sample_b"])
+        far[i, j] = far[j, i] = rows["distance"]
+        size, out = np.ones(len(names), int), []
+        for step in range(1, len(names)):
+            i, j = sorted(divmod(int(far.argmin()), len(names)))
+            height, both = far[i, j], size[i] + size[j]
+            joined = (size[i] * far[i] + size[j] * far[j]) / both if method == "average" else np.maximum(far[i], far[j])
+            far[i], far[:, i] = joined, joined
+            far[i, i] = far[j] = far[:, j] = np.inf
+            size[i] = both
+            out.append((step, names[i], names[j], height, both))
+        return pd.DataFrame(out, columns=["step", "left", "right", "height", "size"])
+
+    return distances.groupBy().applyInPandas(merge, "step long, left string, right string, height double, size long")
+
+
+def mds_coordinates(values: DataFrame, top: int = 500) -> DataFrame:
+    """(sample_id, x, y) by classical scaling of leading log fold changes.
+
+    ``values`` has (sample_id, gene_id, log_cpm) with a row for each sample and gene. The distance of
+    two samples is the root mean square of their ``top`` greatest differences; the matrix of these,
+    one row a pair of samples, is scaled in one task. The sign of an axis is that of its greatest part.
+    """
+    a, b = (values.select("gene_id", F.col("sample_id").alias(f"sample_{k}"), F.col("log_cpm").alias(f"v_{k}")) for k in "ab")
+    gaps = a.join(b, "gene_id").where("sample_a < sample_b").select("sample_a", "sample_b", "gene_id", F.pow(F.col("v_a") - F.col("v_b"), 2).alias("d"))
+    place = F.row_number().over(Window.partitionBy("sample_a", "sample_b").orderBy(F.desc("d"), "gene_id"))
+    leading = gaps.withColumn("n", place).where(F.col("n") <= top).groupBy("sample_a", "sample_b").agg(F.sqrt(F.avg("d")).alias("distance"))
+
+    def scale(rows: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([rows["sample_a"], rows["sample_b"]]))
+        d = np.zeros((len(names), len(names)))
+        i, j = np.searchsorted(names, rows["sample_a"]), np.searchsorted(names, rows["sample_b"])
+        d[i, j] = d[j, i] = rows["distance"]
+        centre = np.eye(len(names)) - 1 / len(names)
+        values, vectors = np.linalg.eigh(-centre @ (d * d) @ centre / 2)
+        order = np.argsort(-values)[:2]
+        at = vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
+        at = np.pad(at, ((0, 0), (0, 2 - at.shape[1])))
+        at *= np.where(at[np.abs(at).argmax(axis=0), range(2)] < 0, -1, 1)
+        return pd.DataFrame({"sample_id": names, "x": at[:, 0], "y": at[:, 1]})
+
+    return leading.groupBy().applyInPandas(scale, "sample_id string, x double, y double")
+
+
+def bcv_table(dispersions: DataFrame) -> DataFrame:
+    """(gene_id, ave, bcv, trend, common): square roots of the dispersions against mean abundance."""
+    root = lambda c, n: F.sqrt(c).alias(n)
+    return dispersions.select("gene_id", "ave", root("dispersion", "bcv"), root("trended", "trend"), root("common", "common"))
+
+
 def all_pairs(design: DataFrame) -> DataFrame:
     """All pairs of groups, by name, when no contrast is chosen."""
     g = design.select("grp").distinct()
@@ -186,12 +284,24 @@ def volcano(de: DataFrame, fdr: float = 0.05, lfc: float = 1.0) -> DataFrame:
     return de.withColumn("neg_log10_fdr", C.neg_log10(F.col("FDR"))).withColumn("class", kind)
 
 
-def venn_regions(de: DataFrame, contrasts: list[str]) -> DataFrame:
-    """Size of every exclusive region of 2 to 4 contrasts' strictly significant gene sets."""
+def ma_points(de: DataFrame, fdr: float = 0.05) -> DataFrame:
+    """(contrast, gene_id, a, m, significant): mean abundance, effect, and whether the FDR is within the limit."""
+    return de.select("contrast", "gene_id", F.col("logCPM").alias("a"), F.col("logFC").alias("m"), F.coalesce(F.col("FDR") <= fdr, F.lit(False)).alias("significant"))
+
+
+def venn_members(de: DataFrame, contrasts: list[str]) -> DataFrame:
+    """(gene_id, region) of the strictly significant genes of 2 to 4 contrasts, two of which de must have."""
     if not 2 <= len(contrasts) <= 4:
         raise ValueError("two to four contrasts are needed")
-    sets = significant_strict(de).where(F.col("contrast").isin(contrasts)).groupBy("gene_id").agg(F.array_join(F.sort_array(F.collect_set("contrast")), "&").alias("region"))
-    return sets.groupBy("region").agg(F.count(F.lit(1)).alias("genes"))
+    chosen = de.where(F.col("contrast").isin(contrasts))
+    if chosen.select("contrast").distinct().count() < 2:  # four rows at most
+        raise ValueError("fewer than two of the contrasts have rows")
+    return significant_strict(chosen).groupBy("gene_id").agg(F.array_join(F.sort_array(F.collect_set("contrast")), "&").alias("region"))
+
+
+def venn_regions(de: DataFrame, contrasts: list[str]) -> DataFrame:
+    """Size of every exclusive region of 2 to 4 contrasts' strictly significant gene sets."""
+    return venn_members(de, contrasts).groupBy("region").agg(F.count(F.lit(1)).alias("genes"))
 
 
 def heatmap_matrix(de: DataFrame, contrasts: list[str]) -> DataFrame:

@@ -19,9 +19,17 @@ def latest_job(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("user_id", "sample").agg(F.max_by(F.struct("id", "stage", "status"), F.struct("created_at", "id")).alias("j")).select("user_id", "sample", "j.*")
 
 
-def recent_jobs(jobs: DataFrame, stage: str, limit: int = 200) -> DataFrame:
-    """The newest ``limit`` jobs of a stage."""
-    return jobs.where(F.col("stage") == stage).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+def with_payload(jobs: DataFrame, field: str = "sra_code") -> DataFrame:
+    """Jobs with ``sample`` read from their JSON payload."""
+    return jobs.withColumn("sample", F.get_json_object("payload", f"$.{field}"))
+
+
+def recent_jobs(jobs: DataFrame, stage: str, limit: int = 200, status: str | None = None) -> DataFrame:
+    """The newest ``limit`` jobs of a stage, with a status (by its usual name), if one is given."""
+    chosen = jobs.where(F.col("stage") == stage)
+    if status is not None:
+        chosen = chosen.where(C.normalize_status(F.col("status")) == status)
+    return chosen.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
 def consecutive_dedup(lines: DataFrame) -> DataFrame:

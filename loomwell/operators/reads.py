@@ -17,13 +17,17 @@ def detect_phred(reads: DataFrame) -> DataFrame:
     return seen.select(F.when(F.col("lo") < 64, "phred33").when(F.col("hi") > 74, "phred64").otherwise("phred33").alias("encoding"), "lo", "hi")
 
 
-def trim_reads(reads: DataFrame, window: int = 4, q: int = 15, leading: int = 3, trailing: int = 3, minlen: int = 36, crop: int | None = None, headcrop: int = 0, offset: int = 33) -> DataFrame:
-    """Reads cut by a sliding window, weak ends, length, crop and head crop, in this order; lost ones go."""
+def trim_reads(reads: DataFrame, window: int = 4, q: int = 15, leading: int = 3, trailing: int = 3, minlen: int = 36, crop: int | None = None, headcrop: int = 0, avgqual: float = 0, offset: int = 33) -> DataFrame:
+    """Reads cut by a sliding window, weak ends, length, crop, head crop and mean quality, in this order; lost ones go.
+
+    Other columns stay, such as the mate that trim_pairs needs.
+    """
+    others = [c for c in reads.columns if c not in ("seq", "qual")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             keep = []
-            for rid, seq, qual in zip(f["read_id"], f["seq"], f["qual"]):
+            for at, (seq, qual) in enumerate(zip(f["seq"], f["qual"])):
                 v = np.frombuffer((qual or "").encode("latin-1"), np.uint8).astype(int) - offset
                 n = min(len(seq or ""), len(v))
                 if n >= window:
@@ -39,21 +43,33 @@ def trim_reads(reads: DataFrame, window: int = 4, q: int = 15, leading: int = 3,
                     if crop is not None:
                         b = min(b, a + crop)
                     a = min(b, a + headcrop)
-                    if b > a:
-                        keep.append((rid, seq[a:b], qual[a:b]))
-            yield pd.DataFrame(keep, columns=["read_id", "seq", "qual"])
+                    if b > a and v[a:b].mean() >= avgqual:
+                        keep.append((at, seq[a:b], qual[a:b]))
+            rows = [k[0] for k in keep]
+            texts = {n: pd.Series([k[i] for k in keep], dtype=object) for i, n in ((1, "seq"), (2, "qual"))}
+            yield pd.DataFrame({c: pd.Series(f[c].to_numpy()[rows], dtype=None if f[c].dtype.kind in "iuf" else object) for c in others} | texts)
+
+    rows = reads.select(*others, "seq", "qual")
+    return rows.mapInPandas(run, rows.schema)
 
-    return reads.select("read_id", "seq", "qual").mapInPandas(run, "read_id long, seq string, qual string")
+
+def trim_pairs(reads: DataFrame, **options) -> DataFrame:
+    """Trimmed reads of (read_id, mate, seq, qual) whose both mates are left; those that lost one go."""
+    mates = F.count(F.lit(1)).over(Window.partitionBy("read_id"))
+    return trim_reads(reads, **options).withColumn("_mates", mates).where(F.col("_mates") == 2).drop("_mates")
 
 
 def dedup_alignments(aln: DataFrame) -> DataFrame:
     """One alignment for each library, chromosome, five-prime end and strand: the best quality, then the least id.
 
+    Where there is a column ``mate_start``, pairs whose mates start elsewhere are apart (null: no mate).
+
     By an aggregate with partial results, so that a hot place makes no large group.
     """
     end = F.when(F.col("strand") == "-", F.col("end_at")).otherwise(F.col("start_at"))
     best = F.max_by(F.struct(*aln.columns), F.struct("qual_sum", (-F.col("read_id")).alias("r")))
-    return aln.groupBy("library", "chrom", end.alias("five_prime"), "strand").agg(best.alias("b")).select("b.*")
+    mate = ["mate_start"] if "mate_start" in aln.columns else []
+    return aln.groupBy("library", "chrom", end.alias("five_prime"), "strand", *mate).agg(best.alias("b")).select("b.*")
 
 
 def count_features(aln: DataFrame, features: DataFrame, min_mapq: int = 10, width: int = 1000) -> DataFrame:
@@ -86,3 +102,29 @@ def base_content(reads: DataFrame) -> DataFrame:
 def duplication_levels(reads: DataFrame) -> DataFrame:
     """How many distinct sequences occur how often."""
     return reads.groupBy("seq").agg(F.count(F.lit(1)).alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("sequences"))
+
+
+def read_profile(reads: DataFrame, offset: int = 33) -> DataFrame:
+    """(read_id, length, gc, mean_quality) of each read; gc is the share of G and C, null for an empty read."""
+    codes = F.transform(F.filter(F.split("qual", ""), lambda x: x != ""), lambda x: F.ascii(x) - offset)
+    total = F.aggregate(codes, F.lit(0), lambda a, x: a + x)
+    return reads.select("read_id", F.length("seq").alias("length"), F.try_divide(F.regexp_count("seq", F.lit("[GCgc]")), F.length("seq")).alias("gc"), F.try_divide(total, F.size(codes)).alias("mean_quality"))
+
+
+def quality_quantiles(reads: DataFrame, offset: int = 33) -> DataFrame:
+    """Lower quartile, median and upper quartile of the quality at each position (from 0), exactly.
+
+    By counts of each position and quality, so that a position's values are never gathered.
+    """
+    at = reads.select(F.posexplode(F.filter(F.split("qual", ""), lambda x: x != "")).alias("position", "c")).groupBy("position", (F.ascii("c") - offset).alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    below = F.sum("n").over(Window.partitionBy("position").orderBy("q"))
+    ranked = at.withColumn("upto", below).withColumn("all", F.sum("n").over(Window.partitionBy("position")))
+    quantile = lambda p, name: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p), F.col("q"))).alias(name)
+    return ranked.groupBy("position").agg(quantile(0.25, "q25"), quantile(0.5, "q50"), quantile(0.75, "q75"))
+
+
+def overrepresented(reads: DataFrame, share: float = 0.001) -> DataFrame:
+    """(seq, n, share) of the sequences that make more than ``share`` of all reads."""
+    counted = reads.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    total = reads.agg(F.count(F.lit(1)).alias("_all"))
+    return counted.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_all")).where(F.col("share") > share).drop("_all")

@@ -8,6 +8,7 @@ from loomwell.functions import columns as C
 from loomwell.operators import expression as X
 from loomwell.operators import nb as NB
 from loomwell.plans.inputs import duck, table
+from loomwell.runtime import materialize
 
 PAIRS = ["A_vs_B", "A_vs_C", "B_vs_C"]
 SAMPLES = [f"S{i}" for i in range(12)]
@@ -43,11 +44,11 @@ def contrast_logfc(spark, d):
 
 
 def library_sizes(spark, d):
-    return _R6(X.library_sizes(X.drop_meta_rows(table(spark, d, "counts"))), "mean_size")
+    return _R6(X.library_sizes(X.drop_meta_rows(table(spark, d, "counts")), table(spark, d, "design")), "mean_size")
 
 
 def count_qc(spark, d):
-    return _R6(X.count_qc(table(spark, d, "counts")), "no_feature_share", "ambiguous_share")
+    return _R6(X.count_qc(table(spark, d, "counts")), "no_feature_share", "ambiguous_share", "too_low_aQual_share", "not_aligned_share", "alignment_not_unique_share")
 
 
 def count_matrix(spark, d):
@@ -126,6 +127,42 @@ def search_rows(spark, d):
     return X.search_rows(table(spark, d, "de"), "GENE-12").select("contrast", "gene_id", "logFC")
 
 
+def venn_members(spark, d):
+    return X.venn_members(table(spark, d, "de"), PAIRS)
+
+
+def ma_points(spark, d):
+    return X.ma_points(table(spark, d, "de"))
+
+
+def log_cpm(spark, d):
+    return _R6(X.log_cpm(_filtered(spark, d)), "log_cpm")
+
+
+def ave_log_cpm(spark, d):
+    return _R6(X.ave_log_cpm(_filtered(spark, d)), "ave_log_cpm")
+
+
+def log_count_values(spark, d):
+    return _R6(X.log_count_values(_filtered(spark, d)), "log2_count", "ln_count", "log10_count")
+
+
+def sample_trees(spark, d):
+    """Merges of the samples by average and by complete linkage."""
+    far = materialize(X.sample_distance(X.cpm(_filtered(spark, d))), "distances")
+    return _R6(X.sample_tree(far).withColumn("method", F.lit("average")).unionByName(X.sample_tree(far, "complete").withColumn("method", F.lit("complete"))), "height")
+
+
+def mds_coordinates(spark, d):
+    return _R6(X.mds_coordinates(X.log_cpm(_filtered(spark, d))), "x", "y")
+
+
+def bcv_table(spark, d):
+    counts, groups = _filtered(spark, d), table(spark, d, "design")
+    design = NB.design_of(X.tmm_factors(counts), groups)
+    return _R6(X.bcv_table(NB.estimate_dispersion(NB.gene_arrays(counts, design.samples), design)), "ave", "bcv", "trend", "common")
+
+
 def nb_dispersion(spark, d):
     counts, groups = _filtered(spark, d), table(spark, d, "design")
     design = NB.design_of(X.tmm_factors(counts), groups)
@@ -143,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (up_down_by_contrast, low_expression_filter, contrast_logfc, library_sizes, count_qc, count_matrix, tmm_factors, cpm, log_count_histogram, sample_correlation, sample_distance, group_pairs,
               significant_genes, significant_genes_strict, up_down_counts, up_down_long, bh_fdr, top_tags, volcano, venn_regions, heatmap_matrix, subset_contrasts, delete_contrasts, search_rows,
-              nb_dispersion, differential_expression)
+              venn_members, ma_points, log_cpm, ave_log_cpm, log_count_values, sample_trees, mds_coordinates, bcv_table, nb_dispersion, differential_expression)
 }
 
 _TMM = _FILTERED + """, l AS (SELECT sample_id, sum(count) AS lib FROM f GROUP BY sample_id), s AS (SELECT f.*, lib FROM f JOIN l USING (sample_id) WHERE count > 0),
@@ -161,9 +198,12 @@ _SQL = {
     "low_expression_filter": f"WITH {_FILTERED} SELECT sample_id, gene_id, count FROM f",
     "contrast_logfc": f"WITH {_CONTRAST} SELECT contrast, gene_id, round(logFC, 6) AS logFC FROM lf",
     "library_sizes": """WITH z AS (SELECT sample_id, sum(count)::BIGINT AS size FROM {counts} WHERE NOT starts_with(gene_id, '__') GROUP BY sample_id)
-      SELECT sample_id, size, row_number() OVER (ORDER BY size DESC, sample_id) AS rank, round((SELECT avg(size) FROM z), 6) AS mean_size, size < (SELECT avg(size) - 2 * stddev_samp(size) FROM z) AS low_outlier FROM z""",
+      SELECT sample_id, size, grp, row_number() OVER (ORDER BY size DESC, sample_id) AS rank, round((SELECT avg(size) FROM z), 6) AS mean_size, size < (SELECT avg(size) - 2 * stddev_samp(size) FROM z) AS low_outlier FROM z JOIN {design} USING (sample_id)""",
     "count_qc": """SELECT sample_id, sum(CASE WHEN starts_with(gene_id, '__') THEN 0 ELSE count END)::BIGINT AS assigned, round(sum(CASE WHEN gene_id = '__no_feature' THEN count ELSE 0 END) / sum(count), 6) AS no_feature_share,
-      round(sum(CASE WHEN gene_id = '__ambiguous' THEN count ELSE 0 END) / sum(count), 6) AS ambiguous_share FROM {counts} GROUP BY sample_id""",
+      round(sum(CASE WHEN gene_id = '__ambiguous' THEN count ELSE 0 END) / sum(count), 6) AS ambiguous_share,
+      round(sum(CASE WHEN gene_id = '__too_low_aQual' THEN count ELSE 0 END) / sum(count), 6) AS too_low_aQual_share,
+      round(sum(CASE WHEN gene_id = '__not_aligned' THEN count ELSE 0 END) / sum(count), 6) AS not_aligned_share,
+      round(sum(CASE WHEN gene_id = '__alignment_not_unique' THEN count ELSE 0 END) / sum(count), 6) AS alignment_not_unique_share FROM {counts} GROUP BY sample_id""",
     "count_matrix": "SELECT gene_id, " + ", ".join(f"coalesce(sum(CASE WHEN sample_id = '{s}' THEN count END), 0)::BIGINT AS {s}" for s in SAMPLES) + " FROM {counts} WHERE NOT starts_with(gene_id, '__') GROUP BY gene_id",
     "tmm_factors": "WITH " + _TMM,
     "cpm": f"WITH {_CPM} SELECT sample_id, gene_id, count, round(cpm, 6) AS cpm FROM p",
@@ -181,6 +221,12 @@ _SQL = {
       SELECT contrast, gene_id, PValue, round(min(least(1.0, PValue * n / k)) OVER (PARTITION BY contrast ORDER BY PValue DESC), 6) AS FDR FROM r""",
     "top_tags": "SELECT contrast, gene_id, PValue, rank FROM (SELECT *, row_number() OVER (PARTITION BY contrast ORDER BY PValue, gene_id) AS rank FROM {de}) WHERE rank <= 50",
     "volcano": "SELECT contrast, gene_id, round(-log10(greatest(FDR, 1e-300)), 6) AS neg_log10_fdr, CASE WHEN FDR <= 0.05 AND logFC >= 1 THEN 'up' WHEN FDR <= 0.05 AND logFC <= -1 THEN 'down' ELSE 'none' END AS class FROM {de}",
+    "venn_members": "SELECT gene_id, string_agg(DISTINCT contrast, '&' ORDER BY contrast) AS region FROM {de} WHERE FDR < 0.05 AND abs(logFC) > 1 GROUP BY gene_id",
+    "ma_points": "SELECT contrast, gene_id, logCPM AS a, logFC AS m, FDR <= 0.05 AS significant FROM {de}",
+    "log_cpm": "WITH " + _CPM + ", z AS (SELECT *, 2 * lib / (SELECT avg(lib) FROM l) AS prior FROM l) SELECT gene_id, sample_id, count, round(log2((count + prior) / (lib + 2 * prior) * 1e6), 6) AS log_cpm FROM f JOIN z USING (sample_id)",
+    "ave_log_cpm": "WITH " + _CPM + """, z AS (SELECT *, 2 * lib / (SELECT avg(lib) FROM l) AS prior FROM l), g AS (SELECT DISTINCT gene_id FROM f),
+      y AS (SELECT g.gene_id, (coalesce(f.count, 0) + prior) / (z.lib + 2 * prior) * 1e6 AS v FROM g CROSS JOIN z LEFT JOIN f ON f.gene_id = g.gene_id AND f.sample_id = z.sample_id) SELECT gene_id, round(log2(avg(v)), 6) AS ave_log_cpm FROM y GROUP BY gene_id""",
+    "log_count_values": "WITH " + _FILTERED + " SELECT gene_id, sample_id, count, round(log2(count + 1), 6) AS log2_count, round(ln(count + 1), 6) AS ln_count, round(log10(count + 1), 6) AS log10_count FROM f",
     "venn_regions": "WITH s AS (SELECT gene_id, string_agg(DISTINCT contrast, '&' ORDER BY contrast) AS region FROM {de} WHERE FDR < 0.05 AND abs(logFC) > 1 GROUP BY gene_id) SELECT region, count(*) AS genes FROM s GROUP BY region",
     "heatmap_matrix": "SELECT gene_id, " + ", ".join(f"coalesce(max(CASE WHEN contrast = '{c}' THEN logFC END), 0) AS \"{c}\"" for c in PAIRS) + " FROM {de} WHERE FDR <= 0.05 AND abs(logFC) >= 1 GROUP BY gene_id",
     "subset_contrasts": "SELECT contrast, gene_id, logFC FROM {de} WHERE contrast = 'A_vs_B'",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import columns as C
 from loomwell.operators import annotation as A
 from loomwell.operators import clustering as K
+from loomwell.operators import retrieval as T
 from loomwell.plans.inputs import duck, table
 
 _NAMES, _GO = ("name_gff", "uniprot_names"), ("bp", "mf")
@@ -90,6 +92,22 @@ def clean_go_annotations(spark, d):
     return table(spark, d, "genes").select("gene_id", C.drop_go_segments(F.col("bp"), bad).alias("bp"))
 
 
+def invalid_go_dropped(spark, d):
+    bad = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("GO:"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("go_id"))
+    return A.drop_invalid_go(table(spark, d, "genes").select("gene_id", "bp"), "gene_id", "bp", bad)
+
+
+def gff_maps(spark, d):
+    m = C.gff_map(C.gff_attributes(F.concat_ws(";", "attributes", F.lit("Name=last"))))
+    return table(spark, d, "gff_lines").select("line_no", F.size(m).cast("long").alias("n"), F.element_at(m, F.lit("Name")).alias("name"))
+
+
+def selected_genes(spark, d):
+    c = table(spark, d, "genes").withColumn("selected_for_search", F.when(F.col("pvalue") < 0.1, "True").otherwise("no"))
+    ranked = c.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pvalue", "gene_id")))
+    return T.selected_genes(ranked).select("gene_id", "rank")
+
+
 def clean_genes(spark, d):
     return K.clean_genes(table(spark, d, "genes"), _NAMES, "uniprot_function", _GO).select("gene_id", "direction", "useful_name")
 
@@ -186,7 +204,7 @@ def target_conflicts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (gff_fields, gff_feature_counts, gff_attribute_profile, normalize_strand, normalize_ids, resolve_id_attribute, annotate_with_gff, best_uniprot_hit, annotate_with_uniprot, unique_queries,
-              top_go_terms, top_go_terms_by_ontology, split_go_valid, split_go_invalid, unique_gene2go, go_labels, clean_go_annotations, clean_genes, normalize_de_table, primary_names, name_terms, go_closure, term_similarity,
+              top_go_terms, top_go_terms_by_ontology, split_go_valid, split_go_invalid, unique_gene2go, go_labels, clean_go_annotations, invalid_go_dropped, gff_maps, selected_genes, clean_genes, normalize_de_table, primary_names, name_terms, go_closure, term_similarity,
               gene_similarity, semantic_clusters, cluster_silhouettes, renumber_clusters, cluster_metrics, cluster_representatives, cluster_summary, final_cluster_table, prioritized_genes, coverage_funnel,
               heaviest_targets, target_conflicts)
 }
@@ -246,6 +264,10 @@ _SQL = {
     "go_labels": r"""WITH s AS (SELECT gene_id, list_filter(list_transform(string_split(bp || '; ' || mf || '; ' || bp, ';'), lambda x: trim(regexp_replace(x, '\s*\[GO:[0-9]+\]\s*', '', 'g'))), lambda x: x <> '') AS l, len(regexp_extract_all(bp || ';' || mf, 'GO:[0-9]+')) AS n FROM {genes})
       SELECT gene_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS labels, n FROM s""",
     "clean_go_annotations": "SELECT gene_id, array_to_string(list_filter(list_transform(string_split(bp, ';'), lambda x: trim(x)), lambda x: x <> '' AND NOT list_has_any(regexp_extract_all(x, 'GO:[0-9]+'), list_transform(range(64, 80), lambda i: 'GO:' || lpad(i::VARCHAR, 7, '0')))), '; ') AS bp FROM {genes}",
+    "invalid_go_dropped": """WITH b AS (SELECT list('GO:' || lpad(p_partkey::VARCHAR, 7, '0')) AS bad FROM {part} WHERE p_partkey % 5 = 0)
+      SELECT gene_id, array_to_string(list_filter(list_transform(string_split(bp, ';'), lambda x: trim(x)), lambda x: x <> '' AND NOT list_has_any(regexp_extract_all(x, 'GO:[0-9]+'), bad)), '; ') AS bp FROM {genes}, b""",
+    "gff_maps": "SELECT line_no, CASE WHEN starts_with(attributes, 'ID=') THEN 3 ELSE 4 END AS n, 'last' AS name FROM {gff_lines}",
+    "selected_genes": "SELECT gene_id, rank FROM (SELECT *, row_number() OVER (ORDER BY pvalue, gene_id) AS rank FROM {genes}) WHERE pvalue < 0.1",
     "clean_genes": f"SELECT gene_id, CASE WHEN log2FoldChange > 0 THEN 'upregulated' ELSE 'downregulated' END AS direction, {_USEFUL('name_gff')} OR {_USEFUL('uniprot_names')} AS useful_name " + _CLEAN,
     "normalize_de_table": "SELECT gene_id, round(logFC, 6) AS log2FoldChange, PValue AS pvalue, FDR AS padj, gene_id AS name_gff FROM {de}",
     "primary_names": r"SELECT gene_id, coalesce(nullif(trim(regexp_replace(uniprot_names, '(?s)\s*[\(\[].*$', '')), ''), name_gff, gene_id) AS primary_name FROM {genes}",

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwell.runtime import fresh_path
+from loomwell.runtime import fresh_path, materialize
+
+
+def _in_order(row: Column | None = None) -> Column:
+    """A row's place over all files: file name, where its block starts, and the row's number in the read."""
+    return F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), (F.monotonically_increasing_id() if row is None else row).alias("row"))
 
 
 def _stem(pattern: str = r"([^/]+?)(\.[^./]+)?$") -> Column:
@@ -19,8 +24,11 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
-    """GFF, GFF3 and GTF lines of nine fields; comments and shorter lines go. line_no keeps the order."""
-    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
+    """GFF, GFF3 and GTF lines of nine fields; comments and shorter lines go.
+
+    ``line_no``, a struct of file, block and row, is in the order of the lines, over many files too.
+    """
+    raw = spark.read.text(path).select("value", _in_order().alias("line_no"))
     parts = F.split(F.trim("value"), "\t")
     rows = raw.where(~F.col("value").startswith("#")).select("line_no", parts.alias("p")).where(F.size("p") >= 9)
     return rows.select("line_no", *(F.col("p")[i].alias(n) for i, n in enumerate(("seqid", "source", "feature"))), F.col("p")[3].try_cast("long").alias("start_at"), F.col("p")[4].try_cast("long").alias("end_at"), F.col("p")[5].alias("score"), F.col("p")[6].alias("strand"), F.col("p")[7].alias("phase"), F.col("p")[8].alias("attributes"))
@@ -52,18 +60,23 @@ def read_eval_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rag_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of results, one row an element."""
+    """A JSON array of results, one row an element; lists in it stay arrays (see rag_chunks)."""
     return spark.read.option("multiLine", True).schema(schema).json(path)
 
 
+def rag_chunks(results: DataFrame, keys: tuple[str, ...] = ("gene_id",), column: str = "chunks") -> DataFrame:
+    """One row for each element of a list of structs, with ``keys`` and its place (from 1) as ``hit_rank``."""
+    return results.select(*keys, F.posexplode(column).alias("_at", "_x")).select(*keys, (F.col("_at") + 1).alias("hit_rank"), "_x.*")
+
+
 def read_go(spark: SparkSession, terms: str, edges: str) -> tuple[DataFrame, DataFrame]:
     """Ontology terms (go_id, ontology) and edges (child, parent, relation, ontology) from CSV files."""
     return spark.read.schema("go_id string, ontology string").option("header", True).csv(terms), spark.read.schema("child string, parent string, relation string, ontology string").option("header", True).csv(edges)
 
 
 def read_uniprot_hits(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated table of hits; header names kept, ``hit_pos`` added in order."""
-    return spark.read.option("sep", "\t").option("header", True).csv(path).withColumn("hit_pos", F.monotonically_increasing_id())
+    """A tab-separated table of hits; header names kept, ``hit_pos`` (file, block, row) added in order."""
+    return spark.read.option("sep", "\t").option("header", True).csv(path).withColumn("hit_pos", _in_order())
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -77,8 +90,29 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return rules.union(aliases)
 
 
-def export_index(chunks: DataFrame, doc_count: int, path: str) -> None:
-    """Chunks and a one-row manifest; refused when the number of chunks isn't the model's doc_count."""
+def read_phrases(spark: SparkSession, path: str) -> DataFrame:
+    """(label, phrase) of a pattern file, a JSON object with lists of species, protein-family and ontology terms."""
+    kind = "struct<species_terms:array<string>,protein_family_terms:array<string>,go_terms:array<string>>"
+    row = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("p"))
+    labels = (("SPECIES", "species_terms"), ("PROTEIN_FAMILY", "protein_family_terms"), ("GO_TERM", "go_terms"))
+    lists = F.array(*(F.struct(F.lit(label).alias("label"), F.coalesce(f"p.{c}", F.array().cast("array<string>")).alias("t")) for label, c in labels))
+    long = row.select(F.explode(lists).alias("x")).select("x.label", F.explode("x.t").alias("phrase"))
+    return long.where(F.trim("phrase") != "").distinct()
+
+
+def read_entities(spark: SparkSession, path: str) -> DataFrame:
+    """Entity resolution (a JSON object by gene): stable ids, symbols and orthologs as arrays, null ones empty."""
+    kind = "map<string,struct<stable_ids:array<string>,aliases:array<string>,orthologs:array<string>,paralogs:array<string>>>"
+    genes = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("gene_id", "p"))
+    return genes.select("gene_id", *(F.coalesce(f"p.{c}", F.array().cast("array<string>")).alias(c) for c in ("stable_ids", "aliases", "orthologs", "paralogs")))
+
+
+def export_index(chunks: DataFrame, doc_count: int, path: str, model: DataFrame | None = None) -> None:
+    """Chunks, the BM25 model, if given, and a one-row manifest; refused when the chunks aren't doc_count.
+
+    All is written beside ``path`` first, so a crash leaves an earlier export as it was; then the
+    folder takes its place by a rename.
+    """
     spark = chunks.sparkSession
     staged = fresh_path(spark, "index")
     chunks.write.parquet(staged)
@@ -87,8 +121,23 @@ def export_index(chunks: DataFrame, doc_count: int, path: str) -> None:
         raise ValueError(f"the index has {n} chunks, the model {doc_count} documents")
     ready = spark.read.parquet(staged)
     digest = ready.agg(F.bit_xor(F.xxhash64(*ready.columns)).alias("x")).first()["x"]
-    ready.write.mode("overwrite").parquet(f"{path}/chunks")
-    spark.createDataFrame([(n, digest)], "chunks long, digest long").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    beside = f"{path.rstrip('/')}.staged"
+    ready.write.mode("overwrite").parquet(f"{beside}/chunks")
+    if model is not None:
+        model.write.mode("overwrite").parquet(f"{beside}/model")
+    spark.createDataFrame([(n, digest)], "chunks long, digest long").coalesce(1).write.mode("overwrite").json(f"{beside}/manifest")
+    jvm, hadoop = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, final = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    files = final.getFileSystem(hadoop)
+    if files.exists(final):
+        files.delete(final, True)
+    if not files.rename(new, final):
+        raise OSError(f"{beside} could not be renamed to {path}")
+
+
+def import_model(spark: SparkSession, path: str) -> DataFrame:
+    """The BM25 model of an exported index."""
+    return spark.read.parquet(f"{path}/model")
 
 
 def import_index(spark: SparkSession, path: str) -> DataFrame:
@@ -104,11 +153,19 @@ def import_index(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """Reads of four-line records as (read_id, mate, seq, qual); the mate is told by the file's name.
 
-    Each file is read as a whole, because only a line's number tells a header from a quality line,
-    so runs should come in many files of moderate size; records of a file stay in order.
+    Files may be large: they are read in blocks, line by line. Only a line's number in its file tells a
+    header from a quality line, so the lines of the blocks before are counted first (a row a block),
+    and each line's number follows from its block and its place there; the four lines of a record
+    then meet by file and record number.
     """
-    files = spark.read.text(path, wholetext=True).select("value", F.when(F.input_file_name().rlike(r"_R?2[._]"), 2).otherwise(1).alias("mate"))
-    lines = files.select("mate", F.split(F.regexp_replace("value", r"(\r?\n)+$", ""), r"\r?\n").alias("l")).where(F.size("l") >= 4)
-    records = F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1), lambda i: F.struct(F.get("l", i * 4).alias("h"), F.get("l", i * 4 + 1).alias("seq"), F.get("l", i * 4 + 3).alias("qual")))
-    rows = lines.select("mate", F.explode(records).alias("r"))
-    return rows.select(F.regexp_extract("r.h", r"^@(\S+)", 1).alias("read_id"), "mate", "r.seq", "r.qual")
+    mate = F.when(F.col("file").rlike(r"_R?2[._]"), 2).otherwise(1)
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("row"))
+    lines = materialize(lines, "fastq-lines")
+    blocks = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    placed = lines.join(F.broadcast(blocks.withColumn("before", F.coalesce(before, F.lit(0)))), ["file", "start"])
+    line = F.col("before") + F.col("row") - F.col("first")
+    numbered = placed.select("file", F.floor(line / 4).alias("record"), (line % 4).alias("at"), "value")
+    pick = lambda i: F.max(F.when(F.col("at") == i, F.col("value")))
+    records = numbered.groupBy("file", "record").agg(pick(0).alias("h"), pick(1).alias("seq"), pick(3).alias("qual")).where("h IS NOT NULL AND qual IS NOT NULL")
+    return records.select(F.regexp_extract("h", r"^@(\S+)", 1).alias("read_id"), mate.alias("mate"), "seq", "qual")

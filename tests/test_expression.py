@@ -77,3 +77,29 @@ def test_equal_groups_have_no_ratio(spark):
     assert rows["up"].logFC == pytest.approx(math.log2(10), abs=0.1) and rows["up"].PValue < 0.01
     with pytest.raises(ValueError, match="Z"):
         nb.glm_lrt(genes, design, [("A", "Z")])
+
+
+def test_sample_trees_and_scaling(spark):
+    d = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 4.0), ("b", "c", 6.0), ("a", "d", 9.0), ("b", "d", 9.0), ("c", "d", 2.0)], "sample_a string, sample_b string, distance double")
+    got = {m: [tuple(r) for r in X.sample_tree(d, m).orderBy("step").collect()] for m in ("average", "complete")}
+    assert got["average"] == [(1, "a", "b", 1.0, 2), (2, "c", "d", 2.0, 2), (3, "a", "c", 7.0, 4)]
+    assert got["complete"][-1] == (3, "a", "c", 9.0, 4)
+    rows = [(s, g, float(v)) for s, vs in (("a", (0, 0)), ("b", (3, 0)), ("c", (0, 4))) for g, v in enumerate(vs)]
+    at = {r.sample_id: (r.x, r.y) for r in X.mds_coordinates(spark.createDataFrame(rows, "sample_id string, gene_id int, log_cpm double")).collect()}
+    far = lambda p, q: sum((x - y) ** 2 for x, y in zip(at[p], at[q]))
+    assert [round(far(*p) * 2, 9) for p in ("ab", "ac", "bc")] == [9, 16, 25]
+
+
+def test_venn_needs_two_contrasts_with_rows(spark):
+    de = spark.createDataFrame([("x", "g", 2.0, 0.01), ("y", "g", 2.0, 0.01), ("y", "h", -2.0, 0.01)], "contrast string, gene_id string, logFC double, FDR double")
+    assert {tuple(r) for r in X.venn_members(de, ["x", "y"]).collect()} == {("g", "x&y"), ("h", "y")}
+    with pytest.raises(ValueError):
+        X.venn_regions(de, ["x", "z"])
+
+
+def test_kappa_takes_the_last_label(spark):
+    from loomwell.operators import evaluation as V
+
+    rows = [(1, "a", "yes", 1), (1, "a", "no", 2), (1, "b", "no", 1), (2, "a", "yes", 1), (2, "b", "yes", 1)]
+    r = V.pairwise_kappa(spark.createDataFrame(rows, "item int, annotator string, label string, seq int")).first()
+    assert (r["items"], r.kappa) == (2, 1.0)

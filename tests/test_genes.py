@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,60 @@ def test_candidate_order(spark):
 def test_conflicts(spark):
     c = spark.createDataFrame([(1, "A(s1;s2)*B(s2;s3)"), (2, "C(s3)*D(s4)")], "id int, name string")
     assert {(r.sample_id, r.kind) for r in A.target_conflicts(c).collect()} >= {("s2", "within"), ("s3", "across")}
+
+
+def brute_linkage(rows, limit):
+    """Groups that are each other's nearest merge, round by round (ties: by name)."""
+    sim = {frozenset(r[:2]): r[2] for r in rows if r[2] >= limit}
+    groups = {g: [g] for pair in sim for g in pair}
+    least = lambda x, y: min(sim.get(frozenset((p, q)), -1) for p in groups[x] for q in groups[y])
+    while True:
+        near = {x: min(((-least(x, y), y) for y in groups if y != x and least(x, y) >= limit), default=None) for x in groups}
+        pairs = [(x, near[x][1]) for x in groups if near[x] and x < near[x][1] and near[near[x][1]][1] == x]
+        if not pairs:
+            return {g: i for i, x in enumerate(sorted(groups), 1) for g in groups[x]}
+        for x, y in pairs:
+            groups[x] += groups.pop(y)
+
+
+def test_linkage_of_small_and_large_components(spark):
+    rng = random.Random(3)
+    rows = [(f"g{i:02d}", f"g{j:02d}", round(rng.random() ** 0.4 if i // 6 == j // 6 else rng.random() * 0.7, 2)) for i in range(30) for j in range(i + 1, 30) if rng.random() < 0.9]
+    p = spark.createDataFrame(rows, "gene_a string, gene_b string, sim double")
+    want = brute_linkage(rows, 0.5)
+    for local in (2000, 2):
+        assert {r.gene_id: r.cluster for r in K.complete_linkage(p.repartition(3), 0.5, 1, local=local).collect()} == want
+
+
+def test_semantic_clusters_keep_keys_apart(spark):
+    rows = [(o, d, a, b, s) for o, s in (("BP", 0.55), ("MF", 0.55), ("CC", 0.9)) for d in ("up", "down") for a, b in ("ab", "ac", "bc")]
+    p = spark.createDataFrame(rows, "ontology string, direction string, gene_a string, gene_b string, sim double")
+    genes = p.select("ontology", "direction").distinct().join(spark.createDataFrame([(g,) for g in "abcd"], "gene_id string"))
+    got = {(r.ontology, r.direction, r.gene_id): (r.cluster, r.cluster_size, r.cluster_silhouette) for r in K.semantic_clusters(genes, p).collect()}
+    for (o, _, g), v in got.items():
+        assert v == ((1, 3, None) if o != "MF" and g != "d" else (-1, None, None))
+    assert len(got) == 24 and K.semantic_clusters(genes.limit(0), p.limit(0)).count() == 0
+
+
+def test_silhouettes_against_brute_force(spark):
+    rng = random.Random(9)
+    names = [f"g{i}" for i in range(14)]
+    label = {n: rng.choice([1, 1, 2, 3, -1]) for n in names}
+    sim = {(a, b): rng.random() for a in names for b in names if a < b and rng.random() < 0.5}
+    got = {r.gene_id: r.silhouette for r in K.silhouettes(spark.createDataFrame([(*k, v) for k, v in sim.items()], "gene_a string, gene_b string, sim double"), spark.createDataFrame(list(label.items()), "gene_id string, cluster long")).collect()}
+    far = lambda x, y: 1 - sim.get((min(x, y), max(x, y)), 0)
+    for x, c in label.items():
+        if c == -1:
+            assert x not in got
+            continue
+        mean = {k: [far(x, y) for y in names if y != x and label[y] == k] for k in set(label.values()) - {-1}}
+        b = min(sum(v) / len(v) for k, v in mean.items() if k != c)
+        a = sum(mean[c]) / len(mean[c]) if mean[c] else None
+        assert got[x] == pytest.approx(0 if a is None else (b - a) / max(a, b))
+
+
+def test_search_query_of_name_and_labels(spark):
+    reps = spark.createDataFrame([("g", "MF", "up", 2, 0.5, 0.4, "binding [GO:1]"), ("g", "BP", "up", 1, 0.7, 0.2, "growth [GO:2]; step [GO:3]; growth [GO:4]; last [GO:5]")], "gene_id string, ontology string, direction string, cluster int, centrality double, mean_silhouette double, go_terms string")
+    genes = spark.createDataFrame([("g", 0.01, 2.0, "Kinase X (KX1) [Fragment]")], "gene_id string, padj double, log2FoldChange double, uniprot_names string")
+    r = K.prioritize(reps, genes).first()
+    assert r.search_query == "Kinase X, growth, step, last" and r.represented_clusters == "BP:up:1; MF:up:2" and r.selected_for_search

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,126 @@ def test_dictionary_phrases_of_all_lengths(spark):
     got = literature.dictionary_mentions(chunks, spark.createDataFrame(phrases, "label string, phrase string")).collect()
     assert [(r.chunk_id, r.label, sorted(r.mentions)) for r in got] == [(1, "x", sorted(p for _, p in phrases))]
     assert literature.dictionary_mentions(chunks, spark.createDataFrame([], "label string, phrase string")).count() == 0
+
+
+def test_dense_search_of_many_queries_is_that_of_few(spark):
+    import numpy as np
+
+    from loomwell.operators import retrieval
+
+    x = np.random.default_rng(2).normal(size=(300, 6)).round(2)
+    rows = spark.createDataFrame([(f"v{i:03d}", [float(v) for v in r]) for i, r in enumerate(x)] + [("zero", [0.0] * 6), ("none", None)], "vec_id string, embedding array<double>")
+    asked = rows.select(F.col("vec_id").alias("query_id"), "embedding")
+    few, many = (sorted(map(tuple, retrieval.dense_topk(rows, asked, 5, block=40, most=m, part=70).collect())) for m in (1000, 1))
+    assert few == many and len(few) == 301 * 5
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = (unit[7] @ unit.T).round(9)
+    assert [r[1] for r in sorted((r for r in few if r[0] == "v007"), key=lambda r: r[3])] == [f"v{i:03d}" for i in np.lexsort((np.arange(300), -scores))[:5]]
+
+
+def test_sparse_search_is_exact_without_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(c, t, round(rng.random() * (0.01 if t == "the" else 1), 6)) for c in range(120) for t in ("the", *rng.sample("abcdefghij", 3))]
+    queries = [(q, t, 1.0) for q in range(5) for t in ("the", *rng.sample("abcdefghij", 2))] + [(9, "unknown", 1.0)]
+    weights = spark.createDataFrame(rows, "chunk_id long, token string, weight double")
+    asked = spark.createDataFrame(queries, "chunk_id long, token string, weight double")
+    want = {}
+    for q in range(5):
+        own = {t for a, t, _ in queries if a == q}
+        score = {}
+        for c, t, w in rows:
+            if t in own:
+                score[c] = score.get(c, 0) + w
+        want |= {(q, c): i for i, c in enumerate(sorted(score, key=lambda c: (-round(score[c], 9), c))[:4], 1)}
+    for most in (1000, 0):
+        assert {(r.query_id, r.chunk_id): r["rank"] for r in L.sparse_topk(asked, weights, 4, probe=1, most=most).collect()} == want
+
+
+def test_sections_and_chunks(spark):
+    text = "intro one.\n# First  #\nbody a.\nbody b.\n\n## \n## References\nx\n### Third\n"
+    got = L.split_sections(spark.createDataFrame([("d", text), ("e", None), ("f", "")], "source string, text string")).orderBy("section_index").collect()
+    assert [(r.section, r.level, r.text) for r in got] == [("Article", 1, "intro one."), ("First", 1, "First\nbody a.\nbody b.\n\n## "), ("References", 2, "References\nx"), ("Third", 3, "Third\n")]
+    body = " ".join(f"word{i} w w w." for i in range(20))
+    chunks = L.chunk_articles(spark.createDataFrame([("d", "# Results\n" + body)], "source string, text string"), target_words=20, overlap=1, min_words=5).orderBy("chunk_index").collect()
+    assert chunks[0].text == "Results word0 w w w. " + " ".join(f"word{i} w w w." for i in range(1, 4)) and chunks[1].text.startswith("word3 w w w. word4")
+    assert all(c.word_count <= 21 for c in chunks) and [c.chunk_index for c in chunks] == list(range(len(chunks)))
+
+
+def test_pairs_and_mean_quality_of_reads(spark):
+    reads = spark.createDataFrame([(1, 1, "ACGTACGT", "IIIIIIII"), (1, 2, "ACGTACGT", "IIIIIIII"), (2, 1, "ACGTACGT", "IIIIIIII"), (2, 2, "ACGTACGT", "########")], "read_id long, mate int, seq string, qual string")
+    assert sorted((r.read_id, r.mate) for r in R.trim_pairs(reads, minlen=4).collect()) == [(1, 1), (1, 2)]
+    assert R.trim_reads(reads, minlen=1, avgqual=41).count() == 0
+
+
+def test_alignments_with_other_mates_stay(spark):
+    rows = [(1, 0, "c", 5, 9, "+", 7, 100), (2, 0, "c", 5, 9, "+", 8, 100), (3, 0, "c", 5, 9, "+", 1, 200)]
+    aln = spark.createDataFrame(rows, "read_id long, library int, chrom string, start_at long, end_at long, strand string, qual_sum int, mate_start long")
+    assert sorted(r.read_id for r in R.dedup_alignments(aln).collect()) == [2, 3]
+    assert [r.read_id for r in R.dedup_alignments(aln.drop("mate_start")).collect()] == [2]
+
+
+def test_status_and_text_of_genes(spark):
+    named = evidence(spark, "KOR1 acts in roots.", primary_name="kor1")
+    done = E.validate_claims(claims(spark), named)
+    asked = spark.createDataFrame([("g1", True), ("g2", None), ("g3", False)], "gene_id string, model_output_valid boolean")
+    assert {(r.gene_id, r.accepted, r.rejected, r.status) for r in E.gene_status(done, asked).collect()} == {("g1", 1, 0, "supported_claims"), ("g2", 0, 0, "insufficient_evidence"), ("g3", 0, 1, "invalid_model_output")}
+    assert E.render_claims(done).first().text == "It grows. [C1]"
+    assert E.render_claims(E.validate_claims(claims(spark, citations=[]), named)).first().text == E.ABSTENTION
+
+
+def test_structured_claims_come_first(spark):
+    kind = "array<struct<claim:string,citations:array<string>,evidence_level:string,relationship_to_query:string,species:string,conditions:array<string>,confidence:string>>"
+    rows = [("g1", "Free text [C1].", [("It grows.", ["C1", "C2"], "direct", "same_gene", "Oryza", ["salt", "cold"], "high")]), ("g2", "One [C1, C3]. Two. " + E.ABSTENTION, []), ("g3", E.ABSTENTION, None)]
+    chunks = spark.createDataFrame([("g1", 2, "C2", "s", "b", "two"), ("g1", 1, "C1", "s", "a", "one")], "gene_id string, hit_rank int, citation_id string, source string, section string, text string")
+    got = E.claim_sheet(spark.createDataFrame(rows, f"gene_id string, answer string, claims {kind}"), chunks).orderBy("gene_id", "claim_index").collect()
+    assert [(r.gene_id, r.claim, r.refs, r.conditions, r.evidence_level) for r in got] == [("g1", "It grows.", "C1;C2", "salt;cold", "direct"), ("g2", "One [C1, C3].", "C1;C3", "", ""), ("g2", "Two.", "", "", "")]
+    assert got[0].retrieved_evidence == "[C1] s \u2014 a\none\n\n[C2] s \u2014 b\ntwo"
+
+
+def test_markdown_json_and_scorers(spark):
+    from loomwell.operators import reports
+
+    assert value(spark, "# Head\n- **a** *b* `c`\n2. d", C.strip_markdown) == "Head a b c d"
+    kind = "struct<claims:array<string>,note:string>"
+    for text, want in (('x ```json\n{"note": "n"}\n```', ([], "n")), ("no object", None), ("{broken", None), (None, None)):
+        got = value(spark, text, lambda c: reports.extract_json_object(c, kind, {"claims": "array<string>"}))
+        assert (got and (got.claims, got.note)) == want
+    rows = spark.createDataFrame([("g", 1), ("g", 2), ("h", 5)], "gene_id string, x long")
+    assert {tuple(r) for r in reports.with_scorer(rows, lambda f: f.groupby("gene_id", as_index=False)["x"].sum(), "gene_id string, x long").collect()} == {("g", 3), ("h", 5)}
+
+
+def test_more_sources(spark, tmp_path):
+    for i in (2, 1):
+        (tmp_path / f"{i}.gff").write_text("".join(f"chr1\ts\tgene\t{k}\t9\t.\t+\t.\tID=f{i}-{k}\n" for k in range(3)))
+    assert [r.attributes for r in S.read_gff(spark, str(tmp_path / "*.gff")).orderBy("line_no").collect()] == [f"ID=f{i}-{k}" for i in (1, 2) for k in range(3)]
+    (tmp_path / "hits.tsv").write_text("query\torganism\nq\ta\nq\tb\n")
+    assert [r.organism for r in S.read_uniprot_hits(spark, str(tmp_path / "hits.tsv")).orderBy("hit_pos").collect()] == ["a", "b"]
+    (tmp_path / "t.csv").write_text("go_id,ontology\nGO:1,BP\n")
+    (tmp_path / "e.csv").write_text("child,parent,relation,ontology\nGO:2,GO:1,is_a,BP\n")
+    terms, edges = S.read_go(spark, str(tmp_path / "t.csv"), str(tmp_path / "e.csv"))
+    assert terms.first().go_id == "GO:1" and edges.first().relation == "is_a"
+    (tmp_path / "a.md").write_text("# T\n\nx")
+    assert [tuple(r) for r in S.read_articles(spark, str(tmp_path / "a.md")).collect()] == [("a.md", "a", "# T\n\nx")]
+    (tmp_path / "r.json").write_text('[{"gene_id": "g", "chunks": [{"text": "t"}, {"text": "u"}]}]')
+    rag = S.read_rag_json(spark, str(tmp_path / "r.json"), "gene_id string, chunks array<struct<text:string>>")
+    assert [tuple(r) for r in S.rag_chunks(rag).collect()] == [("g", 1, "t"), ("g", 2, "u")]
+    (tmp_path / "p.json").write_text('{"species_terms": ["Oryza"], "go_terms": ["growth", ""]}')
+    assert {tuple(r) for r in S.read_phrases(spark, str(tmp_path / "p.json")).collect()} == {("SPECIES", "Oryza"), ("GO_TERM", "growth")}
+    (tmp_path / "n.json").write_text('{"g1": {"stable_ids": ["S1"]}}')
+    r = S.read_entities(spark, str(tmp_path / "n.json")).first()
+    assert (r.gene_id, r.stable_ids, r.orthologs) == ("g1", ["S1"], [])
+
+
+def test_large_fastq_and_index_with_model(spark, tmp_path):
+    (tmp_path / "l_1.fastq").write_text("".join(f"@r{i} x\nACGT\n+\n@II{i % 10}\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = sorted((int(r.read_id[1:]), r.mate, r.seq, r.qual) for r in S.read_fastq(spark, str(tmp_path / "l_1.fastq")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(i, 1, "ACGT", f"@II{i % 10}") for i in range(500)]
+    chunks, model = spark.createDataFrame([("c1", "a b"), ("c2", "a")], "chunk_id string, text string"), spark.createDataFrame([("a", 2, 0.5)], "token string, df long, idf double")
+    for _ in range(2):
+        S.export_index(chunks, 2, str(tmp_path / "i"), model)
+    assert S.import_index(spark, str(tmp_path / "i")).count() == 2 and S.import_model(spark, str(tmp_path / "i")).first().token == "a"

@@ -6,21 +6,25 @@ is entered into the index lists of these shingles with its size and its position
 puts shingles of buckets with many documents last, so that passages which many texts share hardly
 occur in the index; the buckets are counted over all texts in a sketch of fixed size.
 
-Set relations save comparisons within the lists:
-
-* Lists are cut into blocks by size; blocks and entries whose sizes and positions cannot reach the
-  overlap are skipped.
-* In long lists each class is first compared with the class nearest to it alone. Classes that link
-  are one group, and a group's answer for another entry is taken from what its members have: entries
-  of one group are skipped among each other, and a list of a single group is done.
-* Only entries of one list that are still in different groups are compared in pairs.
+Set relations save comparisons, in all lists:
+
+* Answers of similar sets: a class is first compared only with the one before it in each list (by
+  size). Classes that link are one group, and a class has its answers through those of the similar
+  class: entries of one group aren't compared again, and a list of a single group is done.
+* Block skipping: the entries of the other lists are cut into blocks by size and position. A block's
+  greatest and least size and position bound the overlap of its entries, so pairs of blocks that
+  can't reach it, or that hold one group alone, are passed over as a whole.
+* Derived distances: of the pairs that are left, those are decided without their sets whose distance
+  follows from computed ones, as Jaccard distances keep the triangle inequality: with y near a,
+  d(a, b) lies between d(y, b) - d(a, y) and d(y, b) + d(a, y).
 
 Before whole sets are fetched, candidates are held against bitmaps: bit h(shingle) modulo the
 bitmap's length is flipped for each shingle, so two bitmaps differ in no more bits than the sets in
 shingles, and a pair whose bitmaps differ in more than a ninth of both sizes can't link.
 
-Every link is verified on the whole sets, and skipped pairs are either in one group already or
-proven not to link, so the groups are those of the exact join (up to collisions of 63-bit hashes).
+Every link is verified on the whole sets or follows from distances that were; skipped pairs are in
+one group already or proven not to link, so the groups are those of the exact join (up to
+collisions of 63-bit hashes).
 """
 
 from __future__ import annotations
@@ -38,16 +42,19 @@ from loomwell.runtime import materialize
 
 _BUCKETS = 1 << 20
 _CHUNK = 1 << 12
-_BITS = 1 << 24
+#: Bits of the filter of wanted texts, at most: 16 MB. It lets more through beyond that, and nothing is lost.
+_BITS = 1 << 27
 _HOT = np.uint64(1 << 63)
-#: Lists of more entries than LONG are compared in tasks of their own, in lots of LOT entries.
+#: Entries of lists above LONG are compared by bitmaps in tasks of their own, in lots of LOT entries; of others as rows.
 LONG, LOT = 64, 4096
+#: Position blocks to a set's size.
+_POSITIONS = 40
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
             values, offs = shingle_hashes(part.column(part.num_columns - 1))
             yield part, values >> np.uint64(1), offs
 
@@ -118,7 +125,7 @@ def _parity(tokens: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Size, digest and index prefix of each document's set."""
+    """Size, digest and index prefix of each document's set, and a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offs in _texts(batches):
@@ -129,39 +136,45 @@ def _sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 digest.append(_digest(tokens) if len(tokens) else None)
                 bits.append(_parity(tokens))
                 prefix.append(tokens[: len(tokens) + (-4 * len(tokens) // 5) + 1].view(np.int64) if len(tokens) else tokens.view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "digest", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, bits array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, prefix array<long>, bits array<long>")
 
 
 def _whole_sets(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """Whole sets of the classes that ``wanted``, a bitmap of fixed size, lets through (and some more)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for part, values, offs in _texts(batches):
-            digest, sets = [], []
-            for i in range(part.num_rows):
-                if offs[i + 1] > offs[i]:
-                    tokens = _ordered(values[offs[i] : offs[i + 1]], hot)
-                    d = _digest(tokens)
-                    if d not in seen and _bit(wanted, np.array([int.from_bytes(d[:3], "big")]))[0]:
-                        seen.add(d)
-                        digest.append(d)
-                        sets.append(tokens.view(np.int64))
+    """(text_hash, tokens): whole sets of the texts that ``wanted``, a bitmap, lets through; others aren't cut."""
+    mask = np.int64(len(wanted) * 8 - 1)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of one text are cut once a task, or now and then
+        for batch in batches:
+            hashes = batch.column(0).to_numpy()
+            keep = []
+            for i in np.flatnonzero(_bit(wanted, hashes & mask)).tolist():
+                if int(hashes[i]) not in seen:
+                    seen.add(int(hashes[i]))
+                    keep.append(i)
             if len(seen) > 200_000:
                 seen = set()
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "tokens"])
+            if keep:
+                yield batch.take(pa.array(keep, pa.int64()))
 
-    return docs.select("text").mapInArrow(run, "digest binary, tokens array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, values, offs in _texts(chosen(batches)):
+            sets = [_ordered(values[offs[i] : offs[i + 1]], hot).view(np.int64) for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_hash", "tokens"])
+
+    return docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "text_hash long, tokens array<long>")
 
 
-def _bitmap(digests: DataFrame) -> np.ndarray:
-    """Bits at the first three bytes of the digests: 2 MB, whatever their number."""
-    at = F.conv(F.substring(F.hex("digest"), 1, 6), 16, 10).cast("long") + 1
-    rows = digests.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    bits = np.zeros(_BITS // 8, np.uint8)
-    for row in rows:  # 512 rows of 4 KB at most
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits at the lowest places of the hashes: 16 bits a hash, 2**16 at least and _BITS at most."""
+    size = min(_BITS, 1 << max(16, (16 * hashes.count() - 1).bit_length()))
+    at = F.col("text_hash").bitwiseAND(F.lit(size - 1)) + 1
+    rows = hashes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bits = np.zeros(size // 8, np.uint8)
+    for row in rows:  # rows of 4 KB, as many as the bitmap has room for
         bits[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
@@ -208,11 +221,11 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, classes: DataFrame) -> DataFrame:
     """(a, b, d, linked): the plausible ones of the pairs with their Jaccard distance, from the whole sets.
 
-    Whole sets are made anew from the texts, for the classes of these pairs only.
+    Whole sets are made anew from the texts, one of each of these pairs' classes only.
     """
     pairs = materialize(_plausible(pairs, classes), "jaccard-plausible")
-    named = classes.select("rep", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
-    sets = _whole_sets(docs, hot, _bitmap(named)).join(named, "digest").groupBy("rep").agg(F.first("tokens").alias("tokens"))
+    named = materialize(classes.select("rep", "text_hash").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi"), "jaccard-named")
+    sets = _whole_sets(docs, hot, _bitmap(named)).join(named, "text_hash").groupBy("rep").agg(F.first("tokens").alias("tokens"))
     sets = materialize(sets, "jaccard-whole")
     one = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
     two = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
@@ -221,70 +234,63 @@ def _verified(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, classes: DataF
     return materialize(found.select("a", "b", (1 - F.col("i") / F.col("u")).alias("d"), (5 * F.col("i") >= 4 * F.col("u")).alias("linked")), "jaccard-verified")
 
 
-def _nearest_or_all(i: np.ndarray, j: np.ndarray, apart: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs, or for each entry (on either side) the pair with the fewest differing bits."""
-    if not nearest or not len(i):
-        return i, j
-    keep = np.zeros(len(i), bool)
-    for side in (i, j):
-        order = np.lexsort((apart, side))
-        keep[order[np.flatnonzero(np.diff(side[order], prepend=-1))]] = True
-    return i[keep], j[keep]
-
-
-def _compare(nearest: bool):
-    """Candidates among the entries of one list's two blocks (or one block with itself)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        lots, first = table.column("lot").to_numpy(), table.column("one")[0].as_py()
-        reps, roots, n, pos = (table.column(c).to_numpy() for c in ("rep", "root", "n", "pos"))
-        bits = table.column("bits").to_pylist()
-        both_same = table.column("one")[0].as_py() == table.column("two")[0].as_py()
-        words = np.array([len(x) for x in bits])
-        out_a, out_b = [], []
-        for w in np.unique(words):  # bitmaps of one length, and those half as long against them folded
-            own = np.flatnonzero(words == w)
-            half = np.flatnonzero(words == w // 2) if w > 1 else own[:0]
-            maps = np.array([bits[k] for k in own], np.int64).view(np.uint64)
-            found_i, found_j, found_d = [], [], []
-            for other, mine, theirs in ((own, maps, maps), (half, maps[:, : w // 2] ^ maps[:, w // 2 :], np.array([bits[k] for k in half], np.int64).view(np.uint64))):
-                for at in range(0, len(own), 256) if len(other) else ():
-                    part = own[at : at + 256]
-                    apart = np.zeros((len(part), len(other)), np.int64)
+def _chunks_that_may_link(n: np.ndarray, pos: np.ndarray, roots: np.ndarray, one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether entries of two blocks (places ``one`` and ``two``) may link, by the blocks' extremes alone."""
+    (na, nb), (pa_, pb), (ra, rb) = (n[one], n[two]), (pos[one], pos[two]), (roots[one], roots[two])
+    if ra.min() == ra.max() == rb.min() == rb.max():
+        return False
+    reach = min((na - pa_).max(), (nb - pb).max()) + min(pa_.max(), pb.max())
+    return 9 * reach >= 4 * (na.min() + nb.min()) and 5 * na.max() >= 4 * nb.min() and 5 * nb.max() >= 4 * na.min()
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Candidates among the entries of one list's two lots (or one lot with itself), by blocks and bitmaps."""
+    lots, first = table.column("lot").to_numpy(), table.column("one")[0].as_py()
+    reps, roots, n, pos = (table.column(c).to_numpy() for c in ("rep", "root", "n", "pos"))
+    bits = table.column("bits").to_pylist()
+    both_same = first == table.column("two")[0].as_py()
+    words = np.array([len(x) for x in bits])
+    out_a, out_b = [], []
+    for w in np.unique(words):  # bitmaps of one length, and those half as long against them folded
+        own = np.flatnonzero(words == w)
+        own = own[np.lexsort((pos[own], n[own]))]
+        half = np.flatnonzero(words == w // 2) if w > 1 else own[:0]
+        half = half[np.lexsort((pos[half], n[half]))]
+        maps = np.array([bits[k] for k in own], np.int64).view(np.uint64)
+        for other, mine, theirs in ((own, maps, maps), (half, maps[:, : w // 2] ^ maps[:, w // 2 :], np.array([bits[k] for k in half], np.int64).view(np.uint64))):
+            for at in range(0, len(own), 256) if len(other) else ():
+                part = own[at : at + 256]
+                for to in range(at if other is own else 0, len(other), 256):
+                    rest = other[to : to + 256]
+                    if not _chunks_that_may_link(n, pos, roots, part, rest):
+                        continue
+                    apart = np.zeros((len(part), len(rest)), np.int64)
                     for c in range(mine.shape[1]):
-                        apart += np.bitwise_count(mine[at : at + 256, c][:, None] ^ theirs[:, c][None, :])
-                    sizes = n[part][:, None] + n[other][None, :]
-                    reach = np.minimum(n[part][:, None] - pos[part][:, None], n[other][None, :] - pos[other][None, :]) + np.minimum(pos[part][:, None], pos[other][None, :])
-                    ok = (9 * apart <= sizes) & (9 * reach >= 4 * sizes) & (roots[part][:, None] != roots[other][None, :])
-                    if other is own:
-                        ok &= reps[part][:, None] < reps[other][None, :]
+                        apart += np.bitwise_count(mine[at : at + 256, c][:, None] ^ theirs[to : to + 256, c][None, :])
+                    sizes = n[part][:, None] + n[rest][None, :]
+                    reach = np.minimum((n - pos)[part][:, None], (n - pos)[rest][None, :]) + np.minimum(pos[part][:, None], pos[rest][None, :])
+                    ok = (9 * apart <= sizes) & (9 * reach >= 4 * sizes) & (roots[part][:, None] != roots[rest][None, :])
+                    if other is own and to == at:
+                        ok &= np.arange(len(part))[:, None] < np.arange(len(rest))[None, :]
                     if not both_same:
-                        ok &= (lots[part][:, None] == first) != (lots[other][None, :] == first)
+                        ok &= (lots[part][:, None] == first) != (lots[rest][None, :] == first)
                     x, y = np.nonzero(ok)
-                    found_i.append(part[x])
-                    found_j.append(other[y])
-                    found_d.append(apart[x, y])
-            if found_i:
-                i, j = _nearest_or_all(np.concatenate(found_i), np.concatenate(found_j), np.concatenate(found_d), nearest)
-                out_a.append(np.minimum(reps[i], reps[j]))
-                out_b.append(np.maximum(reps[i], reps[j]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    out_a.append(np.minimum(reps[part[x]], reps[rest[y]]))
+                    out_b.append(np.maximum(reps[part[x]], reps[rest[y]]))
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return run
 
-
-def _in_blocks(lists: DataFrame, nearest: bool) -> DataFrame:
+def _in_lots(lists: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of long lists: entries of different groups that bitmaps don't tell apart.
 
     A list is dealt to lots of about LOT entries, and each pair of lots is a task's work, so no list
-    is gathered in one task, and only pairs that may link come out: with ``nearest``, for each entry
-    the one whose bitmap is nearest.
+    is gathered in one task, and only pairs that may link come out.
     """
     lots = F.greatest(F.lit(1), F.ceil(F.col("m") / LOT)).cast("int")
     dealt = lists.withColumn("lot", F.pmod(F.xxhash64("rep"), lots).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), lots - 1)))
     dealt = dealt.withColumn("one", F.least("lot", "with")).withColumn("two", F.greatest("lot", "with")).select("token", "one", "two", "lot", "rep", "root", "n", "pos", "bits")
-    return dealt.groupBy("token", "one", "two").applyInArrow(_compare(nearest), "a long, b long")
+    return dealt.groupBy("token", "one", "two").applyInArrow(_compare, "a long, b long")
 
 
 def _can_reach(na, nb, pa_, pb):
@@ -293,43 +299,92 @@ def _can_reach(na, nb, pa_, pb):
     return (9 * shared >= 4 * (na + nb)) & (5 * F.least(na, nb) >= 4 * F.greatest(na, nb))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def _blocks(lists: DataFrame) -> DataFrame:
+    """Index lists as blocks by size and position, each with its entries and their extremes."""
+    size = F.floor(F.log(1.25, F.col("n"))).cast("int")
+    width = F.greatest(F.lit(1), F.floor(F.pow(F.lit(1.25), size) / _POSITIONS))
+    blocked = lists.withColumn("sizes", size).withColumn("place", F.floor(F.col("pos") / width).cast("int"))
+    extremes = [f(F.col(c)).alias(f"{name}_{c}") for c in ("n", "pos", "root") for name, f in (("lo", F.min), ("hi", F.max))]
+    return blocked.groupBy("token", "sizes", "place").agg(F.collect_list(F.struct("rep", "root", "n", "pos")).alias("entries"), F.max(F.col("n") - F.col("pos")).alias("left"), *extremes)
+
+
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """Pairs of a list's blocks, with ``skip``: whether none of their entries can link, or all are one group."""
+    a, b = (blocks.select("token", *(F.col(c).alias(f"{c}_{x}") for c in blocks.columns if c != "token")) for x in "ab")
+    both = a.join(b, "token").where((F.col("sizes_b") > F.col("sizes_a")) | ((F.col("sizes_b") == F.col("sizes_a")) & (F.col("place_b") >= F.col("place_a"))))
+    reach = F.least("left_a", "left_b") + F.least("hi_pos_a", "hi_pos_b")
+    may = (9 * reach >= 4 * (F.col("lo_n_a") + F.col("lo_n_b"))) & (5 * F.col("hi_n_a") >= 4 * F.col("lo_n_b")) & (5 * F.col("hi_n_b") >= 4 * F.col("lo_n_a"))
+    one_group = F.least("lo_root_a", "lo_root_b") == F.greatest("hi_root_a", "hi_root_b")
+    return both.withColumn("skip", ~may | one_group)
+
+
+def _in_blocks(lists: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of lists of up to LONG entries: entries of different groups in blocks that aren't skipped."""
+    pairs = _block_pairs(_blocks(lists)).where(~F.col("skip"))
+    same = (F.col("sizes_a") == F.col("sizes_b")) & (F.col("place_a") == F.col("place_b"))
+    rows = pairs.select(same.alias("same"), F.explode("entries_a").alias("x"), "entries_b").select("same", "x", F.explode("entries_b").alias("y"))
+    rows = rows.where((F.col("x.root") != F.col("y.root")) & (~F.col("same") | (F.col("x.rep") < F.col("y.rep"))))
+    rows = rows.where(_can_reach(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")))
+    return rows.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+
+
+def _derived(pairs: DataFrame, compared: DataFrame) -> DataFrame:
+    """Pairs (a, b) with ``linked`` where it follows from computed distances by the triangle inequality, else null."""
+    known = compared.select(F.col("a").alias("x"), F.col("b").alias("y"), "d").union(compared.select("b", "a", "d"))
+    near = known.groupBy("x").agg(F.min(F.struct("d", "y")).alias("near"))
+    for one, two in (("a", "b"), ("b", "a")):
+        to = near.select(F.col("x").alias(one), F.col("near.d").alias(f"d_{one}"), F.col("near.y").alias(f"y_{one}"))
+        across = known.select(F.col("x").alias(f"y_{one}"), F.col("y").alias(two), F.col("d").alias(f"across_{one}"))
+        pairs = pairs.join(to, one, "left").join(across, [f"y_{one}", two], "left")
+    least = F.greatest(F.col("across_a") - F.col("d_a"), F.col("across_b") - F.col("d_b"))
+    most = F.least(F.col("across_a") + F.col("d_a"), F.col("across_b") + F.col("d_b"))
+    return pairs.select("a", "b", F.when(most <= 0.2 - 1e-9, True).when(least > 0.2 + 1e-9, False).alias("linked"))
+
+
+def join(docs: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     component_id is the least doc_id that links reach, the document's own included. Texts without
     words (null, empty) have empty sets and link with nothing. Rows with equal doc_id are rows of
     their own and have equal ids in the result; a null doc_id never names a group that has another. An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored. ``counts``, if given, gets how many
+    pairs of blocks there were and were skipped, how many pairs of entries had their answers through
+    a similar class, and how many distances were derived; this costs extra passes.
     """
     hot = hot_buckets(docs)
     sets = materialize(_sets(docs, hot).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
-    found = sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    found = sets.where("n > 0").groupBy("digest").agg(
+        F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.min_by("text_hash", "row").alias("text_hash"), F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")
+    )
     classes = materialize(found, "jaccard-classes")
     # Index lists; a list of one entry makes no pair.
-    entries = classes.select("rep", F.col("n").cast("int"), F.posexplode("prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token").orderBy("rep")
-    entries = entries.withColumn("before", F.lag("rep").over(by_token)).withColumn("after", F.lead("rep").over(by_token))
-    entries = materialize(entries.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after").withColumn("block", F.floor(F.log(1.25, F.col("n"))).cast("int")), "jaccard-lists")
-
-    sizes = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    long_ones = sizes.where(F.col("m") > LONG)
-    short = entries.join(long_ones, "token", "left_anti")
-    left = short.select("token", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "pos", "block")), F.explode(F.array("block", F.col("block") + 1)).alias("block"))
-    right = short.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "pos")), "block")
-    near = left.join(right, ["token", "block"]).where((F.col("block") > F.col("block_a")) | (F.col("rep_a") < F.col("rep_b")))
-    near = near.where(_can_reach(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b"))).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-
-    long_lists = entries.join(long_ones, "token").join(classes.select("rep", "bits"), "rep")
-    long_lists = materialize(long_lists.withColumn("root", F.col("rep")), "jaccard-long")
-    compared = _verified(near.union(_in_blocks(long_lists, nearest=True)).distinct(), docs, hot, classes)
+    entries = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+    sizes = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    lists = materialize(entries.join(sizes, "token"), "jaccard-lists")
+
+    # Each class with the one before it in its lists (in lots of bounded size).
+    lot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / LOT))
+    before = F.lag(F.struct("rep", "n", "pos")).over(Window.partitionBy("token", "lot").orderBy("n", "rep"))
+    chained = lists.withColumn("lot", lot).withColumn("p", before).where(_can_reach(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos")))
+    compared = _verified(chained.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct(), docs, hot, classes)
     groups = materialize(components(compared.where("linked").select("a", "b")), "jaccard-groups")
-    rooted = long_lists.drop("root").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+    # What is left: lists that hold several groups, block by block.
+    rooted = lists.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = materialize(rooted, "jaccard-rooted")
     several = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    rest = _in_blocks(rooted.join(several, "token", "left_semi"), nearest=False).distinct().join(compared, ["a", "b"], "left_anti")
-    rest = materialize(rest, "jaccard-rest")
+    open_lists = rooted.join(several, "token", "left_semi")
+    short, long_lists = open_lists.where(F.col("m") <= LONG), open_lists.where(F.col("m") > LONG)
+    rest = _in_blocks(short).union(_in_lots(long_lists.join(classes.select("rep", "bits"), "rep"))).distinct()
+    rest = materialize(_derived(rest.join(compared, ["a", "b"], "left_anti"), compared), "jaccard-rest")
+    if counts is not None:
+        blocks = _block_pairs(_blocks(short)).agg(F.count(F.lit(1)).alias("n"), F.count_if("skip").alias("skipped")).first()
+        of_group = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("n")).first()
+        counts |= {"block_pairs": blocks["n"], "skipped": blocks["skipped"], "through_similar": int(of_group["n"] or 0), "derived": rest.where("linked IS NOT NULL").count(), "compared": compared.count(), "rest": rest.count()}
     if rest.limit(1).count():
-        more = _verified(rest, docs, hot, classes)
-        groups = materialize(components(compared.union(more).where("linked").select("a", "b")), "jaccard-groups")
+        more = _verified(rest.where("linked IS NULL").select("a", "b"), docs, hot, classes).where("linked").select("a", "b")
+        links = compared.where("linked").select("a", "b").union(rest.where("linked").select("a", "b")).union(more)
+        groups = materialize(components(links), "jaccard-groups")
 
     named = classes.select("digest", "rep", "least_id").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

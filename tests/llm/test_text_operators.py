@@ -135,6 +135,27 @@ def test_jaccard_join_with_long_lists_in_lots(spark, docs, monkeypatch):
     assert got == brute_components([(r.doc_id, r.text) for r in both.collect()])
 
 
+def test_set_relations_skip_blocks_and_derive_answers(spark, docs):
+    base = [f"w{i}" for i in range(150)]
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(150):
+        w = [x for k, x in enumerate(base) if k < 100 + i % 40]
+        for j in rng.integers(0, len(w), i % 6):
+            w[j] = f"z{i % 3}-{j}"
+        rows.append((i, " ".join(w)))
+    counts = {}
+    got = sorted(tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), counts).collect())
+    assert got == brute_components(rows)
+    assert counts["skipped"] > 0 and counts["through_similar"] > 0 and counts["compared"] < 150 * 149 / 4
+
+
+def test_derived_distances(spark):
+    compared = spark.createDataFrame([(1, 2, 0.05, True), (2, 3, 0.1, True), (2, 4, 0.5, False)], "a long, b long, d double, linked boolean")
+    pairs = spark.createDataFrame([(1, 3), (1, 4), (1, 9), (3, 4)], "a long, b long")
+    assert {(r.a, r.b): r.linked for r in jaccard_join._derived(pairs, compared).collect()} == {(1, 3): True, (1, 4): False, (1, 9): None, (3, 4): False}
+
+
 def test_components_are_those_of_union_find(spark):
     rng = np.random.default_rng(4)
     chains = [rng.permutation(n) + 1000 * k for k, n in enumerate((2, 3, 9, 40, 150), 1)]

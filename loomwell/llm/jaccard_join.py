@@ -8,8 +8,8 @@ occur in the index; the buckets are counted over all texts in a sketch of fixed
 
 Set relations save comparisons, in all lists:
 
-* Answers of similar sets: a class is first compared only with the one before it in each list (by
-  size). Classes that link are one group, and a class has its answers through those of the similar
+* Answers of similar sets: a class is first compared only with the one before it in short lists (by
+  size), and with the one whose bitmap is nearest in long ones. Classes that link are one group, and a class has its answers through those of the similar
   class: entries of one group aren't compared again, and a list of a single group is done.
 * Block skipping: the entries of the other lists are cut into blocks by size and position. A block's
   greatest and least size and position bound the overlap of its entries, so pairs of blocks that
@@ -49,6 +49,7 @@ _HOT = np.uint64(1 << 63)
 LONG, LOT = 64, 4096
 #: Position blocks to a set's size.
 _POSITIONS = 40
+_FAR = 1 << 30
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -243,54 +244,73 @@ def _chunks_that_may_link(n: np.ndarray, pos: np.ndarray, roots: np.ndarray, one
     return 9 * reach >= 4 * (na.min() + nb.min()) and 5 * na.max() >= 4 * nb.min() and 5 * nb.max() >= 4 * na.min()
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Candidates among the entries of one list's two lots (or one lot with itself), by blocks and bitmaps."""
-    lots, first = table.column("lot").to_numpy(), table.column("one")[0].as_py()
-    reps, roots, n, pos = (table.column(c).to_numpy() for c in ("rep", "root", "n", "pos"))
-    bits = table.column("bits").to_pylist()
-    both_same = first == table.column("two")[0].as_py()
-    words = np.array([len(x) for x in bits])
-    out_a, out_b = [], []
-    for w in np.unique(words):  # bitmaps of one length, and those half as long against them folded
-        own = np.flatnonzero(words == w)
-        own = own[np.lexsort((pos[own], n[own]))]
-        half = np.flatnonzero(words == w // 2) if w > 1 else own[:0]
-        half = half[np.lexsort((pos[half], n[half]))]
-        maps = np.array([bits[k] for k in own], np.int64).view(np.uint64)
-        for other, mine, theirs in ((own, maps, maps), (half, maps[:, : w // 2] ^ maps[:, w // 2 :], np.array([bits[k] for k in half], np.int64).view(np.uint64))):
-            for at in range(0, len(own), 256) if len(other) else ():
-                part = own[at : at + 256]
-                for to in range(at if other is own else 0, len(other), 256):
-                    rest = other[to : to + 256]
-                    if not _chunks_that_may_link(n, pos, roots, part, rest):
-                        continue
-                    apart = np.zeros((len(part), len(rest)), np.int64)
-                    for c in range(mine.shape[1]):
-                        apart += np.bitwise_count(mine[at : at + 256, c][:, None] ^ theirs[to : to + 256, c][None, :])
-                    sizes = n[part][:, None] + n[rest][None, :]
-                    reach = np.minimum((n - pos)[part][:, None], (n - pos)[rest][None, :]) + np.minimum(pos[part][:, None], pos[rest][None, :])
-                    ok = (9 * apart <= sizes) & (9 * reach >= 4 * sizes) & (roots[part][:, None] != roots[rest][None, :])
-                    if other is own and to == at:
-                        ok &= np.arange(len(part))[:, None] < np.arange(len(rest))[None, :]
-                    if not both_same:
-                        ok &= (lots[part][:, None] == first) != (lots[rest][None, :] == first)
-                    x, y = np.nonzero(ok)
-                    out_a.append(np.minimum(reps[part[x]], reps[rest[y]]))
-                    out_b.append(np.maximum(reps[part[x]], reps[rest[y]]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _in_lots(lists: DataFrame) -> DataFrame:
+def _compare(nearest: bool):
+    """Candidates among the entries of one list's two lots (or one lot with itself), by blocks and bitmaps.
+
+    All that may link, or with ``nearest`` for each entry the one whose bitmap is nearest.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        lots, first = table.column("lot").to_numpy(), table.column("one")[0].as_py()
+        reps, roots, n, pos = (table.column(c).to_numpy() for c in ("rep", "root", "n", "pos"))
+        bits = table.column("bits").to_pylist()
+        both_same = first == table.column("two")[0].as_py()
+        words = np.array([len(x) for x in bits])
+        out_a, out_b = [], []
+        least, mate = np.full(len(reps), _FAR), np.zeros(len(reps), np.int64)
+        for w in np.unique(words):  # bitmaps of one length, and those half as long against them folded
+            own = np.flatnonzero(words == w)
+            own = own[np.lexsort((pos[own], n[own]))]
+            half = np.flatnonzero(words == w // 2) if w > 1 else own[:0]
+            half = half[np.lexsort((pos[half], n[half]))]
+            maps = np.array([bits[k] for k in own], np.int64).view(np.uint64)
+            for other, mine, theirs in ((own, maps, maps), (half, maps[:, : w // 2] ^ maps[:, w // 2 :], np.array([bits[k] for k in half], np.int64).view(np.uint64))):
+                for at in range(0, len(own), 256) if len(other) else ():
+                    part = own[at : at + 256]
+                    for to in range(at if other is own else 0, len(other), 256):
+                        rest = other[to : to + 256]
+                        if not _chunks_that_may_link(n, pos, roots, part, rest):
+                            continue
+                        apart = np.zeros((len(part), len(rest)), np.int64)
+                        for c in range(mine.shape[1]):
+                            apart += np.bitwise_count(mine[at : at + 256, c][:, None] ^ theirs[to : to + 256, c][None, :])
+                        sizes = n[part][:, None] + n[rest][None, :]
+                        reach = np.minimum((n - pos)[part][:, None], (n - pos)[rest][None, :]) + np.minimum(pos[part][:, None], pos[rest][None, :])
+                        ok = (9 * apart <= sizes) & (9 * reach >= 4 * sizes) & (roots[part][:, None] != roots[rest][None, :])
+                        if other is own and to == at:
+                            ok &= np.arange(len(part))[:, None] < np.arange(len(rest))[None, :]
+                        if not both_same:
+                            ok &= (lots[part][:, None] == first) != (lots[rest][None, :] == first)
+                        if nearest:
+                            apart[~ok] = _FAR
+                            for here, there, d in ((part, rest, apart), (rest, part, apart.T)):
+                                best = d.argmin(axis=1)
+                                gap = d[np.arange(len(here)), best]
+                                closer = gap < least[here]
+                                least[here[closer]], mate[here[closer]] = gap[closer], there[best[closer]]
+                        else:
+                            x, y = np.nonzero(ok)
+                            out_a.append(reps[part[x]])
+                            out_b.append(reps[rest[y]])
+        if nearest:
+            some = np.flatnonzero(least < _FAR)
+            out_a, out_b = [reps[some]], [reps[mate[some]]]
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return run
+
+
+def _in_lots(lists: DataFrame, nearest: bool) -> DataFrame:
     """Candidate pairs (a, b) of long lists: entries of different groups that bitmaps don't tell apart.
 
     A list is dealt to lots of about LOT entries, and each pair of lots is a task's work, so no list
-    is gathered in one task, and only pairs that may link come out.
+    is gathered in one task, and only pairs that may link come out, with ``nearest`` one for an entry.
     """
     lots = F.greatest(F.lit(1), F.ceil(F.col("m") / LOT)).cast("int")
     dealt = lists.withColumn("lot", F.pmod(F.xxhash64("rep"), lots).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), lots - 1)))
     dealt = dealt.withColumn("one", F.least("lot", "with")).withColumn("two", F.greatest("lot", "with")).select("token", "one", "two", "lot", "rep", "root", "n", "pos", "bits")
-    return dealt.groupBy("token", "one", "two").applyInArrow(_compare, "a long, b long")
+    return dealt.groupBy("token", "one", "two").applyInArrow(_compare(nearest), "a long, b long")
 
 
 def _can_reach(na, nb, pa_, pb):
@@ -362,11 +382,12 @@ def join(docs: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
     sizes = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     lists = materialize(entries.join(sizes, "token"), "jaccard-lists")
 
-    # Each class with the one before it in its lists (in lots of bounded size).
-    lot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / LOT))
-    before = F.lag(F.struct("rep", "n", "pos")).over(Window.partitionBy("token", "lot").orderBy("n", "rep"))
-    chained = lists.withColumn("lot", lot).withColumn("p", before).where(_can_reach(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos")))
-    compared = _verified(chained.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct(), docs, hot, classes)
+    # Each class with the one before it in short lists, and with the nearest in long ones.
+    before = F.lag(F.struct("rep", "n", "pos")).over(Window.partitionBy("token").orderBy("n", "rep"))
+    chained = lists.where(F.col("m") <= LONG).withColumn("p", before).where(_can_reach(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos")))
+    similar = chained.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
+    alone = lists.where(F.col("m") > LONG).withColumn("root", F.col("rep")).join(classes.select("rep", "bits"), "rep")
+    compared = _verified(similar.union(_in_lots(alone, nearest=True)).distinct(), docs, hot, classes)
     groups = materialize(components(compared.where("linked").select("a", "b")), "jaccard-groups")
 
     # What is left: lists that hold several groups, block by block.
@@ -375,7 +396,7 @@ def join(docs: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
     several = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     open_lists = rooted.join(several, "token", "left_semi")
     short, long_lists = open_lists.where(F.col("m") <= LONG), open_lists.where(F.col("m") > LONG)
-    rest = _in_blocks(short).union(_in_lots(long_lists.join(classes.select("rep", "bits"), "rep"))).distinct()
+    rest = _in_blocks(short).union(_in_lots(long_lists.join(classes.select("rep", "bits"), "rep"), nearest=False)).distinct()
     rest = materialize(_derived(rest.join(compared, ["a", "b"], "left_anti"), compared), "jaccard-rest")
     if counts is not None:
         blocks = _block_pairs(_blocks(short)).agg(F.count(F.lit(1)).alias("n"), F.count_if("skip").alias("skipped")).first()

@@ -9,7 +9,8 @@ occur in the index; the buckets are counted over all texts in a sketch of fixed
 Set relations save comparisons, in all lists:
 
 * Answers of similar sets: a class is first compared only with the one before it in short lists (by
-  size), and with the one whose bitmap is nearest in long ones. Classes that link are one group, and a class has its answers through those of the similar
+  size), and with the one whose bitmap is nearest in long ones; then, in these, with the nearest of
+  another group. Classes that link are one group, and a class has its answers through those of the similar
   class: entries of one group aren't compared again, and a list of a single group is done.
 * Block skipping: the entries of the other lists are cut into blocks by size and position. A block's
   greatest and least size and position bound the overlap of its entries, so pairs of blocks that
@@ -361,6 +362,22 @@ def _derived(pairs: DataFrame, compared: DataFrame) -> DataFrame:
     return pairs.select("a", "b", F.when(most <= 0.2 - 1e-9, True).when(least > 0.2 + 1e-9, False).alias("linked"))
 
 
+def _open(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """The entries, each with the root of its group, of those lists that hold several groups."""
+    rooted = lists.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = materialize(rooted, "jaccard-rooted")
+    several = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    return materialize(rooted.join(several, "token", "left_semi"), "jaccard-open")
+
+
+def _decided(pairs: DataFrame, compared: DataFrame, links: DataFrame, docs: DataFrame, hot: np.ndarray, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All compared pairs and all links with those of ``pairs``, and the pairs with what was derived for them."""
+    told = materialize(_derived(pairs.distinct().join(compared, ["a", "b"], "left_anti"), compared), "jaccard-rest")
+    more = _verified(told.where("linked IS NULL").select("a", "b"), docs, hot, classes)
+    new = told.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
+    return compared.union(more), links.union(new), told
+
+
 def join(docs: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
@@ -388,23 +405,24 @@ def join(docs: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
     similar = chained.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
     alone = lists.where(F.col("m") > LONG).withColumn("root", F.col("rep")).join(classes.select("rep", "bits"), "rep")
     compared = _verified(similar.union(_in_lots(alone, nearest=True)).distinct(), docs, hot, classes)
-    groups = materialize(components(compared.where("linked").select("a", "b")), "jaccard-groups")
-
-    # What is left: lists that hold several groups, block by block.
-    rooted = lists.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rooted = materialize(rooted, "jaccard-rooted")
-    several = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    open_lists = rooted.join(several, "token", "left_semi")
-    short, long_lists = open_lists.where(F.col("m") <= LONG), open_lists.where(F.col("m") > LONG)
-    rest = _in_blocks(short).union(_in_lots(long_lists.join(classes.select("rep", "bits"), "rep"), nearest=False)).distinct()
-    rest = materialize(_derived(rest.join(compared, ["a", "b"], "left_anti"), compared), "jaccard-rest")
+    links = compared.where("linked").select("a", "b")
+    groups = materialize(components(links), "jaccard-groups")
+
+    # What is left: lists that hold several groups. First short ones block by block, and each entry of
+    # long ones with the nearest of another group; then all pairs of groups that are still apart.
+    short, long_lists = (_open(lists.where(x), groups) for x in (F.col("m") <= LONG, F.col("m") > LONG))
+    pairs = _in_blocks(short).union(_in_lots(long_lists.join(classes.select("rep", "bits"), "rep"), nearest=True))
+    compared, links, told = _decided(pairs, compared, links, docs, hot, classes)
     if counts is not None:
         blocks = _block_pairs(_blocks(short)).agg(F.count(F.lit(1)).alias("n"), F.count_if("skip").alias("skipped")).first()
-        of_group = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("n")).first()
-        counts |= {"block_pairs": blocks["n"], "skipped": blocks["skipped"], "through_similar": int(of_group["n"] or 0), "derived": rest.where("linked IS NOT NULL").count(), "compared": compared.count(), "rest": rest.count()}
-    if rest.limit(1).count():
-        more = _verified(rest.where("linked IS NULL").select("a", "b"), docs, hot, classes).where("linked").select("a", "b")
-        links = compared.where("linked").select("a", "b").union(rest.where("linked").select("a", "b")).union(more)
+        rooted = lists.join(groups.withColumnRenamed("node", "rep"), "rep").groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+        similar_ones = rooted.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("n")).first()["n"]
+        counts |= {"block_pairs": blocks["n"], "skipped": blocks["skipped"], "through_similar": int(similar_ones or 0), "derived": told.where("linked IS NOT NULL").count(), "compared": compared.count()}
+    groups = materialize(components(links), "jaccard-groups")
+    long_lists = _open(lists.where(F.col("m") > LONG), groups)
+    if long_lists.limit(1).count():
+        pairs = _in_lots(long_lists.join(classes.select("rep", "bits"), "rep"), nearest=False)
+        links = _decided(pairs, compared, links, docs, hot, classes)[1]
         groups = materialize(components(links), "jaccard-groups")
 
     named = classes.select("digest", "rep", "least_id").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -203,7 +203,7 @@ def payload_jobs(spark, d):
 
 def trimmed_pairs(spark, d):
     one = table(spark, d, "reads").withColumn("mate", F.lit(1))
-    two = one.select("read_id", "seq", F.reverse("qual").alias("qual"), F.lit(2).alias("mate"))
+    two = one.select("read_id", "seq", F.concat(F.substring("qual", 3, 1000), F.lit("##")).alias("qual"), F.lit(2).alias("mate"))
     return R.trim_pairs(one.unionByName(two), minlen=4, avgqual=12).select("read_id", "mate", F.length("seq").alias("n"))
 
 
@@ -374,7 +374,7 @@ _SQL = {
     "expired_jobs": "SELECT id FROM {jobs} WHERE created_at < TIMESTAMP '2024-01-13'",
     "payload_jobs": "SELECT user_id, sample, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sample ORDER BY created_at DESC, id DESC) AS n FROM {jobs}) WHERE n = 1",
     "trimmed_reads": "WITH " + _TRIM.format("{reads}") + " SELECT read_id, len_::INT AS n FROM kept",
-    "trimmed_pairs": "WITH two AS (SELECT read_id, 1 AS mate, qual FROM {reads} UNION ALL SELECT read_id, 2, reverse(qual) FROM {reads}), " + _TRIM.format("two") + ", g AS (SELECT *, count(*) OVER (PARTITION BY read_id) AS m FROM kept WHERE mq >= 12) SELECT read_id, mate, len_::INT AS n FROM g WHERE m = 2",
+    "trimmed_pairs": "WITH two AS (SELECT read_id, 1 AS mate, qual FROM {reads} UNION ALL SELECT read_id, 2, substr(qual, 3) || '##' FROM {reads}), " + _TRIM.format("two") + ", g AS (SELECT *, count(*) OVER (PARTITION BY read_id) AS m FROM kept WHERE mq >= 12) SELECT read_id, mate, len_::INT AS n FROM g WHERE m = 2",
     "read_profile": "SELECT read_id, length(seq)::INT AS length, round(len(regexp_extract_all(seq, '[GC]')) / length(seq), 6) AS gc, round(list_avg(list_transform(string_split(qual, ''), lambda x: ascii(x) - 33)), 6) AS mean_quality FROM {reads}",
     "quality_quantiles": "WITH c AS (SELECT unnest(range(0, length(qual)))::INT AS position, unnest(list_transform(string_split(qual, ''), lambda x: ascii(x) - 33)) AS q FROM {reads}) SELECT position, quantile_disc(q, 0.25)::INT AS q25, quantile_disc(q, 0.5)::INT AS q50, quantile_disc(q, 0.75)::INT AS q75 FROM c GROUP BY position",
     "overrepresented_reads": "WITH n AS (SELECT seq, count(*) AS n FROM {reads} GROUP BY seq) SELECT seq, n, round(n / (SELECT count(*) FROM {reads}), 6) AS share FROM n WHERE n / (SELECT count(*) FROM {reads}) > 0.001",

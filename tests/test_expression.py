@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -103,3 +104,115 @@ def test_kappa_takes_the_last_label(spark):
     rows = [(1, "a", "yes", 1), (1, "a", "no", 2), (1, "b", "no", 1), (2, "a", "yes", 1), (2, "b", "yes", 1)]
     r = V.pairwise_kappa(spark.createDataFrame(rows, "item int, annotator string, label string, seq int")).first()
     assert (r["items"], r.kappa) == (2, 1.0)
+
+
+def scalar_mean(y, size, phi):
+    """Rate b that solves sum((y - b s) / (1 + phi b s)) = 0, by bisection in its logarithm."""
+    if not sum(y):
+        return 0.0
+    lo, hi = -60.0, 60.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        b = math.exp(mid)
+        lo, hi = (mid, hi) if sum((v - b * s) / (1 + phi * b * s) for v, s in zip(y, size)) > 0 else (lo, mid)
+    return math.exp((lo + hi) / 2)
+
+
+def scalar_likelihood(y, mu, phi):
+    total = 0.0
+    for v, m in zip(y, mu):
+        if m > 0:
+            r = 1 / phi
+            total += math.lgamma(v + r) - math.lgamma(r) - math.lgamma(v + 1) + v * math.log(m / (m + r)) + r * math.log(r / (m + r))
+    return total
+
+
+@pytest.fixture(scope="module")
+def many_genes(spark):
+    """36 genes of three groups with unequal libraries; absent, rare and widely varying counts among them."""
+    rng = random.Random(11)
+    design = nb.Design([(f"s{i}", "ABC"[i % 3], 5e5 * (1 + i)) for i in range(9)])
+    y = {f"g{k:02}": [float(rng.randrange(1 + (k % 12) ** 2 * (1 + i))) for i in range(9)] for k in range(36)}
+    frame = spark.createDataFrame(list(y.items()), "gene_id string, y array<double>").repartition(5)
+    return design, y, frame
+
+
+def test_dispersion_against_scalar_likelihoods(spark, many_genes):
+    design, y, frame = many_genes
+    bins = 3
+    at = {g: [i for i, name in enumerate(design.groups) if name == g] for g in design.names}
+
+    def profile(v):
+        out = []
+        for phi in nb.GRID:
+            mu, info = [0.0] * len(v), []
+            for where in at.values():
+                rate = scalar_mean([v[i] for i in where], [design.size[i] for i in where], phi)
+                for i in where:
+                    mu[i] = rate * design.size[i]
+                info.append(max(sum(mu[i] / (1 + phi * mu[i]) for i in where), 1e-8))
+            out.append(scalar_likelihood(v, mu, phi) - 0.5 * sum(map(math.log, info)))
+        return out
+
+    def peak(p):
+        """The maximum of the parabola through the highest point of the grid and its neighbours."""
+        k = max(range(len(p)), key=lambda i: p[i])
+        x = [math.log(phi) for phi in nb.GRID]
+        if k in (0, len(p) - 1):
+            return math.exp(x[k])
+        bend = p[k - 1] - 2 * p[k] + p[k + 1]
+        move = 0.5 * (p[k - 1] - p[k + 1]) / bend if bend < 0 else 0
+        return math.exp(x[k] + max(-1, min(1, move)) * (x[1] - x[0]))
+
+    apl = {g: profile(v) for g, v in y.items()}
+    ave = {g: math.log2(sum(x + 0.5 for x in v) / sum(design.size) * 1e6) for g, v in y.items()}
+    ranked = sorted(ave.values())
+    edges = sorted({ranked[math.ceil(i / bins * len(ranked)) - 1] for i in range(1, bins)})
+    bin_of = {g: sum(a > e for e in edges) for g, a in ave.items()}
+    mean = {b: np.mean([apl[g] for g in y if bin_of[g] == b], axis=0) for b in set(bin_of.values())}
+    got = {r.gene_id: r for r in nb.estimate_dispersion(frame, design, bins=bins).collect()}
+    assert set(got) == set(y) and len(mean) == bins
+    weight = nb.PRIOR_DF / (9 - 3)
+    for g in y:
+        r = got[g]
+        assert r.ave == pytest.approx(ave[g])
+        assert r.common == pytest.approx(peak(np.sum(list(apl.values()), axis=0)), rel=1e-4)
+        assert r.trended == pytest.approx(peak(mean[bin_of[g]]), rel=1e-4)
+        assert r.dispersion == pytest.approx(peak(np.array(apl[g]) + weight * mean[bin_of[g]]), rel=1e-4)
+
+
+def test_ratio_test_against_scalar_fits(spark, many_genes):
+    design, y, frame = many_genes
+    fitted = nb.estimate_dispersion(frame, design, bins=3)
+    phi = {r.gene_id: r.dispersion for r in fitted.collect()}
+    rows = nb.glm_lrt(fitted, design, [("A", "B"), ("C", "A")]).collect()
+    assert len(rows) == 2 * len(y)
+    for r in rows:
+        a, b = ([i for i, name in enumerate(design.groups) if name == g] for g in r.contrast.split("_vs_"))
+        v, ll = y[r.gene_id], []
+        for where in (a, b, a + b):
+            some, size = [v[i] for i in where], [design.size[i] for i in where]
+            rate = scalar_mean(some, size, phi[r.gene_id])
+            ll.append(scalar_likelihood(some, [rate * s for s in size], phi[r.gene_id]))
+        lr = max(0.0, 2 * (ll[0] + ll[1] - ll[2]))
+        assert r.LR == pytest.approx(lr, rel=1e-5, abs=1e-6)
+        assert r.PValue == pytest.approx(math.erfc(math.sqrt(r.LR / 2)), rel=1e-9)
+        prior = nb.PRIOR_COUNT * design.size / design.size.mean()
+        rates = [scalar_mean([v[i] + prior[i] for i in where], [design.size[i] + 2 * prior[i] for i in where], phi[r.gene_id]) for where in (a, b)]
+        assert r.logFC == pytest.approx(math.log2(rates[0] / rates[1]), rel=1e-5, abs=1e-6)
+
+
+def test_bcv_is_the_root_of_dispersions(spark, many_genes):
+    design, y, frame = many_genes
+    fitted = nb.estimate_dispersion(frame, design, bins=3)
+    want = {r.gene_id: (r.ave, r.dispersion, r.trended, r.common) for r in fitted.collect()}
+    got = X.bcv_table(fitted).collect()
+    assert len(got) == len(y)
+    for r in got:
+        ave, own, trend, common = want[r.gene_id]
+        assert (r.ave, r.bcv**2, r.trend**2, r.common**2) == pytest.approx((ave, own, trend, common))
+
+
+def test_dispersion_of_no_genes(spark, many_genes):
+    design, _, frame = many_genes
+    assert nb.glm_lrt(nb.estimate_dispersion(frame.limit(0), design), design, [("A", "B")]).count() == 0

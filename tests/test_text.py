@@ -10,6 +10,7 @@ from loomwell.operators import evidence as E
 from loomwell.operators import jobs as J
 from loomwell.operators import literature as L
 from loomwell.operators import reads as R
+from loomwell.operators import reports as P
 from loomwell.operators import retrieval as T
 from loomwell.sources import readers as S
 
@@ -282,3 +283,47 @@ def test_large_fastq_and_index_with_model(spark, tmp_path):
     for _ in range(2):
         S.export_index(chunks, 2, str(tmp_path / "i"), model)
     assert S.import_index(spark, str(tmp_path / "i")).count() == 2 and S.import_model(spark, str(tmp_path / "i")).first().token == "a"
+
+
+@pytest.mark.parametrize("candidates, per_source", [(40, 2), (9, 1)])
+def test_hybrid_search_against_brute_force(spark, candidates, per_source):
+    rng = random.Random(candidates)
+    chunks = {}
+    for i in range(60):
+        words = [rng.choice(["leaf", "root", "stem"]) for _ in range(6)] + ["Abc1"] * (rng.random() < 0.3) + ["chlorophyll"] * (rng.random() < 0.4)
+        chunks[i] = (rng.choice(["Results", "Discussion", "References"]), rng.choice(["p", "q", "r", "", None]), " ".join(words))
+    lists = {"sparse": {}, "dense": {}, "other": {}}
+    for q in range(4):  # the last query has no lexical list
+        for name in lists if q < 3 else ["dense"]:
+            lists[name][q] = rng.sample(sorted(chunks), 25)
+
+    want = []
+    for q in range(4):
+        score = {}
+        for ranked in lists.values():
+            for place, c in enumerate(ranked.get(q, []), 1):
+                score[c] = score.get(c, 0) + 1 / (60 + place)
+        fused = sorted(score, key=lambda c: (-round(score[c], 12), c))[:candidates]
+
+        def keys(c):
+            alias, context = "Abc1" in chunks[c][2], "chlorophyll" in chunks[c][2]
+            return (-alias, -(alias and context), -context, fused.index(c))
+
+        seen, first, later = {}, [], []
+        for c in sorted(fused, key=keys):
+            section, source, _ = chunks[c]
+            if section == "References":
+                continue
+            seen[source] = seen.get(source, 0) + 1
+            (later if source and seen[source] > per_source else first).append(c)
+        want += [(q, c, place, f"C{place}") for place, c in enumerate((first + later)[:5], 1)]
+
+    rows = [(name, q, c, place) for name, of in lists.items() for q, ranked in of.items() for place, c in enumerate(ranked, 1)]
+    ranks = spark.createDataFrame(rows, "list string, query_id long, chunk_id long, rank int")
+    none = F.array().cast("array<string>")
+    texts = spark.createDataFrame([(c, *v) for c, v in chunks.items()], "chunk_id long, section string, source string, text string")
+    texts = texts.withColumns({c: none for c in ("gene_like_mentions", "protein_family_mentions", "go_mentions", "cellular_component_mentions", "simple_chemical_mentions")})
+    queries = spark.range(4).select(F.col("id").alias("query_id"), F.array(F.lit("Abc1")).alias("aliases"), F.lit("").alias("bm25"), F.lit("chlorophyll").alias("embedding"), none.alias("context_phrases"))
+    got = P.hybrid_search(ranks.where("list = 'sparse'"), ranks.where("list <> 'sparse'"), texts, queries, candidates=candidates, per_source=per_source)
+    assert sorted((r.query_id, r.chunk_id, r.final_rank, r.citation_id) for r in got.collect()) == sorted(want)
+    assert P.hybrid_search(ranks.limit(0), ranks.limit(0), texts, queries).count() == 0

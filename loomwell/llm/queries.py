@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwell.llm import ann, bpe, fingerprints, jaccard_join, langid, licenses, mixing, secrets, sharding, spelling, token_files, whitening
+from loomwell.llm import ann, bpe, fingerprints, jaccard_join, langid, licenses, mixing, secrets, sharding, spelling, suffix_dedup, token_files, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.report(_documents(spark, sf_dir))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_byte_bpe": op2_byte_bpe,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 _MIXING_SQL = r"""

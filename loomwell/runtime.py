@@ -68,3 +68,11 @@ def partitions_for(df: DataFrame, column: str, most: int = 64 << 20) -> int:
     """The session's number of shuffle partitions, or more, so that none holds above about ``most`` bytes of a column."""
     size = df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
     return max(partitions(df.sparkSession), math.ceil(size / most))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until df has no column of that name (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.llm.text import shingle_hashes
-from loomwell.runtime import materialize
+from loomwell.runtime import free_name, materialize
 
 _BUCKETS = 1 << 20
 _CHUNK = 1 << 12
@@ -438,6 +438,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of repeated rows of one doc_id, one stays. Rows with a null doc_id stay.
     """
     away = join(docs.where("doc_id IS NOT NULL")).where("component_id < doc_id").select("doc_id").distinct()
-    names = docs.columns
+    names, first = docs.columns, free_name(docs, "_first")
     same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy("text")
-    return docs.join(away, "doc_id", "left_anti").withColumn("_first", F.row_number().over(same)).where("_first = 1").select(*names)
+    return docs.join(away, "doc_id", "left_anti").withColumn(first, F.row_number().over(same)).where(F.col(first) == 1).select(*names)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwell.runtime import materialize
+from loomwell.runtime import free_name, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 64
@@ -31,7 +31,7 @@ DOCS_PER_SHARD = 2000
 #: Hexadecimal digits by which a group of shards is divided: 4,096 rows at most.
 _DIGITS = 3
 _UNIT = 1024
-_PARTS = 1 << 20
+_PARTS = 1 << 28
 
 
 def apportion(df: DataFrame, groups: list[str], population: str, seats: str, order: list[str], out: str) -> DataFrame:
@@ -113,16 +113,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     Sources in code-point order, null last, weigh ``weights`` in turn and share ``budget`` times
     all words. Null texts have no words and give none. Rows with equal doc_id are rows of their
     own. Reruns agree: order and draws come from md5 of doc_id (of the text, where that is null),
-    source, shard and seed. An empty table gives an empty result; other columns than those in ``carry`` are ignored. With ``stream``,
-    _stream names each row's stream.
+    source, shard and seed. An empty table gives an empty result; other columns than those in ``carry`` are
+    ignored, and one in ``carry`` that has the name of a column of the result stays out. With ``stream``,
+    _shard and _key name each row's stream.
     """
+    carried = [c for c in carry or [] if c.lower() not in ("doc_id", "size", "source_size", "target", "taken")]
     sized = materialize(
         docs.select(
             F.col("doc_id").cast("long"),
             F.col("source").cast("string"),
             F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("source"))).alias("key"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            *(carry or []),
+            *(F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(carried)),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce("text", F.lit(""))))).cast("binary")).alias("hash"),
         ),
         "mix-sizes",
@@ -163,30 +165,45 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
 
     start = F.col("_end") - F.col("size")
     taken = F.col("_base") * F.col("size") + words_before(F.col("_end")) - words_before(start)
-    return docs_at.join(streams, ["shard", "key"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(carry or []), *([F.concat("shard", F.lit("/"), "key").alias("_stream")] if stream else []))
+    out = docs_at.join(streams, ["shard", "key"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(F.col(f"_carried{i}").alias(c) for i, c in enumerate(carried)), *([F.col("shard").alias("_shard"), F.col("key").alias("_key")] if stream else []))
+    return out
 
 
-def apply_mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: whole copies of documents, so that each stream has about the words it takes.
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """``_copies`` of each document of (_document, _key, _shard, _words, _taken): its taken words over its own, rounded up or down.
+
+    The parts of copies of all documents of a source are added up from short documents to long ones (by
+    shard and name among equally long ones), and a document has a copy more where the rounded sum
+    grows. As words don't fall along that order, a source's words differ from those it takes by its
+    longest document at most. The sums are made in three steps, over a source's lengths, over the
+    shards of a length and over documents of both, so that no source is gathered.
+    """
+    taken, words = F.col("_taken"), F.col("_words")
+    rows = rows.withColumn("_part", _div(2 * (taken % words) * _PARTS + words, 2 * words))
+    lengths = rows.groupBy("_key", "_words").agg(F.sum("_part").alias("_parts"))
+    shards = rows.groupBy("_key", "_words", "_shard").agg(F.sum("_part").alias("_parts"))
+    upto = lambda by, order: F.sum("_parts").over(Window.partitionBy(*by).orderBy(order)) - F.col("_parts")
+    lengths = lengths.select("_key", "_words", upto(["_key"], "_words").alias("_shorter"))
+    shards = shards.select("_key", "_words", "_shard", upto(["_key", "_words"], "_shard").alias("_before"))
+    at = shards.join(lengths, ["_key", "_words"]).select("_key", "_words", "_shard", (F.col("_shorter") + F.col("_before")).alias("_from"))
+    own = Window.partitionBy("_key", "_words", "_shard").orderBy("_document").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.join(at, ["_key", "_words", "_shard"]).withColumn("_sum", F.col("_from") + F.sum("_part").over(own))
+    rounded = lambda x: _div(x + F.lit(_PARTS // 2), F.lit(_PARTS))
+    return summed.select("_document", (_div(taken, words) + rounded(F.col("_sum")) - rounded(F.col("_sum") - F.col("_part"))).cast("int").alias("_copies"))
 
-    Each document is taken as often as its taken words over its size, rounded, where the stream's
-    words then differ from those it takes by its longest document at most. In other streams the parts
-    of copies are added up from short documents to long ones, and a document has one copy more where
-    the rounded sum grows; the same bound holds then, as sizes don't fall along that order.
 
-    Columns stay. A document is told from others by its id, source and text; rows that agree in
-    all three are taken alike. Documents without words go.
+def apply_mix(docs: DataFrame) -> DataFrame:
+    """The mix itself: whole copies of documents, so that each source has the words it takes within its longest document.
+
+    Each document is taken as often as its taken words over its size, rounded up or down (see
+    ``whole_copies``). Columns stay, whatever their names. A document is told from others by its id,
+    source and text; rows that agree in all three count as one long document and are taken alike.
+    Documents without words go; an empty table gives an empty result.
     """
-    names = docs.columns
+    names, key, copies = docs.columns, free_name(docs, "_document"), free_name(docs, "_copies")
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "source", "text")]
-    keyed = docs.withColumn("_key", F.sha2(F.concat_ws("\u001f", *parts).cast("binary"), 256))
-    rows = mix(keyed.withColumn("doc_id", F.col("doc_id").cast("long")), carry=["_key"], stream=True).where("size > 0")
-    one = rows.groupBy("_stream", "_key").agg(F.sum("size").alias("_words"), F.sum("taken").alias("_taken"), F.floor(F.max(F.col("taken") / F.col("size")) + 0.5).alias("_rounded"))
-    one = one.withColumn("_part", _div(F.col("_taken") % F.col("_words") * _PARTS, F.col("_words")))
-    whole = Window.partitionBy("_stream")
-    one = one.withColumn("_sum", F.sum("_part").over(whole.orderBy("_words", "_key").rowsBetween(Window.unboundedPreceding, 0)))
-    one = one.withColumn("_gap", F.sum(F.col("_rounded") * F.col("_words") - F.col("_taken")).over(whole)).withColumn("_longest", F.max("_words").over(whole))
-    half = F.lit(_PARTS // 2)
-    dealt = _div(F.col("_taken"), F.col("_words")) + _div(F.col("_sum") + half, F.lit(_PARTS)) - _div(F.col("_sum") - F.col("_part") + half, F.lit(_PARTS))
-    copies = one.select("_key", F.when(F.abs("_gap") <= F.col("_longest"), F.col("_rounded")).otherwise(dealt).cast("int").alias("_copies")).where("_copies > 0")
-    return keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    keyed = docs.withColumn(key, F.sha2(F.concat_ws("\u001f", *parts).cast("binary"), 256))
+    rows = mix(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.col(key).alias("_document")), carry=["_document"], stream=True).where("size > 0")
+    one = rows.groupBy("_shard", "_key", "_document").agg(F.sum("size").alias("_words"), F.sum("taken").alias("_taken"))
+    told = whole_copies(materialize(one, "mix-documents")).where("_copies > 0").select(F.col("_document").alias(key), F.col("_copies").alias(copies))
+    return keyed.join(told, key).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in names))

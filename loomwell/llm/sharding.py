@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwell.runtime import free_name
+
 SLOTS = 65537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
 
@@ -60,6 +62,6 @@ def place(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int
     No row is moved or dropped: null keys have a slot of their own, equal keys share one. The table
     of ``slots`` rows is broadcast; its size is fixed by the parameters.
     """
-    slot, owner = "_slot_of_key", "_owner_of_slot"
+    slot, owner = free_name(df, "_slot_of_key"), free_name(df, "_owner_of_slot")
     table = table_frame(df.sparkSession, shards, slots).select(F.col("slot").alias(slot), F.col("shard").alias(owner))
     return df.drop(out).withColumn(slot, slot_of(F.col(key), slots)).join(F.broadcast(table), slot).drop(slot).withColumnRenamed(owner, out)

@@ -68,18 +68,66 @@ def test_quotas_are_dealt_in_levels(spark):
     assert sorted((r.shard, r.key, r._quota) for r in mixing._dealt(merged, quotas, 2).collect()) == sorted((r.shard, r.key, r._quota) for r in flat.collect())
 
 
+def words_by_source(df):
+    return {r.source: r.n for r in df.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n")).collect()}
+
+
+def assert_sources_meet_their_targets(df):
+    out = mixing.apply_mix(df)
+    assert out.columns == df.columns
+    told = mixing.mix(df, carry=["source"]).groupBy("source").agg(F.first("target").alias("target"), F.max("size").alias("longest")).collect()
+    got = words_by_source(out)
+    for r in told:
+        assert abs(got.get(r.source, 0) - r.target) <= max(r.longest, 1), (r, got.get(r.source))
+    return out, got
+
+
 def test_whole_copies_meet_the_targets_of_sources(spark):
     rows = [(i, "w " * (250 + i % 100), "abc"[i % 3]) for i in range(240)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    target = {r.source: r.target for r in mixing.mix(df.withColumn("src", F.col("source")), carry=["src"]).select(F.col("src").alias("source"), "target").distinct().collect()}
+    target = {r.source: r.target for r in mixing.mix(df, carry=["source"]).select("source", "target").distinct().collect()}
     size = {s: sum(len(t) // 2 for _, t, x in rows if x == s) for s in "abc"}
     assert target["b"] < 0.9 * size["b"] and 1.5 * size["c"] < target["c"] < 1.8 * size["c"]
-    out = mixing.apply_mix(df)
-    got = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.length("text") / 2).alias("n")).collect()}
-    assert out.columns == df.columns and all(abs(got[s] - target[s]) <= 2 * 349 for s in "abc")
+    out, _ = assert_sources_meet_their_targets(df)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixing.apply_mix(df.repartition(3)).collect()))
 
 
+def test_few_long_documents_in_many_shards_meet_their_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DOCS_PER_SHARD", 500)
+    monkeypatch.setattr(mixing.shard_digits, "__defaults__", (500,))
+    rows = [(s * 400 + i, "w " * 100, f"s{s:02d}") for s in range(19) for i in range(400)] + [(100_000 + i, "w " * 5000, "s00x") for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixing.shard_digits(len(rows)) == 1
+    _, got = assert_sources_meet_their_targets(df)
+    assert 35_000 <= got["s00x"] <= 45_000
+
+
+def test_a_source_carries_its_parts_over_shards_and_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"d{i}", "=a" if i % 3 else "-", f"{int(rng.integers(0, 16)):x}", int(w), int(w * 0.37)) for i, w in enumerate(rng.integers(1, 40, 900) ** 2)]
+    got = {r._document: r._copies for r in mixing.whole_copies(spark.createDataFrame(rows, "_document string, _key string, _shard string, _words long, _taken long")).collect()}
+    for key in ("=a", "-"):
+        own = sorted((w, s, d, t) for d, k, s, w, t in rows if k == key)
+        total = 0
+        for w, _, d, t in own:
+            before, part = total, (2 * (t % w) * mixing._PARTS + w) // (2 * w)
+            total += part
+            half = mixing._PARTS // 2
+            assert got[d] == t // w + (total + half) // mixing._PARTS - (before + half) // mixing._PARTS
+        assert abs(sum(got[d] * w - t for w, _, d, t in own)) <= own[-1][0]
+
+
+def test_mix_with_clashing_names_ties_nulls_and_nothing(spark):
+    rows = [(1, "a b c", "s", 7, "k"), (1, "a b c", "s", 7, "k"), (None, "d e f", None, None, "k"), (2, None, "s", 1, "k"), (3, "", "t", 1, "k"), (3, "x y", "t", 1, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies int, _key string").withColumns({c: F.lit(f"own {c}") for c in ("_document", "_shard", "size", "key", "shard", "hash", "_sum", "target", "_words", "lang s")})
+    out = mixing.apply_mix(df)
+    assert out.columns == df.columns and out.where("_copies = 7 AND size <> 'own size'").count() == 0
+    assert {r.text for r in out.collect()} <= {"a b c", "d e f", "x y"} and out.where("doc_id = 1").count() % 2 == 0
+    assert mixing.apply_mix(df.limit(0)).count() == 0
+    carried = mixing.mix(df.select("doc_id", "text", "source", "_key", "size", "key"), carry=["source", "size", "_key", "key"])
+    assert carried.columns == ["doc_id", "size", "source_size", "target", "taken", "source", "_key", "key"] and {r._key for r in carried.collect()} == {"k"} and carried.where("key = 'own key'").count() == len(rows)
+
+
 def test_lookup_table_is_filled_in_turns():
     names = tuple(f"n{i}" for i in range(7))
     table = sharding.lookup_table(names, 101)
@@ -114,6 +162,9 @@ def test_placement(docs, empty):
     assert out.groupBy("source").agg(F.countDistinct("shard").alias("n")).where("n <> 1").count() == 0
     assert sharding.place(empty, "doc_id").count() == 0
     assert not any("Python" in x or "Arrow" in x for x in [out._jdf.queryExecution().toString()])
+    clash = docs.withColumns({"_slot_of_key": F.lit("own"), "_owner_of_slot": F.lit("own")})
+    out = sharding.place(clash, "doc_id")
+    assert out.columns == [*clash.columns, "shard"] and out.where("_slot_of_key = 'own' AND _owner_of_slot = 'own'").count() == docs.count()
 
 
 def brute_spans(t):
@@ -222,6 +273,16 @@ def test_chi_square():
     assert ann.chi_square_cdf(np.array([0.0, 15.507313])) == pytest.approx([0, 0.95], abs=1e-6)
 
 
+def test_pipeline_stages_on_nothing_and_with_clashing_columns(spark, docs):
+    more = docs.withColumns({c: F.lit("own") for c in ("_first", "_copies", "_key", "_told_language", "hash", "size", "token", "n", "ids", "spans", "found")})
+    for df in (more.limit(0), more):
+        now = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = materialize(stage(spark, now, ""), "test-clash")
+            assert now.columns == more.columns and now.where("_first <> 'own' OR _copies <> 'own' OR _told_language <> 'own' OR found <> 'own'").count() == 0
+        assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() == now.count() and (now.count() > 0) == (df is more)
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     path = str(tmp_path / "t")
     docs.write.parquet(path + "/documents.parquet")
@@ -239,9 +300,9 @@ def test_pipeline_stages(spark, docs, tmp_path):
     told = langid.identify(docs, model)
     assert ids[1] == {r.doc_id for r in told.where("lang_pred <> 'und' AND NOT ambiguous").collect()}
     assert seen[2].count() == len(ids[2]) and ids[3] == ids[2]
-    sizes = {(r.doc_id): (r.taken, r["size"]) for r in mixing.mix(seen[3]).collect()}
-    copies = {r.doc_id: r["count"] for r in seen[4].groupBy("doc_id").count().collect()}
-    assert copies == {d: int(t / s + 0.5) for d, (t, s) in sizes.items() if s and int(t / s + 0.5)}
+    got = words_by_source(seen[4])
+    for r in mixing.mix(seen[3], carry=["source"]).groupBy("source").agg(F.first("target").alias("target"), F.max("size").alias("longest")).collect():
+        assert abs(got.get(r.source, 0) - r.target) <= r.longest
     assert seen[5].count() == seen[4].count()
     texts = {(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in seen[4].collect()}
     assert texts == {(r.doc_id, r.text_sha256) for r in seen[5].collect()}

@@ -179,6 +179,10 @@ def test_one_of_each_group_stays(docs):
     assert kept.columns == docs.columns
     want = {c for _, _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()])}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    clash = docs.select("doc_id", "text").unionByName(docs.select(F.lit(None).cast("long").alias("doc_id"), "text").limit(3)).withColumns({"_first": F.lit(2), "root": F.lit("own")})
+    kept = jaccard_join.keep_one(clash)
+    assert kept.columns == clash.columns and kept.where("_first <> 2 OR root <> 'own'").count() == 0
+    assert kept.where("doc_id IS NULL").count() == 3 and sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(want)
 
 
 def test_token_files_round_trip(spark, docs, empty):

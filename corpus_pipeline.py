@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwell.llm import bpe, jaccard_join, langid, mixing, secrets
-from loomwell.runtime import materialize, ship
+from loomwell.runtime import free_name, materialize, ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: those without letters and ambiguous ones go."""
     ship(spark)
     model = langid.train(docs.where("doc_id IS NOT NULL"))
-    told = langid.identify(docs, model, out=("_told_language", "_told_score", "_told_ambiguous"))
-    return told.where((F.col("_told_language") != langid.UNKNOWN) & ~F.col("_told_ambiguous")).select(*docs.columns)
+    names = told, _, ambiguous = tuple(free_name(docs, c) for c in ("_told_language", "_told_score", "_told_ambiguous"))
+    return langid.identify(docs, model, out=names).where((F.col(told) != langid.UNKNOWN) & ~F.col(ambiguous)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

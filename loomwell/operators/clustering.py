@@ -69,50 +69,143 @@ def clean_genes(genes: DataFrame, names: tuple[str, ...], function: str, go: tup
 def go_closure(edges: DataFrame, terms: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(term, ancestor, s): the greatest product of weights on a path; 1 for the term itself.
 
-    The frontier is joined with the edges until it adds no better value.
+    Paths are joined with paths until none adds a better value, so each round doubles their length.
+    Edges of an unknown relation lead nowhere.
     """
     w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    up = edges.select(F.col("child").alias("ancestor"), "parent", F.element_at(w, F.col("relation")).alias("w"))
-    closure = materialize(terms.select(F.col("go_id").alias("term"), F.col("go_id").alias("ancestor"), F.lit(1.0).alias("s")), "go-closure")
-    frontier = closure
+    best = lambda rows: rows.groupBy("term", "ancestor").agg(F.max("s").alias("s"))
+    steps = edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor"), F.element_at(w, F.col("relation")).alias("s")).where("s IS NOT NULL")
+    closure = materialize(best(steps.union(terms.select(F.col("go_id").alias("term"), F.col("go_id").alias("ancestor"), F.lit(1.0).alias("s")))), "go-closure")
     while True:
-        step = frontier.join(up, "ancestor").select("term", F.col("parent").alias("ancestor"), (F.col("s") * F.col("w")).alias("s")).groupBy("term", "ancestor").agg(F.max("s").alias("s"))
-        old = closure.select("term", "ancestor", F.col("s").alias("old"))
-        frontier = materialize(step.join(old, ["term", "ancestor"], "left").where("old IS NULL OR s > old").drop("old"), "go-frontier")
-        if not frontier.limit(1).count():
-            return closure
-        closure = materialize(closure.union(frontier).groupBy("term", "ancestor").agg(F.max("s").alias("s")), "go-closure")
-
-
-def term_similarity(closure: DataFrame, used: DataFrame) -> DataFrame:
-    """(term_a, term_b, sim) of the terms in use that share an ancestor, both orders and equal ones."""
-    own = closure.join(used.select(F.col("go_id").alias("term")).distinct(), "term", "left_semi")
-    sv = own.groupBy("term").agg(F.sum("s").alias("sv"))
-    a = own.select("ancestor", F.col("term").alias("term_a"), F.col("s").alias("sa"))
-    b = own.select("ancestor", F.col("term").alias("term_b"), F.col("s").alias("sb"))
-    shared = a.join(b, "ancestor").groupBy("term_a", "term_b").agg(F.sum(F.col("sa") + F.col("sb")).alias("both"))
-    shared = shared.join(sv.select(F.col("term").alias("term_a"), F.col("sv").alias("va")), "term_a").join(sv.select(F.col("term").alias("term_b"), F.col("sv").alias("vb")), "term_b")
-    return shared.select("term_a", "term_b", (F.col("both") / (F.col("va") + F.col("vb"))).alias("sim"))
-
-
-def gene_similarity(gene2go: DataFrame, similarity: DataFrame, least: float = 0.0) -> DataFrame:
-    """(gene_a < gene_b, sim): best-match average of the genes' terms, over ``least``.
-
-    Genes with the same set of terms are one signature; pairs are computed for signatures only and
-    handed to their genes at the end.
+        on = closure.where("term <> ancestor")
+        longer = on.join(on.select(F.col("term").alias("ancestor"), F.col("ancestor").alias("further"), F.col("s").alias("more")), "ancestor").select("term", F.col("further").alias("ancestor"), (F.col("s") * F.col("more")).alias("s"))
+        rows = closure.withColumn("old", F.col("s")).unionByName(longer.withColumn("old", F.lit(None).cast("double")))
+        new = materialize(rows.groupBy("term", "ancestor").agg(F.max("s").alias("s"), F.max("old").alias("old")), "go-closure")
+        closure = new.select("term", "ancestor", "s")
+        if not new.where("old IS NULL OR s > old").limit(1).count():
+            return closure.join(terms.select(F.col("go_id").alias("term")).distinct(), "term", "left_semi")
+
+
+#: Terms of an ancestor that meet in one task.
+LOT = 4096
+_ROUNDING = 1e-12
+
+
+def _limit(limits: float | dict[str, float]) -> Column:
+    """The limit of a row: a number, or by its ``ontology``."""
+    if not isinstance(limits, dict):
+        return F.lit(float(limits))
+    return F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("ontology"))
+
+
+def _ranked(closure: DataFrame, used: DataFrame) -> DataFrame:
+    """(term, ancestor, s, m, sv, mass, least) of the terms in use, an ancestor's m terms.
+
+    A term's ancestors stand in one order, those of few terms first; ``mass`` is what an ancestor and
+    those after it bring to the term's whole value ``sv``.
+    """
+    own = closure.join(used.groupBy(F.col("go_id").alias("term")).agg(F.min("least").alias("least")), "term")
+    sizes = own.groupBy("ancestor").agg(F.count(F.lit(1)).alias("m"))
+    by_term = Window.partitionBy("term")
+    later = by_term.orderBy("m", "ancestor").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return own.join(sizes, "ancestor").select("term", "ancestor", "s", "m", F.sum("s").over(by_term).alias("sv"), F.sum("s").over(later).alias("mass"), "least")
+
+
+def _candidate_terms(ranked: DataFrame, lot: int) -> DataFrame:
+    """Pairs (term_a <= term_b) that can reach their limit, by the rarest ancestor they may share.
+
+    Of two terms' common ancestors the first is c. All that both can have in common is their mass from c
+    on, so at least one of them has ``least`` of its value there: only such rows ask an ancestor's terms.
+    An ancestor's terms are cut into lots, and askers sent to each, so that a root is many tasks' work.
     """
-    sets = gene2go.groupBy("gene_id").agg(F.sort_array(F.collect_set("go_id")).alias("terms"))
-    signatures = sets.select("terms").distinct().withColumn("sig", F.sha2(F.array_join("terms", ",").cast("binary"), 256))
-    terms = signatures.select("sig", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    a = terms.select(F.col("sig").alias("sig_a"), F.col("n").alias("na"), F.col("term").alias("term_a"))
-    b = terms.select(F.col("sig").alias("sig_b"), F.col("n").alias("nb"), F.col("term").alias("term_b"))
-    one_way = a.join(similarity, "term_a").join(b, "term_b").groupBy("sig_a", "sig_b", "term_a", "na", "nb").agg(F.max("sim").alias("best")).groupBy("sig_a", "sig_b", "na", "nb").agg(F.sum("best").alias("total"))
-    back = one_way.select(F.col("sig_a").alias("sig_b"), F.col("sig_b").alias("sig_a"), F.col("total").alias("other"))
-    pairs = one_way.join(back, ["sig_a", "sig_b"]).select("sig_a", "sig_b", ((F.col("total") + F.col("other")) / (F.col("na") + F.col("nb"))).alias("sim")).where(F.col("sim") > least)
-    genes = sets.select("gene_id", F.sha2(F.array_join("terms", ",").cast("binary"), 256).alias("sig"))
-    left = genes.select(F.col("gene_id").alias("gene_a"), F.col("sig").alias("sig_a"))
-    right = genes.select(F.col("gene_id").alias("gene_b"), F.col("sig").alias("sig_b"))
-    return left.join(pairs, "sig_a").join(right, "sig_b").where("gene_a < gene_b").select("gene_a", "gene_b", "sim")
+    lots = F.greatest(F.lit(1), F.ceil(F.col("m") / lot)).cast("int")
+    asks = ranked.where(F.col("mass") >= F.col("least") * F.col("sv") - _ROUNDING)
+    asks = asks.select("ancestor", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"), F.col("term").alias("x"), F.col("mass").alias("mass_x"), F.col("sv").alias("sv_x"), F.col("least").alias("least_x"))
+    asked = ranked.select("ancestor", F.pmod(F.xxhash64("term"), lots).cast("int").alias("lot"), F.col("term").alias("y"), F.col("mass").alias("mass_y"), F.col("sv").alias("sv_y"), F.col("least").alias("least_y"))
+    enough = F.col("mass_x") + F.col("mass_y") >= F.least("least_x", "least_y") * (F.col("sv_x") + F.col("sv_y")) - _ROUNDING
+    met = asks.join(asked, ["ancestor", "lot"]).where(enough)
+    return met.select(F.least("x", "y").alias("term_a"), F.greatest("x", "y").alias("term_b")).distinct()
+
+
+def _valued(pairs: DataFrame, closure: DataFrame) -> DataFrame:
+    """``sim`` of (term_a, term_b): the values of shared ancestors on both sides over both whole values; 0 without one."""
+    values = closure.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("ancestor", "s"))).alias("v"), F.sum("s").alias("sv"))
+    for x in "ab":
+        pairs = pairs.join(values.select(F.col("term").alias(f"term_{x}"), F.col("v").alias(f"v_{x}"), F.col("sv").alias(f"sv_{x}")), f"term_{x}")
+    shared = F.array_intersect(F.map_keys("v_a"), F.map_keys("v_b"))
+    both = F.aggregate(shared, F.lit(0.0), lambda t, k: t + F.element_at("v_a", k) + F.element_at("v_b", k))
+    return pairs.withColumn("sim", both / (F.col("sv_a") + F.col("sv_b"))).drop("v_a", "v_b", "sv_a", "sv_b")
+
+
+def term_similarity(closure: DataFrame, used: DataFrame, least: float = 0.0, lot: int = LOT) -> DataFrame:
+    """(term_a, term_b, sim) of the terms in use that share an ancestor and are ``least`` alike, both orders and equal ones.
+
+    With a column ``least``, ``used`` has a limit for each term. Pairs under the limit aren't formed, but
+    where two terms' rarest common ancestor leaves room for it; a root that covers all terms is
+    split into lots of ``lot`` terms.
+    """
+    terms = used if "least" in used.columns else used.withColumn("least", F.lit(float(least)))
+    ranked = materialize(_ranked(closure, terms), "terms-ranked")
+    limits = terms.groupBy(F.col("go_id").alias("term_a")).agg(F.min("least").alias("least"))
+    found = materialize(_valued(_candidate_terms(ranked, lot), ranked).join(limits, "term_a").where((F.col("sim") >= F.col("least") - _ROUNDING) & (F.col("sim") > 0)).select("term_a", "term_b", "sim"), "term-similarity")
+    return found.union(found.where("term_a < term_b").select(F.col("term_b").alias("term_a"), F.col("term_a").alias("term_b"), "sim"))
+
+
+#: Terms are told alike from this part of the genes' limit on.
+SLACK = 0.8
+
+
+def gene_similarity(gene2go: DataFrame, closure: DataFrame, least: float | dict[str, float] = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, gene_a < gene_b, sim): best-match averages of the genes' terms that are ``least`` or more.
+
+    ``keys`` may be ``ontology``, so that each gene has a set of terms for each, with its own limit. Genes with the same
+    set are one signature. Two signatures that reach the limit hold two terms that do, so only
+    those that do for one of the first terms of either (rarest neighbours first, and as many as the limit
+    leaves room for) are candidates; the bound by their alike terms, with the rest just under
+    SLACK times the limit, rules out more before whole sums are made. With limit 0, all that share an
+    ancestor come out.
+    """
+    k = list(keys)
+    known = closure.select(F.col("term").alias("go_id")).distinct()
+    sets = gene2go.join(known, "go_id", "left_semi").groupBy(*k, "gene_id").agg(F.sort_array(F.collect_set("go_id")).alias("terms"))
+    sets = materialize(sets.withColumn("sig", F.sha2(F.array_join(F.concat(F.array(*(F.coalesce(F.col(x).cast("string"), F.lit("")) for x in k)), "terms"), ",").cast("binary"), 256)), "gene-terms")
+    signatures = sets.groupBy("sig").agg(*(F.first(x).alias(x) for x in k), F.first("terms").alias("terms")).withColumn("limit", _limit(least)).withColumn("n", F.size("terms"))
+    signatures = materialize(signatures.select("sig", "terms", "limit", "n"), "signatures")
+    terms = signatures.select("sig", "limit", "n", F.explode("terms").alias("term"))
+    alike = materialize(term_similarity(closure, terms.select(F.col("term").alias("go_id"), (F.col("limit") * SLACK).alias("least"))), "alike-terms")
+
+    # The first terms of each signature: all but as many as can be unlike where the limit is reached.
+    held = terms.groupBy("term").agg(F.count(F.lit(1)).alias("held"))
+    asked = alike.join(held.withColumnRenamed("term", "term_b"), "term_b").groupBy(F.col("term_a").alias("term")).agg(F.sum("held").alias("reach"))
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("reach", "term"))
+    part = F.col("limit") * (1 - SLACK) / (1 - F.col("limit") * SLACK)
+    first = terms.join(asked, "term").withColumn("place", place).where(F.col("place") <= F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * part - _ROUNDING)) + 1)
+    met = first.select(F.col("sig").alias("x"), F.col("term").alias("term_a"), "limit").join(alike, "term_a").join(terms.select(F.col("sig").alias("y"), F.col("term").alias("term_b")), "term_b")
+    candidates = materialize(met.where("x <> y").select(F.least("x", "y").alias("sig_a"), F.greatest("x", "y").alias("sig_b")).distinct(), "signature-candidates")
+
+    # Bounds by the alike terms alone, then whole sums of the rest.
+    of = lambda x: signatures.select(F.col("sig").alias(f"sig_{x}"), F.col("terms").alias(f"terms_{x}"), F.col("n").alias(f"n_{x}"), *([F.col("limit")] if x == "a" else []))
+    sides = candidates.join(of("a"), "sig_a").join(of("b"), "sig_b")
+    each = sides.select("sig_a", "sig_b", "n_a", "n_b", "limit", F.explode("terms_a").alias("term_a"), "terms_b").select("sig_a", "sig_b", "n_a", "n_b", "limit", "term_a", F.explode("terms_b").alias("term_b"))
+    told = materialize(each.join(alike, ["term_a", "term_b"], "left"), "signature-terms")
+    pair = ["sig_a", "sig_b"]
+
+    def summed(rows: DataFrame, floor: Column) -> DataFrame:
+        """Sums of the best matches of both sides; a term without one counts as ``floor``."""
+        best = [rows.groupBy(*pair, "limit", "n_a", "n_b", f"term_{x}").agg(F.coalesce(F.max("sim"), F.first(floor)).alias("best")).groupBy(*pair, "limit", "n_a", "n_b").agg(F.sum("best").alias(f"sum_{x}")) for x in "ab"]
+        both = best[0].join(best[1].select(*pair, "sum_b"), pair)
+        return both.select(*pair, "limit", ((F.col("sum_a") + F.col("sum_b")) / (F.col("n_a") + F.col("n_b"))).alias("sim")).where(F.col("sim") >= F.col("limit") - _ROUNDING)
+
+    open_pairs = materialize(summed(told, F.col("limit") * SLACK).select(*pair), "signature-open")
+    left = materialize(told.join(open_pairs, pair, "left_semi"), "signature-left")
+    unlike = _valued(left.where("sim IS NULL").select("term_a", "term_b").distinct(), closure).withColumnRenamed("sim", "low")
+    whole = left.join(unlike, ["term_a", "term_b"], "left").withColumn("sim", F.coalesce("sim", "low"))
+    pairs = summed(whole, F.lit(0.0)).where("sim > 0").select(*pair, "sim")
+    same = signatures.select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b"), F.lit(1.0).alias("sim"))
+    pairs = materialize(pairs.union(pairs.select(F.col("sig_b").alias("sig_a"), F.col("sig_a").alias("sig_b"), "sim")).union(same), "signature-pairs")
+    left_genes = sets.select(*k, F.col("gene_id").alias("gene_a"), F.col("sig").alias("sig_a"))
+    right_genes = sets.select(F.col("gene_id").alias("gene_b"), F.col("sig").alias("sig_b"))
+    return left_genes.join(pairs, "sig_a").join(right_genes, "sig_b").where("gene_a < gene_b").select(*k, "gene_a", "gene_b", "sim")
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -275,6 +368,23 @@ def semantic_clusters(genes: DataFrame, pairs: DataFrame, keys: tuple[str, ...]
     return genes.select(*keys, "gene_id").join(told, [*keys, "gene_id"], "left").select(*keys, "gene_id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"), *names)
 
 
+def clusters_of_genes(genes: DataFrame, gene2go: DataFrame, edges: DataFrame, terms: DataFrame, limits: dict[str, float] = MIN_SIMILARITY, min_size: int = 3) -> DataFrame:
+    """The whole chain: ontology closure, gene similarities over each ontology's limit, linkage, pruning, numbers and metrics.
+
+    ``genes`` has gene_id and direction, ``gene2go`` gene_id, ontology and go_id, ``terms`` go_id. Genes of a
+    direction are clustered by themselves, in each ontology in which they have terms.
+    """
+    closure = go_closure(edges, terms)
+    directed = genes.select("gene_id", "direction").distinct()
+    own = materialize(gene2go.join(terms.select("go_id"), "go_id", "left_semi").join(directed.select("gene_id"), "gene_id", "left_semi").select("gene_id", "ontology", "go_id"), "chain-terms")
+    pairs = gene_similarity(own, closure, limits, ("ontology",))
+    for x in "ab":
+        pairs = pairs.join(directed.select(F.col("gene_id").alias(f"gene_{x}"), F.col("direction").alias(f"direction_{x}")), f"gene_{x}")
+    pairs = materialize(pairs.where("direction_a = direction_b").select("ontology", F.col("direction_a").alias("direction"), "gene_a", "gene_b", "sim"), "chain-pairs")
+    asked = own.select("ontology", "gene_id").distinct().join(directed, "gene_id").select("ontology", "direction", "gene_id")
+    return semantic_clusters(asked, pairs, ("ontology", "direction"), limits, min_size)
+
+
 def renumber(labels: DataFrame, keys: list[str]) -> DataFrame:
     """Clusters 1..n in order of their old number within each key; noise stays -1."""
     noise = (F.col("cluster") == -1).alias("_noise")

@@ -129,25 +129,23 @@ def go_closure(spark, d):
     return _r6(K.go_closure(table(spark, d, "go_edges"), table(spark, d, "go_terms")), "s")
 
 
-def _termsim(spark, d):
-    return K.term_similarity(K.go_closure(table(spark, d, "go_edges"), table(spark, d, "go_terms")), table(spark, d, "gene2go"))
-
-
 def term_similarity(spark, d):
-    return _r6(_termsim(spark, d), "sim")
+    return _r6(K.term_similarity(K.go_closure(table(spark, d, "go_edges"), table(spark, d, "go_terms")), table(spark, d, "gene2go").select("go_id").distinct(), 0.5), "sim")
 
 
-def _few(spark, d):
-    return table(spark, d, "gene2go").join(table(spark, d, "go_terms").select("go_id"), "go_id", "left_semi")
+def _gene_terms(spark, d):
+    return table(spark, d, "gene2go").join(table(spark, d, "go_terms"), "go_id")
 
 
 def gene_similarity(spark, d):
-    pairs = K.gene_similarity(_few(spark, d), _termsim(spark, d))
-    return _r6(pairs.groupBy("gene_a").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sim"), 3).alias("total"), F.max("sim").alias("best")), "best")
+    closure = K.go_closure(table(spark, d, "go_edges"), table(spark, d, "go_terms"))
+    pairs = K.gene_similarity(_gene_terms(spark, d), closure, K.MIN_SIMILARITY, ("ontology",))
+    return _r6(pairs.groupBy("ontology", "gene_a").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sim"), 3).alias("total"), F.max("sim").alias("best")), "best")
 
 
 def semantic_clusters(spark, d):
-    return _r6(K.semantic_clusters(table(spark, d, "clusters"), table(spark, d, "similarity").drop("cluster")), "cluster_silhouette", "mean_silhouette", "min_silhouette")
+    genes = table(spark, d, "genes").select("gene_id", F.when(F.col("log2FoldChange") > 0, "upregulated").otherwise("downregulated").alias("direction"))
+    return _r6(K.clusters_of_genes(genes, _gene_terms(spark, d), table(spark, d, "go_edges"), table(spark, d, "go_terms")), "cluster_silhouette", "mean_silhouette", "min_silhouette", "min_pairwise_similarity")
 
 
 def cluster_silhouettes(spark, d):
@@ -274,11 +272,11 @@ _SQL = {
     "name_terms": "WITH w AS (SELECT gene_id, list_filter(regexp_extract_all(lower(name_gff || ' ' || uniprot_function), '[A-Za-z0-9][A-Za-z0-9_.+-]*'), lambda x: length(x) >= 3 AND NOT list_contains(" + str(C.NAME_STOP) + ", x)) AS w FROM {genes}), "
     "h AS (SELECT gene_id, flatten(list_transform(w, lambda x: CASE WHEN contains(x, '-') THEN [x] || list_filter(string_split(x, '-'), lambda y: length(y) >= 3 AND NOT list_contains(" + str(C.NAME_STOP) + ", y)) ELSE [x] END)) AS l FROM w) SELECT gene_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS name_terms FROM h",
     "go_closure": _CLOSE + " SELECT term, ancestor, round(s, 6) AS s FROM c",
-    "term_similarity": _SIM + " SELECT term_a, term_b, round(sim, 6) AS sim FROM ts",
-    "gene_similarity": _SIM + """, gg AS (SELECT DISTINCT gene_id, go_id FROM {gene2go} WHERE go_id IN (SELECT go_id FROM {go_terms})), gn AS (SELECT gene_id, count(*) AS n FROM gg GROUP BY gene_id),
-      o AS (SELECT a.gene_id AS ga, b.gene_id AS gb, a.go_id, max(sim) AS best FROM gg a JOIN ts ON ts.term_a = a.go_id JOIN gg b ON b.go_id = ts.term_b GROUP BY ALL), w AS (SELECT ga, gb, sum(best) AS t FROM o GROUP BY ALL),
-      p AS (SELECT x.ga AS gene_a, x.gb AS gene_b, (x.t + y.t) / (m.n + n.n) AS sim FROM w x JOIN w y ON x.ga = y.gb AND x.gb = y.ga JOIN gn m ON m.gene_id = x.ga JOIN gn n ON n.gene_id = x.gb WHERE x.ga < x.gb)
-      SELECT gene_a, count(*) AS n, round(sum(sim), 3) AS total, round(max(sim), 6) AS best FROM p WHERE sim > 0 GROUP BY gene_a""",
+    "term_similarity": _SIM + " SELECT term_a, term_b, round(sim, 6) AS sim FROM ts WHERE sim >= 5e-1 - 1e-12",
+    "gene_similarity": _SIM + """, gg AS (SELECT DISTINCT ontology, gene_id, go_id FROM {gene2go} JOIN {go_terms} USING (go_id)), gn AS (SELECT ontology, gene_id, count(*) AS n FROM gg GROUP BY ALL),
+      o AS (SELECT a.ontology, a.gene_id AS ga, b.gene_id AS gb, a.go_id, max(sim) AS best FROM gg a JOIN ts ON ts.term_a = a.go_id JOIN gg b ON b.go_id = ts.term_b GROUP BY ALL), w AS (SELECT ontology, ga, gb, sum(best) AS t FROM o GROUP BY ALL),
+      p AS (SELECT x.ontology, x.ga AS gene_a, x.gb AS gene_b, (x.t + y.t) / (m.n + n.n) AS sim FROM w x JOIN w y ON x.ontology = y.ontology AND x.ga = y.gb AND x.gb = y.ga JOIN gn m ON m.ontology = x.ontology AND m.gene_id = x.ga JOIN gn n ON n.ontology = x.ontology AND n.gene_id = x.gb WHERE x.ga < x.gb)
+      SELECT ontology, gene_a, count(*) AS n, round(sum(sim), 3) AS total, round(max(sim), 6) AS best FROM p WHERE sim >= CASE ontology WHEN 'BP' THEN 5e-1 WHEN 'MF' THEN 6e-1 ELSE 85e-2 END - 1e-12 GROUP BY ontology, gene_a""",
     "renumber_clusters": "SELECT ontology, direction, gene_id, CASE WHEN cluster = -1 THEN -1 ELSE dense_rank() OVER (PARTITION BY ontology, direction, cluster = -1 ORDER BY cluster) END AS cluster FROM {clusters}",
     "cluster_silhouettes": """WITH g AS (SELECT ontology, direction, gene_id, cluster FROM {clusters} WHERE cluster <> -1), p AS (SELECT ontology, direction, gene_a AS x, gene_b AS y, sim FROM {similarity} UNION ALL SELECT ontology, direction, gene_b, gene_a, sim FROM {similarity}),
       d AS (SELECT ontology, direction, a.gene_id, a.cluster, b.cluster AS o, 1 - coalesce(p.sim, 0) AS d FROM g a JOIN g b USING (ontology, direction) LEFT JOIN p ON p.ontology = a.ontology AND p.direction = a.direction AND p.x = a.gene_id AND p.y = b.gene_id WHERE a.gene_id <> b.gene_id),

@@ -34,13 +34,15 @@ VIEWS = {
         CASE (p_partkey * 5 + h) % 4 WHEN 0 THEN '' ELSE concat('response to ', p_brand, ' [GO:', lpad(cast(p_partkey % 61 + 64 AS string), 7, '0'), ']; growth [GO:', lpad(cast(p_partkey % 31 + 32 AS string), 7, '0'), ']') END AS go_bp,
         concat('binding ', p_brand, ' [GO:', lpad(cast(p_partkey % 7 + 125 AS string), 7, '0'), ']') AS go_mf, concat(p_brand, ' membrane') AS go_cc
       FROM (SELECT *, 0 AS h FROM {part} UNION ALL SELECT *, 1 FROM {part} UNION ALL SELECT *, 2 FROM {part}) x""",
-    # an ontology of binary trees of 128 terms: as many trees as the table asks for
-    "go_terms": """SELECT concat('GO:', lpad(cast(p_partkey AS string), 7, '0')) AS go_id, 'BP' AS ontology FROM {part}""",
-    "go_edges": """SELECT concat('GO:', lpad(cast(p_partkey AS string), 7, '0')) AS child, concat('GO:', lpad(cast(p_partkey - p_partkey % 128 + cast(floor((p_partkey % 128) / 2) AS bigint) AS string), 7, '0')) AS parent,
-        CASE p_partkey % 2 WHEN 0 THEN 'is_a' ELSE 'part_of' END AS relation FROM {part} WHERE p_partkey % 128 >= 2""",
-    "gene2go": """SELECT concat('gene-', cast(p_partkey AS string)) AS gene_id, concat('GO:', lpad(cast(p_partkey - p_partkey % 128 + p_partkey * 37 % 61 + 64 AS string), 7, '0')) AS go_id FROM {part}
-      UNION SELECT concat('gene-', cast(p_partkey AS string)), concat('GO:', lpad(cast(p_partkey - p_partkey % 128 + p_partkey % 29 + 32 AS string), 7, '0')) FROM {part}
-      UNION SELECT concat('gene-', cast(p_partkey AS string)), concat('GO:', lpad(cast(CASE WHEN p_partkey % 11 = 0 THEN 9000000 + p_partkey ELSE p_partkey - p_partkey % 128 + p_partkey % 7 + 121 END AS string), 7, '0')) FROM {part}""",
+    # three ontologies, each a tree with one root that covers all its terms: term 3 * j + o has the parent 3 * floor(j / 2) + o
+    "go_terms": """SELECT concat('GO:', lpad(cast(p_partkey AS string), 7, '0')) AS go_id, CASE p_partkey % 3 WHEN 0 THEN 'BP' WHEN 1 THEN 'MF' ELSE 'CC' END AS ontology FROM {part}""",
+    "go_edges": """SELECT concat('GO:', lpad(cast(p_partkey AS string), 7, '0')) AS child, concat('GO:', lpad(cast(cast(floor(floor(p_partkey / 3) / 2) AS bigint) * 3 + p_partkey % 3 AS string), 7, '0')) AS parent,
+        CASE p_partkey % 4 WHEN 0 THEN 'part_of' ELSE 'is_a' END AS relation FROM {part} WHERE p_partkey >= 6""",
+    # two terms of each ontology for a gene, its own and one near it, and now and then one that no ontology has
+    "gene2go": """SELECT concat('gene-', cast(p_partkey AS string)) AS gene_id, concat('GO:', lpad(cast(p_partkey AS string), 7, '0')) AS go_id FROM {part}
+      UNION SELECT concat('gene-', cast(p_partkey AS string)), concat('GO:', lpad(cast(p_partkey - p_partkey % 24 + (p_partkey * 5 + p_size) % 24 AS string), 7, '0')) FROM {part}
+      UNION SELECT concat('gene-', cast(p_partkey AS string)), concat('GO:', lpad(cast(p_partkey - p_partkey % 12 + p_size % 12 AS string), 7, '0')) FROM {part}
+      UNION SELECT concat('gene-', cast(p_partkey AS string)), concat('GO:', lpad(cast(CASE WHEN p_partkey % 11 = 0 THEN 9000000 + p_partkey ELSE p_partkey - p_partkey % 6 + (p_partkey * 7 + 2) % 6 END AS string), 7, '0')) FROM {part}""",
     # the canonical gene table: each gene in its contrast of greatest effect, with annotation text
     "genes": """SELECT d.gene_id, d.logFC AS log2FoldChange, d.PValue AS pvalue, d.FDR / 8 AS padj, p.p_name AS name_gff, concat(p.p_type, ' (', p.p_brand, ')') AS uniprot_names,
         CASE p.p_partkey % 5 WHEN 0 THEN 'hypothetical protein' ELSE concat(p.p_type, ' kinase activity') END AS uniprot_function,

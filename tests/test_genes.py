@@ -157,3 +157,90 @@ def test_search_query_of_name_and_labels(spark):
     genes = spark.createDataFrame([("g", 0.01, 2.0, "Kinase X (KX1) [Fragment]")], "gene_id string, padj double, log2FoldChange double, uniprot_names string")
     r = K.prioritize(reps, genes).first()
     assert r.search_query == "Kinase X, growth, step, last" and r.represented_clusters == "BP:up:1; MF:up:2" and r.selected_for_search
+
+
+def ontology(rng, n, prefix):
+    """A random ontology with one root: (child, parent, relation), and s of each term's ancestors by brute force."""
+    edges = [(f"{prefix}{i}", f"{prefix}{j}", rng.choice(("is_a", "part_of"))) for i in range(1, n) for j in {rng.randrange(max(0, i // 3 - 1), i) for _ in range(rng.choice((1, 1, 2)))}]
+    up = {}
+    for c, p, r in edges:
+        up.setdefault(c, []).append((p, K.WEIGHTS[r]))
+    s = {}
+    for i in range(n):
+        t = f"{prefix}{i}"
+        s[t] = {t: 1.0}
+        for p, w in up.get(t, []):
+            for a, v in s[p].items():
+                s[t][a] = max(s[t].get(a, 0), v * w)
+    return edges, s
+
+
+def wang(s, a, b):
+    shared = s[a].keys() & s[b].keys()
+    return sum(s[a][k] + s[b][k] for k in shared) / (sum(s[a].values()) + sum(s[b].values()))
+
+
+def best_match(s, x, y):
+    return (sum(max(wang(s, a, b) for b in y) for a in x) + sum(max(wang(s, a, b) for a in x) for b in y)) / (len(x) + len(y))
+
+
+@pytest.fixture(scope="module")
+def gene_ontology(spark):
+    rng = random.Random(12)
+    edges, s = [], {}
+    for prefix, n in (("b", 60), ("m", 40), ("c", 30)):
+        e, v = ontology(rng, n, prefix)
+        edges += e
+        s |= v
+    names = {"b": "BP", "m": "MF", "c": "CC"}
+    sets = {}
+    for g in range(45):
+        for o in "bmc":
+            own = [t for t in s if t[0] == o]
+            at = rng.randrange(len(own))
+            sets[names[o], f"g{g:02d}"] = {own[max(0, min(len(own) - 1, at + rng.randint(-4, 4)))] for _ in range(rng.choice((1, 2, 3, 9)))}
+    for g in range(45, 50):
+        sets["BP", f"g{g:02d}"] = sets["BP", "g07"]
+    frames = (
+        spark.createDataFrame(edges + [("b5", "b2", "regulates")], "child string, parent string, relation string"),
+        spark.createDataFrame([(t,) for t in s], "go_id string"),
+        spark.createDataFrame([(o, g, t) for (o, g), ts in sets.items() for t in [*ts, "unknown"]], "ontology string, gene_id string, go_id string"),
+    )
+    return s, sets, frames
+
+
+def test_closure_and_term_pairs_over_their_limit(gene_ontology):
+    s, _, (edges, terms, _) = gene_ontology
+    closure = K.go_closure(edges, terms)
+    assert {(r.term, r.ancestor): round(r.s, 12) for r in closure.collect()} == {(t, a): round(v, 12) for t, vs in s.items() for a, v in vs.items()}
+    for least, lot in ((0.0, 4096), (0.0, 7), (0.4, 4096), (0.4, 5), (0.7, 3)):
+        got = {(r.term_a, r.term_b): r.sim for r in K.term_similarity(closure, terms, least, lot).collect()}
+        want = {(a, b): wang(s, a, b) for a in s for b in s if s[a].keys() & s[b].keys() and wang(s, a, b) >= least}
+        assert got == pytest.approx(want)
+    ranked = K._ranked(closure, terms.withColumn("least", F.lit(0.7)))
+    assert K._candidate_terms(ranked, 4096).count() < 0.5 * K._candidate_terms(K._ranked(closure, terms.withColumn("least", F.lit(0.0))), 4096).count()
+
+
+def test_gene_pairs_over_their_limits_are_brute_force(gene_ontology):
+    s, sets, (edges, terms, gene2go) = gene_ontology
+    closure = K.go_closure(edges, terms)
+    whole = {(o, a, b): best_match(s, x, y) for (o, a), x in sets.items() for (p, b), y in sets.items() if o == p and a < b}
+    for limits in (K.MIN_SIMILARITY, {"BP": 0.0, "MF": 0.95, "CC": 1.0}):
+        got = {(r.ontology, r.gene_a, r.gene_b): r.sim for r in K.gene_similarity(gene2go, closure, limits, ("ontology",)).collect()}
+        assert got == pytest.approx({k: v for k, v in whole.items() if v >= limits[k[0]] - 1e-12})
+    bp = gene2go.where("ontology = 'BP'").drop("ontology")
+    got = {(r.gene_a, r.gene_b): r.sim for r in K.gene_similarity(bp, closure, 0.5).collect()}
+    assert got == pytest.approx({k[1:]: v for k, v in whole.items() if k[0] == "BP" and v >= 0.5})
+    assert K.gene_similarity(gene2go.limit(0), closure, K.MIN_SIMILARITY, ("ontology",)).count() == 0
+
+
+def test_the_chain_clusters_real_similarities(spark, gene_ontology):
+    s, sets, (edges, terms, gene2go) = gene_ontology
+    direction = {f"g{g:02d}": "up" if g % 3 else "down" for g in range(48)}
+    genes = spark.createDataFrame(list(direction.items()), "gene_id string, direction string")
+    rows = [(o, direction[a], a, b, best_match(s, x, y)) for (o, a), x in sets.items() for (p, b), y in sets.items() if o == p and a < b and a in direction and b in direction and direction[a] == direction[b]]
+    pairs = spark.createDataFrame([r for r in rows if r[4] >= K.MIN_SIMILARITY[r[0]] - 1e-12], "ontology string, direction string, gene_a string, gene_b string, sim double")
+    asked = spark.createDataFrame([(o, direction[g], g) for o, g in sets if g in direction], "ontology string, direction string, gene_id string")
+    told = lambda df: {(r.ontology, r.direction, r.gene_id): (r.cluster, r.cluster_size, r.cluster_silhouette and round(r.cluster_silhouette, 9)) for r in df.collect()}
+    got = told(K.clusters_of_genes(genes, gene2go, edges, terms))
+    assert got == told(K.semantic_clusters(asked, pairs)) and max(v[0] for v in got.values()) > 1

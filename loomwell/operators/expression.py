@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,26 +138,148 @@ def log_counts(counts: DataFrame, bins: int = 20, high: float = 20.0) -> DataFra
     return cpm(counts).groupBy("sample_id", at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Samples of a block, and genes whose vectors are multiplied together; blocks of MDS are smaller, as each pair keeps its greatest gaps.
+SAMPLES, GENES, MDS_SAMPLES = 512, 2048, 64
+
+
+def _blocked(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame, int]:
+    """Each gene's vector by blocks of samples: (gene_id, block, at, x), samples (sample_id, place), and the number of lots of genes.
+
+    ``rows`` has (sample_id, gene_id, x). There is one row for a gene and block, and one for a sample.
+    """
+    samples = rows.select("sample_id").distinct().withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sample_id")) - 1)  # one row a sample
+    samples = materialize(samples, "sample-places")
+    placed = rows.join(F.broadcast(samples), "sample_id").groupBy("gene_id", F.floor(F.col("place") / block).cast("int").alias("block"))
+    vectors = placed.agg(F.collect_list(F.struct((F.col("place") % block).cast("int").alias("at"), "x")).alias("v"))
+    vectors = materialize(vectors.select("gene_id", "block", F.col("v.at").alias("at"), F.col("v.x").alias("x")), "sample-vectors")
+    return vectors, samples, max(1, math.ceil(vectors.select("gene_id").distinct().count() / GENES))
+
+
+def _pairs_of_blocks(vectors: DataFrame, lots: int) -> DataFrame:
+    """(one <= two, lot, at_a, x_a, at_b, x_b): a row for each gene and pair of its blocks."""
+    a, b = (vectors.select("gene_id", F.col("block").alias(n), F.col("at").alias(f"at_{k}"), F.col("x").alias(f"x_{k}")) for k, n in (("a", "one"), ("b", "two")))
+    return a.join(b, "gene_id").where("one <= two").select("one", "two", F.pmod(F.xxhash64("gene_id"), F.lit(lots)).cast("int").alias("lot"), "at_a", "x_a", "at_b", "x_b")
+
+
+def _dense(at: pa.ChunkedArray, x: pa.ChunkedArray, block: int) -> np.ndarray:
+    """Genes by samples of a block; NaN where a sample lacks a gene."""
+    at, x = at.combine_chunks(), x.combine_chunks()
+    out = np.full((len(at), block), np.nan)
+    out[np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = x.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+_SUMS = "one int, two int, lot int, sums binary"
+
+
+def _packed(table: pa.Table, lot: int, sums: np.ndarray) -> pa.Table:
+    return pa.table({"one": table.column("one")[:1], "two": table.column("two")[:1], "lot": pa.array([lot], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+
+def _gram(rows: DataFrame, products: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], finish: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(sample_a < sample_b, value): sums of products over genes for all pairs of samples, block by block.
+
+    ``products`` makes matrices of two blocks' vectors, which are added up over lots of genes, and
+    ``finish`` a value of their sums (NaN: no row). No row is made for a pair and a gene.
+    """
+    vectors, samples, lots = _blocked(rows, SAMPLES)
+    block = min(SAMPLES, max(1, samples.count()))
+
+    def multiply(table: pa.Table) -> pa.Table:
+        made = products(_dense(table.column("at_a"), table.column("x_a"), block), _dense(table.column("at_b"), table.column("x_b"), block))
+        return _packed(table, table.column("lot")[0].as_py() // 16, np.stack(made))
+
+    def add(table: pa.Table) -> pa.Table:
+        return _packed(table, table.column("lot")[0].as_py() // 16, sum(np.frombuffer(x.as_py()) for x in table.column("sums")))
+
+    def told(table: pa.Table) -> pa.Table:
+        value = finish(sum(np.frombuffer(x.as_py()) for x in table.column("sums")).reshape(-1, block, block))
+        one, two = (table.column(c)[0].as_py() * SAMPLES for c in ("one", "two"))
+        i, j = np.nonzero(~np.isnan(value) & (np.arange(block)[:, None] + one < np.arange(block)[None, :] + two))
+        return pa.table({"a": pa.array(i + one, pa.int64()), "b": pa.array(j + two, pa.int64()), "value": pa.array(value[i, j])})
+
+    sums, left = _pairs_of_blocks(vectors, lots).groupBy("one", "two", "lot").applyInArrow(multiply, _SUMS), math.ceil(lots / 16)
+    while left > 1:  # sixteen matrices meet in a task
+        sums, left = sums.groupBy("one", "two", "lot").applyInArrow(add, _SUMS), math.ceil(left / 16)
+    pairs = sums.groupBy("one", "two").applyInArrow(told, "a long, b long, value double")
+    for k in "ab":
+        pairs = pairs.join(F.broadcast(samples.select(F.col("place").alias(k), F.col("sample_id").alias(f"sample_{k}"))), k)
+    return pairs.select("sample_a", "sample_b", "value")
+
+
+def _shared_sums(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Over the genes that both samples have: their number, sums, squares and products."""
+    in_a, in_b = (~np.isnan(m) * 1.0 for m in (a, b))
+    a, b = np.nan_to_num(a), np.nan_to_num(b)
+    return [in_a.T @ in_b, a.T @ in_b, in_a.T @ b, (a * a).T @ in_b, in_a.T @ (b * b), a.T @ b]
+
+
+def _correlated(sums: np.ndarray) -> np.ndarray:
+    n, a, b, aa, bb, ab = sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = np.maximum(n * aa - a * a, 0) * np.maximum(n * bb - b * b, 0)
+        return np.where(spread > 0, (n * ab - a * b) / np.sqrt(spread), np.nan)
+
+
 def sample_correlation(values: DataFrame) -> DataFrame:
-    """Spearman's correlation of all pairs of samples over the genes both have (average ranks)."""
+    """Spearman's correlation of all pairs of samples over the genes both have (average ranks), in blocks.
+
+    Pairs with fewer than two common genes, or with one rank for all of them, have no row.
+    """
     own, tie = Window.partitionBy("sample_id"), Window.partitionBy("sample_id", "cpm")
-    ranked = values.select("sample_id", "gene_id", (F.rank().over(own.orderBy("cpm")) + (F.count(F.lit(1)).over(tie) - 1) / 2).alias("r"))
-    a, b = (ranked.select("gene_id", F.col("sample_id").alias(f"sample_{x}"), F.col("r").alias(f"r_{x}")) for x in "ab")
-    return a.join(b, "gene_id").where("sample_a < sample_b").groupBy("sample_a", "sample_b").agg(F.corr("r_a", "r_b").alias("spearman"))
+    ranked = values.select("sample_id", "gene_id", (F.rank().over(own.orderBy("cpm")) + (F.count(F.lit(1)).over(tie) - 1) / 2).alias("x"))
+    return _gram(ranked, _shared_sums, _correlated).withColumnRenamed("value", "spearman")
 
 
 def sample_distance(values: DataFrame) -> DataFrame:
     """Euclidean distance of all pairs of samples over log2(cpm + 1), absent genes as 0.
 
-    By sums of squares and products, so a gene that one sample lacks needs no row.
+    By sums of squares and products in blocks, so a gene that one sample lacks needs no row.
     """
     rows = values.select("sample_id", "gene_id", F.log2(F.col("cpm") + 1).alias("x"))
     squares = rows.groupBy("sample_id").agg(F.sum(F.col("x") * F.col("x")).alias("ss"))
-    a, b = (rows.select("gene_id", F.col("sample_id").alias(f"sample_{k}"), F.col("x").alias(f"x_{k}")) for k in "ab")
-    dots = a.join(b, "gene_id").where("sample_a < sample_b").groupBy("sample_a", "sample_b").agg(F.sum(F.col("x_a") * F.col("x_b")).alias("dot"))
+    dots = _gram(rows, lambda a, b: [np.nan_to_num(a).T @ np.nan_to_num(b)], lambda sums: sums[0])
     for k in "ab":
         dots = dots.join(F.broadcast(squares.select(F.col("sample_id").alias(f"sample_{k}"), F.col("ss").alias(f"ss_{k}"))), f"sample_{k}")
-    return dots.select("sample_a", "sample_b", F.sqrt(F.greatest(F.lit(0.0), F.col("ss_a") + F.col("ss_b") - 2 * F.col("dot"))).alias("distance"))
+    return dots.select("sample_a", "sample_b", F.sqrt(F.greatest(F.lit(0.0), F.col("ss_a") + F.col("ss_b") - 2 * F.col("value"))).alias("distance"))
+
+
+def leading_distance(values: DataFrame, top: int = 500) -> DataFrame:
+    """(sample_a < sample_b, distance): root mean square of the ``top`` greatest differences over the genes both have.
+
+    A task keeps the greatest gaps of its lot of genes for each pair of a block; the lots' lists of a block
+    are then merged, sixteen at a time.
+    """
+    vectors, samples, lots = _blocked(values.select("sample_id", "gene_id", F.col("log_cpm").cast("double").alias("x")), MDS_SAMPLES)
+    block = min(MDS_SAMPLES, max(1, samples.count()))
+
+    def greatest(gaps: np.ndarray) -> np.ndarray:
+        """The greatest along the first axis, absent ones (-1) last and padded."""
+        kept = np.partition(gaps, len(gaps) - top, axis=0)[len(gaps) - top :] if len(gaps) > top else gaps
+        return np.concatenate([kept, np.full((top - len(kept), *kept.shape[1:]), -1.0)])
+
+    def gaps(table: pa.Table) -> pa.Table:
+        a, b = (_dense(table.column(f"at_{k}"), table.column(f"x_{k}"), block) for k in "ab")
+        out = np.stack([greatest(np.nan_to_num((a[:, i : i + 1] - b) ** 2, nan=-1.0)) for i in range(block)], axis=1)
+        return _packed(table, table.column("lot")[0].as_py() // 16, out)
+
+    def merge(table: pa.Table) -> np.ndarray:
+        return greatest(np.concatenate([np.frombuffer(x.as_py()).reshape(top, block, block) for x in table.column("sums")]))
+
+    def told(table: pa.Table) -> pa.Table:
+        best = merge(table)
+        one, two = (table.column(c)[0].as_py() * MDS_SAMPLES for c in ("one", "two"))
+        n = (best >= 0).sum(axis=0)
+        i, j = np.nonzero((n > 0) & (np.arange(block)[:, None] + one < np.arange(block)[None, :] + two))
+        return pa.table({"a": pa.array(i + one, pa.int64()), "b": pa.array(j + two, pa.int64()), "value": pa.array(np.sqrt(np.maximum(best, 0).sum(axis=0)[i, j] / n[i, j]))})
+
+    lists, left = _pairs_of_blocks(vectors, lots).groupBy("one", "two", "lot").applyInArrow(gaps, _SUMS), math.ceil(lots / 16)
+    while left > 1:
+        lists, left = lists.groupBy("one", "two", "lot").applyInArrow(lambda t: _packed(t, t.column("lot")[0].as_py() // 16, merge(t)), _SUMS), math.ceil(left / 16)
+    pairs = lists.groupBy("one", "two").applyInArrow(told, "a long, b long, value double")
+    for k in "ab":
+        pairs = pairs.join(F.broadcast(samples.select(F.col("place").alias(k), F.col("sample_id").alias(f"sample_{k}"))), k)
+    return pairs.select("sample_a", "sample_b", F.col("value").alias("distance"))
 
 
 def sample_tree(distances: DataFrame, method: str = "average") -> DataFrame:
@@ -191,11 +317,6 @@ def mds_coordinates(values: DataFrame, top: int = 500) -> DataFrame:
     two samples is the root mean square of their ``top`` greatest differences; the matrix of these,
     one row a pair of samples, is scaled in one task. The sign of an axis is that of its greatest part.
     """
-    a, b = (values.select("gene_id", F.col("sample_id").alias(f"sample_{k}"), F.col("log_cpm").alias(f"v_{k}")) for k in "ab")
-    gaps = a.join(b, "gene_id").where("sample_a < sample_b").select("sample_a", "sample_b", "gene_id", F.pow(F.col("v_a") - F.col("v_b"), 2).alias("d"))
-    place = F.row_number().over(Window.partitionBy("sample_a", "sample_b").orderBy(F.desc("d"), "gene_id"))
-    leading = gaps.withColumn("n", place).where(F.col("n") <= top).groupBy("sample_a", "sample_b").agg(F.sqrt(F.avg("d")).alias("distance"))
-
     def scale(rows: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([rows["sample_a"], rows["sample_b"]]))
         d = np.zeros((len(names), len(names)))
@@ -209,7 +330,7 @@ def mds_coordinates(values: DataFrame, top: int = 500) -> DataFrame:
         at *= np.where(at[np.abs(at).argmax(axis=0), range(2)] < 0, -1, 1)
         return pd.DataFrame({"sample_id": names, "x": at[:, 0], "y": at[:, 1]})
 
-    return leading.groupBy().applyInPandas(scale, "sample_id string, x double, y double")
+    return leading_distance(values, top).groupBy().applyInPandas(scale, "sample_id string, x double, y double")
 
 
 def bcv_table(dispersions: DataFrame) -> DataFrame:

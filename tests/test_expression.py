@@ -216,3 +216,36 @@ def test_bcv_is_the_root_of_dispersions(spark, many_genes):
 def test_dispersion_of_no_genes(spark, many_genes):
     design, _, frame = many_genes
     assert nb.glm_lrt(nb.estimate_dispersion(frame.limit(0), design), design, [("A", "B")]).count() == 0
+
+
+def test_sample_pairs_in_blocks_are_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    names = [f"S{i:02d}" for i in range(11)]
+    x = {(s, g): float(rng.integers(0, 40)) for s in names for g in range(90) if rng.random() < 0.8}
+    x |= {("only", 999): 3.0}
+    values = spark.createDataFrame([(s, f"g{g}", v, v / 7) for (s, g), v in x.items()], "sample_id string, gene_id string, cpm double, log_cpm double")
+    names.append("only")
+    ranks = {}
+    for s in names:
+        own = {g: v for (t, g), v in x.items() if t == s}
+        ranks[s] = {g: sum(w < v for w in own.values()) + (sum(w == v for w in own.values()) + 1) / 2 for g, v in own.items()}
+    spearman, far, leading = {}, {}, {}
+    for a in names:
+        for b in names:
+            if a < b:
+                both = sorted(ranks[a].keys() & ranks[b].keys())
+                if len(both) > 1:
+                    spearman[a, b] = np.corrcoef([ranks[a][g] for g in both], [ranks[b][g] for g in both])[0, 1]
+                if both:
+                    gaps = sorted(((x[a, g] - x[b, g]) / 7) ** 2 for g in both)[-20:]
+                    leading[a, b] = np.sqrt(np.mean(gaps))
+                far[a, b] = np.sqrt(sum((np.log2(x.get((a, g), 0) + 1) - np.log2(x.get((b, g), 0) + 1)) ** 2 for g in range(1000)))
+    for samples, genes in ((512, 2048), (3, 2)):  # one block of all, then four blocks and three levels of lots
+        for name, n in (("SAMPLES", samples), ("MDS_SAMPLES", samples), ("GENES", genes)):
+            monkeypatch.setattr(X, name, n)
+        told = lambda df, c: {(r.sample_a, r.sample_b): r[c] for r in df.collect()}
+        assert told(X.sample_correlation(values), "spearman") == pytest.approx(spearman)
+        assert told(X.sample_distance(values), "distance") == pytest.approx({k: v for k, v in far.items()})
+        assert told(X.leading_distance(values, 20), "distance") == pytest.approx(leading)
+    nothing = values.limit(0)
+    assert X.sample_correlation(nothing).count() == X.sample_distance(nothing).count() == X.leading_distance(nothing).count() == 0

@@ -6,14 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def detect_phred(reads: DataFrame) -> DataFrame:
-    """One row: phred33 if any quality is under character 64 or none over 74 (or no reads), else phred64."""
+def detect_phred(reads: DataFrame, n: int | None = 10_000, order: str = "read_id") -> DataFrame:
+    """One row: phred33 if any quality is under character 64 or none over 74 (or no reads), else phred64.
+
+    Of the first ``n`` reads by ``order`` (None: of all); the task of each partition keeps n at most.
+    """
+    first = reads if n is None else reads.select(order, "qual").orderBy(order).limit(n)
     codes = F.transform(F.filter(F.split("qual", ""), lambda x: x != ""), lambda x: F.ascii(x))
-    seen = reads.select(F.array_min(codes).alias("lo"), F.array_max(codes).alias("hi")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    seen = first.select(F.array_min(codes).alias("lo"), F.array_max(codes).alias("hi")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return seen.select(F.when(F.col("lo") < 64, "phred33").when(F.col("hi") > 74, "phred64").otherwise("phred33").alias("encoding"), "lo", "hi")
 
 
@@ -72,17 +76,41 @@ def dedup_alignments(aln: DataFrame) -> DataFrame:
     return aln.groupBy("library", "chrom", end.alias("five_prime"), "strand", *mate).agg(best.alias("b")).select("b.*")
 
 
+#: Each level of bins is so many times as wide as the one before; the last holds intervals of any length.
+_WIDER, _LEVELS = 8, 12
+
+
+def feature_bins(features: DataFrame, width: int = 1000) -> DataFrame:
+    """(id, chrom, fs, fe, level, bin): each feature in the one or two bins that it touches on the level as wide as it is long."""
+    length = F.col("fe") - F.col("fs") + 1
+    level = F.lit(_LEVELS - 1)
+    for k in range(_LEVELS - 2, -1, -1):
+        level = F.when(length <= width * _WIDER**k, k).otherwise(level)
+    placed = features.select("id", F.col("seqid").alias("chrom"), F.col("start_at").alias("fs"), F.col("end_at").alias("fe")).where("fs <= fe").withColumn("level", level)
+    return placed.withColumn("bin", F.explode(_touched(F.col("fs"), F.col("fe"), F.col("level"), width)))
+
+
+def _touched(start: Column, end: Column, level: Column, width: int) -> Column:
+    step = (width * F.pow(F.lit(_WIDER), level)).cast("long")
+    return F.sequence(F.floor(start / step), F.floor(end / step))
+
+
 def count_features(aln: DataFrame, features: DataFrame, min_mapq: int = 10, width: int = 1000) -> DataFrame:
     """(id, n): reads that overlap one feature count for it; else __no_feature, __ambiguous, __too_low_aQual.
 
-    Both sides are entered into the bins of ``width`` that they touch and joined on (chrom, bin);
-    a read's features are then gathered once each. Intervals are closed.
+    Intervals are closed; a feature that ends before it starts overlaps none. Features are entered into nested bins, each on the level
+    of its length, so a long one has two rows at most as well. Reads of one place are counted first
+    and looked up once, on each level that has features, so a hot place is one row. Alignments with the same read_id share their features.
     """
-    bins = lambda: F.explode(F.sequence(F.floor(F.col("start_at") / width), F.floor(F.col("end_at") / width)))
-    good = aln.where(F.col("mapq") >= min_mapq).select("read_id", "chrom", "start_at", "end_at").withColumn("bin", bins())
-    placed = features.select("id", F.col("seqid").alias("chrom"), F.col("start_at").alias("fs"), F.col("end_at").alias("fe")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("fs") / width), F.floor(F.col("fe") / width))))
-    hits = good.join(placed, ["chrom", "bin"]).where((F.col("start_at") <= F.col("fe")) & (F.col("fs") <= F.col("end_at")))
-    of_read = hits.groupBy("read_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    binned = feature_bins(features, width)
+    levels = [r["level"] for r in binned.select("level").distinct().collect()]  # _LEVELS rows at most
+    place = ["chrom", "start_at", "end_at"]
+    good = aln.where(F.col("mapq") >= min_mapq)
+    places = good.select(*place).distinct().withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    places = places.withColumn("bin", F.explode(_touched(F.col("start_at"), F.col("end_at"), F.col("level"), width)))
+    hits = places.join(binned, ["chrom", "level", "bin"]).where((F.col("start_at") <= F.col("fe")) & (F.col("fs") <= F.col("end_at")))
+    found = hits.groupBy(*place).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    of_read = good.join(found, place).groupBy("read_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     kind = F.when(F.col("mapq") < min_mapq, "__too_low_aQual").when(F.col("lo").isNull(), "__no_feature").when(F.col("lo") < F.col("hi"), "__ambiguous").otherwise(F.col("lo"))
     return aln.select("read_id", "mapq").join(of_read, "read_id", "left").groupBy(kind.alias("id")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -106,9 +106,19 @@ def facet_queries(spark, d):
     return g.select("gene_id", F.posexplode(T.facet_queries(F.col("name_gff"), F.col("phrases"))).alias("pos", "f")).select("gene_id", "pos", "f.facet", "f.query")
 
 
-def dictionary_mentions(spark, d):
+def _mentions(spark, d):
     words = [("SPECIES", "of the"), ("SPECIES", "les"), ("GO_TERM", "public license"), ("GO_TERM", "in"), ("PROTEIN_FAMILY", "MIT License")]
-    return L.dictionary_mentions(table(spark, d, "chunks"), spark.createDataFrame(words, "label string, phrase string")).select("chunk_id", "label", F.array_join("mentions", "|").alias("mentions"))
+    return L.dictionary_mentions(table(spark, d, "chunks"), spark.createDataFrame(words, "label string, phrase string"))
+
+
+def dictionary_mentions(spark, d):
+    return _mentions(spark, d).select("chunk_id", "label", F.array_join("mentions", "|").alias("mentions"))
+
+
+def mention_flags(spark, d):
+    names = {"SPECIES": "species", "GO_TERM": "go", "PROTEIN_FAMILY": "protein_family"}
+    flagged = L.mention_columns(table(spark, d, "chunks"), _mentions(spark, d), names)
+    return flagged.select("chunk_id", *(f"has_{n}" for n in names.values()), *(F.array_join(f"{n}_mentions", "|").alias(n) for n in names.values()))
 
 
 def pooled_documents(spark, d):
@@ -285,10 +295,15 @@ def duplication_levels(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (low_value_chunks, article_sections, article_chunks, sentences, bm25_model, bm25_stats, bm25_index, bm25_weights, sparse_topk, dense_topk, mean_pooled, rrf_fusion, diversified, reranked, evidence_signals, gene_aliases,
-              facet_queries, dictionary_mentions, pooled_documents, retrieval_metrics, method_summary, bootstrap_intervals, claim_metrics, pairwise_kappa, generation_coverage, claim_sheet, evidence_classes, validated_claims, gene_status, rendered_claims, blocked_chunks, stripped_markdown, expired_jobs, payload_jobs, trimmed_pairs, read_profile, quality_quantiles, overrepresented_reads,
+              facet_queries, dictionary_mentions, mention_flags, pooled_documents, retrieval_metrics, method_summary, bootstrap_intervals, claim_metrics, pairwise_kappa, generation_coverage, claim_sheet, evidence_classes, validated_claims, gene_status, rendered_claims, blocked_chunks, stripped_markdown, expired_jobs, payload_jobs, trimmed_pairs, read_profile, quality_quantiles, overrepresented_reads,
               job_durations, latest_jobs, recent_jobs, job_statuses, progress_lines, stale_jobs, resume_genes, job_windows, phred_encoding, trimmed_reads, deduplicated_alignments, feature_counts, quality_profile, base_content, duplication_levels)
 }
 
+_MENTIONS = r"""WITH w AS (SELECT chunk_id, ' ' || array_to_string(regexp_extract_all(lower(text), '\w+'), ' ') || ' ' AS h FROM {chunks}),
+      p AS (SELECT * FROM (VALUES ('SPECIES', 'of the'), ('SPECIES', 'les'), ('GO_TERM', 'public license'), ('GO_TERM', 'in'), ('PROTEIN_FAMILY', 'MIT License')) v(label, phrase)),
+      f AS (SELECT chunk_id, label, phrase, strpos(h, ' ' || lower(phrase) || ' ') AS place FROM w, p),
+      m AS (SELECT chunk_id, label, string_agg(phrase, '|' ORDER BY place, phrase) AS mentions FROM f WHERE place > 0 GROUP BY chunk_id, label) """
+
 _LOW = r"""CASE WHEN regexp_matches(lower(trim(regexp_replace(regexp_replace(section, '[*_`#>\[\]()]|<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))), '""" + C.LOW_VALUE_SECTION + r"""') THEN 'low_value_section'
  WHEN len(string_split(lower(text), '|')) - 1 >= 12 OR (len(string_split(lower(text), '|')) - 1 >= 6 AND len(string_split(lower(text), '<br')) - 1 >= 8) THEN 'table_like_text'
  WHEN starts_with(lower(trim(text)), 'references ') OR starts_with(lower(trim(text)), '**references') OR regexp_matches(lower(text), 'google scholar|pubmed:|refhub\.elsevier\.com|doi\.org/') THEN 'reference_like_text' END"""
@@ -339,9 +354,10 @@ _SQL = {
       d AS (SELECT *, sum(CASE WHEN head OR i = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY i) AS g, CASE WHEN head THEN trim(regexp_replace(regexp_extract(line, '^\s{0,3}(#{1,6})\s+(\S.*)$', 2), '#+\s*$', '')) ELSE line END AS t FROM c),
       e AS (SELECT source, g, string_agg(t, chr(10) ORDER BY i) AS text, max(CASE WHEN head THEN length(regexp_extract(line, '^\s{0,3}(#{1,6})\s+', 1)) END) AS level FROM d GROUP BY source, g)
       SELECT source, (row_number() OVER (PARTITION BY source ORDER BY g) - 1)::INT AS section_index, coalesce(level, 1)::INT AS level, length(text)::INT AS n FROM e WHERE trim(text) <> ''""",
-    "dictionary_mentions": r"""WITH w AS (SELECT chunk_id, ' ' || array_to_string(regexp_extract_all(lower(text), '\w+'), ' ') || ' ' AS h FROM {chunks}),
-      p AS (SELECT * FROM (VALUES ('SPECIES', 'of the'), ('SPECIES', 'les'), ('GO_TERM', 'public license'), ('GO_TERM', 'in'), ('PROTEIN_FAMILY', 'MIT License')) v(label, phrase)),
-      f AS (SELECT chunk_id, label, phrase, strpos(h, ' ' || lower(phrase) || ' ') AS place FROM w, p) SELECT chunk_id, label, string_agg(phrase, '|' ORDER BY place, phrase) AS mentions FROM f WHERE place > 0 GROUP BY chunk_id, label""",
+    "dictionary_mentions": _MENTIONS + "SELECT * FROM m",
+    "mention_flags": _MENTIONS + """SELECT c.chunk_id, coalesce(bool_or(label = 'SPECIES'), false) AS has_species, coalesce(bool_or(label = 'GO_TERM'), false) AS has_go, coalesce(bool_or(label = 'PROTEIN_FAMILY'), false) AS has_protein_family,
+      coalesce(max(mentions) FILTER (WHERE label = 'SPECIES'), '') AS species, coalesce(max(mentions) FILTER (WHERE label = 'GO_TERM'), '') AS go, coalesce(max(mentions) FILTER (WHERE label = 'PROTEIN_FAMILY'), '') AS protein_family
+      FROM {chunks} c LEFT JOIN m USING (chunk_id) GROUP BY c.chunk_id""",
     "reranked": f"WITH {_MATCHED} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY 2 * len(ap) + len(ta) DESC, cp DESC, nm DESC, cx DESC, hit_rank, chunk_id) AS rerank FROM x",
     "evidence_signals": f"""WITH {_MATCHED}, c AS (SELECT query_id, count(*) AS chunks, count(DISTINCT source) AS sources, count(DISTINCT section) AS sections, count(*) AS payload_chunks, count_if(len(ta) + len(ap) > 0)::BIGINT AS name_chunks, count(*) AS family_chunks, count(*) AS context_chunks,
       flatten(list(ta || ap ORDER BY hit_rank, chunk_id)) AS t FROM x GROUP BY query_id)
@@ -414,7 +430,7 @@ _SQL = {
     "stale_jobs": f"SELECT id FROM {{jobs}} WHERE {_STATUS} = 'PENDING' AND epoch(TIMESTAMP '2030-01-01') - epoch(created_at) > 300",
     "resume_genes": "SELECT DISTINCT gene_id FROM {claims} WHERE gene_id NOT IN (SELECT gene_id FROM {claims} WHERE claim_label = 'supported')",
     "job_windows": f"SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS window_start, stage, {_STATUS} AS status, count(*) AS n FROM {{jobs}} GROUP BY ALL",
-    "phred_encoding": "WITH c AS (SELECT unnest(list_transform(string_split(qual, ''), lambda x: ascii(x))) AS c FROM {reads}) SELECT CASE WHEN min(c) < 64 THEN 'phred33' WHEN max(c) > 74 THEN 'phred64' ELSE 'phred33' END AS encoding, min(c)::INT AS lo, max(c)::INT AS hi FROM c",
+    "phred_encoding": "WITH c AS (SELECT unnest(list_transform(string_split(qual, ''), lambda x: ascii(x))) AS c FROM (SELECT qual FROM {reads} ORDER BY read_id LIMIT 10000)) SELECT CASE WHEN min(c) < 64 THEN 'phred33' WHEN max(c) > 74 THEN 'phred64' ELSE 'phred33' END AS encoding, min(c)::INT AS lo, max(c)::INT AS hi FROM c",
     "deduplicated_alignments": "SELECT library, chrom, read_id FROM (SELECT *, row_number() OVER (PARTITION BY library, chrom, CASE WHEN strand = '-' THEN end_at ELSE start_at END, strand ORDER BY qual_sum DESC, read_id) AS n FROM {alignments}) WHERE n = 1",
     "feature_counts": """WITH h AS (SELECT a.read_id, a.mapq, min('g' || f.line_no) AS lo, max('g' || f.line_no) AS hi FROM {alignments} a LEFT JOIN {gff_lines} f ON f.seqid = a.chrom AND a.start_at <= f.end_at AND f.start_at <= a.end_at GROUP BY ALL)
       SELECT CASE WHEN mapq < 10 THEN '__too_low_aQual' WHEN lo IS NULL THEN '__no_feature' WHEN lo < hi THEN '__ambiguous' ELSE lo END AS id, count(*) AS n FROM h GROUP BY 1""",

@@ -160,6 +160,59 @@ def test_dictionary_phrases_of_all_lengths(spark):
     got = literature.dictionary_mentions(chunks, spark.createDataFrame(phrases, "label string, phrase string")).collect()
     assert [(r.chunk_id, r.label, sorted(r.mentions)) for r in got] == [(1, "x", sorted(p for _, p in phrases))]
     assert literature.dictionary_mentions(chunks, spark.createDataFrame([], "label string, phrase string")).count() == 0
+    odd = spark.createDataFrame([("y", "B"), ("y", "b!"), ("y", None), ("y", "--"), ("z", "W3 w4"), (None, "a")], "label string, phrase string")
+    found = literature.dictionary_mentions(chunks, odd)
+    assert {(r.chunk_id, r.label): r.mentions for r in found.collect()} == {(1, "y"): ["B", "b!"], (1, "z"): ["W3 w4"], (1, None): ["a"]}
+    flags = literature.mention_columns(chunks.withColumn("has_z", F.lit("clash")), found, {"y": "why", "z": "z"})
+    assert {r.chunk_id: (r.has_why, r.has_z, r.why_mentions) for r in flags.collect()} == {1: (True, True, ["B", "b!"]), 2: (False, False, []), 3: (False, False, [])}
+
+
+def test_mentions_against_brute_force(spark):
+    import re
+
+    from loomwell.operators import literature
+
+    rng = random.Random(2)
+    text = lambda n: rng.choice(" ,-").join(rng.choice(("ab", "Ab", "c", "dd", "é1", "ab_c")) for _ in range(n))
+    chunks = [(i, text(rng.randint(0, 30))) for i in range(80)]
+    phrases = sorted({(rng.choice("xy"), text(rng.randint(1, 4))) for _ in range(60)})
+    want = {}
+    for c, t in chunks:
+        line = " " + " ".join(re.findall(r"[a-zA-Z0-9_]+", t.lower())) + " "
+        for label in "xy":
+            hits = sorted((line.find(k), p) for k, p in ((" " + " ".join(re.findall(r"[a-zA-Z0-9_]+", p.lower())) + " ", p) for lab, p in phrases if lab == label) if k.strip() and k in line)
+            if hits:
+                want[c, label] = [p for _, p in hits][:3]
+    got = literature.dictionary_mentions(spark.createDataFrame(chunks, "chunk_id long, text string"), spark.createDataFrame(phrases, "label string, phrase string"), 3)
+    assert {(r.chunk_id, r.label): r.mentions for r in got.collect()} == want
+
+
+def test_counts_over_nested_bins_are_brute_force(spark):
+    from loomwell.operators import reads
+
+    rng = random.Random(4)
+    features = [(f"f{i:03d}", rng.choice(("c1", "c2")), s := rng.randrange(5_000_000), s + int(rng.choice((0, 10, 900, 40_000, 3_000_000)) * rng.random())) for i in range(120)] + [("back", "c1", 500, 400), ("whole", "c3", 1, 90_000_000_000)]
+    rows = [(i, rng.choice(("c1", "c2", "c3", "c4")), s := rng.randrange(5_000_000), s + rng.randrange(3000), rng.choice((5, 30, 30, 30))) for i in range(400)]
+    rows += [(1000 + i, "c1", features[0][2], features[0][3], 40) for i in range(50)] + [(2000, "c3", 7, 9, 40)]
+    want = {}
+    for _, chrom, a, b, q in rows:
+        own = [f for f, c, s, e in features if c == chrom and s <= e and a <= e and s <= b]
+        kind = "__too_low_aQual" if q < 10 else "__no_feature" if not own else "__ambiguous" if len(own) > 1 else own[0]
+        want[kind] = want.get(kind, 0) + 1
+    f = spark.createDataFrame(features, "id string, seqid string, start_at long, end_at long")
+    for width in (1000, 1):
+        got = {r.id: r.n for r in reads.count_features(spark.createDataFrame(rows, "read_id long, chrom string, start_at long, end_at long, mapq int"), f, width=width).collect()}
+        assert got == want
+        assert reads.feature_bins(f, width).groupBy("id").count().agg(F.max("count")).first()[0] <= 2 or width == 1
+    assert reads.count_features(spark.createDataFrame(rows, "read_id long, chrom string, start_at long, end_at long, mapq int"), f.limit(0)).count() == 2
+
+
+def test_phred_of_the_first_reads(spark):
+    from loomwell.operators import reads
+
+    rows = spark.createDataFrame([(i, "hhhh" if i < 5 else "!!!!") for i in range(10)], "read_id long, qual string")
+    assert [reads.detect_phred(rows.repartition(3), n).first().encoding for n in (5, 6, None)] == ["phred64", "phred33", "phred33"]
+    assert reads.detect_phred(rows.limit(0)).first().encoding == "phred33"
 
 
 def test_dense_search_of_many_queries_is_that_of_few(spark):
@@ -192,7 +245,11 @@ def test_sparse_search_is_exact_without_all_pairs(spark):
                 score[c] = score.get(c, 0) + w
         want |= {(q, c): i for i, c in enumerate(sorted(score, key=lambda c: (-round(score[c], 9), c))[:4], 1)}
     for most in (1000, 0):
-        assert {(r.query_id, r.chunk_id): r["rank"] for r in L.sparse_topk(asked, weights, 4, probe=1, most=most).collect()} == want
+        counts = {}
+        assert {(r.query_id, r.chunk_id): r["rank"] for r in L.sparse_topk(asked, weights, 4, probe=1, most=most, counts=counts).collect()} == want
+        assert 0 < counts["skipped"] < counts["blocks"]
+    assert L.sparse_topk(asked.limit(0), weights, 4).count() == L.sparse_topk(asked, weights.limit(0), 4).count() == 0
+    assert {(r.query_id, r.chunk_id) for r in L.sparse_topk(asked, weights, 1000, probe=2).collect()} == {(q, c) for q in range(5) for c in range(120)}
 
 
 def test_sections_and_chunks(spark):

@@ -1,11 +1,15 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-Units of a text are runs of neighbouring paragraphs up to the whole text, its paragraphs (runs of
-lines without an empty one between), its lines and its sentences, also those that go on over line
-ends. A unit can only reach the threshold t against a template if its number of bigrams lies
+Only words count, so line ends, indents and the marks of comments make no difference. Units of a text are,
+for templates of LONG bigrams or more, runs of words wherever they begin and end, and for all templates its
+paragraphs (runs of lines with a word), lines and sentences, also those that go on over line ends.
+A unit can only reach the threshold t against a template if its number of bigrams lies
 between t / (2 - t) and (2 - t) / t times the template's; all other templates are passed over
 unseen, and units that fit none aren't compared at all. As a unit holds t / (2 - t) of the
 template's bigrams then, a text that doesn't hold so many of any template has no hits.
+
+A run reaches t if (2 - t) times its bigrams of the template less t times its others come to t times the
+template's size, so runs are found in one pass over the words that keeps the greatest such sum.
 """
 
 from __future__ import annotations
@@ -59,9 +63,12 @@ def _templates() -> dict[str, tuple[str, ...]]:
 TEMPLATES = _templates()
 
 _WORD = re.compile(r"[^\W_]+")
-_LINE = re.compile(r"[^\n]+")
+_LINE = re.compile(r"[^\r\n]+")
+_BREAK = re.compile(r"\r\n|\r|\n")
+_TAIL = re.compile(r"[^\w\s]*")
 _SENTENCE = re.compile(r"\S.*?(?:[.!?](?=\s|$)|$)", re.DOTALL)
-_PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)*")
+#: Bigrams from which a template is looked for in runs of words; lines at both ends of a run that may be left off, and words that may be added.
+LONG, ENDS, MORE = 24, 6, 12
 
 
 def bigrams(text: str) -> frozenset[tuple[str, str]]:
@@ -94,49 +101,88 @@ class Templates:
         held = Counter(i for pair in self.holders.keys() & set(zip(words, words[1:])) for i in self.holders[pair])
         return sorted(i for i, n in held.items() if n >= self.ratio * self.sizes[i] - 1e-9)
 
-    def runs(self, text: str, paragraphs: list[tuple[int, int]], among: list[int]) -> dict[int, int]:
-        """First and last paragraph of the runs of two or more that match a template, apart from each other.
+    def _windows(self, pairs: list[tuple[str, str]], template: frozenset) -> list[tuple[int, int]]:
+        """First and last place of the runs of pairs whose sum for the template is greatest and great enough, in order.
 
-        Of runs and single paragraphs that overlap, the one of the largest template stays, then the
-        nearest, then the shortest. A run ends where its first paragraph adds nothing to it that
-        templates have, or where it has too many bigrams for all of them.
+        Pairs that a run has already count nothing. A run ends where its sum is used up, or where it hasn't
+        grown for the template's length; what comes after its greatest sum is looked at anew.
+        """
+        gain, loss, need, patience = 2 - self.threshold, self.threshold, self.threshold * len(template) - 1e-9, len(template)
+        out, last, k, n = [], {}, 0, len(pairs)
+        start, total, top, end = 0, 0.0, 0.0, 0
+        while True:
+            if k < n:
+                pair = pairs[k]
+                if last.get(pair, -1) < start:
+                    total += gain if pair in template else -loss
+                last[pair] = k
+                if total > top:
+                    top, end = total, k
+            if k >= n or total <= 0 or (top >= need and k - end > patience):
+                if top >= need:
+                    out.append((start, end))
+                    k = end
+                elif k >= n:
+                    return out
+                start, total, top = k + 1, 0.0, 0.0
+                last = {}
+            k += 1
+
+    def _trimmed(self, pairs: list, template: frozenset, start: int, end: int, lines: list[int]) -> tuple[float, int, int]:
+        """A run's Dice coefficient, start and end, without those of its outer lines that lower it (ties: the shortest)."""
+        def nearness(a: int, b: int) -> float:
+            return dice(frozenset(pairs[a : b + 1]), template)
+
+        firsts = lines[bisect.bisect_right(lines, start) :][:ENDS]
+        start = max([start, *(a for a in firsts if a <= end)], key=lambda a: (round(nearness(a, end), 9), a))
+        lasts = [a - 2 for a in lines[: bisect.bisect_right(lines, end + 1)][-ENDS:]]
+        end = max([end, *(b for b in lasts if b >= start)], key=lambda b: (round(nearness(start, b), 9), -b))
+        return nearness(start, end), start, end
+
+    def runs(self, text: str, among: list[int]) -> list[tuple[int, int, str, float]]:
+        """(start, end, licence, dice) of the runs of words that match a long template, apart from each other.
+
+        Of runs that overlap, the one of the largest template stays, then the nearest, then the shortest.
         """
-        words = [_WORD.findall(text[a:b].lower()) for a, b in paragraphs]
-        most = max(self.sizes[i] for i in among) / self.ratio + 1e-9
-        found: list[tuple[int, float, int, int, int]] = []
-        for first, own in enumerate(words):
-            seen, held, last = set(zip(own, own[1:])), Counter(), own[-1:]
-            new, need, crossed = seen, {b for b in seen if b in self.holders}, False
-            for at in range(first, len(words)):
-                if at > first:
-                    later = words[at]
-                    pairs = set(zip(later, later[1:]))
-                    if last and later:
-                        between = (last[0], later[0])
-                        if crossed:
-                            pairs.add(between)
-                        need = (need | {between} & self.holders.keys() if not crossed else need) - pairs
-                        new = (pairs | {between}) - seen
-                        crossed = True
-                    else:
-                        need, new = need - pairs, pairs - seen
-                    last = later[-1:] or last
-                    seen |= new
-                held.update(i for b in new for i in self.holders.get(b, ()))
-                if len(seen) > most or (not need and (crossed or not own)):
-                    break
-                near = [(2 * held[i] / (len(seen) + self.sizes[i]), -i) for i in among if len(seen) + self.sizes[i]]
-                d, i = max(near)
+        words = [(m[0].lower(), *m.span()) for m in _WORD.finditer(text)]
+        pairs = [(a[0], b[0]) for a, b in zip(words, words[1:])]
+        starts = [w[1] for w in words]
+        lines = sorted({bisect.bisect_left(starts, m.end()) for m in _BREAK.finditer(text)})
+        found = []
+        for i in among:
+            size, _, template = self.rows[i]
+            if size < LONG:
+                continue
+            ways = self._windows(pairs, template)
+            ways += [(len(pairs) - 1 - b, len(pairs) - 1 - a) for a, b in self._windows(pairs[::-1], template)]
+            for a, b in set(ways):  # pairs that the run has already end it without a sum: a few more words of the template go with it
+                b = next((k for k in range(b, min(b + MORE, len(pairs) - 1)) if pairs[k + 1] not in template), min(b + MORE, len(pairs) - 1))
+                a = next((k for k in range(a, max(a - MORE, 0), -1) if pairs[k - 1] not in template), max(a - MORE, 0))
+                _, a, b = self._trimmed(pairs, template, a, b, lines)
+                own = frozenset(pairs[a : b + 1])
+                d, j = max((round(dice(own, self.rows[j][2]), 12), -j) for j in among)  # the nearest of all, whichever it was looked for
                 if d >= self.threshold:
-                    found.append((-self.sizes[-i], -d, at - first, first, at))
-        taken: set[int] = set()
-        chosen = {}
-        for *_, length, first, at in sorted(found):
-            if taken.isdisjoint(range(first, at + 1)):
-                taken.update(range(first, at + 1))
-                if length:
-                    chosen[first] = at
-        return chosen
+                    found.append((-self.rows[-j][0], -d, b - a, a, b, self.rows[-j][1]))
+        chosen: list[tuple[int, int, str, float]] = []
+        taken: list[tuple[int, int]] = []
+        for _, d, _, a, b, name in sorted(found):
+            if all(b + 1 < x or y + 1 < a for x, y in taken):
+                taken.append((a, b))
+                end = words[b + 1][2]
+                chosen.append((words[a][1], end + len(_TAIL.match(text, end)[0]), name, -d))
+        return sorted(chosen)
+
+    @staticmethod
+    def paragraphs(text: str) -> list[tuple[int, int]]:
+        """Runs of neighbouring lines that have a word, whatever the line ends."""
+        out: list[list[int]] = []
+        for m in _LINE.finditer(text):
+            if _WORD.search(m[0]):
+                if out and _BREAK.fullmatch(text, out[-1][1], m.start()):
+                    out[-1][1] = m.end()
+                else:
+                    out.append(list(m.span()))
+        return [tuple(p) for p in out]
 
     def best(self, text: str) -> tuple[str, float] | None:
         """The template nearest to a unit, and its Dice coefficient, if it reaches the threshold."""
@@ -159,7 +205,7 @@ class Templates:
                     hits.append((a, b, *top))
                     covered = b
         for s in _SENTENCE.finditer(text, start, end):
-            if "\n" in s[0] and (top := self.best(s[0])) is not None:
+            if _BREAK.search(s[0]) and (top := self.best(s[0])) is not None:
                 inside = [h for h in hits if h[0] < s.end() and s.start() < h[1]]
                 if all(h[3] < top[1] for h in inside):
                     hits = sorted([h for h in hits if h not in inside] + [(*s.span(), *top)])
@@ -170,26 +216,23 @@ class Templates:
 
         Of units that overlap the larger stays, so a whole licence text is reported once.
         """
-        hits: list[tuple[int, int, str, float]] = []
-
         among = self.candidates(text)
         if not among:
-            return hits
-        paragraphs = [p.span() for p in _PARAGRAPH.finditer(text)]
-        runs = self.runs(text, paragraphs, among)
-
-        covered = -1
-        for k, (a, b) in enumerate(paragraphs):
-            if a < covered:
+            return []
+        hits = self.runs(text, among)
+        found, at = list(hits), 0
+        for a, b in self.paragraphs(text):
+            while at < len(hits) and hits[at][1] <= a:
+                at += 1
+            inside = [h for h in hits[at:] if h[0] < b] if at < len(hits) and hits[at][0] < b else []
+            if not inside and (top := self.best(text[a:b])) is not None:
+                found.append((a, b, *top))
                 continue
-            end = paragraphs[runs[k]][1] if k in runs else b
-            top = self.best(text[a:end])
-            if top is not None:
-                hits.append((a, end, *top))
-                covered = end
-            else:
-                hits.extend(self._within(text, a, b))
-        return hits
+            for h in [*inside, (b, b)]:  # what the runs leave of it
+                if a < h[0]:
+                    found.extend(self._within(text, a, h[0]))
+                a = max(a, h[1])
+        return sorted(found)
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

@@ -146,3 +146,9 @@ def drop_invalid_go(rows: DataFrame, key: str, column: str, invalid: DataFrame)
     bad = ids.join(invalid.select("go_id").distinct(), "go_id", "left_semi").select(key, "_at").distinct()
     kept = segments.join(bad, [key, "_at"], "left_anti").groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]), "; ").alias("_new"))
     return rows.join(kept, key, "left").withColumn(column, F.coalesce("_new", F.lit(""))).select(*rows.columns)
+
+
+def unique_gene2go(genes: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Distinct (gene_id, ontology, go_id) over the text columns of the ontologies; null texts have none."""
+    listed = F.array(*(F.struct(F.lit(o).alias("ontology"), C.go_ids(F.col(c)).alias("ids")) for o, c in columns.items()))
+    return genes.select("gene_id", F.explode(listed).alias("x")).select("gene_id", "x.ontology", F.explode("x.ids").alias("go_id")).distinct()

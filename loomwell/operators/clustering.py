@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import columns as C
-from loomwell.runtime import materialize
+from loomwell.runtime import free_name, materialize, partitions
 
 # Function texts that say nothing, weights and limits.
 GENERIC_FUNCTION = r"(?i)^(function:\s*)?(hypothetical|uncharacterized|unknown|predicted|putative|expressed)( protein)?( of unknown function)?[.\s]*$"
@@ -415,15 +415,23 @@ def cluster_representatives(clusters: DataFrame, similarity: DataFrame, top: int
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(*_KEY, "gene_id", "log2FoldChange", "cluster_silhouette", "centrality", "rank")
 
 
-def cluster_summary(clusters: DataFrame) -> DataFrame:
-    """Clusters, clustered genes, genes and mean silhouette of each ontology and direction, and rolled up."""
+def cluster_summary(clusters: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Clusters, clustered genes, genes and mean silhouette of each ontology and direction, and rolled up.
+
+    ``asked`` (ontology, direction) names pairs that have a row in any case, with zeros if they have no genes.
+    """
     inside = F.col("cluster") != -1
-    return clusters.rollup("ontology", "direction").agg(
+    told = clusters.rollup("ontology", "direction").agg(
         F.countDistinct(F.when(inside, F.struct("ontology", "direction", "cluster"))).alias("clusters"),
         F.countDistinct(F.when(inside, F.col("gene_id"))).alias("clustered_genes"),
         F.countDistinct("gene_id").alias("genes"),
         F.avg(F.when(inside, F.col("cluster_silhouette"))).alias("mean_silhouette"),
     )
+    if asked is None:
+        return told
+    missing = asked.select("ontology", "direction").distinct().join(clusters.select("ontology", "direction").distinct(), ["ontology", "direction"], "left_anti")
+    zero = F.lit(0).cast("long")
+    return told.unionByName(missing.select("ontology", "direction", *(zero.alias(c) for c in ("clusters", "clustered_genes", "genes")), F.lit(None).cast("double").alias("mean_silhouette")))
 
 
 def final_cluster_table(clusters: DataFrame) -> DataFrame:
@@ -464,9 +472,21 @@ def prioritize(representatives: DataFrame, genes: DataFrame, interpretations: Da
 
 
 def rank_candidates(candidates: DataFrame) -> DataFrame:
+    """Adds ``rank``, from 1, in each contrast, or over all candidates where there is none.
+
+    Without contrasts candidates are dealt to ranges of their order, and a range's ranks follow those of
+    the ranges before it, so that no task has them all.
+    """
     keys = [F.desc("selected_for_search"), F.desc("n_ontologies"), F.desc_nulls_last("min_cluster_quality"), F.desc_nulls_last("centrality_score"), F.desc_nulls_last("abs_log2FoldChange"), F.asc_nulls_last("padj"), F.asc("gene_id")]
-    groups = ["contrast"] if "contrast" in candidates.columns else [F.lit(0)]
-    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*keys)))
+    if "contrast" in candidates.columns:
+        return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("contrast").orderBy(*keys)))
+    part = free_name(candidates, "_range")
+    # Written once: the ranges are drawn by sampling, and both uses below must see the same ones.
+    dealt = materialize(candidates.repartitionByRange(partitions(candidates.sparkSession), *keys).withColumn(part, F.spark_partition_id()), "candidates")
+    sizes = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(part, (F.sum("_n").over(Window.orderBy(part)) - F.col("_n")).alias("_before"))  # one row a range
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*keys))).join(before, part)
+    return ranked.withColumn("rank", (F.col("rank") + F.col("_before")).cast("int")).drop(part, "_before")
 
 
 def coverage_funnel(genes: DataFrame, annotated: DataFrame, eligible: DataFrame, clustered: DataFrame) -> DataFrame:
@@ -476,3 +496,28 @@ def coverage_funnel(genes: DataFrame, annotated: DataFrame, eligible: DataFrame,
         out = out.join(stage.select("gene_id", F.lit(True).alias(name)).distinct(), "gene_id", "left")
     case = F.when(F.col("clustered"), "clustered").when(F.col("eligible"), "eligible_not_clustered").when(F.col("annotated"), "annotated_not_eligible").otherwise("without_go")
     return out.groupBy(case.alias("stage")).agg(F.count(F.lit(1)).alias("genes"))
+
+
+def ontology_coverage(annotated: DataFrame, eligible: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Annotated, eligible, clustered and ungrouped genes and the clusters of each ontology.
+
+    ``annotated`` has (gene_id, ontology), ``eligible`` gene_id and ``clusters`` ontology, direction, gene_id and cluster.
+    Ungrouped are eligible genes with a term of the ontology that no cluster of it holds.
+    """
+    inside = clusters.where("cluster <> -1")
+    genes = annotated.select("ontology", "gene_id").distinct().join(eligible.select("gene_id", F.lit(True).alias("ok")).distinct(), "gene_id", "left")
+    genes = genes.join(inside.select("ontology", "gene_id", F.lit(True).alias("in")).distinct(), ["ontology", "gene_id"], "left")
+    counted = genes.groupBy("ontology").agg(F.count(F.lit(1)).alias("annotated"), F.count_if(F.col("ok")).alias("eligible"), F.count_if(F.col("ok") & F.col("in")).alias("clustered"), F.count_if(F.col("ok") & F.col("in").isNull()).alias("ungrouped"))
+    numbers = inside.groupBy("ontology").agg(F.countDistinct("direction", "cluster").alias("clusters"))
+    return counted.join(numbers, "ontology", "left").na.fill(0, ["clusters"])
+
+
+def coverage_violations(genes: DataFrame, annotated: DataFrame, eligible: DataFrame, clustered: DataFrame) -> DataFrame:
+    """(rule, genes): how many genes break clustered <= eligible <= annotated <= all genes; no row for a rule that holds."""
+    sets = {"clustered": clustered, "eligible": eligible, "annotated": annotated, "all": genes}
+    out, names = None, list(sets)
+    for inner, outer in zip(names, names[1:]):
+        outside = sets[inner].select("gene_id").distinct().join(sets[outer].select("gene_id").distinct(), "gene_id", "left_anti")
+        row = outside.agg(F.count(F.lit(1)).alias("genes")).where("genes > 0").select(F.lit(f"{inner}_not_{outer}").alias("rule"), "genes")
+        out = row if out is None else out.union(row)
+    return out

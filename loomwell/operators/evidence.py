@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.functions import columns as C
+from loomwell.runtime import free_name
 
 # Classes of evidence, and patterns of strong wording and of conditions.
 LEVELS = ("direct", "ortholog", "paralog", "family", "general")
@@ -53,20 +54,24 @@ def blocked(chunks: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``rules``: (gene_id, rule_index, kind, any, all, unless_any) with kind ``rule`` or ``alias``; for
     an alias, ``all`` holds the alias and ``any`` the words of which one must stand beside it. The
-    first matching rule names the reason; aliases come after rules.
+    first matching rule names the reason; aliases come after rules. A gene's rules are tested in one
+    list beside each chunk's text, so rows stay as they are.
     """
     text = F.lower(F.concat_ws(" ", *(squeezed(F.col(c)) for c in ("article_title", "section", "text"))))
-    has = lambda words: F.exists(words, lambda t: F.col("_text").contains(F.lower(t)))
-    every = F.forall("r.all", lambda t: F.col("_text").contains(F.lower(t)))
-    rule = ((F.size("r.any") == 0) | has("r.any")) & ((F.size("r.all") == 0) | every) & ~has("r.unless_any")
-    alias = (F.size("r.all") > 0) & every & (F.size("r.any") > 0) & ~has("r.any")
-    hit = F.when(F.col("r.kind") == "rule", rule).otherwise(alias)
-    listed = rules.groupBy("gene_id").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("kind") == "rule", 0).otherwise(1).alias("o"), "rule_index", "kind", "any", "all", "unless_any"))).alias("_rules"))
-    joined = chunks.join(listed, "gene_id", "left").withColumn("_text", text)
-    exploded = joined.select(*chunks.columns, "_text", F.posexplode_outer("_rules").alias("_at", "r"))
-    reason = F.when(F.col("r.kind") == "rule", F.concat(F.lit("entity_policy_rule_"), F.col("r.rule_index").cast("string"))).otherwise(F.concat(F.lit("ambiguous_alias_without_context:"), F.lower(F.element_at("r.all", 1))))
-    first = F.min_by(F.when(hit, reason), F.when(hit, F.col("_at")))
-    return exploded.groupBy("gene_id", "chunk_id").agg(first.alias("blocked_reason"), *(F.first(c).alias(c) for c in chunks.columns if c not in ("gene_id", "chunk_id")))
+    rules_, text_ = free_name(chunks, "_rules"), free_name(chunks, "_text")
+
+    def reason(r: Column) -> Column:
+        has = lambda words: F.exists(words, lambda t: F.col(text_).contains(F.lower(t)))
+        every = F.forall(r["all"], lambda t: F.col(text_).contains(F.lower(t)))
+        rule = ((F.size(r["any"]) == 0) | has(r["any"])) & ((F.size(r["all"]) == 0) | every) & ~has(r["unless_any"])
+        alias = (F.size(r["all"]) > 0) & every & (F.size(r["any"]) > 0) & ~has(r["any"])
+        named = F.when(r["kind"] == "rule", F.concat(F.lit("entity_policy_rule_"), r["rule_index"].cast("string"))).otherwise(F.concat(F.lit("ambiguous_alias_without_context:"), F.lower(F.element_at(r["all"], 1))))
+        return F.when(F.when(r["kind"] == "rule", rule).otherwise(alias), named)
+
+    listed = rules.groupBy("gene_id").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("kind") == "rule", 0).otherwise(1).alias("o"), "rule_index", "kind", "any", "all", "unless_any"))).alias(rules_))
+    joined = chunks.join(listed, "gene_id", "left").withColumn(text_, text)
+    first = F.get(F.filter(F.transform(rules_, reason), lambda x: x.isNotNull()), F.lit(0))
+    return joined.withColumn("blocked_reason", first).drop(rules_, text_)
 
 
 def classify_evidence(rows: DataFrame) -> DataFrame:

@@ -127,9 +127,10 @@ def ave_log_cpm(counts: DataFrame, factors: DataFrame | None = None, prior: floa
 
 
 def log_count_values(counts: DataFrame) -> DataFrame:
-    """Adds log2, natural and decimal logarithms of count + 1."""
-    x = F.col("count") + 1
-    return counts.withColumns({"log2_count": F.log2(x), "ln_count": F.log(x.cast("double")), "log10_count": F.log10(x.cast("double"))})
+    """Adds log2, natural and decimal logarithms of count + 1, ln(count) (null for 0), and those of cpm + 1 (log10, log2)."""
+    x, c = F.col("count") + 1, F.col("cpm") + 1
+    logs = {"log2_count": F.log2(x), "ln_count": F.log(x.cast("double")), "log10_count": F.log10(x.cast("double")), "ln_positive": F.when(F.col("count") > 0, F.log(F.col("count").cast("double"))), "log10_cpm": F.log10(c), "log2_cpm": F.log2(c)}
+    return cpm(counts).withColumns(logs).drop("cpm")
 
 
 def log_counts(counts: DataFrame, bins: int = 20, high: float = 20.0) -> DataFrame:

@@ -117,12 +117,27 @@ def _best(profile: np.ndarray) -> np.ndarray:
     return np.exp(np.where(k == inner, x[inner] + np.clip(shift, -1, 1) * (x[1] - x[0]), x[k]))
 
 
-def estimate_dispersion(genes: DataFrame, design: Design, bins: int = 10) -> DataFrame:
+def trend_weights(ave: np.ndarray, centres: np.ndarray, sizes: np.ndarray, span: float) -> np.ndarray:
+    """Weights of bins (columns) for genes (rows): tricube in the distance of abundances times the bin's size.
+
+    The width is the distance of the bin at the place ``span`` of all bins from the nearest, and so
+    continuous in the gene's abundance; bins with one centre weigh alike.
+    """
+    far = np.abs(ave[:, None] - centres[None, :])
+    k = min(len(centres), max(2, int(np.ceil(span * len(centres))) + 1)) - 1
+    width = np.sort(far, axis=1)[:, k : k + 1]
+    near = np.where(width > 0, np.clip(1 - (far / np.where(width > 0, width, 1)) ** 3, 0, None) ** 3, 1.0)
+    near = np.where(near.sum(axis=1, keepdims=True) > 0, near, 1.0) * sizes
+    return near / near.sum(axis=1, keepdims=True)
+
+
+def estimate_dispersion(genes: DataFrame, design: Design, bins: int = 50, span: float = 0.3) -> DataFrame:
     """(gene_id, y, ave, common, trended, dispersion) by adjusted profile likelihood on a grid.
 
-    The common value maximises the sum over all genes; the trended one the mean over genes of like
-    abundance (bins of mean log2 rate); the gene's own the sum of its likelihood and the bin's mean
-    weighted by prior_df over residual degrees of freedom.
+    The common value maximises the sum over all genes; the trended one a local mean of likelihoods
+    around the gene's abundance (mean log2 rate), made of the means of ``bins`` bins of abundance (see ``trend_weights``), so it
+    has no steps; the gene's own the sum of its likelihood and that local mean weighted by prior_df
+    over residual degrees of freedom.
     """
 
     def profiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,23 +153,23 @@ def estimate_dispersion(genes: DataFrame, design: Design, bins: int = 10) -> Dat
     for e in sorted(set(edges)):
         at = at + (F.col("ave") > e).cast("int")
     rows = rows.withColumn("bin", at)
-    sums = rows.select("bin", F.posexplode("apl").alias("k", "v")).groupBy("bin", "k").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n")).collect()
+    sums = rows.select("bin", "ave", F.posexplode("apl").alias("k", "v")).groupBy("bin", "k").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"), F.avg("ave").alias("centre")).collect()  # a row a bin and place of the grid
     if not sums:
         return rows.select("gene_id", "y", "ave", *(F.lit(0.0).alias(c) for c in ("common", "trended", "dispersion")))
-    means: dict[int, np.ndarray] = {}
-    whole = np.zeros(len(GRID))
+    found = sorted({r["bin"] for r in sums})
+    place = {b: i for i, b in enumerate(found)}
+    means, sizes, centres = np.zeros((len(found), len(GRID))), np.zeros(len(found)), np.zeros(len(found))
     for r in sums:
-        means.setdefault(r["bin"], np.zeros(len(GRID)))[r["k"]] = r["v"] / r["n"]
-        whole[r["k"]] += r["v"]
-    common = float(_best(whole[None])[0])
-    trend = {b: float(_best(m[None])[0]) for b, m in means.items()}
+        i = place[r["bin"]]
+        means[i, r["k"]], sizes[i], centres[i] = r["v"] / r["n"], r["n"], r["centre"]
+    common = float(_best((sizes @ means)[None])[0])
     weight = PRIOR_DF / max(len(design.samples) - len(design.names), 1)
 
     def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                mixed = np.stack(f["apl"].to_numpy()) + weight * np.stack([means[b] for b in f["bin"]])
-                yield pd.DataFrame({"gene_id": f["gene_id"], "y": f["y"], "ave": f["ave"], "common": common, "trended": f["bin"].map(trend), "dispersion": _best(mixed)})
+                local = trend_weights(f["ave"].to_numpy(), centres, sizes, span) @ means
+                yield pd.DataFrame({"gene_id": f["gene_id"], "y": f["y"], "ave": f["ave"], "common": common, "trended": _best(local), "dispersion": _best(np.stack(f["apl"].to_numpy()) + weight * local)})
 
     return rows.mapInPandas(own, "gene_id string, y array<double>, ave double, common double, trended double, dispersion double")
 

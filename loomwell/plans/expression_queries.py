@@ -144,7 +144,7 @@ def ave_log_cpm(spark, d):
 
 
 def log_count_values(spark, d):
-    return _R6(X.log_count_values(_filtered(spark, d)), "log2_count", "ln_count", "log10_count")
+    return _R6(X.log_count_values(_filtered(spark, d)), "log2_count", "ln_count", "log10_count", "ln_positive", "log10_cpm", "log2_cpm")
 
 
 def sample_trees(spark, d):
@@ -226,7 +226,7 @@ _SQL = {
     "log_cpm": "WITH " + _CPM + ", z AS (SELECT *, 2 * lib / (SELECT avg(lib) FROM l) AS prior FROM l) SELECT gene_id, sample_id, count, round(log2((count + prior) / (lib + 2 * prior) * 1e6), 6) AS log_cpm FROM f JOIN z USING (sample_id)",
     "ave_log_cpm": "WITH " + _CPM + """, z AS (SELECT *, 2 * lib / (SELECT avg(lib) FROM l) AS prior FROM l), g AS (SELECT DISTINCT gene_id FROM f),
       y AS (SELECT g.gene_id, (coalesce(f.count, 0) + prior) / (z.lib + 2 * prior) * 1e6 AS v FROM g CROSS JOIN z LEFT JOIN f ON f.gene_id = g.gene_id AND f.sample_id = z.sample_id) SELECT gene_id, round(log2(avg(v)), 6) AS ave_log_cpm FROM y GROUP BY gene_id""",
-    "log_count_values": "WITH " + _FILTERED + " SELECT gene_id, sample_id, count, round(log2(count + 1), 6) AS log2_count, round(ln(count + 1), 6) AS ln_count, round(log10(count + 1), 6) AS log10_count FROM f",
+    "log_count_values": f"WITH {_CPM} SELECT gene_id, sample_id, count, round(log2(count + 1), 6) AS log2_count, round(ln(count + 1), 6) AS ln_count, round(log10(count + 1), 6) AS log10_count, CASE WHEN count > 0 THEN round(ln(count), 6) END AS ln_positive, round(log10(cpm + 1), 6) AS log10_cpm, round(log2(cpm + 1), 6) AS log2_cpm FROM p",
     "venn_regions": "WITH s AS (SELECT gene_id, string_agg(DISTINCT contrast, '&' ORDER BY contrast) AS region FROM {de} WHERE FDR < 0.05 AND abs(logFC) > 1 GROUP BY gene_id) SELECT region, count(*) AS genes FROM s GROUP BY region",
     "heatmap_matrix": "SELECT gene_id, " + ", ".join(f"coalesce(max(CASE WHEN contrast = '{c}' THEN logFC END), 0) AS \"{c}\"" for c in PAIRS) + " FROM {de} WHERE FDR <= 0.05 AND abs(logFC) >= 1 GROUP BY gene_id",
     "subset_contrasts": "SELECT contrast, gene_id, logFC FROM {de} WHERE contrast = 'A_vs_B'",

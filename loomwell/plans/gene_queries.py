@@ -78,9 +78,8 @@ def split_go_invalid(spark, d):
 
 
 def unique_gene2go(spark, d):
-    g = table(spark, d, "genes")
-    parts = [g.select("gene_id", F.lit(o).alias("ontology"), F.explode(C.go_ids(F.col(c))).alias("go_id")) for o, c in (("BP", "bp"), ("MF", "mf"))]
-    return parts[0].unionByName(parts[1]).distinct()
+    g = table(spark, d, "genes").withColumn("cc", F.concat(F.lit("part ["), F.substring_index(F.substring_index("bp", "[", -1), "]", 1), F.lit("]; "), "bp"))
+    return A.unique_gene2go(g, {"BP": "bp", "MF": "mf", "CC": "cc"})
 
 
 def go_labels(spark, d):
@@ -165,7 +164,19 @@ def cluster_representatives(spark, d):
 
 
 def cluster_summary(spark, d):
-    return _r6(K.cluster_summary(table(spark, d, "clusters")), "mean_silhouette")
+    c = table(spark, d, "clusters").where("ontology <> 'CC' OR direction <> 'up'")
+    return _r6(K.cluster_summary(c, table(spark, d, "clusters").select("ontology", "direction").distinct()), "mean_silhouette")
+
+
+def ontology_coverage(spark, d):
+    annotated = _gene_terms(spark, d).where("gene_id NOT LIKE '%7'").select("gene_id", "ontology")
+    return K.ontology_coverage(annotated, K.clean_genes(table(spark, d, "genes"), _NAMES, "uniprot_function", _GO), table(spark, d, "clusters"))
+
+
+def coverage_violations(spark, d):
+    c, genes = table(spark, d, "clusters"), table(spark, d, "genes")
+    annotated = genes.where(C.go_count(F.concat("bp", "mf")) > 2)
+    return K.coverage_violations(table(spark, d, "de").where("contrast = 'A_vs_B'").select("gene_id"), annotated, K.clean_genes(genes, _NAMES, "uniprot_function", _GO), c.where("cluster <> -1"))
 
 
 def final_cluster_table(spark, d):
@@ -203,7 +214,7 @@ QUERIES = {
     f.__name__: f
     for f in (gff_fields, gff_feature_counts, gff_attribute_profile, normalize_strand, normalize_ids, resolve_id_attribute, annotate_with_gff, best_uniprot_hit, annotate_with_uniprot, unique_queries,
               top_go_terms, top_go_terms_by_ontology, split_go_valid, split_go_invalid, unique_gene2go, go_labels, clean_go_annotations, invalid_go_dropped, gff_maps, selected_genes, clean_genes, normalize_de_table, primary_names, name_terms, go_closure, term_similarity,
-              gene_similarity, semantic_clusters, cluster_silhouettes, renumber_clusters, cluster_metrics, cluster_representatives, cluster_summary, final_cluster_table, prioritized_genes, coverage_funnel,
+              gene_similarity, semantic_clusters, cluster_silhouettes, renumber_clusters, cluster_metrics, cluster_representatives, cluster_summary, ontology_coverage, coverage_violations, final_cluster_table, prioritized_genes, coverage_funnel,
               heaviest_targets, target_conflicts)
 }
 QUERIES["build_targets"] = QUERIES.pop("heaviest_targets")
@@ -258,7 +269,7 @@ _SQL = {
       n AS (SELECT contrast, ontology, term, count(*) AS n FROM t WHERE term <> '' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contrast, ontology ORDER BY n DESC, term) AS rank FROM n) WHERE rank <= 15""",
     "split_go_valid": "SELECT * FROM {gene2go} WHERE go_id IN (SELECT go_id FROM {go_terms})",
     "split_go_invalid": "SELECT * FROM {gene2go} WHERE go_id NOT IN (SELECT go_id FROM {go_terms})",
-    "unique_gene2go": "SELECT gene_id, 'BP' AS ontology, unnest(regexp_extract_all(bp, 'GO:[0-9]+')) AS go_id FROM {genes} UNION SELECT gene_id, 'MF', unnest(regexp_extract_all(mf, 'GO:[0-9]+')) FROM {genes}",
+    "unique_gene2go": "SELECT gene_id, 'BP' AS ontology, unnest(regexp_extract_all(bp, 'GO:[0-9]+')) AS go_id FROM {genes} UNION SELECT gene_id, 'MF', unnest(regexp_extract_all(mf, 'GO:[0-9]+')) FROM {genes} UNION SELECT gene_id, 'CC', unnest(regexp_extract_all(bp, 'GO:[0-9]+')) FROM {genes}",
     "go_labels": r"""WITH s AS (SELECT gene_id, list_filter(list_transform(string_split(bp || '; ' || mf || '; ' || bp, ';'), lambda x: trim(regexp_replace(x, '\s*\[GO:[0-9]+\]\s*', '', 'g'))), lambda x: x <> '') AS l, len(regexp_extract_all(bp || ';' || mf, 'GO:[0-9]+')) AS n FROM {genes})
       SELECT gene_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS labels, n FROM s""",
     "clean_go_annotations": "SELECT gene_id, array_to_string(list_filter(list_transform(string_split(bp, ';'), lambda x: trim(x)), lambda x: x <> '' AND NOT list_has_any(regexp_extract_all(x, 'GO:[0-9]+'), list_transform(range(64, 80), lambda i: 'GO:' || lpad(i::VARCHAR, 7, '0')))), '; ') AS bp FROM {genes}",
@@ -286,8 +297,15 @@ _SQL = {
     "cluster_metrics": f"""WITH {_METRICS}, lo AS (SELECT ontology, direction, cluster, min(sim) AS m FROM {{similarity}} GROUP BY ALL) SELECT mt.ontology, mt.direction, mt.cluster, size, round(mean_silhouette, 6) AS mean_silhouette, round(min_silhouette, 6) AS min_silhouette, round(m, 6) AS min_similarity,
       CASE WHEN mean_silhouette IS NULL THEN 'unknown' WHEN mean_silhouette >= 0.3 THEN 'strong' WHEN mean_silhouette >= 0.1 THEN 'borderline' ELSE 'weak' END AS quality FROM mt LEFT JOIN lo USING (ontology, direction, cluster)""",
     "cluster_representatives": f"WITH {_CENTRAL} SELECT ontology, direction, cluster, gene_id, log2FoldChange, cluster_silhouette, round(centrality, 6) AS centrality, rank FROM q WHERE rank <= 3",
-    "cluster_summary": """SELECT ontology, direction, count(DISTINCT CASE WHEN cluster <> -1 THEN ontology || direction || cluster END) AS clusters, count(DISTINCT CASE WHEN cluster <> -1 THEN gene_id END) AS clustered_genes, count(DISTINCT gene_id) AS genes,
-      round(avg(CASE WHEN cluster <> -1 THEN cluster_silhouette END), 6) AS mean_silhouette FROM {clusters} GROUP BY ROLLUP (ontology, direction)""",
+    "cluster_summary": """WITH c AS (SELECT * FROM {clusters} WHERE ontology <> 'CC' OR direction <> 'up') SELECT ontology, direction, count(DISTINCT CASE WHEN cluster <> -1 THEN ontology || direction || cluster END) AS clusters, count(DISTINCT CASE WHEN cluster <> -1 THEN gene_id END) AS clustered_genes, count(DISTINCT gene_id) AS genes,
+      round(avg(CASE WHEN cluster <> -1 THEN cluster_silhouette END), 6) AS mean_silhouette FROM c GROUP BY ROLLUP (ontology, direction) UNION ALL SELECT 'CC', 'up', 0, 0, 0, NULL""",
+    "ontology_coverage": "WITH el AS (SELECT gene_id " + _CLEAN + """), a AS (SELECT DISTINCT ontology, gene_id FROM {gene2go} JOIN {go_terms} USING (go_id) WHERE gene_id NOT LIKE '%7'), i AS (SELECT DISTINCT ontology, gene_id FROM {clusters} WHERE cluster <> -1),
+      n AS (SELECT ontology, count(DISTINCT direction || cluster) AS n FROM {clusters} WHERE cluster <> -1 GROUP BY ontology)
+      SELECT a.ontology, count(*) AS annotated, count(el.gene_id) AS eligible, count(CASE WHEN el.gene_id IS NOT NULL THEN i.gene_id END) AS clustered, count(CASE WHEN i.gene_id IS NULL THEN el.gene_id END) AS ungrouped, coalesce(max(n), 0) AS clusters
+      FROM a LEFT JOIN el ON el.gene_id = a.gene_id LEFT JOIN i ON i.gene_id = a.gene_id AND i.ontology = a.ontology LEFT JOIN n ON n.ontology = a.ontology GROUP BY a.ontology""",
+    "coverage_violations": "WITH el AS (SELECT gene_id " + _CLEAN + """), an AS (SELECT gene_id FROM {genes} WHERE len(regexp_extract_all(bp || mf, 'GO:[0-9]+')) > 2), cl AS (SELECT DISTINCT gene_id FROM {clusters} WHERE cluster <> -1), al AS (SELECT gene_id FROM {de} WHERE contrast = 'A_vs_B')
+      SELECT * FROM (SELECT 'clustered_not_eligible' AS rule, count(*) AS genes FROM cl WHERE gene_id NOT IN (SELECT gene_id FROM el) UNION ALL SELECT 'eligible_not_annotated', count(*) FROM el WHERE gene_id NOT IN (SELECT gene_id FROM an)
+      UNION ALL SELECT 'annotated_not_all', count(*) FROM an WHERE gene_id NOT IN (SELECT gene_id FROM al)) WHERE genes > 0""",
     "final_cluster_table": "SELECT ontology, direction, gene_id, cluster, row_number() OVER (PARTITION BY ontology, direction ORDER BY cluster = -1, cluster, gene_id) AS position FROM {clusters}",
     "prioritized_genes": f"""WITH {_CENTRAL}, {_METRICS}, rep AS (SELECT q.*, mt.mean_silhouette, ontology || ':' || direction || ':' || cluster AS k FROM q JOIN mt USING (ontology, direction, cluster) WHERE rank = 1),
       c AS (SELECT gene_id, avg(centrality) AS cs, min(mean_silhouette) AS mq, count(DISTINCT ontology) AS n, string_agg(DISTINCT k, '; ' ORDER BY k) AS rc,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwell.runtime import fresh_path, materialize
+from loomwell.runtime import materialize
 
 
 def _in_order(row: Column | None = None) -> Column:
@@ -45,7 +48,11 @@ def read_de(spark: SparkSession, path: str, contrast: str | None = None) -> Data
 
 
 def contrasts_of(spark: SparkSession, path: str) -> DataFrame:
-    return read_de(spark, path).select("contrast").distinct()
+    """(contrast): the sheets of a DE dataset, by the names of its partitions alone; no file is opened."""
+    files, place = _files(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(place(path)) if f.isDirectory() and f.getPath().getName().startswith("contrast=")]
+    found = [unquote(n.removeprefix("contrast=")) for n in sorted(names)]
+    return spark.createDataFrame([(None if n == "__HIVE_DEFAULT_PARTITION__" else n,) for n in found], "contrast string")
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -107,43 +114,64 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
     return genes.select("gene_id", *(F.coalesce(f"p.{c}", F.array().cast("array<string>")).alias(c) for c in ("stable_ids", "aliases", "orthologs", "paralogs")))
 
 
-def export_index(chunks: DataFrame, doc_count: int, path: str, model: DataFrame | None = None) -> None:
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and Hadoop's class of paths."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    return place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+_POINTER = "CURRENT"
+
+
+def export_index(chunks: DataFrame, doc_count: int, path: str, model: DataFrame | None = None, keep: int = 2) -> None:
     """Chunks, the BM25 model, if given, and a one-row manifest; refused when the chunks aren't doc_count.
 
-    All is written beside ``path`` first, so a crash leaves an earlier export as it was; then the
-    folder takes its place by a rename.
+    Each export is a version of its own, written whole and checked; then the file that names the
+    current version is replaced by a rename, so a crash at any time leaves the export before as it
+    was. The ``keep`` newest versions stay, for those who read them.
     """
     spark = chunks.sparkSession
-    staged = fresh_path(spark, "index")
-    chunks.write.parquet(staged)
-    n = spark.read.parquet(staged).count()
-    if n != doc_count:
-        raise ValueError(f"the index has {n} chunks, the model {doc_count} documents")
-    ready = spark.read.parquet(staged)
-    digest = ready.agg(F.bit_xor(F.xxhash64(*ready.columns)).alias("x")).first()["x"]
-    beside = f"{path.rstrip('/')}.staged"
-    ready.write.mode("overwrite").parquet(f"{beside}/chunks")
+    name = uuid.uuid4().hex
+    folder = f"{path.rstrip('/')}/versions/{name}"
+    files, place = _files(spark, path)
+    chunks.write.parquet(f"{folder}/chunks")
+    ready = spark.read.parquet(f"{folder}/chunks")
+    told = ready.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*ready.columns)).alias("x")).first()
+    if told["n"] != doc_count:
+        files.delete(place(folder), True)
+        raise ValueError(f"the index has {told['n']} chunks, the model {doc_count} documents")
     if model is not None:
-        model.write.mode("overwrite").parquet(f"{beside}/model")
-    spark.createDataFrame([(n, digest)], "chunks long, digest long").coalesce(1).write.mode("overwrite").json(f"{beside}/manifest")
-    jvm, hadoop = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, final = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
-    files = final.getFileSystem(hadoop)
-    if files.exists(final):
-        files.delete(final, True)
-    if not files.rename(new, final):
-        raise OSError(f"{beside} could not be renamed to {path}")
+        model.write.parquet(f"{folder}/model")
+    spark.createDataFrame([(told["n"], told["x"])], "chunks long, digest long").coalesce(1).write.json(f"{folder}/manifest")
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    beside, pointer = place(f"{path}/.{_POINTER}.{name}"), place(f"{path}/{_POINTER}")
+    out = files.create(beside, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, pointer, over)
+    older = sorted((f for f in files.listStatus(place(f"{path}/versions")) if f.getPath().getName() != name), key=lambda f: -f.getModificationTime())
+    for f in older[max(0, keep - 1) :]:
+        files.delete(f.getPath(), True)
+
+
+def index_version(spark: SparkSession, path: str) -> str:
+    """The folder of the current version of an exported index."""
+    return f"{path.rstrip('/')}/versions/{spark.read.text(f'{path}/{_POINTER}').first()['value'].strip()}"
 
 
 def import_model(spark: SparkSession, path: str) -> DataFrame:
     """The BM25 model of an exported index."""
-    return spark.read.parquet(f"{path}/model")
+    return spark.read.parquet(f"{index_version(spark, path)}/model")
 
 
 def import_index(spark: SparkSession, path: str) -> DataFrame:
     """An exported index, if its rows are those that the manifest tells."""
-    chunks = spark.read.parquet(f"{path}/chunks")
-    want = spark.read.schema("chunks long, digest long").json(f"{path}/manifest").first()
+    folder = index_version(spark, path)
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    want = spark.read.schema("chunks long, digest long").json(f"{folder}/manifest").first()
     have = chunks.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*chunks.columns)).alias("x")).first()
     if want is None or (have["n"], have["x"]) != (want["chunks"], want["digest"]):
         raise ValueError("the export was changed after it was written")
@@ -163,7 +191,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     lines = materialize(lines, "fastq-lines")
     blocks = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    placed = lines.join(F.broadcast(blocks.withColumn("before", F.coalesce(before, F.lit(0)))), ["file", "start"])
+    placed = lines.join(blocks.withColumn("before", F.coalesce(before, F.lit(0))), ["file", "start"])
     line = F.col("before") + F.col("row") - F.col("first")
     numbered = placed.select("file", F.floor(line / 4).alias("record"), (line % 4).alias("at"), "value")
     pick = lambda i: F.max(F.when(F.col("at") == i, F.col("value")))

@@ -139,7 +139,7 @@ def many_genes(spark):
 
 def test_dispersion_against_scalar_likelihoods(spark, many_genes):
     design, y, frame = many_genes
-    bins = 3
+    bins, span = 6, 0.5
     at = {g: [i for i, name in enumerate(design.groups) if name == g] for g in design.names}
 
     def profile(v):
@@ -170,15 +170,25 @@ def test_dispersion_against_scalar_likelihoods(spark, many_genes):
     edges = sorted({ranked[math.ceil(i / bins * len(ranked)) - 1] for i in range(1, bins)})
     bin_of = {g: sum(a > e for e in edges) for g, a in ave.items()}
     mean = {b: np.mean([apl[g] for g in y if bin_of[g] == b], axis=0) for b in set(bin_of.values())}
-    got = {r.gene_id: r for r in nb.estimate_dispersion(frame, design, bins=bins).collect()}
+    size = {b: sum(v == b for v in bin_of.values()) for b in mean}
+    centre = {b: np.mean([ave[g] for g in y if bin_of[g] == b]) for b in mean}
+
+    def local(a):
+        """The local mean of the bins' likelihoods around an abundance."""
+        far = {b: abs(a - c) for b, c in centre.items()}
+        width = sorted(far.values())[math.ceil(span * len(mean))]
+        near = {b: max(0.0, 1 - (far[b] / width) ** 3) ** 3 * size[b] for b in mean}
+        return sum(near[b] * mean[b] for b in mean) / sum(near.values())
+
+    got = {r.gene_id: r for r in nb.estimate_dispersion(frame, design, bins=bins, span=span).collect()}
     assert set(got) == set(y) and len(mean) == bins
     weight = nb.PRIOR_DF / (9 - 3)
     for g in y:
         r = got[g]
         assert r.ave == pytest.approx(ave[g])
         assert r.common == pytest.approx(peak(np.sum(list(apl.values()), axis=0)), rel=1e-4)
-        assert r.trended == pytest.approx(peak(mean[bin_of[g]]), rel=1e-4)
-        assert r.dispersion == pytest.approx(peak(np.array(apl[g]) + weight * mean[bin_of[g]]), rel=1e-4)
+        assert r.trended == pytest.approx(peak(local(ave[g])), rel=1e-4)
+        assert r.dispersion == pytest.approx(peak(np.array(apl[g]) + weight * local(ave[g])), rel=1e-4)
 
 
 def test_ratio_test_against_scalar_fits(spark, many_genes):
@@ -249,3 +259,13 @@ def test_sample_pairs_in_blocks_are_brute_force(spark, monkeypatch):
         assert told(X.leading_distance(values, 20), "distance") == pytest.approx(leading)
     nothing = values.limit(0)
     assert X.sample_correlation(nothing).count() == X.sample_distance(nothing).count() == X.leading_distance(nothing).count() == 0
+
+
+def test_trend_weights_have_no_steps():
+    rng = np.random.default_rng(1)
+    centres, sizes = np.sort(rng.normal(size=20)), rng.integers(1, 9, 20).astype(float)
+    at = np.linspace(-4, 4, 20_001)
+    w = nb.trend_weights(at, centres, sizes, 0.3)
+    assert w.sum(axis=1) == pytest.approx(1) and np.abs(np.diff(w, axis=0)).max() < 0.01
+    assert nb.trend_weights(np.zeros(2), np.zeros(3), np.array([1.0, 1, 2]), 0.3) == pytest.approx(np.array([[0.25, 0.25, 0.5]] * 2))
+    assert nb.trend_weights(np.array([3.0]), np.array([1.0]), np.array([4.0]), 0.3) == pytest.approx(1)

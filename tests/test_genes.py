@@ -244,3 +244,37 @@ def test_the_chain_clusters_real_similarities(spark, gene_ontology):
     told = lambda df: {(r.ontology, r.direction, r.gene_id): (r.cluster, r.cluster_size, r.cluster_silhouette and round(r.cluster_silhouette, 9)) for r in df.collect()}
     got = told(K.clusters_of_genes(genes, gene2go, edges, terms))
     assert got == told(K.semantic_clusters(asked, pairs)) and max(v[0] for v in got.values()) > 1
+
+
+def test_summary_rows_without_genes(spark):
+    c = spark.createDataFrame([("BP", "up", 1, "g", 0.5), ("BP", "up", -1, "h", None)], "ontology string, direction string, cluster int, gene_id string, cluster_silhouette double")
+    asked = spark.createDataFrame([("BP", "up"), ("CC", "down"), ("CC", "down")], "ontology string, direction string")
+    got = {(r.ontology, r.direction): (r.clusters, r.clustered_genes, r.genes, r.mean_silhouette) for r in K.cluster_summary(c, asked).collect()}
+    assert got == {("BP", "up"): (1, 1, 2, 0.5), ("BP", None): (1, 1, 2, 0.5), (None, None): (1, 1, 2, 0.5), ("CC", "down"): (0, 0, 0, None)}
+
+
+def test_coverage_of_ontologies_and_its_containment(spark):
+    frame = lambda genes: spark.createDataFrame([(g,) for g in genes], "gene_id string")
+    annotated = spark.createDataFrame([("BP", g) for g in "abcd"] + [("MF", "a"), ("MF", "a")], "ontology string, gene_id string")
+    clusters = spark.createDataFrame([("BP", "up", 1, "a"), ("BP", "down", 1, "b"), ("BP", "up", -1, "c"), ("BP", "up", 1, "x")], "ontology string, direction string, cluster int, gene_id string")
+    got = {r.ontology: tuple(r)[1:] for r in K.ontology_coverage(annotated, frame("abc"), clusters).collect()}
+    assert got == {"BP": (4, 3, 2, 1, 2), "MF": (1, 1, 0, 1, 0)}
+    told = lambda *sets: {r.rule: r.genes for r in K.coverage_violations(*map(frame, sets)).collect()}
+    assert told("abcd", "abc", "ab", "a") == {} and told("ab", "abc", "abcd", "xy") == {"annotated_not_all": 1, "eligible_not_annotated": 1, "clustered_not_eligible": 2}
+
+
+def test_terms_of_all_ontologies_once(spark):
+    rows = [("g", "a [GO:1]; b [GO:2]", "c [GO:1]", None), ("g", "a [GO:1]", "", "d [GO:9]"), ("h", None, None, None)]
+    got = A.unique_gene2go(spark.createDataFrame(rows, "gene_id string, bp string, mf string, cc string"), {"BP": "bp", "MF": "mf", "CC": "cc"})
+    assert sorted(map(tuple, got.collect())) == [("g", "BP", "GO:1"), ("g", "BP", "GO:2"), ("g", "CC", "GO:9"), ("g", "MF", "GO:1")]
+
+
+def test_candidates_are_ranked_over_ranges(spark):
+    rng = random.Random(1)
+    rows = [(f"g{i:03d}", rng.random() < 0.5, rng.randint(1, 3), rng.choice((None, 0.1, 0.2)), rng.choice((None, 0.5, 0.6)), rng.choice((None, 1.0, 2.0)), rng.choice((None, 0.01, 0.02))) for i in range(200)]
+    c = spark.createDataFrame(rows, "gene_id string, selected_for_search boolean, n_ontologies int, min_cluster_quality double, centrality_score double, abs_log2FoldChange double, padj double")
+    down = lambda v: (v is None, 0 if v is None else -v)
+    want = sorted(rows, key=lambda r: (not r[1], -r[2], down(r[3]), down(r[4]), down(r[5]), (r[6] is None, r[6] or 0), r[0]))
+    ranked = K.rank_candidates(c.repartition(7))
+    assert [r.gene_id for r in ranked.orderBy("rank").collect()] == [r[0] for r in want] and ranked.columns == [*c.columns, "rank"]
+    assert [r["rank"] for r in ranked.select("rank").orderBy("rank").collect()] == list(range(1, 201)) and K.rank_candidates(c.limit(0)).count() == 0

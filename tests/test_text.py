@@ -142,7 +142,17 @@ def test_sources(spark, tmp_path):
         S.export_index(chunks, 2, str(tmp_path / "i"))
     S.export_index(chunks, 1, str(tmp_path / "i"))
     assert S.import_index(spark, str(tmp_path / "i")).count() == 1
-    chunks.write.mode("append").parquet(str(tmp_path / "i/chunks"))
+    assert S.contrasts_of(spark, str(tmp_path / "de")).orderBy("contrast").collect() == [("x",), ("y",)]
+    odd = spark.createDataFrame([("a/b =c", "g", 1.0), (None, "h", 2.0)], "contrast string, gene_id string, logFC double")
+    S.write_de(odd, str(tmp_path / "odd"))
+    assert {r.contrast for r in S.contrasts_of(spark, str(tmp_path / "odd")).collect()} == {"a/b =c", None}
+    with pytest.raises(ValueError):  # a refused export leaves the one before as it was
+        S.export_index(chunks.limit(0), 1, str(tmp_path / "i"))
+    assert S.import_index(spark, str(tmp_path / "i")).count() == 1
+    for n in range(3):
+        S.export_index(chunks.withColumn("text", F.lit(f"v{n}")), 1, str(tmp_path / "i"))
+    assert S.import_index(spark, str(tmp_path / "i")).first().text == "v2" and len(list((tmp_path / "i/versions").iterdir())) == 2
+    chunks.write.mode("append").parquet(S.index_version(spark, str(tmp_path / "i")) + "/chunks")
     with pytest.raises(ValueError):
         S.import_index(spark, str(tmp_path / "i"))
 
@@ -384,3 +394,22 @@ def test_hybrid_search_against_brute_force(spark, candidates, per_source):
     got = P.hybrid_search(ranks.where("list = 'sparse'"), ranks.where("list <> 'sparse'"), texts, queries, candidates=candidates, per_source=per_source)
     assert sorted((r.query_id, r.chunk_id, r.final_rank, r.citation_id) for r in got.collect()) == sorted(want)
     assert P.hybrid_search(ranks.limit(0), ranks.limit(0), texts, queries).count() == 0
+
+
+def test_accents_are_folded_by_decomposition(spark):
+    from loomwell.operators import reports
+
+    text = "Ångström ǅo Ếlan ά Žluťoučký ñ\u0303 ß naïve e\u0301"
+    blob = spark.createDataFrame([(text,)], "t string").select(reports.search_blob(F.col("t")).alias("b"), reports.matches_all(reports.search_blob(F.col("t")), "ANGSTRÖM zlutoucky élan").alias("m")).first()
+    assert blob.m and all(w in blob.b for w in ("angstrom", "elan", "α", "zlutoucky", " n ", "ß", "naive", " e"))
+
+
+def test_rules_keep_rows_that_agree(spark):
+    from loomwell.operators import evidence
+
+    rows = spark.createDataFrame([("g", 1, "t", "s", "has bad word"), ("g", 1, "t", "s", "has bad word"), ("g", 2, "t", "s", "fine"), ("h", 3, "t", "s", None), (None, 4, "t", "s", "bad")], "gene_id string, chunk_id int, article_title string, section string, text string").withColumns({"_rules": F.lit("own"), "_text": F.lit("own")})
+    none = []
+    rules = spark.createDataFrame([("g", 2, "rule", ["bad"], none, none), ("g", 1, "rule", ["word"], ["bad"], none), ("g", 1, "alias", ["ctx"], ["fine"], none)], "gene_id string, rule_index int, kind string, any array<string>, all array<string>, unless_any array<string>")
+    out = evidence.blocked(rows, rules)
+    assert sorted((r.chunk_id, r.blocked_reason) for r in out.collect()) == [(1, "entity_policy_rule_1"), (1, "entity_policy_rule_1"), (2, "ambiguous_alias_without_context:fine"), (3, None), (4, None)]
+    assert out.where("_rules <> 'own' OR _text <> 'own'").count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import columns as C
+from loomwell.runtime import materialize
 
 LABELS = ("supported", "partially_supported", "unsupported", "contradicted")
 
@@ -50,15 +51,19 @@ def method_summary(metrics: DataFrame) -> DataFrame:
 def bootstrap_ci(values: DataFrame, repeats: int = 2000, seed: int = 20260811) -> DataFrame:
     """(method, mean, low, high): 95 % percentile interval of the mean by resampling queries.
 
-    ``values`` has (method, value), few rows a method. Draw i of a repeat takes the query whose
-    place is an md5 of seed, repeat and i, so reruns agree. No value: 0 and 0.
+    ``values`` has (method, value). Draw i of a repeat takes the query whose place among the method's values is
+    an md5 of seed, repeat and i, so reruns agree. Draws are rows that meet their values in a join, so a
+    method may have any number of queries; only its ``repeats`` means are gathered.
     """
-    listed = values.groupBy("method").agg(F.sort_array(F.collect_list("value")).alias("v"), F.avg("value").alias("mean"))
-    n = F.size("v")
-    drawn = listed.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + F.element_at("v", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n + 1).cast("int")))
-    means = drawn.select("method", "mean", (total / n).alias("m")).groupBy("method", "mean").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    return means.select("method", "mean", F.get("ms", F.lit(int(0.025 * repeats))).alias("low"), F.get("ms", F.lit(min(repeats - 1, int(0.975 * repeats)))).alias("high"))
+    own = Window.partitionBy("method")
+    placed = materialize(values.select("method", "value").withColumn("i", F.row_number().over(own.orderBy("value"))).withColumn("n", F.count(F.lit(1)).over(own)), "bootstrap-values")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("i").cast("string")).cast("binary"))
+    draws = placed.select("method", "i", "n", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("r"))
+    draws = draws.select("method", "r", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n") + 1).cast("int").alias("i"))
+    means = draws.join(placed.select("method", "i", "value"), ["method", "i"]).groupBy("method", "r").agg(F.avg("value").alias("m"))
+    spread = means.groupBy("method").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    at = lambda k: F.get("ms", F.lit(k))
+    return placed.groupBy("method").agg(F.avg("value").alias("mean")).join(spread, "method").select("method", "mean", at(int(0.025 * repeats)).alias("low"), at(min(repeats - 1, int(0.975 * repeats))).alias("high"))
 
 
 def claim_metrics(claims: DataFrame) -> DataFrame:

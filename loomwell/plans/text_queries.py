@@ -75,8 +75,9 @@ def rrf_fusion(spark, d):
 
 
 def diversified(spark, d):
-    r = table(spark, d, "rankings").where("method = 'hybrid'").join(table(spark, d, "chunks").select("chunk_id", "section", "text"), "chunk_id").withColumnRenamed("rank", "hit_rank")
-    return T.diversify(r.withColumn("source", F.concat("source", F.col("query_id") % 2))).select("query_id", "chunk_id", "final_rank", "citation_id")
+    r = table(spark, d, "rankings").join(table(spark, d, "chunks").select("chunk_id", "section", "text"), "chunk_id").withColumnRenamed("rank", "hit_rank")
+    r = r.withColumn("source", F.concat("source", F.col("query_id") % 2)).withColumn("query_id", F.concat_ws("-", "method", "query_id"))
+    return T.diversify(r).select("query_id", "chunk_id", "final_rank", "citation_id")
 
 
 def _matched(spark, d):
@@ -410,7 +411,7 @@ _SQL = {
       SELECT label AS vec_id, round(max(CASE WHEN i = 1 THEN v END) / sqrt(sum(v * v)), 5) AS first, round(max(CASE WHEN i = 64 THEN v END) / sqrt(sum(v * v)), 5) AS last FROM a GROUP BY label""",
     "rrf_fusion": """WITH s AS (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score FROM {rankings} WHERE rank <= 40 GROUP BY ALL)
       SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM s) WHERE rank <= 40""",
-    "diversified": f"""WITH r AS (SELECT r.query_id, r.chunk_id, r.rank, r.source || (r.query_id % 2) AS source, section, text FROM {{rankings}} r JOIN {{chunks}} c ON c.chunk_id = r.chunk_id WHERE method = 'hybrid'), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) > 2 AS later FROM r WHERE ({_LOW}) IS NULL),
+    "diversified": f"""WITH r AS (SELECT method || '-' || r.query_id AS query_id, r.chunk_id, r.rank, r.source || (r.query_id % 2) AS source, section, text FROM {{rankings}} r JOIN {{chunks}} c ON c.chunk_id = r.chunk_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) > 2 AS later FROM r WHERE ({_LOW}) IS NULL),
       f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, rank) AS final_rank FROM k) SELECT query_id, chunk_id, final_rank, 'C' || final_rank AS citation_id FROM f WHERE final_rank <= 5""",
     "pooled_documents": """WITH p AS (SELECT DISTINCT query_id, chunk_id FROM {rankings} WHERE rank <= 5), s AS (SELECT *, substr(sha256(query_id || chr(31) || chunk_id), 1, 16) AS pool_id FROM p) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5('0:' || pool_id)) AS position FROM s""",
     "retrieval_metrics": f"WITH {_MET} SELECT method, query_id, round(p5, 6) AS p5, round(ndcg, 6) AS ndcg, round(rr, 6) AS rr, round(recall, 6) AS recall FROM m",

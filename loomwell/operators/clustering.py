@@ -82,7 +82,8 @@ def go_closure(edges: DataFrame, terms: DataFrame, weights: dict[str, float] = W
         rows = closure.withColumn("old", F.col("s")).unionByName(longer.withColumn("old", F.lit(None).cast("double")))
         new = materialize(rows.groupBy("term", "ancestor").agg(F.max("s").alias("s"), F.max("old").alias("old")), "go-closure")
         closure = new.select("term", "ancestor", "s")
-        if not new.where("old IS NULL OR s > old").limit(1).count():
+        # Products of one path in another order differ in their last digit, which is no better value.
+        if not new.where(F.col("old").isNull() | (F.col("s") > F.col("old") * (1 + _ROUNDING))).limit(1).count():
             return closure.join(terms.select(F.col("go_id").alias("term")).distinct(), "term", "left_semi")
 
 
@@ -170,7 +171,7 @@ def gene_similarity(gene2go: DataFrame, closure: DataFrame, least: float | dict[
     sets = gene2go.join(known, "go_id", "left_semi").groupBy(*k, "gene_id").agg(F.sort_array(F.collect_set("go_id")).alias("terms"))
     sets = materialize(sets.withColumn("sig", F.sha2(F.array_join(F.concat(F.array(*(F.coalesce(F.col(x).cast("string"), F.lit("")) for x in k)), "terms"), ",").cast("binary"), 256)), "gene-terms")
     signatures = sets.groupBy("sig").agg(*(F.first(x).alias(x) for x in k), F.first("terms").alias("terms")).withColumn("limit", _limit(least)).withColumn("n", F.size("terms"))
-    signatures = materialize(signatures.select("sig", "terms", "limit", "n"), "signatures")
+    signatures = materialize(signatures.select(F.col("sig").alias("named"), F.monotonically_increasing_id().alias("sig"), "terms", "limit", "n"), "signatures")
     terms = signatures.select("sig", "limit", "n", F.explode("terms").alias("term"))
     alike = materialize(term_similarity(closure, terms.select(F.col("term").alias("go_id"), (F.col("limit") * SLACK).alias("least"))), "alike-terms")
 
@@ -191,7 +192,8 @@ def gene_similarity(gene2go: DataFrame, closure: DataFrame, least: float | dict[
     pair = ["sig_a", "sig_b"]
 
     def summed(rows: DataFrame, floor: Column) -> DataFrame:
-        """Sums of the best matches of both sides; a term without one counts as ``floor``."""
+        """Sums of the best matches of both sides; a term without one counts as ``floor``. A pair's rows move once."""
+        rows = rows.repartition(*pair)
         best = [rows.groupBy(*pair, "limit", "n_a", "n_b", f"term_{x}").agg(F.coalesce(F.max("sim"), F.first(floor)).alias("best")).groupBy(*pair, "limit", "n_a", "n_b").agg(F.sum("best").alias(f"sum_{x}")) for x in "ab"]
         both = best[0].join(best[1].select(*pair, "sum_b"), pair)
         return both.select(*pair, "limit", ((F.col("sum_a") + F.col("sum_b")) / (F.col("n_a") + F.col("n_b"))).alias("sim")).where(F.col("sim") >= F.col("limit") - _ROUNDING)
@@ -203,8 +205,9 @@ def gene_similarity(gene2go: DataFrame, closure: DataFrame, least: float | dict[
     pairs = summed(whole, F.lit(0.0)).where("sim > 0").select(*pair, "sim")
     same = signatures.select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b"), F.lit(1.0).alias("sim"))
     pairs = materialize(pairs.union(pairs.select(F.col("sig_b").alias("sig_a"), F.col("sig_a").alias("sig_b"), "sim")).union(same), "signature-pairs")
-    left_genes = sets.select(*k, F.col("gene_id").alias("gene_a"), F.col("sig").alias("sig_a"))
-    right_genes = sets.select(F.col("gene_id").alias("gene_b"), F.col("sig").alias("sig_b"))
+    genes = sets.withColumnRenamed("sig", "named").join(signatures.select("named", "sig"), "named")
+    left_genes = genes.select(*k, F.col("gene_id").alias("gene_a"), F.col("sig").alias("sig_a"))
+    right_genes = genes.select(F.col("gene_id").alias("gene_b"), F.col("sig").alias("sig_b"))
     return left_genes.join(pairs, "sig_a").join(right_genes, "sig_b").where("gene_a < gene_b").select(*k, "gene_a", "gene_b", "sim")
 
 
@@ -225,29 +228,34 @@ def _components(edges: DataFrame) -> DataFrame:
 def _link(pairs: pd.DataFrame) -> pd.DataFrame:
     """Complete linkage of one component, in rounds: groups that are each other's nearest merge.
 
-    Of groups equally near the one first by name is taken. Pairs without a row never merge.
+    Of groups equally near the one first by name is taken. Pairs without a row never merge: after a round a
+    pair of groups has a row only if all pairs of their parts had one. Memory goes with the pairs.
     """
-    names = np.unique(np.concatenate([pairs["a"], pairs["b"]]))
-    sim = np.full((len(names), len(names)), -np.inf)
-    i, j = np.searchsorted(names, pairs["a"]), np.searchsorted(names, pairs["b"])
-    sim[i, j] = sim[j, i] = pairs["sim"]
-    leader, alive = np.arange(len(names)), np.arange(len(names))
-    while len(alive) > 1:
-        best = sim.argmax(axis=1)
-        own = np.arange(len(alive))
-        keep = np.flatnonzero((best[best] == own) & (own < best) & np.isfinite(sim[own, best]))
-        if not len(keep):
-            break
-        gone = best[keep]
-        sim[keep] = np.minimum(sim[keep], sim[gone])
-        sim[:, keep] = np.minimum(sim[:, keep], sim[:, gone])
-        sim[keep, keep] = -np.inf
-        to = np.arange(len(names))
-        to[alive[gone]] = alive[keep]
+    names, ends = np.unique(np.concatenate([pairs["a"], pairs["b"]]), return_inverse=True)
+    n, sim = len(names), pairs["sim"].to_numpy()
+    a, b = np.sort(ends.reshape(2, -1), axis=0)
+    leader = np.arange(n)
+    while len(a):
+        x, y, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sim, sim])
+        order = np.lexsort((y, -s, x))
+        first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])]
+        best = np.full(n, -1)
+        best[x[first]] = y[first]
+        keep = np.flatnonzero((best >= 0) & (best[best] == np.arange(n)) & (np.arange(n) < best))
+        to, parts = np.arange(n), np.ones(n, np.int64)
+        to[best[keep]], parts[keep] = keep, 2
         leader = to[leader]
-        left = np.delete(own, gone)
-        alive, sim = alive[left], sim[np.ix_(left, left)]
-    size = np.bincount(leader, minlength=len(names))
+        lo, hi = np.sort([to[a], to[b]], axis=0)
+        apart = lo != hi
+        key, sim = lo[apart] * n + hi[apart], sim[apart]
+        order = np.argsort(key, kind="stable")
+        key, sim = key[order], sim[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        a, b = key[at] // n, key[at] % n
+        whole = np.diff(np.append(at, len(key))) == parts[a] * parts[b]
+        sim = np.minimum.reduceat(sim, at)[whole] if len(at) else sim
+        a, b = a[whole], b[whole]
+    size = np.bincount(leader, minlength=n)
     return pd.DataFrame({"node": names, "leader": names[leader], "size": size[leader]})
 
 
@@ -278,11 +286,11 @@ def _node(keys: list[str], gene: str) -> Column:
     return F.concat_ws("\u001f", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys), gene)
 
 
-def complete_linkage(pairs: DataFrame, min_sim: float | Column, min_size: int = 3, keys: tuple[str, ...] = (), local: int = 2000) -> DataFrame:
+def complete_linkage(pairs: DataFrame, min_sim: float | Column, min_size: int = 3, keys: tuple[str, ...] = (), local: int = 2_000_000) -> DataFrame:
     """(keys, gene_id, cluster): clusters whose members are all at least min_sim alike; -1 for small ones.
 
     ``min_sim`` may be a column, such as a limit for each ontology. Groups only merge inside a
-    connected component of the pairs that reach it. Components of up to ``local`` genes are linked
+    connected component of the pairs that reach it. Components of up to ``local`` pairs are linked
     in a task each, larger ones by rounds of joins over all of them; both merge groups that are each
     other's nearest (ties: by name), round by round. Clusters are numbered by their first gene
     within ``keys`` (texts; null counts as empty). Genes without such a pair have no row.
@@ -292,7 +300,7 @@ def complete_linkage(pairs: DataFrame, min_sim: float | Column, min_size: int =
     close = materialize(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").where("a < b").groupBy("a", "b").agg(F.max("sim").alias("sim")), "link-pairs")
     roots = _components(close.select("a", "b"))
     inside = close.join(roots.select(F.col("gene_id").alias("a"), "root"), "a")
-    large = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local).select("root")
+    large = materialize(inside.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local).select("root"), "link-large")
     schema = "node string, leader string, size long"
     linked = inside.join(large, "root", "left_anti").groupBy("root").applyInPandas(_link, schema)
     if large.limit(1).count():

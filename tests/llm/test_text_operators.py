@@ -118,6 +118,16 @@ def test_jaccard_join_is_brute_force(docs, empty):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_jaccard_join_of_repeated_ids_and_very_long_texts(spark):
+    rng = random.Random(13)
+    long = " ".join(str(rng.randrange(10**9)) for _ in range(60_000))
+    rows = [(1, "a b c d e f g"), (1, "x y z u v w"), (2, "x y z u v w"), (1, "a b c d e f g"), (5, long), (4, long + " end"), (3, long[: len(long) // 2]), (7, None), (7, "")]
+    got = sorted(tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows)
+    nameless = spark.createDataFrame([(None, "a b c d e f g"), (9, "a b c d e f g"), (None, "q r s t u")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.join(nameless).collect()) == [(0, 0), (0, 9), (9, 9)]
+
+
 def test_jaccard_join_across_thresholds(spark):
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(base[: 60 - i] + [f"x{i}-{j}" for j in range(i)])) for i in range(0, 14)] + [(50 + i, " ".join(base[i:])) for i in range(14)]

@@ -15,9 +15,11 @@ Set relations save comparisons, in all lists:
 * Block skipping: the entries of the other lists are cut into blocks by size and position. A block's
   greatest and least size and position bound the overlap of its entries, so pairs of blocks that
   can't reach it, or that hold one group alone, are passed over as a whole.
-* Derived distances: of the pairs that are left, those are decided without their sets whose distance
+* Derived answers: of the pairs that are left, those are decided without being compared whose distance
   follows from computed ones, as Jaccard distances keep the triangle inequality: with y near a,
-  d(a, b) lies between d(y, b) - d(a, y) and d(y, b) + d(a, y).
+  d(a, b) lies between d(y, b) - d(a, y) and d(y, b) + d(a, y). A class within CLOSE of an earlier one has that
+  one as its hub. What its pairs ask is asked of the hubs, once for all pairs of the same hubs; bitmaps bound
+  the distance of hubs from below, whole sets give it, and a pair whose answer doesn't follow is compared itself.
 
 Before whole sets are fetched, candidates are held against bitmaps: bit h(shingle) modulo the
 bitmap's length is flipped for each shingle, so two bitmaps differ in no more bits than the sets in
@@ -51,6 +53,8 @@ LONG, LOT = 64, 4096
 #: Position blocks to a set's size.
 _POSITIONS = 40
 _FAR = 1 << 30
+#: Distance up to which a class's answers are derived from another's.
+CLOSE = 0.1
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -205,8 +209,12 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose bitmaps don't rule a link out; the longer bitmap is folded first."""
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) with ``least``, a lower bound of their distance from sizes and bitmaps, and ``may``: whether these leave room for a link.
+
+    The longer bitmap is folded first. Bitmaps that differ in x bits mean sets that differ in x shingles at least, so
+    the distance is no less than 2 x / (sum of sizes + x).
+    """
     for x in "ab":
         pairs = pairs.join(classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
     short = F.least(F.size("bitsa"), F.size("bitsb"))
@@ -215,17 +223,23 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         halves = F.zip_with(F.slice(c, F.lit(1), short), F.slice(c, short + 1, short), lambda x, y: x.bitwiseXOR(y))
         return F.when(F.size(c) == short, F.col(c)).otherwise(halves)
 
-    apart = F.aggregate(F.zip_with(folded("bitsa"), folded("bitsb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     near = (F.size("bitsa") <= 2 * short) & (F.size("bitsb") <= 2 * short)  # sizes that link differ by less
-    return pairs.where(near & (9 * apart <= F.col("na") + F.col("nb"))).select("a", "b")
+    apart = F.aggregate(F.zip_with(folded("bitsa"), folded("bitsb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    told = pairs.select("a", "b", "na", "nb", F.when(near, apart).alias("apart"))
+    sizes = 1 - F.least("na", "nb") / F.greatest("na", "nb")
+    least = F.greatest(sizes, 2 * F.col("apart") / (F.col("na") + F.col("nb") + F.col("apart")))
+    return told.select("a", "b", least.alias("least"), F.coalesce(9 * F.col("apart") <= F.col("na") + F.col("nb"), F.lit(False)).alias("may"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, classes: DataFrame) -> DataFrame:
-    """(a, b, d, linked): the plausible ones of the pairs with their Jaccard distance, from the whole sets.
+    """(a, b, d, linked): those of the pairs that bitmaps don't rule out, with their Jaccard distance, from the whole sets."""
+    return _from_sets(materialize(_bounded(pairs, classes).where("may").select("a", "b"), "jaccard-plausible"), docs, hot, classes)
 
-    Whole sets are made anew from the texts, one of each of these pairs' classes only.
-    """
-    pairs = materialize(_plausible(pairs, classes), "jaccard-plausible")
+
+def _from_sets(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, classes: DataFrame) -> DataFrame:
+    """(a, b, d, linked) of written pairs. Whole sets are made anew from the texts, one of each of these pairs' classes only."""
+    if not pairs.limit(1).count():
+        return pairs.select("a", "b", F.lit(0.0).alias("d"), F.lit(False).alias("linked"))
     named = materialize(classes.select("rep", "text_hash").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi"), "jaccard-named")
     sets = _whole_sets(docs, hot, _bitmap(named)).join(named, "text_hash").groupBy("rep").agg(F.first("tokens").alias("tokens"))
     sets = materialize(sets, "jaccard-whole")
@@ -370,12 +384,45 @@ def _open(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return materialize(rooted.join(several, "token", "left_semi"), "jaccard-open")
 
 
+def _hubs(compared: DataFrame) -> DataFrame:
+    """(x, hub, d): for a class with computed distances of up to CLOSE to classes before it, the first of these."""
+    near = compared.where(F.col("d") <= CLOSE).select(F.greatest("a", "b").alias("x"), F.struct(F.least("a", "b").alias("hub"), "d").alias("near"))
+    return near.groupBy("x").agg(F.min("near").alias("near")).select("x", "near.*")
+
+
+def _through_hubs(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the question ``one``, ``two`` between their hubs and ``slack``, how far these are from them together."""
+    for x in "ab":
+        pairs = pairs.join(hubs.select(F.col("x").alias(x), F.col("hub").alias(f"hub_{x}"), F.col("d").alias(f"d_{x}")), x, "left")
+    hub = {x: F.coalesce(f"hub_{x}", x) for x in "ab"}
+    slack = F.coalesce("d_a", F.lit(0.0)) + F.coalesce("d_b", F.lit(0.0))
+    return pairs.select("a", "b", F.least(hub["a"], hub["b"]).alias("one"), F.greatest(hub["a"], hub["b"]).alias("two"), slack.alias("slack"))
+
+
 def _decided(pairs: DataFrame, compared: DataFrame, links: DataFrame, docs: DataFrame, hot: np.ndarray, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All compared pairs and all links with those of ``pairs``, and the pairs with what was derived for them."""
-    told = materialize(_derived(pairs.distinct().join(compared, ["a", "b"], "left_anti"), compared), "jaccard-rest")
-    more = _verified(told.where("linked IS NULL").select("a", "b"), docs, hot, classes)
-    new = told.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
-    return compared.union(more), links.union(new), told
+    """All compared pairs and all links with those of ``pairs``, and the pairs with what was derived for them.
+
+    First by distances known already; then the hubs' questions are answered, each once, by bitmaps or whole sets, and pairs
+    of classes near the hubs have their answers from these. Only pairs whose answer doesn't follow are compared themselves.
+    """
+    told = _derived(pairs.distinct().join(compared, ["a", "b"], "left_anti"), compared)
+    told = materialize(_through_hubs(told.where("linked IS NULL"), _hubs(compared)).withColumn("linked", F.lit(None).cast("boolean")).unionByName(told.where("linked IS NOT NULL"), allowMissingColumns=True), "jaccard-rest")
+    asked = materialize(_bounded(told.where("one < two").select(F.col("one").alias("a"), F.col("two").alias("b")).distinct(), classes), "jaccard-asked")
+    known = asked.join(compared.select("a", "b", "d"), ["a", "b"], "left")
+    answers = _from_sets(materialize(known.where("may AND d IS NULL").select("a", "b"), "jaccard-plausible"), docs, hot, classes)
+    exact = answers.select("a", "b", F.col("d").alias("found"))
+    known = known.join(exact, ["a", "b"], "left").withColumn("d", F.coalesce("found", "d"))
+    known = known.select(F.col("a").alias("one"), F.col("b").alias("two"), F.coalesce("d", "least").alias("lo"), "d", "may")
+
+    told = told.join(known, ["one", "two"], "left")
+    own = (F.col("a") == F.col("one")) & (F.col("b") == F.col("two"))
+    follows = F.when(F.col("d") + F.col("slack") <= 0.2 - 1e-9, True).when(F.col("lo") - F.col("slack") > 0.2 + 1e-9, False)
+    told = told.select("a", "b", F.when(~F.coalesce(own, F.lit(False)), F.coalesce("linked", follows)).alias("linked"), F.coalesce(own, F.lit(False)).alias("own"))
+    told = materialize(told, "jaccard-told")
+    more = _verified(told.where("linked IS NULL AND NOT own").select("a", "b"), docs, hot, classes)
+    computed = answers.union(more)
+    new = told.where("linked").select("a", "b").union(computed.where("linked").select("a", "b"))
+    return compared.union(computed), links.union(new), told
 
 
 def join(docs: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
@@ -386,7 +433,8 @@ def join(docs: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
     their own and have equal ids in the result; a null doc_id never names a group that has another. An
     empty table gives an empty result; other columns are ignored. ``counts``, if given, gets how many
     pairs of blocks there were and were skipped, how many pairs of entries had their answers through
-    a similar class, and how many distances were derived; this costs extra passes.
+    a similar class, how many other pairs were left, how many of these ask their hubs and got their answer from
+    these or from other known distances, and how many were compared; this costs extra passes.
     """
     hot = hot_buckets(docs)
     sets = materialize(_sets(docs, hot).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
@@ -417,7 +465,7 @@ def join(docs: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
         blocks = _block_pairs(_blocks(short)).agg(F.count(F.lit(1)).alias("n"), F.count_if("skip").alias("skipped")).first()
         rooted = lists.join(groups.withColumnRenamed("node", "rep"), "rep").groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
         similar_ones = rooted.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("n")).first()["n"]
-        counts |= {"block_pairs": blocks["n"], "skipped": blocks["skipped"], "through_similar": int(similar_ones or 0), "derived": told.where("linked IS NOT NULL").count(), "compared": compared.count()}
+        counts |= {"block_pairs": blocks["n"], "skipped": blocks["skipped"], "through_similar": int(similar_ones or 0), "derived": told.where("linked IS NOT NULL").count(), "apart": told.count(), "of_hubs": told.where("NOT own").count(), "compared": compared.count()}
     groups = materialize(components(links), "jaccard-groups")
     long_lists = _open(lists.where(F.col("m") > LONG), groups)
     if long_lists.limit(1).count():

@@ -160,6 +160,46 @@ def test_set_relations_skip_blocks_and_derive_answers(spark, docs):
     assert counts["skipped"] > 0 and counts["through_similar"] > 0 and counts["compared"] < 150 * 149 / 4
 
 
+def test_answers_follow_from_those_of_hubs(spark):
+    rng = np.random.default_rng(12)
+    shared = [f"w{i}" for i in range(60)]
+    rows = []
+    for group in range(4):  # near copies in a group, a passage that all groups share, in too few documents to be passed over as frequent
+        own = [f"g{group}-{i}" for i in range(100)]
+        for i in range(4):
+            w = own[:]
+            for j in rng.integers(0, 100, min(i, 1)):
+                w[j] = f"z{group}-{i}"
+            rows.append((group * 10 + i, " ".join(shared + w)))
+    rows += [(90, " ".join(shared)), (91, " ".join(shared[:59])), (92, " ".join(shared + ["end"] * 9))]
+    counts = {}
+    got = sorted(tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), counts).collect())
+    assert got == brute_components(rows)
+    assert counts["of_hubs"] >= counts["derived"] > 0, counts
+
+
+def test_bounds_of_bitmaps_are_below_distances(spark):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1, 40, 63, 64, 65, 120, 129, 300, 301)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 62, 1 + len(s) // 12).astype(np.uint64)])) for s in sets]
+    classes = spark.createDataFrame([(i, len(s), [int(x) for x in jaccard_join._parity(s)]) for i, s in enumerate(sets)], "rep long, n int, bits array<long>")
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b)]
+    told = {(r.a, r.b): r for r in jaccard_join._bounded(spark.createDataFrame(pairs, "a long, b long"), classes).collect()}
+    assert len(told) == len(pairs)
+    for a, b in pairs:
+        both = len(np.intersect1d(sets[a], sets[b]))
+        d = 1 - both / (len(sets[a]) + len(sets[b]) - both)
+        assert told[a, b].least <= d + 1e-12 and (told[a, b].may or d > 0.2)
+
+
+def test_questions_go_to_hubs(spark):
+    compared = spark.createDataFrame([(1, 2, 0.05, True), (2, 3, 0.1, True), (1, 4, 0.15, True), (5, 6, 0.02, True)], "a long, b long, d double, linked boolean")
+    hubs = jaccard_join._hubs(compared)
+    assert sorted(map(tuple, hubs.collect())) == [(2, 1, 0.05), (3, 2, 0.1), (6, 5, 0.02)]
+    asked = jaccard_join._through_hubs(spark.createDataFrame([(2, 6), (1, 5), (4, 6), (3, 4)], "a long, b long"), hubs).collect()
+    assert {(r.a, r.b): (r.one, r.two, round(r.slack, 9)) for r in asked} == {(2, 6): (1, 5, 0.07), (1, 5): (1, 5, 0.0), (4, 6): (4, 5, 0.02), (3, 4): (2, 4, 0.1)}
+
+
 def test_derived_distances(spark):
     compared = spark.createDataFrame([(1, 2, 0.05, True), (2, 3, 0.1, True), (2, 4, 0.5, False)], "a long, b long, d double, linked boolean")
     pairs = spark.createDataFrame([(1, 3), (1, 4), (1, 9), (3, 4)], "a long, b long")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,6 +222,22 @@ def test_closure_and_term_pairs_over_their_limit(gene_ontology):
     assert K._candidate_terms(ranked, 4096).count() < 0.5 * K._candidate_terms(K._ranked(closure, terms.withColumn("least", F.lit(0.0))), 4096).count()
 
 
+def test_term_similarity_query_returns_every_pair_that_shares_an_ancestor(spark):
+    import duckdb
+
+    from loomwell.plans import registry
+
+    db = duckdb.connect()
+    db.execute("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.001/part.parquet'")
+    want = {(a, b): v for a, b, v in db.execute(registry.oracle_sql()["term_similarity"]).fetchall()}
+    rows = registry.QUERIES["term_similarity"](spark, "/root/testdata/sf0.001").collect()
+    got = {(r.term_a, r.term_b): r.sim for r in rows}
+    assert len(rows) == len(got) and got == pytest.approx(want, abs=1.5e-6)
+    # Terms of one ontology share its root, however unlike they are, but for its terms 0 to 2, which have no edge.
+    per = Counter(int(t[3:]) % 3 for t in {a for a, _ in got} if int(t[3:]) >= 3)
+    assert len(got) >= sum(n * n for n in per.values()) and min(got.values()) < 0.5
+
+
 def test_gene_pairs_over_their_limits_are_brute_force(gene_ontology):
     s, sets, (edges, terms, gene2go) = gene_ontology
     closure = K.go_closure(edges, terms)

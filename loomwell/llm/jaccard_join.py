@@ -193,22 +193,34 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        # Of a node's neighbours only those before it can be its least, so edges needn't be turned round.
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        large = edges.join(least.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         large = materialize(large, "components")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
-        small = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "components")
-        inner = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        edges = materialize(small.select("e.*").where("u > v").distinct(), "components")
         # A round may leave a child with two roots, so both are asked: no root has a parent, and each child has one.
-        if not inner and not edges.groupBy("u").agg(F.count(F.lit(1)).alias("parents")).where("parents > 1").limit(1).count():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
             break
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) with more links: only the roots of groups that these join are contracted, and nothing is done if there are none."""
+    for x in "ab":
+        links = links.join(groups.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    across = links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b").distinct()
+    across = materialize(across, "jaccard-across")
+    if across.isEmpty():
+        return groups
+    moved = materialize(components(across), "jaccard-moved")
+    kept = groups.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(kept.union(moved.join(groups, "node", "left_anti").select("node", "root")), "jaccard-groups")
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) with ``least``, a lower bound of their distance from sizes and bitmaps, and ``may``: whether these leave room for a link.
 
@@ -238,7 +250,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, classes: DataF
 
 def _from_sets(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, classes: DataFrame) -> DataFrame:
     """(a, b, d, linked) of written pairs. Whole sets are made anew from the texts, one of each of these pairs' classes only."""
-    if not pairs.limit(1).count():
+    if pairs.isEmpty():
         return pairs.select("a", "b", F.lit(0.0).alias("d"), F.lit(False).alias("linked"))
     named = materialize(classes.select("rep", "text_hash").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi"), "jaccard-named")
     sets = _whole_sets(docs, hot, _bitmap(named)).join(named, "text_hash").groupBy("rep").agg(F.first("tokens").alias("tokens"))
@@ -399,16 +411,20 @@ def _through_hubs(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", F.least(hub["a"], hub["b"]).alias("one"), F.greatest(hub["a"], hub["b"]).alias("two"), slack.alias("slack"))
 
 
-def _decided(pairs: DataFrame, compared: DataFrame, links: DataFrame, docs: DataFrame, hot: np.ndarray, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All compared pairs and all links with those of ``pairs``, and the pairs with what was derived for them.
+def _decided(pairs: DataFrame, compared: DataFrame, docs: DataFrame, hot: np.ndarray, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All compared pairs with those of ``pairs``, the links among ``pairs``, and the pairs with what was derived for them.
 
     First by distances known already; then the hubs' questions are answered, each once, by bitmaps or whole sets, and pairs
     of classes near the hubs have their answers from these. Only pairs whose answer doesn't follow are compared themselves.
     """
-    told = _derived(pairs.distinct().join(compared, ["a", "b"], "left_anti"), compared)
-    told = materialize(_through_hubs(told.where("linked IS NULL"), _hubs(compared)).withColumn("linked", F.lit(None).cast("boolean")).unionByName(told.where("linked IS NOT NULL"), allowMissingColumns=True), "jaccard-rest")
-    asked = materialize(_bounded(told.where("one < two").select(F.col("one").alias("a"), F.col("two").alias("b")).distinct(), classes), "jaccard-asked")
-    known = asked.join(compared.select("a", "b", "d"), ["a", "b"], "left")
+    rest = materialize(pairs.distinct().join(compared, ["a", "b"], "left_anti"), "jaccard-left")
+    if rest.isEmpty():
+        return compared, rest, rest.select("a", "b", F.lit(None).cast("boolean").alias("linked"), F.lit(False).alias("own"))
+    told = materialize(_derived(rest, compared), "jaccard-derived")
+    hubs = _through_hubs(told.where("linked IS NULL").select("a", "b"), _hubs(compared)).withColumn("linked", F.lit(None).cast("boolean"))
+    told = materialize(hubs.unionByName(told.where("linked IS NOT NULL"), allowMissingColumns=True), "jaccard-rest")
+    asked = _bounded(told.where("one < two").select(F.col("one").alias("a"), F.col("two").alias("b")).distinct(), classes)
+    known = materialize(asked.join(compared.select("a", "b", "d"), ["a", "b"], "left"), "jaccard-asked")
     answers = _from_sets(materialize(known.where("may AND d IS NULL").select("a", "b"), "jaccard-plausible"), docs, hot, classes)
     exact = answers.select("a", "b", F.col("d").alias("found"))
     known = known.join(exact, ["a", "b"], "left").withColumn("d", F.coalesce("found", "d"))
@@ -419,10 +435,9 @@ def _decided(pairs: DataFrame, compared: DataFrame, links: DataFrame, docs: Data
     follows = F.when(F.col("d") + F.col("slack") <= 0.2 - 1e-9, True).when(F.col("lo") - F.col("slack") > 0.2 + 1e-9, False)
     told = told.select("a", "b", F.when(~F.coalesce(own, F.lit(False)), F.coalesce("linked", follows)).alias("linked"), F.coalesce(own, F.lit(False)).alias("own"))
     told = materialize(told, "jaccard-told")
-    more = _verified(told.where("linked IS NULL AND NOT own").select("a", "b"), docs, hot, classes)
-    computed = answers.union(more)
-    new = told.where("linked").select("a", "b").union(computed.where("linked").select("a", "b"))
-    return compared.union(computed), links.union(new), told
+    open_pairs = told.where("linked IS NULL AND NOT own").select("a", "b")
+    computed = answers.union(_verified(open_pairs, docs, hot, classes)) if not open_pairs.isEmpty() else answers
+    return compared.union(computed), told.where("linked").select("a", "b").union(computed.where("linked").select("a", "b")), told
 
 
 def join(docs: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
@@ -453,25 +468,23 @@ def join(docs: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
     similar = chained.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
     alone = lists.where(F.col("m") > LONG).withColumn("root", F.col("rep")).join(classes.select("rep", "bits"), "rep")
     compared = _verified(similar.union(_in_lots(alone, nearest=True)).distinct(), docs, hot, classes)
-    links = compared.where("linked").select("a", "b")
-    groups = materialize(components(links), "jaccard-groups")
+    groups = materialize(components(compared.where("linked").select("a", "b")), "jaccard-groups")
 
     # What is left: lists that hold several groups. First short ones block by block, and each entry of
     # long ones with the nearest of another group; then all pairs of groups that are still apart.
     short, long_lists = (_open(lists.where(x), groups) for x in (F.col("m") <= LONG, F.col("m") > LONG))
     pairs = _in_blocks(short).union(_in_lots(long_lists.join(classes.select("rep", "bits"), "rep"), nearest=True))
-    compared, links, told = _decided(pairs, compared, links, docs, hot, classes)
+    compared, links, told = _decided(pairs, compared, docs, hot, classes)
     if counts is not None:
         blocks = _block_pairs(_blocks(short)).agg(F.count(F.lit(1)).alias("n"), F.count_if("skip").alias("skipped")).first()
         rooted = lists.join(groups.withColumnRenamed("node", "rep"), "rep").groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
         similar_ones = rooted.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("n")).first()["n"]
         counts |= {"block_pairs": blocks["n"], "skipped": blocks["skipped"], "through_similar": int(similar_ones or 0), "derived": told.where("linked IS NOT NULL").count(), "apart": told.count(), "of_hubs": told.where("NOT own").count(), "compared": compared.count()}
-    groups = materialize(components(links), "jaccard-groups")
+    groups = _regrouped(groups, links)
     long_lists = _open(lists.where(F.col("m") > LONG), groups)
-    if long_lists.limit(1).count():
+    if not long_lists.isEmpty():
         pairs = _in_lots(long_lists.join(classes.select("rep", "bits"), "rep"), nearest=False)
-        links = _decided(pairs, compared, links, docs, hot, classes)[1]
-        groups = materialize(components(links), "jaccard-groups")
+        groups = _regrouped(groups, _decided(pairs, compared, docs, hot, classes)[1])
 
     named = classes.select("digest", "rep", "least_id").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

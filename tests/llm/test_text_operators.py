@@ -224,6 +224,18 @@ def test_components_are_those_of_union_find(spark):
         assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root)
 
 
+def test_groups_with_more_links_are_those_of_all_links(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2)) if a != b]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    groups = jaccard_join.components(frame(links[:90]))
+    got = jaccard_join._regrouped(groups, frame(links[90:])).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, jaccard_join.components(frame(links)).collect()))
+    # Links within groups, or none at all, start no round.
+    monkeypatch.setattr(jaccard_join, "components", None)
+    assert jaccard_join._regrouped(groups, frame(links[:20])) is groups and jaccard_join._regrouped(groups, frame([])) is groups
+
+
 def test_one_of_each_group_stays(docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns

@@ -1,3 +1,4 @@
+import json
 import random
 from collections import Counter
 
@@ -108,6 +109,16 @@ def test_representatives_of_equal_centrality(spark):
     assert len(seen) == 1
 
 
+def test_dictionary_of_equal_centrality(spark):
+    from loomwell.operators import reports
+
+    sims = [("a", "b", 0.1), ("a", "c", 0.2), ("a", "d", 0.3), ("b", "c", 0.3), ("b", "d", 0.2), ("c", "d", 0.1)]
+    c = spark.createDataFrame([("BP", "up", 1, g, 1.0, s) for g, s in zip("abcd", (0.1, 0.2, 0.3, 0.4))], "ontology string, direction string, cluster int, gene_id string, log2FoldChange double, cluster_silhouette double")
+    p = spark.createDataFrame([("BP", "up", 1, *x) for x in sims], "ontology string, direction string, cluster int, gene_a string, gene_b string, sim double").coalesce(1)
+    entry = json.loads(reports.cluster_dictionary(c, K.cluster_representatives(c, p)).first().entry)
+    assert (entry["representative_gene_id"], entry["gene_ids"]) == ("d", ["a", "b", "c", "d"])
+
+
 def test_candidate_order(spark):
     c = spark.createDataFrame([("single", False, 1, 0.5, 0.5, 1.0, 0.01), ("triple", True, 3, 0.1, 0.5, 1.0, 0.01), ("double", True, 2, 0.9, 0.5, 1.0, 0.01)], "gene_id string, selected_for_search boolean, n_ontologies int, min_cluster_quality double, centrality_score double, abs_log2FoldChange double, padj double")
     assert [r.gene_id for r in K.rank_candidates(c).orderBy("rank").collect()] == ["triple", "double", "single"]

@@ -119,6 +119,16 @@ def test_dictionary_of_equal_centrality(spark):
     assert (entry["representative_gene_id"], entry["gene_ids"]) == ("d", ["a", "b", "c", "d"])
 
 
+def test_ranks_of_equal_centrality_whatever_the_order_of_rows(spark):
+    sims = [(1, "a", "b", 0.1), (1, "a", "c", 0.2), (1, "a", "d", 0.3), (2, "e", "h", 0.3), (2, "e", "g", 0.2), (2, "e", "f", 0.1)]
+    c = spark.createDataFrame([("BP", "up", 1 + (g > "d"), g, 1.0, 0.5) for g in "abcdefgh"], "ontology string, direction string, cluster int, gene_id string, log2FoldChange double, cluster_silhouette double")
+    genes = spark.createDataFrame([(g, 0.01, 2.0) for g in "abcdefgh"], "gene_id string, padj double, log2FoldChange double")
+    for rows in (sims, sims[::-1]):
+        p = spark.createDataFrame([("BP", "up", *x) for x in rows], "ontology string, direction string, cluster int, gene_a string, gene_b string, sim double").coalesce(1)
+        reps = K.cluster_representatives(c, p).join(K.cluster_metrics(c, p), ["ontology", "direction", "cluster"]).drop("log2FoldChange")
+        assert {r.gene_id: r["rank"] for r in K.prioritize(reps, genes).collect()} == {"a": 1, "e": 2}
+
+
 def test_candidate_order(spark):
     c = spark.createDataFrame([("single", False, 1, 0.5, 0.5, 1.0, 0.01), ("triple", True, 3, 0.1, 0.5, 1.0, 0.01), ("double", True, 2, 0.9, 0.5, 1.0, 0.01)], "gene_id string, selected_for_search boolean, n_ontologies int, min_cluster_quality double, centrality_score double, abs_log2FoldChange double, padj double")
     assert [r.gene_id for r in K.rank_candidates(c).orderBy("rank").collect()] == ["triple", "double", "single"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,19 @@ def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\s+", " "))
 
 
+def told(text: Column, pattern: str) -> Column:
+    """Whether a text matches, letters in either case; words end at all but A-Z, a-z, 0-9 and _.
+
+    Spark's own ``\\b`` takes accented letters for parts of a word, other engines don't. Patterns have it
+    before the first and after the last letter of their alternatives.
+    """
+    begun = re.sub(r"(^|\|)\\b", r"\1(?<!\\w)", pattern.removeprefix("(?i)"))
+    return text.rlike("(?i)" + begun.replace(r"\b", r"(?!\w)"))
+
+
 def conditions(text: Column) -> Column:
     """Names of the conditions that a text mentions."""
-    return F.array_compact(F.array(*(F.when(text.rlike("(?i)" + p), F.lit(n)) for n, p in CONDITIONS.items())))
+    return F.array_compact(F.array(*(F.when(told(text, p), F.lit(n)) for n, p in CONDITIONS.items())))
 
 
 def species_condition_pairs(text: Column, species: Column) -> Column:
@@ -133,7 +145,7 @@ def validate_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     rel, level = F.col("relationship_to_query"), F.col("evidence_level")
     some = lambda test: F.exists("es", test)
     supported = F.transform(F.flatten(F.transform("es", lambda e: e["conditions"])), lambda c: F.lower(c))
-    in_text = [F.when(F.col("claim").rlike("(?i)" + p) & ~F.array_contains(supported, name.lower()), F.lit(f"unsupported_condition_in_text:{name}")) for name, p in CONDITIONS.items()]
+    in_text = [F.when(told(F.col("claim"), p) & ~F.array_contains(supported, name.lower()), F.lit(f"unsupported_condition_in_text:{name}")) for name, p in CONDITIONS.items()]
     pairs = F.flatten(F.transform("es", lambda e: e["pairs"]))
     species = F.lower(F.col("species"))
 
@@ -150,10 +162,10 @@ def validate_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
         F.when((level == "direct") & ~some(lambda e: e["level"] == "direct"), "unverified_direct_evidence"),
         F.when(rel.isin("ortholog", "paralog") & ~some(lambda e: e["rel"] == rel), F.concat(F.lit("unverified_"), rel, F.lit("_attribution"))),
         F.when((rel == "family") & ~some(lambda e: (e["rel"] == "family") | e["family"] | e["named"]), "unverified_family_attribution"),
-        F.when(rel.isin("family", "none") & F.col("claim").rlike(INDIRECT), "indirect_evidence_attributed_to_query_gene"),
+        F.when(rel.isin("family", "none") & told(F.col("claim"), INDIRECT), "indirect_evidence_attributed_to_query_gene"),
         F.when(level.isin("ortholog", "paralog", "family") & ~some(lambda e: e["level"] == level), F.concat(F.lit("unverified_"), level, F.lit("_evidence"))),
         F.when(rel.isin("same_gene", "unknown") & (F.size("es") > 0) & ~some(lambda e: ~e["rel"].isin("family", "none")), "family_or_context_used_as_gene_specific"),
-        F.when(F.col("claim").rlike(STRONG) & (level != "direct"), "unsupported_claim_strength"),
+        F.when(told(F.col("claim"), STRONG) & (level != "direct"), "unsupported_claim_strength"),
     ]
     listed = F.transform(F.filter("conditions", lambda c: ~F.array_contains(supported, F.lower(c))), lambda c: F.concat(F.lit("unsupported_condition:"), c))
     reasons = F.array_compact(F.concat(F.array(*single), listed, F.array(*in_text), F.transform("conditions", unpaired)))

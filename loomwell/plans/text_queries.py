@@ -161,13 +161,13 @@ def claim_sheet(spark, d):
 def _assessed(spark, d):
     c = table(spark, d, "claims")
     few = F.array().cast("array<string>")
-    rows = c.select("gene_id", F.concat(F.lit("C"), F.col("claim_index")).alias("citation_id"), F.concat_ws(" ", "claim", F.when(F.col("claim_index") % 2 == 0, F.lit("Under drought, Oryza grew. Salt in roots."))).alias("text"))
+    rows = c.select("gene_id", F.concat(F.lit("C"), F.col("claim_index")).alias("citation_id"), F.concat("claim", F.when(F.col("claim_index") % 2 == 0, " Under drought, Oryza grew. Salt in roots.").otherwise("")).alias("text"))
     rows = rows.withColumns({"primary_name": F.lit("gene x"), "blocked_reason": F.when(F.col("gene_id") % 5 == 0, F.lit("entity_policy_rule_1")), "stable_ids": F.array(F.lit("oryza")), "ortholog_terms": few, "alias_matches": few, "protein_family_matches": few, "species_mentions": F.array(F.lit("Oryza"))})
     return E.classify_evidence(rows)
 
 
 def evidence_classes(spark, d):
-    return _assessed(spark, d).select("gene_id", "citation_id", "relationship_to_query", "evidence_level", F.array_join("conditions", ",").alias("conditions"), F.size("pairs").cast("long").alias("pairs"))
+    return _assessed(spark, d).select("gene_id", "citation_id", "relationship_to_query", "evidence_level", F.array_join("conditions", ",").alias("conditions"), F.when(F.col("text").isNotNull(), F.size("pairs")).cast("long").alias("pairs"))
 
 
 def _validated(spark, d):

@@ -102,6 +102,14 @@ def test_claim_rules(spark):
     assert got == ["unverified_species_condition_pair:Arabidopsis:TBM"]
 
 
+def test_conditions_beside_accented_letters(spark):
+    got = evidence(spark, "Un lIMité éIM était; TBMé, mais non aIM ou TBM_.").first()
+    assert got.conditions == ["TBM", "IM"]
+    reasons = E.validate_claims(claims(spark, claim="étéIM is écentral."), evidence(spark, "KOR1 acts.", primary_name="kor1")).first().reasons
+    assert reasons == ["unsupported_claim_strength", "unsupported_condition_in_text:IM"]
+    assert E.validate_claims(claims(spark, claim="aIM is acentral."), evidence(spark, "KOR1 acts.", primary_name="kor1")).first().accepted
+
+
 def test_blocking_rules(spark):
     rules = spark.createDataFrame([("g1", 1, "rule", ["cellulose"], [], ["lipid"]), ("g1", 1, "alias", ["kinase"], ["ATP9"], [])], "gene_id string, rule_index int, kind string, any array<string>, all array<string>, unless_any array<string>")
     rows = [("g1", 1, "", "", "in cellulose synthesis"), ("g1", 2, "", "", "cellulose and lipid"), ("g1", 3, "", "", "ATP9 here"), ("g1", 4, "", "", "ATP9 kinase"), ("g2", 5, "", "", "cellulose")]

@@ -287,6 +287,27 @@ def test_gene_pairs_over_their_limits_are_brute_force(gene_ontology):
     assert K.gene_similarity(gene2go.limit(0), closure, K.MIN_SIMILARITY, ("ontology",)).count() == 0
 
 
+def test_gene_pairs_meet_at_homes_without_rows_of_their_terms(gene_ontology, monkeypatch):
+    s, sets, (edges, terms, gene2go) = gene_ontology
+    closure = K.go_closure(edges, terms)
+    rows, write = [], K.materialize
+
+    def counted(df, tag):
+        written = write(df, tag)
+        rows.append(written.count())
+        return written
+
+    monkeypatch.setattr(K, "materialize", counted)
+    whole = {(o, a, b): best_match(s, x, y) for (o, a), x in sets.items() for (p, b), y in sets.items() if o == p and a < b}
+    want = {k: v for k, v in whole.items() if v >= K.MIN_SIMILARITY[k[0]] - 1e-12}
+    found = K.gene_similarity(gene2go, closure, K.MIN_SIMILARITY, ("ontology",)).collect()
+    assert {(r.ontology, r.gene_a, r.gene_b): r.sim for r in found} == pytest.approx(want) and len(found) == len(want)
+    assert max(rows) <= closure.count() + len(sets)  # no table of pairs or of pairs' terms
+    for size in ({"home": 3, "load": 25}, {"home": 40, "load": 60}):
+        found = K.gene_similarity(gene2go, closure, K.MIN_SIMILARITY, ("ontology",), **size).collect()
+        assert {(r.ontology, r.gene_a, r.gene_b): r.sim for r in found} == pytest.approx(want) and len(found) == len(want)
+
+
 def test_the_chain_clusters_real_similarities(spark, gene_ontology):
     s, sets, (edges, terms, gene2go) = gene_ontology
     direction = {f"g{g:02d}": "up" if g % 3 else "down" for g in range(48)}

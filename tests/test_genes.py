@@ -162,6 +162,37 @@ def test_linkage_of_small_and_large_components(spark):
         assert {r.gene_id: r.cluster for r in K.complete_linkage(p.repartition(3), 0.5, 1, local=local).collect()} == want
 
 
+def test_similarities_that_differ_in_their_last_digit_are_a_tie(spark):
+    p = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.9000000000000001)], "gene_a string, gene_b string, sim double")
+    for local in (2000, 0):
+        assert {r.gene_id: r.cluster for r in K.complete_linkage(p, 0.5, 2, local=local).collect()} == {"a": 1, "b": 1, "c": -1}
+
+
+def test_pruning_in_rounds_is_brute_force(spark, monkeypatch):
+    rng, seen, whole = random.Random(4), [], K.silhouettes
+    names = [f"g{i:02d}" for i in range(60)]
+    label = {n: i // 6 for i, n in enumerate(names)}
+    rows = [(x, y, round(rng.random() if label[x] == label[y] else rng.random() * 0.8, 3)) for x in names for y in names if x < y and (label[x] == label[y] or abs(label[x] - label[y]) == 1 and rng.random() < 0.3)]
+    sim = {frozenset(r[:2]): r[2] for r in rows}
+    want = dict(label)
+    while True:
+        groups = {}
+        for n, c in want.items():
+            groups.setdefault(c, []).append(n)
+        groups = {c: g for c, g in groups.items() if c != -1 and len(g) >= 3}
+        want = {n: next((c for c, g in groups.items() if n in g), -1) for n in names}
+        far = lambda n, g: [1 - sim.get(frozenset((n, x)), 0) for x in g if x != n]
+        mean = lambda d: sum(d) / len(d)
+        bad = [n for c, g in groups.items() for n in g if len(groups) > 1 and min(mean(far(n, h)) for d, h in groups.items() if d != c) < mean(far(n, g))]
+        if not bad:
+            break
+        want |= dict.fromkeys(bad, -1)
+    monkeypatch.setattr(K, "silhouettes", lambda *a: seen.append(a) or whole(*a))
+    got = K.prune_silhouette(spark.createDataFrame(rows, "gene_a string, gene_b string, sim double").coalesce(1), spark.createDataFrame(list(label.items()), "gene_id string, cluster long").coalesce(1))
+    assert {r.gene_id: r.cluster for r in got.collect()} == want
+    assert len(seen) > 1 and all(a[3] is not None for a in seen[1:])  # later rounds look at some genes only
+
+
 def test_semantic_clusters_keep_keys_apart(spark):
     rows = [(o, d, a, b, s) for o, s in (("BP", 0.55), ("MF", 0.55), ("CC", 0.9)) for d in ("up", "down") for a, b in ("ab", "ac", "bc")]
     p = spark.createDataFrame(rows, "ontology string, direction string, gene_a string, gene_b string, sim double")
